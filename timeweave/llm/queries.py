@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import minhash, ppm_lang
+from timeweave.llm import minhash, mixing, ppm_lang
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,17 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_shares(mixing.mix_plan(table(spark, sf_dir, "documents")))
+
+
 def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_lang.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op9_source_mix": op9_source_mix,
     "op10_ppm_language": op10_ppm_language,
 }
 
