@@ -16,7 +16,6 @@ bounded however large the benchmark is; every block meets all texts.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -26,13 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.textkernel import documents_words, shingle_hashes
+from timeweave.llm.textkernel import PUNCTUATION, documents_words, shingle_hashes
 
 GRAM, SPREAD, THRESHOLD = 3, 4, 0.6
 BLOCK_WORDS = 2_000_000
 SCHEMA = "doc_id long, item_id long, score double, start_word int, end_word int, matches int"
-# What is cut from the ends of words before they are compared.
-EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
@@ -69,8 +66,7 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], gram: int) -> None:
         self.gram = gram
         self.ids = ids
-        cleaned = pa.array([clean(t) for t in texts], pa.string())
-        self.words = [w for _, w, _, _ in documents_words(cleaned)]
+        self.words = [w for _, w, _, _ in documents_words(pa.array(texts, pa.string()), PUNCTUATION)]
         self.grams = [shingle_hashes(w, gram) for w in self.words]
         self.known = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
 
@@ -85,20 +81,6 @@ class Items:
         return np.array(sorted(where), np.int64), dict(where)
 
 
-def clean(text: str | None) -> str:
-    """Lower-cased words without punctuation at their ends; what has nothing else is dropped."""
-    return " ".join(w for w in (EDGES.sub("", x) for x in (text or "").lower().split()) if w)
-
-
-# Bytes that join with the word rule of ``clean`` for ASCII; other letters stay as they are.
-_PLAIN = re.compile(r"[^\w\s]+(?=\s|$)|(?<!\S)[^\w\s]+")
-
-
-def cleaned(texts: pa.Array) -> pa.Array:
-    """``clean`` over a column."""
-    return pa.array([_PLAIN.sub("", t.as_py().lower()) if t.is_valid else "" for t in texts], pa.string())
-
-
 def _member(values: np.ndarray, known: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Positions of ``values`` that are in sorted ``known``; ``table`` is a bit filter by low bits."""
     maybe = np.flatnonzero(table[values & np.uint64(len(table) - 1)])
@@ -124,7 +106,7 @@ def _frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
         known = shared.value
         table, counts = _filter(known), np.zeros(len(known), np.int64)
         for batch in batches:
-            for _, words, _, _ in documents_words(cleaned(batch.column(0))):
+            for _, words, _, _ in documents_words(batch.column(0), PUNCTUATION):
                 grams = shingle_hashes(words, gram)
                 hit = _member(grams, known, table)
                 np.add.at(counts, np.searchsorted(known, grams[hit]), 1)
@@ -163,7 +145,7 @@ def _leaks_of_block(docs: DataFrame, items: Items, spread: int, threshold: float
         for batch in batches:
             found: list[tuple] = []
             doc_ids = batch.column(0)
-            for row, words, _, _ in documents_words(cleaned(batch.column(1))):
+            for row, words, _, _ in documents_words(batch.column(1), PUNCTUATION):
                 grams = shingle_hashes(words, gram)
                 hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 for t in _member(grams, known, table).tolist():
@@ -194,7 +176,8 @@ def leaks(
     """(doc_id, item_id, score, start_word, end_word, matches) of each document that holds a test item.
 
     score is the aligned share of the item (0 to 1); start_word and end_word delimit the aligned words
-    of the document, counted after punctuation is dropped. Null, empty and blank texts hold nothing; an
+    of the document, words being runs of letters and digits, A-Z
+    lower-cased. Null, empty and blank texts hold nothing; an
     item without words is held by nothing; an item shorter than ``gram`` words is one seed. Repeated
     rows are reported as often as they occur, repeated items once each. Empty tables give no rows.
     """
@@ -205,8 +188,6 @@ def leaks(
     size = 0
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
     for row in rows.toLocalIterator():
-        if not clean(row["text"]):
-            continue
         ids.append(row["item_id"])
         texts.append(row["text"])
         size += len(row["text"].split())

@@ -20,6 +20,9 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+# For comparison without punctuation: words are runs of ASCII letters, digits and all other bytes.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _INVERSE = np.uint64(pow(int(_ODD), -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
 
@@ -42,12 +45,14 @@ def _power(n: int, what: str) -> np.ndarray:
     return have
 
 
-def hash_words(data: np.ndarray, cuts: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, start and end bytes of the words in ``data``; no word crosses a position in ``cuts``."""
+def hash_words(data: np.ndarray, cuts: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, start and end bytes of the words in ``data``; no word crosses a position in ``cuts``.
+
+    ``between`` marks the bytes that are in no word."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     inner = cuts[(cuts > 0) & (cuts < n)]
@@ -59,7 +64,7 @@ def hash_words(data: np.ndarray, cuts: np.ndarray, lower: bool = True) -> tuple[
     ends = np.flatnonzero(ends_mask) + 1
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _BYTE)[data] * _power(n, "up")[:n], out=sums[1:])
+        np.cumsum(_LOWER[data] * _power(n, "up")[:n], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * _power(n, "down")[starts])
     return hashes, starts, ends
 
@@ -75,7 +80,9 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offs
 
 
-def documents_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def documents_words(
+    column: pa.Array, between: np.ndarray = _SPACE
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, hashes, starts, ends) of each text in the column; starts and ends are bytes of the text."""
     data, offs = column_bytes(column)
     row, n = 0, len(offs) - 1
@@ -85,7 +92,7 @@ def documents_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int,
             last += 1
         if offs[last] - offs[row] <= PIECE:
             base = offs[row]
-            hashes, starts, ends = hash_words(data[base : offs[last]], offs[row:last] - base, lower)
+            hashes, starts, ends = hash_words(data[base : offs[last]], offs[row:last] - base, between)
             edges = np.searchsorted(starts, offs[row : last + 1] - base)
             for k in range(last - row):
                 a, b = edges[k], edges[k + 1]
@@ -96,13 +103,13 @@ def documents_words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int,
             while at < len(text):
                 to = min(at + PIECE, len(text))
                 if to < len(text):
-                    back = np.flatnonzero(_SPACE[text[at:to]])
+                    back = np.flatnonzero(between[text[at:to]])
                     if len(back):
                         to = at + int(back[-1]) + 1
                     else:
-                        ahead = np.flatnonzero(_SPACE[text[to:]])
+                        ahead = np.flatnonzero(between[text[to:]])
                         to = to + int(ahead[0]) + 1 if len(ahead) else len(text)
-                h, s, e = hash_words(text[at:to], np.zeros(0, np.int64), lower)
+                h, s, e = hash_words(text[at:to], np.zeros(0, np.int64), between)
                 parts.append((h, s + at, e + at))
                 at = to
             yield (row, *(np.concatenate(x) for x in zip(*parts)))
