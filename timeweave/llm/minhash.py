@@ -7,13 +7,14 @@ Steps, each a Spark job over rows or classes of equal shingle sets:
    empty bin copies the bin that its own fixed random order of bins reaches first (optimal
    densification). Bands of ``rows`` bins make bucket keys.
 2. Rows with equal sets form a class, so exact copies cost one comparison however many there are.
-3. Each bucket with two or more classes becomes a star: the class of least keyed hash is the hub and
-   gets an edge from each other member. A bucket of m classes gives m - 1 edges, and the hub differs
-   from bucket to bucket, so a large group is tied together by many hubs.
+3. Each bucket with two or more classes becomes a star: its most central class, that with the fewest
+   shingles of its own, is the hub and gets an edge from each other member. A bucket of m classes gives
+   m - 1 edges, and the buckets of one group mostly agree on the hub, so the edges are few.
 4. Edges are confirmed on the full sets, and components are taken.
 5. What a star can lose, a link between two leaves of one hub, is recovered: members that are still
    outside their hub's component are compared with the other members of their bucket that are in
-   another component. Nothing is capped.
+   another component. A pair is left out, here and in the stars, only where sizes and the shingles
+   that no other candidate has prove that it is no link. Nothing is capped.
 
 With 40 bands of 5 bins a pair of likeness 0.8 shares no band with probability 1e-7.
 """
@@ -115,13 +116,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, set_key binary, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select("node", "set_key", F.col("first_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("node", "doc_id"), "doc_id")
-    sets = shingle_sets(texts, width).join(wanted.select("node", "set_key"), ["node", "set_key"], "left_semi")
-    sets = materialize(sets.drop("set_key"), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -149,39 +145,55 @@ def near_duplicates(
     )
     classes = materialize(classes, "classes")
 
-    # A link of two different sets needs sizes within percent of each other; equal sets are one class.
     rows_of = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = rows_of.groupBy("key").count().where("count > 1").select("key")
     buckets = materialize(rows_of.join(shared, "key"), "buckets")
-    hubs = buckets.groupBy("key").agg(
-        F.min_by("node", F.xxhash64("node", "key")).alias("hub"), F.min_by("n", F.xxhash64("node", "key")).alias("hub_n")
-    )
-    similar = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
+    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi")
+    wanted = wanted.select("node", "set_key", F.col("first_id").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("node", "doc_id"), "doc_id")
+    sets = shingle_sets(texts, width).join(wanted.select("node", "set_key"), ["node", "set_key"], "left_semi")
+    sets = materialize(sets.drop("set_key").dropDuplicates(["node"]), "sets")
+
+    # cover: the shingles of a set that any other candidate has; no intersection can be larger.
+    single = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+    single = single.where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    members = buckets.join(single, "node", "left").withColumn("cover", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    members = materialize(members.where(F.col("cover") * 100 >= F.col("n") * percent), "members")
+
+    def possible(x: str, y: str) -> F.Column:
+        """What sizes and covers leave of 100 * intersection >= percent * union."""
+        most = F.least(F.col(f"{x}cover"), F.col(f"{y}cover"))
+        return (100 + percent) * most >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
+
+    centre = F.struct(-F.col("cover") / F.col("n"), F.xxhash64("node", "key"))
+    hubs = members.groupBy("key").agg(F.min(F.struct(centre, "node", "n", "cover")).alias("h"))
+    hubs = hubs.select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.cover").alias("hub_cover"))
     stars = (
-        buckets.join(hubs, "key")
-        .where((F.col("node") != F.col("hub")) & similar(F.col("n"), F.col("hub_n")))
+        members.join(hubs, "key")
+        .where((F.col("node") != F.col("hub")) & possible("", "hub_"))
         .select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b"))
         .distinct()
     )
-    links = materialize(_confirmed(materialize(stars, "stars"), docs, classes, width, percent), "links")
+    stars = materialize(stars, "stars")
+    links = materialize(_confirmed(stars, sets, percent), "links")
     groups = components(links)
 
     # Members outside their hub's component meet the rest of the bucket.
-    placed = buckets.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed, "placed")
     hub_place = hubs.select("key", F.col("hub").alias("node")).join(groups, "node", "left")
     hub_place = hub_place.select("key", F.coalesce("component", "node").alias("hub_component"))
     outside = placed.join(hub_place, "key").where("component != hub_component")
-    outside = outside.select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    rest = placed.select("key", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"))
+    outside = outside.select("key", *(F.col(c).alias(f"x{c}") for c in ("node", "n", "cover", "component")))
+    rest = placed.select("key", *(F.col(c).alias(f"y{c}") for c in ("node", "n", "cover", "component")))
     missed = (
         outside.join(rest, "key")
-        .where((F.col("xc") != F.col("yc")) & similar(F.col("xn"), F.col("yn")))
-        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        .where((F.col("xcomponent") != F.col("ycomponent")) & possible("x", "y"))
+        .select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    missed = materialize(missed, "missed")
-    more = _confirmed(missed, docs, classes, width, percent)
+    more = _confirmed(materialize(missed, "missed"), sets, percent)
     groups = components(materialize(links.union(more), "links"))
 
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
