@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import decontam, minhash, mixing, ppm_lang, secrets
+from timeweave.llm import decontam, minhash, mixing, ppm_lang, secrets, token_rollup
+from timeweave.llm.common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = token_rollup.Rollup(spark, shared_dir(spark, "rollup"))
+    token_rollup.corpus_history(table(spark, sf_dir, "documents"), rollup)
+    return rollup.totals()
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -35,10 +42,26 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_rollup": op2_token_rollup,
     "op5_secret_scan": op5_secret_scan,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_ppm_language": op10_ppm_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_token_rollup": r"""
+        WITH kept AS (
+            SELECT source, lang, replace(text, '|', '') AS text
+            FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents)
+            WHERE doc_id = first OR text IS NULL
+        )
+        SELECT source, lang, 'words-v1' AS tokenizer, count(*) AS n_docs,
+            CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n_tokens
+        FROM kept GROUP BY source, lang
+        UNION ALL
+        SELECT source, lang, 'pieces-v2' AS tokenizer, count(*) AS n_docs,
+            CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^\p{L}\p{N}\x20\x09-\x0D]'))) AS BIGINT) AS n_tokens
+        FROM kept GROUP BY source, lang
+    """,
+}
