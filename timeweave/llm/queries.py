@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import decontam, minhash, mixing, ppm_lang, secrets, token_rollup
+from timeweave.llm import decontam, minhash, mixing, ppm_lang, secrets, token_rollup, warc
 from timeweave.llm.common import shared_dir
 
 
@@ -24,6 +24,12 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.records(warc.read_chunks(spark, path)).drop("n_chunks")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -43,6 +49,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_rollup": op2_token_rollup,
+    "op3_warc_records": op3_warc_records,
     "op5_secret_scan": op5_secret_scan,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op9_source_mix": op9_source_mix,
@@ -64,4 +71,15 @@ ORACLES: dict[str, str] = {
             CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}|[^\p{L}\p{N}\x20\x09-\x0D]'))) AS BIGINT) AS n_tokens
         FROM kept GROUP BY source, lang
     """,
+    "op3_warc_records": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (
+            SELECT page_id, h, strlen(h) AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first FROM p
+        )
+        SELECT page_id, payload_bytes, sha256(h) AS payload_digest,
+            CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to,
+            true AS intact
+        FROM d
+    """,
 }
