@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import decontam, minhash, mixing, ppm_lang, secrets, token_rollup, warc
+from timeweave.llm import decontam, minhash, mixing, ppm_lang, secrets, simhash, token_rollup, warc
 from timeweave.llm.common import shared_dir
 
 
@@ -34,6 +34,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_rollup": op2_token_rollup,
     "op3_warc_records": op3_warc_records,
     "op5_secret_scan": op5_secret_scan,
+    "op6_simhash": op6_simhash,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_ppm_language": op10_ppm_language,
