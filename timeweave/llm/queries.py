@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import decontam, minhash, mixing, ppm_lang, secrets, simhash, token_rollup, warc
+from timeweave.llm import cdc, decontam, minhash, mixing, ppm_lang, secrets, simhash, token_rollup, warc
 from timeweave.llm.common import shared_dir
 
 
@@ -30,6 +30,10 @@ def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.read_chunks(spark, path)).drop("n_chunks")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_rollup": op2_token_rollup,
     "op3_warc_records": op3_warc_records,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_simhash": op6_simhash,
     "op7_minhash_dedup": op7_minhash_dedup,
