@@ -7,14 +7,13 @@ Steps, each a Spark job over rows or classes of equal shingle sets:
    empty bin copies the bin that its own fixed random order of bins reaches first (optimal
    densification). Bands of ``rows`` bins make bucket keys.
 2. Rows with equal sets form a class, so exact copies cost one comparison however many there are.
-3. Each bucket with two or more classes becomes a star: its most central class, that with the fewest
-   shingles of its own, is the hub and gets an edge from each other member. A bucket of m classes gives
-   m - 1 edges, and the buckets of one group mostly agree on the hub, so the edges are few.
+3. Each bucket with two or more classes becomes a star: the class that meets the most others in all
+   its buckets is the hub and gets an edge from each other member. A bucket of m classes gives m - 1
+   edges, and the buckets of one group mostly agree on the hub, so the edges are few.
 4. Edges are confirmed on the full sets, and components are taken.
 5. What a star can lose, a link between two leaves of one hub, is recovered: members that are still
-   outside their hub's component are compared with the other members of their bucket that are in
-   another component. A pair is left out, here and in the stars, only where sizes and the shingles
-   that no other candidate has prove that it is no link. Nothing is capped.
+   outside their hub's component are compared with the members of other components in their buckets,
+   found by the rare shingles that any link must share. Nothing is capped.
 
 With 40 bands of 5 bins a pair of likeness 0.8 shares no band with probability 1e-7.
 """
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.llm.common import materialize
@@ -124,6 +123,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _leaf_pairs(members: DataFrame, hubs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that stars may have lost: a is outside the component of a hub of its, b in another
+    component than a, and both are in buckets that hold such a class.
+
+    Shingles are ordered by rarity among these classes. Sets of the wanted likeness share one of their
+    first n - ceil(n * percent / 100) + 1 shingles, and from the places of the first one they share, at
+    most the shingles behind it can be common; other pairs are no links and make no row.
+    """
+    placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed.select("key", "node", "n", "component"), "placed")
+    at_hub = hubs.select("key", F.col("hub").alias("node")).join(groups, "node", "left")
+    at_hub = at_hub.select("key", F.coalesce("component", "node").alias("hub_component"))
+    outside = placed.join(at_hub, "key").where("component != hub_component")
+    open_keys = outside.select("key").distinct()
+    outside = outside.select("node").distinct().withColumn("out", F.lit(True))
+    open_nodes = placed.join(open_keys, "key", "left_semi").select("node", "n", "component").distinct()
+    open_nodes = open_nodes.join(outside, "node", "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    shingles = materialize(sets.join(open_nodes, "node").select("node", "n", "component", "out", F.explode("shingles").alias("s")), "open")
+    often = shingles.groupBy("s").agg(F.count("*").alias("df"))
+    ranked = shingles.join(often, "s")
+    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("df", "s")))
+    first = ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    first = materialize(first.select("s", "node", "n", "component", "out", "i"), "prefixes")
+    x = first.where("out").select("s", *(F.col(c).alias(f"x{c}") for c in ("node", "n", "component", "i")))
+    y = first.select("s", *(F.col(c).alias(f"y{c}") for c in ("node", "n", "component", "i")))
+    most = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) + 1
+    fits = (100 + percent) * most >= percent * (F.col("xn") + F.col("yn"))
+    pairs = x.join(y, "s").where((F.col("xcomponent") != F.col("ycomponent")) & fits)
+    return pairs.select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -146,7 +176,7 @@ def near_duplicates(
     classes = materialize(classes, "classes")
 
     rows_of = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = rows_of.groupBy("key").count().where("count > 1").select("key")
+    shared = rows_of.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialize(rows_of.join(shared, "key"), "buckets")
     wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi")
     wanted = wanted.select("node", "set_key", F.col("first_id").alias("doc_id"))
@@ -154,47 +184,27 @@ def near_duplicates(
     sets = shingle_sets(texts, width).join(wanted.select("node", "set_key"), ["node", "set_key"], "left_semi")
     sets = materialize(sets.drop("set_key").dropDuplicates(["node"]), "sets")
 
-    # cover: the shingles of a set that any other candidate has; no intersection can be larger.
-    single = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node"))
-    single = single.where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    members = buckets.join(single, "node", "left").withColumn("cover", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    members = materialize(members.where(F.col("cover") * 100 >= F.col("n") * percent), "members")
+    # The hub of a bucket is the class that meets the most others in all its buckets.
+    met = buckets.groupBy("node").agg(F.sum("size").alias("met"))
+    members = materialize(buckets.drop("size").join(met, "node"), "members")
+    centre = F.struct(-F.col("met"), F.xxhash64("node"))
+    hubs = members.groupBy("key").agg(F.min(F.struct(centre, "node", "n")).alias("h"))
+    hubs = hubs.select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
 
-    def possible(x: str, y: str) -> F.Column:
-        """What sizes and covers leave of 100 * intersection >= percent * union."""
-        most = F.least(F.col(f"{x}cover"), F.col(f"{y}cover"))
-        return (100 + percent) * most >= percent * (F.col(f"{x}n") + F.col(f"{y}n"))
+    def sizes_fit(x: str, y: str) -> F.Column:
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    centre = F.struct(-F.col("cover") / F.col("n"), F.xxhash64("node", "key"))
-    hubs = members.groupBy("key").agg(F.min(F.struct(centre, "node", "n", "cover")).alias("h"))
-    hubs = hubs.select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.cover").alias("hub_cover"))
     stars = (
         members.join(hubs, "key")
-        .where((F.col("node") != F.col("hub")) & possible("", "hub_"))
+        .where((F.col("node") != F.col("hub")) & sizes_fit("n", "hub_n"))
         .select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b"))
         .distinct()
     )
     stars = materialize(stars, "stars")
     links = materialize(_confirmed(stars, sets, percent), "links")
     groups = components(links)
-
-    # Members outside their hub's component meet the rest of the bucket.
-    placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialize(placed, "placed")
-    hub_place = hubs.select("key", F.col("hub").alias("node")).join(groups, "node", "left")
-    hub_place = hub_place.select("key", F.coalesce("component", "node").alias("hub_component"))
-    outside = placed.join(hub_place, "key").where("component != hub_component")
-    outside = outside.select("key", *(F.col(c).alias(f"x{c}") for c in ("node", "n", "cover", "component")))
-    rest = placed.select("key", *(F.col(c).alias(f"y{c}") for c in ("node", "n", "cover", "component")))
-    missed = (
-        outside.join(rest, "key")
-        .where((F.col("xcomponent") != F.col("ycomponent")) & possible("x", "y"))
-        .select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = _confirmed(materialize(missed, "missed"), sets, percent)
-    groups = components(materialize(links.union(more), "links"))
+    missed = materialize(_leaf_pairs(members, hubs, groups, sets, percent).join(stars, ["a", "b"], "left_anti"), "missed")
+    groups = components(materialize(links.union(_confirmed(missed, sets, percent)), "links"))
 
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
