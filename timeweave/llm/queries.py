@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import cdc, decontam, minhash, mixing, ppm_lang, secrets, simhash, token_rollup, warc
+from timeweave.llm import cdc, decontam, minhash, mixing, ordinal, ppm_lang, secrets, simhash, token_rollup, warc
 from timeweave.llm.common import shared_dir
 
 
@@ -46,6 +46,10 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_shares(mixing.mix_plan(table(spark, sf_dir, "documents")))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_simhash": op6_simhash,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_quality": op8_quality,
     "op9_source_mix": op9_source_mix,
     "op10_ppm_language": op10_ppm_language,
 }
