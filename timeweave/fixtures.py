@@ -135,3 +135,67 @@ WINDOWS_SQL = r"""
 windows AS (
     SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS win_idx, value * 10 AS rms FROM events
 )"""
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, time, boxes: a minute for each document, two people who sway; some seconds are empty."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"))
+    rows = docs.select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("t")).where("t % 17 != 0")
+
+    def box(x: F.Column, conf: F.Column) -> F.Column:
+        x1, x2 = (x - 100).cast("int"), (x + 100).cast("int")
+        return F.struct(
+            x1.alias("x1"), F.lit(340).alias("y1"), x2.alias("x2"), F.lit(740).alias("y2"), conf.alias("conf"), ((x2 - x1) * 400 - x % 7).cast("int").alias("area")
+        )
+
+    left, right = 480 + (F.col("t") * 37) % 50, 1440 - (F.col("t") * 23) % 50
+    weak = F.when(F.pmod(F.col("clip_id") + F.col("t"), F.lit(5)) == 0, 0.4).otherwise(0.9)
+    return rows.select("clip_id", F.col("t").cast("double").alias("time"), F.array(box(left, F.lit(0.9)), box(right, weak)).alias("boxes"))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, width, height of each document's clip."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("clip_id"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
+
+
+def mouths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, track_id, sample_idx, score: two mouths, a sample a second."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"))
+    rows = docs.select("clip_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("track_id")).select("*", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("sample_idx"))
+    return rows.withColumn("score", F.pmod(F.col("clip_id") * 7 + F.col("track_id") * 31 + F.col("sample_idx") * 13, F.lit(100)) / 100.0)
+
+
+def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, win_idx, env: loudness of each half second."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"))
+    rows = docs.select("clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(119).cast("long"))).alias("win_idx"))
+    return rows.withColumn("env", F.pmod(F.col("clip_id") * 3 + F.col("win_idx") * 17, F.lit(100)) / 100.0)
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video_id, raw: the clip candidates of a video as a model might send them, whole, fenced, behind a
+    thought, in an object, cut off, or refused."""
+    items = clips(segments(spark, sf_dir)).groupBy("video_id").agg(
+        F.array_sort(F.collect_list(F.struct("clip_ord", F.to_json(F.struct("start", "end", "title", "score_emotion", "score_hook", "score_retention", "score_personality")).alias("j")))).alias("a")
+    )
+    body = F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ", "), F.lit("]"))
+    own = items.select("video_id", body.alias("b"))
+    kind = F.pmod("video_id", F.lit(6))
+    raw = F.when(kind == 0, F.col("b")).when(kind == 1, F.concat(F.lit("```json\n"), "b", F.lit("\n```")))
+    raw = raw.when(kind == 2, F.concat(F.lit("<think>first [one] then</think>\nuser safety: safe\n"), "b"))
+    raw = raw.when(kind == 3, F.concat(F.lit('{"note": "ok", "clips": '), "b", F.lit("}")))
+    raw = raw.when(kind == 4, F.substring("b", F.lit(1), F.floor(F.length("b") * 7 / 10).cast("int"))).otherwise("I cannot help with that.")
+    return own.select("video_id", raw.alias("raw"))
+
+
+BOXES_SQL = r"""
+seconds AS (SELECT doc_id AS clip_id, unnest(range(60)) AS t FROM documents),
+boxes AS (
+    SELECT clip_id, t::DOUBLE AS time, 0 AS box_ord, 480 + (t * 37) % 50 AS cx, 0.9 AS conf, 80000 - (480 + (t * 37) % 50) % 7 AS area FROM seconds WHERE t % 17 <> 0
+    UNION ALL
+    SELECT clip_id, t::DOUBLE, 1, 1440 - (t * 23) % 50, CASE WHEN (clip_id + t) % 5 = 0 THEN 0.4 ELSE 0.9 END, 80000 - (1440 - (t * 23) % 50) % 7 FROM seconds WHERE t % 17 <> 0
+),
+largest AS (
+    SELECT clip_id, time, cx::DOUBLE AS cx FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, time ORDER BY area DESC, box_ord) AS r FROM boxes WHERE conf >= 0.5) WHERE r = 1
+)"""

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from timeweave import fixtures as fx
 from timeweave.functions import text as tx
 from timeweave.functions.stats import ranked_values
-from timeweave.operators import energy, requests, transcript
-from timeweave.sources import transcripts
+from timeweave.operators import boundaries, crops, energy, refine, requests, responses, selection, silence, subtitles, transcript
+from timeweave.sources import cache, media, transcripts
+from timeweave.sources import clips as clip_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,8 +288,8 @@ samples AS (SELECT video_id, k * 64 + generate_subscripts(embedding, 1) - 1 AS s
 )
 def a2_rms_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null")
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = vectors.select(F.col("label").cast("long").alias("video_id"), k.alias("k"), F.posexplode("embedding").alias("i", "x"))
+    vectors = vectors.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    rows = vectors.select(F.col("label").cast("long").alias("video_id"), "k", F.posexplode("embedding").alias("i", "x"))
     samples = rows.select("video_id", (F.col("k") * 64 + F.col("i")).alias("sample_idx"), (F.col("x").cast("double") * 10000).cast("long").alias("amp"))
     return energy.rms_windows(samples, 100).withColumn("rms", F.round("rms", 6))
 
@@ -379,3 +380,464 @@ def a6_a7_transcript_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f'WITH {fx.SEGMENTS_SQL} SELECT video_id, max_by("end", seg_id) AS duration FROM segments GROUP BY 1')
 def a16_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.transcript_durations(fx.segments(spark, sf_dir))
+
+
+# Selection.
+SCORED_SQL = (
+    fx.SEGMENTS_SQL
+    + ","
+    + fx.CLIPS_SQL
+    + r""",
+scored AS (SELECT *, (score_emotion * 4 + score_hook * 3 + score_retention * 2 + score_personality)::DOUBLE / 10 AS clip_score FROM clips),
+gated AS (
+    SELECT *, CASE WHEN clip_score = 0 THEN 'no_scores' WHEN "end" - start < 15 OR "end" - start > 180 THEN 'duration' WHEN clip_score < 60 THEN 'low_score' END AS reject FROM scored
+)"""
+)
+# One-dimensional suppression as a recursion over clips in order of score; taken holds what stays.
+NMS_SQL = (
+    SCORED_SQL
+    + r""",
+queue AS (
+    SELECT video_id, clip_ord, start AS s, "end" AS e, clip_score, score_emotion,
+        row_number() OVER (PARTITION BY video_id ORDER BY clip_score DESC, score_emotion DESC, clip_ord) AS i FROM gated WHERE reject IS NULL
+),
+nms AS (
+    SELECT video_id, clip_ord, i, true AS ok, [{'s': s, 'e': e}] AS taken FROM queue WHERE i = 1
+    UNION ALL
+    SELECT q.video_id, q.clip_ord, q.i, k.ok, CASE WHEN k.ok THEN list_append(n.taken, {'s': q.s, 'e': q.e}) ELSE n.taken END
+    FROM nms n JOIN queue q ON q.video_id = n.video_id AND q.i = n.i + 1,
+        LATERAL (SELECT len(n.taken) < 30 AND NOT coalesce(list_bool_or(list_transform(n.taken, lambda t:
+            greatest(0, least(q.e, t.e) - greatest(q.s, t.s)) / least(q.e - q.s, t.e - t.s) > 0.5)), false) AS ok) k
+),
+chosen AS (SELECT q.*, row_number() OVER (PARTITION BY q.video_id ORDER BY clip_score DESC, score_emotion DESC, q.clip_ord)::INTEGER AS rank
+    FROM queue q JOIN nms n USING (video_id, clip_ord) WHERE n.ok)"""
+)
+
+
+def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.clips(fx.segments(spark, sf_dir))
+
+
+@register(f'WITH {SCORED_SQL} SELECT video_id, clip_ord, clip_score, reject FROM gated')
+def p8_p9_s4_s5_clip_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.gate(selection.score_clips(_clips(spark, sf_dir))).select("video_id", "clip_ord", "clip_score", "reject")
+
+
+@register(f"WITH RECURSIVE {NMS_SQL} SELECT video_id, clip_ord, rank, clip_score FROM chosen")
+def f3_c4_select_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select_clips(_clips(spark, sf_dir)).select("video_id", "clip_ord", "rank", "clip_score")
+
+
+@register()
+def f4_merge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = selection.score_clips(_clips(spark, sf_dir)).where("reject is null")
+    return selection.merge_chunks(scored).select("video_id", "clip_ord", "start", "end", "clip_score")
+
+
+@register()
+def k9_relaxed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strict = selection.SelectRules(min_score=85.0)
+    return selection.relax_scores(_clips(spark, sf_dir), strict).select("video_id", "clip_ord", "floor", "rank", "clip_score")
+
+
+@register(
+    f"""WITH {SCORED_SQL}, r AS (SELECT video_id, clip_ord, row_number() OVER (PARTITION BY video_id ORDER BY clip_score DESC, score_emotion DESC, clip_ord)::INTEGER AS rank FROM scored)
+    SELECT * FROM r WHERE rank <= 24"""
+)
+def k1_k2_k5_w16_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = selection.rerank(selection.score_clips(_clips(spark, sf_dir)))
+    return ranked.where("rank <= 24").select("video_id", "clip_ord", "rank")
+
+
+@register(
+    f"""WITH {SCORED_SQL} SELECT a.video_id, a.clip_ord, round(greatest(0, least(a."end", b."end") - greatest(a.start, b.start)) / least(a."end" - a.start, b."end" - b.start), 6) AS overlap
+    FROM clips a JOIN clips b ON a.video_id = b.video_id AND b.clip_ord = (SELECT min(c.clip_ord) FROM clips c WHERE c.video_id = a.video_id AND c.clip_ord > a.clip_ord)"""
+)
+def s6_neighbour_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("video_id").orderBy("clip_ord")
+    own = _clips(spark, sf_dir).select("video_id", "clip_ord", "start", "end", F.lead("start").over(w).alias("s2"), F.lead("end").over(w).alias("e2"))
+    ratio = tx.overlap_ratio(F.col("start"), F.col("end"), F.col("s2"), F.col("e2"))
+    return own.where("s2 is not null").select("video_id", "clip_ord", F.round(ratio, 6).alias("overlap"))
+
+
+# Boundaries.
+@register()
+def c5_adjust_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = fx.segments(spark, sf_dir)
+    out = boundaries.adjust_boundaries(selection.select_clips(fx.clips(segs)), fx.words(segs))
+    return out.select("video_id", "clip_ord", "llm_start", "llm_end", _sec("start"), _sec("end"), "boundary_moved", "hook", "closing_line")
+
+
+NEAR_SQL = (
+    fx.WORDS_SQL
+    + ","
+    + fx.CLIPS_SQL
+    + r""",
+near AS (
+    SELECT c.video_id, c.clip_ord, c.start, c."end" AS e, w.word, w.seg_id, w.word_pos, w.w_start, w.w_end,
+        row_number() OVER (PARTITION BY c.video_id, c.clip_ord ORDER BY w.w_start, w.seg_id, w.word_pos) - 1 AS i, count(*) OVER (PARTITION BY c.video_id, c.clip_ord) AS n
+    FROM clips c JOIN words w ON w.video_id = c.video_id AND w.w_end > c.start AND w.w_start < c."end"
+)"""
+)
+_TIGHT = ", ".join(f"'{x}'" for x in boundaries.TIGHT_FILLERS)
+
+
+@register(
+    f"""WITH {NEAR_SQL},
+    d AS (SELECT *, count(*) OVER f / greatest(last(w_end) OVER f - w_start, 0.1) AS density FROM near
+        WINDOW f AS (PARTITION BY video_id, clip_ord ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+    lo AS (SELECT *, coalesce(min(i) FILTER (density >= 0.5 AND i + 3 < n) OVER (PARTITION BY video_id, clip_ord), 0) AS lo FROM d),
+    t AS (SELECT * REPLACE (i - lo AS i) FROM lo WHERE i >= lo),
+    b AS (SELECT *, count(*) OVER f / greatest(w_end - first(w_start) OVER f, 0.1) AS back FROM t
+        WINDOW f AS (PARTITION BY video_id, clip_ord ORDER BY i ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)),
+    hi AS (SELECT *, coalesce(max(i) FILTER (back >= 0.5 AND i >= 3) OVER (PARTITION BY video_id, clip_ord), max(i) OVER (PARTITION BY video_id, clip_ord)) AS hi FROM b),
+    u AS (SELECT *, coalesce(min(i) FILTER (i < 3 AND trim(lower(trim(word)), '.,!?;:') NOT IN ({_TIGHT})) OVER (PARTITION BY video_id, clip_ord), 0) AS f FROM hi WHERE i <= hi),
+    g AS (SELECT video_id, clip_ord, any_value(start) AS s, any_value(e) AS e, min_by(w_start, i) - 0.15 AS a, max_by(w_end, i) + 0.5 AS b FROM u WHERE i >= f GROUP BY ALL),
+    r AS (SELECT video_id, clip_ord, s, e, greatest(s, a) AS a, least(e, b) AS b FROM g)
+    SELECT c.video_id, c.clip_ord, coalesce(b - a >= 5.0, false) AS tightened, round(CASE WHEN b - a >= 5.0 THEN a ELSE c.start END, 6) AS start,
+        round(CASE WHEN b - a >= 5.0 THEN b ELSE c."end" END, 6) AS "end" FROM clips c LEFT JOIN r USING (video_id, clip_ord)"""
+)
+def c6_w7_w8_w9_tighten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = fx.segments(spark, sf_dir)
+    return boundaries.tighten(fx.clips(segs), fx.words(segs)).select("video_id", "clip_ord", "tightened", _sec("start"), _sec("end"))
+
+
+_BAD = ", ".join(f"'{x}'" for x in boundaries.BAD_ENDS)
+_GOOD = ", ".join(f"'{x}'" for x in boundaries.GOOD_ENDS)
+
+
+@register(
+    f"""WITH {fx.WORDS_SQL}, g AS (SELECT *, lead(w_start) OVER (PARTITION BY video_id ORDER BY w_start, seg_id, word_pos) - w_end AS gap, right(word, 1) AS mark, trim(lower(word), '.,!?;:') AS norm FROM words)
+    SELECT video_id, seg_id, word_pos, coalesce(gap >= 0.6, false) OR mark IN ('.', '?', '!', '。', '؟') AS is_break,
+    CASE WHEN gap >= 1.2 THEN 30 WHEN gap >= 0.8 THEN 22 WHEN gap >= 0.5 THEN 14 WHEN gap >= 0.3 THEN 8 ELSE 0 END + CASE WHEN norm IN ({_BAD}) THEN 0 ELSE 25 END
+    + CASE WHEN norm IN ({_GOOD}) THEN 20 ELSE 0 END + CASE WHEN mark IN ('.', '?', '!', '。') THEN 20 ELSE 0 END + CASE WHEN mark IN ('?', '!') THEN 10 ELSE 0 END AS score FROM g"""
+)
+def w10_w11_ending_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = fx.words(fx.segments(spark, sf_dir))
+    w = Window.partitionBy("video_id").orderBy("w_start", "seg_id", "word_pos")
+    own = words.withColumn("gap", F.lead("w_start").over(w) - F.col("w_end"))
+    is_break = F.coalesce(F.col("gap") >= 0.6, F.lit(False)) | F.substring("word", -1, 1).isin(*tx.SENTENCE_ENDS)
+    return own.select("video_id", "seg_id", "word_pos", is_break.alias("is_break"), boundaries.ending_score(F.col("word"), F.coalesce("gap", F.lit(0.0))).alias("score"))
+
+
+@register(f"WITH {NEAR_SQL} SELECT video_id, clip_ord, seg_id, word_pos, w_start, w_end FROM near")
+def j3_j4_words_of_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = fx.segments(spark, sf_dir)
+    near = boundaries.near_words(fx.clips(segs), fx.words(segs), 0.0, 0.0).select("video_id", "clip_ord", F.explode("ws").alias("w"))
+    return near.select("video_id", "clip_ord", "w.seg_id", "w.word_pos", F.col("w.s").alias("w_start"), F.col("w.e").alias("w_end"))
+
+
+@register()
+def j19_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words of each clip's last line, one of them altered, sought in the clip."""
+    segs = fx.segments(spark, sf_dir)
+    near = boundaries.near_words(fx.clips(segs), fx.words(segs), 0.0, 0.0)
+    three = F.slice(tx.tokens(F.lower("closing_line")), 2, 3)
+    query = F.array_join(F.transform(three, lambda x, i: F.when(i == 1, F.concat(x, F.lit("x"))).otherwise(x)), " ")
+    found = boundaries.find_phrase(near.withColumn("query", query), "ws", "query", "hit")
+    first = F.get("hit", F.lit(0))
+    return found.select("video_id", "clip_ord", "query", first["seg_id"].alias("seg_id"), first["word_pos"].alias("word_pos"))
+
+
+# Subtitles and silence.
+CLIP_WORDS_SQL = (
+    NEAR_SQL
+    + r""",
+chosen_clips AS (SELECT * FROM clips WHERE clip_ord % 3 = 0),
+clip_words AS (
+    SELECT c.video_id, c.clip_ord, row_number() OVER (PARTITION BY c.video_id, c.clip_ord ORDER BY w.w_start, w.seg_id, w.word_pos) - 1 AS n, trim(w.word) AS word,
+        greatest(0, w.w_start - c.start) AS start, greatest(0, w.w_end - c.start) AS "end"
+    FROM clips c JOIN words w ON w.video_id = c.video_id AND (w.w_start + w.w_end) / 2 >= c.start AND (w.w_start + w.w_end) / 2 <= c."end" AND w.seg_end >= c.start AND w.seg_start <= c."end"
+),
+phrases AS (
+    SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY clip_ord, phrase_no) - 1 AS phrase_id FROM (
+        SELECT video_id, clip_ord, n // 5 AS phrase_no, string_agg(word, ' ' ORDER BY n) AS text, min_by(start, n) AS start, max_by("end", n) AS "end", count(*) AS n_words FROM clip_words GROUP BY ALL)
+)"""
+)
+
+
+def _clip_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = fx.segments(spark, sf_dir)
+    return subtitles.clip_words(fx.clips(segs), fx.words(segs))
+
+
+def _translations(phrases: DataFrame) -> DataFrame:
+    """Phrases in capitals; every eleventh is missing and every thirteenth useless, as a model's are."""
+    text = F.when(F.pmod("phrase_id", F.lit(13)) == 0, F.concat(F.lit("<unk> <unk> "), F.upper("text"))).otherwise(F.upper("text"))
+    return phrases.where(F.pmod("phrase_id", F.lit(11)) != 0).select("video_id", "phrase_id", text.alias("text"))
+
+
+@register(f'WITH {CLIP_WORDS_SQL} SELECT video_id, clip_ord, n, word, round(start, 6) AS start, round("end", 6) AS "end" FROM clip_words')
+def j5_clip_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clip_words(spark, sf_dir).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
+
+
+@register(
+    f"""WITH {CLIP_WORDS_SQL} SELECT video_id, clip_ord, phrase_no, phrase_id, phrase_id // 80 AS batch, text, round(start, 6) AS start, round("end", 6) AS "end", n_words FROM phrases"""
+)
+def a5_w17_w18_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subtitles.phrases(_clip_words(spark, sf_dir)).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
+
+
+@register(f"WITH {CLIP_WORDS_SQL} SELECT video_id, phrase_id FROM phrases WHERE phrase_id % 11 = 0 OR (phrase_id % 13 = 0 AND 2.0 / (n_words + 2) > 0.2) OR (phrase_id % 13 <> 0 AND length(text) < 2)")
+def p15_j10_u5_missing_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = subtitles.phrases(_clip_words(spark, sf_dir))
+    return subtitles.missing_translations(phrases, _translations(phrases)).select("video_id", "phrase_id")
+
+
+@register()
+def c8_f9_j9_j17_translated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _clip_words(spark, sf_dir)
+    phrases = subtitles.phrases(words)
+    out = subtitles.translated_words(words, phrases, _translations(phrases))
+    return out.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
+
+
+@register()
+def c9_f5_w15_subtitle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = subtitles.dialogue(subtitles.subtitle_lines(_clip_words(spark, sf_dir)))
+    return out.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
+
+
+SILENCE_SQL = (
+    CLIP_WORDS_SQL
+    + r""",
+broken AS (SELECT *, CASE WHEN start - lag("end") OVER w <= 1.5 THEN 0 ELSE 1 END AS fresh FROM clip_words WINDOW w AS (PARTITION BY video_id, clip_ord ORDER BY start, n)),
+spoken AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id, clip_ord ORDER BY start, n) AS island FROM broken),
+runs AS (SELECT video_id, clip_ord, island, min_by(start, n) AS s, max_by("end", n) AS e FROM spoken GROUP BY ALL),
+keep AS (
+    SELECT c.video_id, c.clip_ord, coalesce(r.island, 1) AS region_id, CASE WHEN r.island IS NULL THEN 0 ELSE greatest(0, r.s - 0.2::DOUBLE) END AS start,
+        CASE WHEN r.island IS NULL THEN c."end" - c.start ELSE least(r.e + 0.2::DOUBLE, c."end" - c.start) END AS "end", c."end" - c.start AS duration
+    FROM clips c LEFT JOIN runs r USING (video_id, clip_ord)
+)"""
+)
+
+
+def _keep(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    segs = fx.segments(spark, sf_dir)
+    clips = fx.clips(segs).withColumn("duration", F.col("end") - F.col("start"))
+    words = subtitles.clip_words(clips, fx.words(segs))
+    return silence.keep_regions(words, clips), clips, words
+
+
+@register(
+    f"""WITH {SILENCE_SQL} SELECT video_id, clip_ord, CAST(region_id AS BIGINT) AS region_id, round(start, 6) AS start, round("end", 6) AS "end",
+    round(coalesce(sum("end" - start) OVER (PARTITION BY video_id, clip_ord ORDER BY region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS new_start FROM keep"""
+)
+def w5_w14_keep_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keep(spark, sf_dir)[0].withColumns({c: F.round(c, 6) for c in ("start", "end", "new_start")})
+
+
+@register(
+    f"""WITH {SILENCE_SQL} SELECT video_id, clip_ord, count(*) AS n_regions, round(sum("end" - start), 6) AS kept, round(any_value(duration) - sum("end" - start), 6) AS saved FROM keep GROUP BY ALL"""
+)
+def a8_kept_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions, clips, _ = _keep(spark, sf_dir)
+    return silence.kept_time(regions, clips).withColumns({c: F.round(c, 6) for c in ("kept", "saved")})
+
+
+@register(
+    f"""WITH {SILENCE_SQL}, ok AS (SELECT video_id, clip_ord FROM keep GROUP BY ALL HAVING any_value(duration) - sum("end" - start) >= 2 AND sum("end" - start) >= 5 AND count(*) > 1),
+    placed_regions AS (SELECT *, coalesce(sum("end" - start) OVER (PARTITION BY video_id, clip_ord ORDER BY region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new_start
+        FROM keep SEMI JOIN ok USING (video_id, clip_ord)),
+    hit AS (SELECT w.video_id, w.clip_ord, w.n, w.word, w.start, w."end", r.start AS rs, r.new_start, row_number() OVER (PARTITION BY w.video_id, w.clip_ord, w.n ORDER BY r.region_id) AS k
+        FROM clip_words w JOIN placed_regions r ON r.video_id = w.video_id AND r.clip_ord = w.clip_ord AND (w.start + w."end") / 2 >= r.start AND (w.start + w."end") / 2 <= r."end")
+    SELECT video_id, clip_ord, n, word, round(greatest(0, start + new_start - rs), 4) AS start, round(greatest(0, "end" + new_start - rs), 4) AS "end" FROM hit WHERE k = 1"""
+)
+def c10_p16_j8_retimed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions, clips, words = _keep(spark, sf_dir)
+    return silence.retime_words(words, silence.worth_cutting(regions, clips)).withColumns({c: F.round(c, 4) for c in ("start", "end")})
+
+
+# Crops.
+@register(
+    f"""WITH {fx.BOXES_SQL}, l AS (SELECT clip_id, time, count(*)::INTEGER AS n, any_value(cx) FILTER (r = 1) AS cx FROM
+    (SELECT *, row_number() OVER (PARTITION BY clip_id, time ORDER BY area DESC, box_ord) AS r FROM boxes WHERE conf >= 0.5) GROUP BY ALL) SELECT clip_id, time, n, cx::DOUBLE AS cx FROM l"""
+)
+def p12_k3_confident_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = F.get("boxes", F.lit(0))
+    own = crops.confident(fx.detections(spark, sf_dir))
+    return own.select("clip_id", "time", F.size("boxes").alias("n"), ((big["x1"] + big["x2"]) / 2.0).alias("cx"))
+
+
+@register(
+    f"""WITH {fx.BOXES_SQL}, s AS (SELECT clip_id, avg(cx) OVER (PARTITION BY clip_id ORDER BY time ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sx FROM largest),
+    m AS (SELECT clip_id, list_sort(list(sx))[len(list(sx)) // 2 + 1] AS mx FROM s GROUP BY 1)
+    SELECT clip_id, CAST(greatest(0, least(trunc(mx - 303.0), 1920 - 606)) AS INTEGER) AS x, 0 AS y, 606 AS w, 1080 AS h FROM m"""
+)
+def a13_w6_static_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crops.static_crop(crops.confident(fx.detections(spark, sf_dir)), fx.frames(spark, sf_dir))
+
+
+# The exponential pan as a recursion over a clip's segments of three seconds.
+@register(
+    f"""WITH RECURSIVE {fx.BOXES_SQL}, grouped AS (SELECT clip_id, CAST(floor(time / 3) AS BIGINT) AS seg, list_sort(list(cx)) AS v FROM largest GROUP BY ALL),
+    spans AS (SELECT clip_id, unnest(range(0, CAST(floor(max(time) / 3) AS BIGINT) + 1)) AS seg FROM largest GROUP BY 1),
+    mids AS (SELECT s.clip_id, s.seg, v[len(v) // 2 + 1] AS mx FROM spans s LEFT JOIN grouped g ON g.clip_id = s.clip_id AND g.seg = s.seg),
+    pan AS (
+        SELECT clip_id, seg, CASE WHEN mx IS NULL THEN 960::DOUBLE ELSE 960::DOUBLE * 0.3::DOUBLE + mx * 0.7::DOUBLE END AS cx FROM mids WHERE seg = 0
+        UNION ALL
+        SELECT m.clip_id, m.seg, CASE WHEN m.mx IS NULL THEN p.cx ELSE p.cx * 0.3::DOUBLE + m.mx * 0.7::DOUBLE END FROM pan p JOIN mids m ON m.clip_id = p.clip_id AND m.seg = p.seg + 1
+    )
+    SELECT clip_id, seg * 3::DOUBLE AS time, CAST(greatest(0, least(trunc(cx - 303), 1314)) AS INTEGER) AS x, 606 AS w FROM pan"""
+)
+def f7_a12_dynamic_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crops.dynamic_crops(crops.confident(fx.detections(spark, sf_dir)), fx.frames(spark, sf_dir)).select("clip_id", "time", "x", "w")
+
+
+@register()
+def f6_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crops.assign_tracks(crops.confident(fx.detections(spark, sf_dir)), stale=3.0)
+
+
+SPEAKER_SQL = r"""
+mouth AS (SELECT doc_id AS clip_id, k AS track_id, unnest(range(60)) AS i FROM documents, (VALUES (0), (1)) v(k)),
+signal AS (SELECT clip_id, track_id, i, CAST((clip_id * 7 + track_id * 31 + i * 13) % 100 AS DOUBLE) / 100 AS score FROM mouth),
+grid AS (SELECT doc_id AS clip_id, k AS track_id, unnest(range(120)) AS win_idx FROM documents, (VALUES (0), (1)) v(k)),
+placed AS (SELECT *, CAST(win_idx * 59 AS DOUBLE) / 119 AS x FROM grid),
+spread AS (
+    SELECT p.clip_id, p.track_id, p.win_idx, a.score + (b.score - a.score) * (p.x - floor(p.x)) AS v FROM placed p
+    JOIN signal a ON a.clip_id = p.clip_id AND a.track_id = p.track_id AND a.i = floor(p.x)
+    JOIN signal b ON b.clip_id = p.clip_id AND b.track_id = p.track_id AND b.i = least(floor(p.x) + 1, 59)
+),
+scaled AS (SELECT *, CASE WHEN max(v) OVER w > 0 THEN v / max(v) OVER w ELSE v END AS value FROM spread WINDOW w AS (PARTITION BY clip_id, track_id)),
+loud AS (SELECT clip_id, track_id, win_idx, value, CAST((clip_id * 3 + win_idx * 17) % 100 AS DOUBLE) / 100 AS env FROM scaled),
+speaking AS (
+    SELECT clip_id, win_idx, CASE WHEN any_value(env) < 0.04 THEN -1 ELSE arg_max(track_id, {'c': value * env, 't': -track_id}) END::INTEGER AS track_id FROM loud GROUP BY ALL
+)"""
+
+
+@register(f"WITH {SPEAKER_SQL} SELECT clip_id, track_id, win_idx, round(value, 6) AS value FROM scaled")
+def w20_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = fx.frames(spark, sf_dir).select("clip_id", F.lit(120).cast("long").alias("n"))
+    return crops.resample(fx.mouths(spark, sf_dir), windows).withColumn("value", F.round("value", 6))
+
+
+def _speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = fx.frames(spark, sf_dir).select("clip_id", F.lit(120).cast("long").alias("n"))
+    return crops.active_speaker(crops.resample(fx.mouths(spark, sf_dir), windows), fx.envelope(spark, sf_dir))
+
+
+@register(f"WITH {SPEAKER_SQL} SELECT * FROM speaking")
+def f10_j21_active_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _speakers(spark, sf_dir)
+
+
+@register(
+    f"""WITH {SPEAKER_SQL}, segs AS (SELECT doc_id AS clip_id, unnest(range(60)) AS seg FROM documents),
+    votes AS (SELECT s.clip_id, s.seg, p.track_id, count(*) AS n, min(p.win_idx) AS first FROM segs s JOIN speaking p ON p.clip_id = s.clip_id AND p.win_idx BETWEEN s.seg * 2 AND s.seg * 2 + 2
+        WHERE p.track_id >= 0 GROUP BY ALL),
+    won AS (SELECT clip_id, seg, track_id FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, seg ORDER BY n DESC, first) AS r FROM votes) WHERE r = 1)
+    SELECT s.clip_id, s.seg, coalesce(last_value(w.track_id IGNORE NULLS) OVER (PARTITION BY s.clip_id ORDER BY s.seg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1)::INTEGER AS track_id
+    FROM segs s LEFT JOIN won w USING (clip_id, seg)"""
+)
+def a10_w21_segment_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = fx.frames(spark, sf_dir).select("clip_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))).alias("seg"))
+    return crops.segment_speakers(_speakers(spark, sf_dir), segs)
+
+
+def _speaker_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks = crops.assign_tracks(crops.confident(fx.detections(spark, sf_dir)), stale=3.0)
+    return crops.speaker_crops(tracks, _speakers(spark, sf_dir), fx.frames(spark, sf_dir))
+
+
+@register()
+def c12_f8_speaker_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _speaker_crops(spark, sf_dir)
+
+
+@register()
+def j22_w22_crop_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crop at each quarter second: keyframes joined as of the query's time."""
+    times = fx.frames(spark, sf_dir).select("clip_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(239)), lambda i: i / 4.0)).alias("t"))
+    out = crops.crop_at(crops.keyframe_spans(_speaker_crops(spark, sf_dir)), times)
+    return out.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
+# Model replies, rewrites, caches.
+@register()
+def l1_parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = responses.parse_responses(fx.responses(spark, sf_dir), ["video_id"])
+    return parsed.select("video_id", "status", F.size("items").alias("n_items"))
+
+
+@register()
+def l1_c4_clips_from_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = responses.parse_responses(fx.responses(spark, sf_dir), ["video_id"])
+    raw = responses.clip_items(parsed, ["video_id"]).withColumnRenamed("item_ord", "clip_ord").drop("extra")
+    return selection.select_clips(raw).select("video_id", "clip_ord", "rank", "start", "end", "clip_score", "title")
+
+
+@register()
+def l2_retry_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fx.responses(spark, sf_dir).withColumn("raw", F.when(F.pmod("video_id", F.lit(12)) == 4, F.concat(F.lit("{"), F.substring("raw", 2, 20))).otherwise(F.col("raw")))
+    return responses.retry_requests(responses.parse_responses(raw, ["video_id"]), raw, ["video_id"])
+
+
+REFINED_SQL = (
+    SCORED_SQL
+    + r""",
+old AS (SELECT video_id, clip_ord AS clip_id, 'Clip ' || clip_ord AS title, row_number() OVER (PARTITION BY video_id ORDER BY clip_score DESC, score_emotion DESC, clip_ord) AS rank, clip_score FROM scored),
+new AS (SELECT video_id, clip_id + CASE WHEN clip_id % 7 = 0 THEN 10000 ELSE 0 END AS clip_id, CASE WHEN clip_id % 3 = 0 THEN ' ' ELSE upper(title) END AS title FROM old WHERE clip_id % 5 <> 0)"""
+)
+
+
+@register(
+    f"""WITH {REFINED_SQL}, j AS (SELECT coalesce(o.video_id, n.video_id) AS video_id, coalesce(o.clip_id, n.clip_id) AS clip_id, coalesce(nullif(trim(n.title), ''), o.title) AS title,
+    o.rank, o.clip_score FROM old o FULL JOIN new n ON o.video_id = n.video_id AND o.clip_id = n.clip_id)
+    SELECT video_id, clip_id, title, row_number() OVER (PARTITION BY video_id ORDER BY clip_score DESC NULLS LAST, rank NULLS LAST, clip_id)::INTEGER AS rank FROM j"""
+)
+def j11_u2_merge_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = selection.rerank(selection.score_clips(_clips(spark, sf_dir))).withColumnRenamed("clip_ord", "clip_id")
+    old = old.select("video_id", F.col("clip_id").cast("long").alias("clip_id"), "title", "rank", "clip_score")
+    title = F.when(F.col("clip_id") % 3 == 0, " ").otherwise(F.upper("title"))
+    moved = F.col("clip_id") + F.when(F.col("clip_id") % 7 == 0, 10000).otherwise(0)
+    new = old.where("clip_id % 5 != 0").select("video_id", moved.alias("clip_id"), title.alias("title"))
+    return refine.merge_refined(old, new, ("title",)).select("video_id", "clip_id", "title", "rank")
+
+
+@register(
+    f"""WITH {fx.SEGMENTS_SQL} SELECT DISTINCT video_id, CASE WHEN video_id % 3 = 0 THEN 'missing' WHEN video_id % 3 = 1 THEN 'fresh' ELSE 'stale' END AS state FROM segments"""
+)
+def src9_src10_c13_cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos = fx.segments(spark, sf_dir).select("video_id").distinct()
+    params = videos.select("video_id", F.explode(F.array(*(F.lit(s) for s in cache.STEPS))).alias("step")).withColumn("param", F.lit("v1"))
+    changed = params.withColumn("param", F.when((F.col("step") == "transcribe") & (F.col("video_id") % 3 == 2), "v0").otherwise(F.col("param")))
+    held = cache.chain_signatures(changed.where("video_id % 3 != 0")).withColumn("payload", F.lit("{}"))
+    wanted = cache.chain_signatures(params).where("step = 'build'")
+    return cache.status(wanted, held).select("video_id", "state")
+
+
+@register(
+    r"""SELECT conv_id, CAST(turn AS BIGINT) AS line_no, 'INFO' AS level, trim(regexp_replace(coalesce(text, ''), '[\x1b]\[[0-9;]*m', '', 'g')) AS message FROM (SELECT *, row_number() OVER
+    (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2 AND text IS NOT NULL"""
+)
+def k6_s27_recent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("line_no"), F.col("text").alias("line"))
+    out = media.recent_lines(logs, 2).where("line is not null")
+    return out.select(F.col("job_id").alias("conv_id"), "line_no", "level", "message")
+
+
+@register(
+    f"""WITH {fx.SEGMENTS_SQL}, {fx.CLIPS_SQL} SELECT video_id, clip_ord, round(greatest(0, start - 0.35), 6) AS cut_start, round("end" + 0.35, 6) AS cut_end FROM clips"""
+)
+def s30_cut_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clip_files.cut_list(_clips(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("cut_start", "cut_end")})
+
+
+@register(
+    f"""WITH {fx.SEGMENTS_SQL} SELECT video_id, 0 AS clip_ord, least(greatest(min_by(start, seg_id), 0), max_by("end", seg_id)) AS start, max_by("end", seg_id) AS "end", 100.0::DOUBLE AS clip_score FROM segments GROUP BY 1"""
+)
+def s29_full_video_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = fx.segments(spark, sf_dir)
+    return clip_files.full_video_clips(transcripts.transcript_durations(segs), segs).select("video_id", "clip_ord", "start", "end", "clip_score")
+
+
+@register(
+    r"""SELECT doc_id, CASE WHEN lang = 'en' AND doc_id % 10 / 10.0 > 0.6 THEN false ELSE true END AS translate, CASE WHEN lang = 'en' THEN CASE WHEN doc_id % 10 / 10.0 > 0.6 THEN 'improve' ELSE 'refine_to_english' END
+    ELSE 'refine_to_english' END AS prompt FROM documents"""
+)
+def p14_s15_s18_prompt_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    p = F.col("doc_id") % 10 / 10.0
+    return docs.select("doc_id", refine.should_translate(F.col("lang"), p).alias("translate"), refine.refine_prompt_key(F.lit("EN"), F.col("lang"), p).alias("prompt"))
