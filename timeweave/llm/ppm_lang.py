@@ -260,11 +260,11 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(marked, model, ["doc_id", "held_out"])
 
 
-def reject_unknown(docs: DataFrame, most_bits: float = 7.5) -> DataFrame:
+def reject_unknown(docs: DataFrame, most_bits: float = 8.0) -> DataFrame:
     """Pipeline stage: documents without a recognisable language go, the others stay unchanged.
 
     Rejected are texts with no letter (null and empty ones included) and texts that the best language
-    codes with more than ``most_bits`` bits a byte, which is hardly better than no model at all.
+    codes with more than ``most_bits`` bits a byte, which is worse than no model at all.
     """
     training = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     scored = predict(docs, train(training), docs.columns)
