@@ -108,8 +108,10 @@ def fit(grades: np.ndarray, rows: list[np.ndarray], steps: int = 250, rate: floa
     return Ordinal(weights, x[w] + np.concatenate(([0.0], np.cumsum(np.exp(x[w + 1 :])))))
 
 
-def train(rated: DataFrame, max_train: int = MAX_TRAIN) -> Ordinal:
-    """A model of rated rows (doc_id, text, grade); rows with a null text or grade are left out."""
+def train(docs: DataFrame, ratings: DataFrame, max_train: int = MAX_TRAIN) -> Ordinal:
+    """A model of docs (doc_id, text) with ratings (doc_id, grade). The ratings are chosen before any text is
+    read: the ``max_train`` smallest by hash of doc_id, so the table that is broadcast to the texts is
+    bounded by that parameter. Rows with a null text, grade or doc_id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,10 +119,9 @@ def train(rated: DataFrame, max_train: int = MAX_TRAIN) -> Ordinal:
             ids = [features(w, data[offs[k] : offs[k + 1]]) for k, w, _, _ in documents_words(batch.column(0), PUNCTUATION)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["grade", "ids"])
 
-    usable = rated.where("text is not null and grade is not null")
-    chosen = usable.select("doc_id", "grade", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "grade").limit(max_train)
-    chosen = chosen.select("doc_id", "grade").distinct()
-    rows = usable.select("doc_id", "text").join(chosen, "doc_id").select("text", F.col("grade").cast("int"))
+    rated = ratings.where("doc_id is not null and grade is not null").select("doc_id", F.col("grade").cast("int"))
+    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_train)
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
     got = rows.mapInArrow(run, "grade int, ids array<int>").toArrow()
     lists = got["ids"].combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -168,8 +169,7 @@ def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Da
     at least ``least``. Ratings of held-out documents are not used. Several ratings of a document each
     count. Without ratings every document has the same probabilities. Extra columns are ignored.
     """
-    rated = docs.join(graded(labels), "doc_id").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "grade")
-    model = train(rated)
+    model = train(docs, graded(labels).where(~held_out(F.col("doc_id"))))
     marked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     out = score(marked, model, ["doc_id", "held_out"])
     p_good = F.coalesce(F.try_element_at("tails", F.lit(2)), F.lit(0.0))
