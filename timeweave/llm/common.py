@@ -34,7 +34,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        held, path = _PATHS.pop(id(table), (None, None))
+        if held is table and path:
+            delete_path(table.sparkSession, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

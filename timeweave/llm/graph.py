@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import materialize
+from timeweave.llm.common import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = materialize(now, "cc"), None
     for _ in range(MAX_ROUNDS):
-        now = materialize(_star(_star(now, True), False), "cc")
+        now, old = materialize(_star(_star(now, True), False), "cc"), now
+        discard(old)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import materialize
+from timeweave.llm.common import discard, materialize
 from timeweave.llm.graph import components
 from timeweave.llm.textkernel import documents_words, mix, shingle_hashes
 
@@ -174,10 +174,14 @@ def near_duplicates(
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = materialize(classes, "classes")
+    marks, full = materialize(marks.drop("bands"), "marks"), marks
+    discard(full)
 
     rows_of = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = rows_of.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialize(rows_of.join(shared, "key"), "buckets")
+    classes, full = materialize(classes.drop("bands"), "classes"), classes
+    discard(full)
     wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi")
     wanted = wanted.select("node", "set_key", F.col("first_id").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("node", "doc_id"), "doc_id")
@@ -187,6 +191,7 @@ def near_duplicates(
     # The hub of a bucket is the class that meets the most others in all its buckets.
     met = buckets.groupBy("node").agg(F.sum("size").alias("met"))
     members = materialize(buckets.drop("size").join(met, "node"), "members")
+    discard(buckets)
     centre = F.struct(-F.col("met"), F.xxhash64("node"))
     hubs = members.groupBy("key").agg(F.min(F.struct(centre, "node", "n")).alias("h"))
     hubs = hubs.select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
@@ -204,11 +209,16 @@ def near_duplicates(
     links = materialize(_confirmed(stars, sets, percent), "links")
     groups = components(links)
     missed = materialize(_leaf_pairs(members, hubs, groups, sets, percent).join(stars, ["a", "b"], "left_anti"), "missed")
-    groups = components(materialize(links.union(_confirmed(missed, sets, percent)), "links"))
+    both = materialize(links.union(_confirmed(missed, sets, percent)), "links")
+    discard(members, stars, sets, missed, links)
+    groups = components(both)
+    discard(both)
 
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_set = named.join(smallest, "component").select("set_key", F.col("component_id").alias("_c"))
+    by_set = materialize(by_set, "components")
+    discard(classes)
     out = marks.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select(
