@@ -42,7 +42,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training mix: a row a slot, with its block of text and the documents it is made of."""
-    return mixing.mixed_blocks(mixing.mix_plan(docs, with_text=True))
+    return mixing.mixed_blocks(mixing.mix_plan(docs), docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

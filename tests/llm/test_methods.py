@@ -343,7 +343,7 @@ def test_mix_contract(spark):
 @docs_table
 def test_mixed_blocks_hold_the_words_of_their_documents(spark):
     docs = documents(spark)
-    blocks = mixing.mixed_blocks(mixing.mix_plan(docs, with_text=True)).collect()
+    blocks = mixing.mixed_blocks(mixing.mix_plan(docs), docs).collect()
     text = {r["doc_id"]: " ".join((r["text"] or "").split()) for r in docs.collect()}
     assert all(len(b["text"].split()) == b["n_words"] <= mixing.BLOCK for b in blocks)
     assert all(b["text"] in " ".join(text[d] for d in b["doc_ids"]) for b in blocks[:300])

@@ -51,7 +51,7 @@ def run(spark, docs, name):
         "simhash": simhash.compare_edited,
         "minhash": minhash.near_duplicates,
         "mix": lambda d: mixing.document_shares(mixing.mix_plan(d)),
-        "blocks": lambda d: mixing.mixed_blocks(mixing.mix_plan(d, with_text=True)),
+        "blocks": lambda d: mixing.mixed_blocks(mixing.mix_plan(d), d),
         "ppm": ppm_lang.identify,
         "reject": ppm_lang.reject_unknown,
     }[name](docs)

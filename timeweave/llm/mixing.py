@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import materialize, words_array
+from timeweave.llm.common import materialize
 from timeweave.llm.textkernel import _SPACE, PIECE, column_bytes, mix
 
 WEIGHTS = (5, 2, 1)
@@ -52,18 +52,27 @@ def word_sizes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def sized(docs: DataFrame, with_text: bool) -> DataFrame:
-    """doc_id, source, size (words; null text: 0), and the text if asked for."""
-    names = ["doc_id", "source", "text"]
-    schema = "doc_id long, source string, " + ("text string, " if with_text else "") + "size long"
+KEY = ["_id", "_null_id", "_digest"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with KEY, by which rows equal in doc_id and text are alike."""
+    own = F.col("doc_id").cast("long")
+    return docs.select(
+        own.alias("doc_id"), "source", "text", F.coalesce(own, F.lit(-1)).alias("_id"), own.isNull().alias("_null_id"), F.xxhash64("text").alias("_digest")
+    )
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, KEY and size (words; null text: 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pa.array(word_sizes(*column_bytes(batch.column(2))), pa.int64())
-            kept = batch.columns[: 3 if with_text else 2]
-            yield pa.RecordBatch.from_arrays([*kept, size], [*names[: len(kept)], "size"])
+            size = pa.array(word_sizes(*column_bytes(batch.column(5))), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], size], ["doc_id", "source", *KEY, "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(run, schema)
+    schema = "doc_id long, source string, _id long, _null_id boolean, _digest long, size long"
+    return _keyed(docs).select("doc_id", "source", *KEY, "text").mapInArrow(run, schema)
 
 
 def water_fill(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -116,7 +125,7 @@ def shard_counts(expected: np.ndarray, slots: int, seed: int, shard: int) -> np.
 @dataclass
 class Mix:
     """sources: idx, source, source_size, target, blocks. documents: one row a document with idx, its
-    first word's offset in the source, size and text if carried. slots: shard, slot, idx, block, epoch."""
+    first word's offset in the source, size, and KEY. slots: shard, slot, idx, block, epoch."""
 
     sources: DataFrame
     documents: DataFrame
@@ -126,7 +135,6 @@ class Mix:
 
 def mix_plan(
     docs: DataFrame,
-    with_text: bool = False,
     weights: tuple[float, ...] = WEIGHTS,
     share: float = 1.5,
     most: int = 2,
@@ -142,7 +150,7 @@ def mix_plan(
     not depend on partitions but for rows equal in all of these. An empty table gives an empty plan.
     """
     spark = docs.sparkSession
-    measured = materialize(sized(docs, with_text).withColumn("_row", F.monotonically_increasing_id()), "sized")
+    measured = materialize(sized(docs).withColumn("_row", F.monotonically_increasing_id()), "sized")
     totals = measured.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     found = [(r["source"], int(r["size"]), int(r["n"])) for r in totals.limit(MAX_SOURCES + 1).toLocalIterator()]
     if len(found) > MAX_SOURCES:
@@ -191,7 +199,7 @@ def mix_plan(
                 ["shard", "idx", "n", "first"],
             )
 
-    parts = max(1, min(n_shards, 1 + n_shards // 64))
+    parts = max(1, min(n_shards, 1 + n_shards // 64))  # about 64 shards a task: its rows grow by the slot
     drawn = spark.range(0, n_shards, 1, parts).mapInArrow(draw, "shard long, idx int, n long, first long")
     group = drawn.withColumn("_g", F.floor(F.col("shard") / 4096))
     within = Window.partitionBy("idx", "_g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -223,7 +231,8 @@ def mix_plan(
                     ["shard", "slot", "idx", "block", "epoch"],
                 )
 
-    slots = runs.select("shard", "idx", "n", "first", "ordinal", "blocks").mapInArrow(
+    runs = runs.select("shard", "idx", "n", "first", "ordinal", "blocks").repartition(parts, "shard")
+    slots = runs.mapInArrow(
         deal, "shard long, slot int, idx int, block long, epoch int"
     )
     return Mix(sources, documents, slots, block)
@@ -249,13 +258,32 @@ def document_shares(plan: Mix) -> DataFrame:
     return kept.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_blocks(plan: Mix) -> DataFrame:
+def mixed_blocks(plan: Mix, docs: DataFrame) -> DataFrame:
     """The mix itself: shard, slot, source, block, epoch, n_words, doc_ids and text of every slot.
 
-    Needs a plan made with_text. A block's words are joined by single blanks; at most ``block`` words
-    meet in a row."""
-    part = pieces(plan).withColumn("_w", F.slice(words_array(F.col("text")), F.col("from_word").cast("int") + 1, F.col("n_words").cast("int")))
-    part = part.select("idx", "block", F.struct("offset", "_row", "doc_id", "n_words", F.array_join("_w", " ").alias("text")).alias("p"))
+    ``docs`` is the table of the plan. Texts meet their offsets by doc_id and digest, copies of a row one
+    to one. A block's words are joined by single blanks; at most ``block`` words meet in a row."""
+    copy = F.row_number().over(Window.partitionBy(*KEY).orderBy("_digest"))
+    texts = _keyed(docs).select("text", *KEY).withColumn("_k", copy)
+    rows = plan.documents.withColumn("_k", F.row_number().over(Window.partitionBy(*KEY).orderBy("_row")))
+    size, schema = plan.block, "idx int, block long, offset long, _row long, doc_id long, n_words long, text string"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for idx, offset, row, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                words, at = (text or "").encode().split(), 0
+                while at < len(words):
+                    block = (offset + at) // size
+                    to = min(len(words), at + (block + 1) * size - (offset + at))
+                    out.append((idx, block, offset, row, doc_id, to - at, b" ".join(words[at:to]).decode()))
+                    at = to
+            columns = list(zip(*out)) if out else [()] * 7
+            types = [pa.int32(), *[pa.int64()] * 5, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in schema.split(", ")])
+
+    placed = rows.where("size > 0").join(texts, [*KEY, "_k"]).select("idx", "offset", "_row", "doc_id", "text")
+    part = placed.mapInArrow(cut, schema).select("idx", "block", F.struct("offset", "_row", "doc_id", "n_words", "text").alias("p"))
     packed = part.groupBy("idx", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
     packed = packed.select(
         "idx",
