@@ -3,8 +3,9 @@
 Two order-2 character models, one of random strings and one of ordinary identifiers and words, are
 trained from labelled samples. A run of 20 or more key characters that no fixed pattern covers is a
 secret if the log-likelihood ratio of the two models is at least ``bits_per_char`` for each character.
-The labelled samples are drawn from the corpus itself: what the fixed patterns match is random, what
-they leave is ordinary (at most ``max_samples`` of each, the smallest by hash over all texts), and
+The labelled samples are drawn from the corpus itself: what the fixed patterns match is random, and of
+what they leave, one token in SAMPLE_SHARE by hash is ordinary (at most ``max_samples`` of each, the
+smallest by CRC over all texts);
 seeded random strings in the usual key alphabets complete the random class.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.textkernel import column_bytes
+from timeweave.llm.textkernel import column_bytes, mix
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -30,6 +31,7 @@ KINDS = ("assign", "access", "hex", "markov")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_RUN, MIN_HEX, SAMPLE_RUN = 20, 24, 8
+SAMPLE_SHARE = 16  # one in so many ordinary tokens, by the hash of its first SAMPLE_RUN bytes
 MAX_SAMPLES = 20_000
 BITS_PER_CHAR = 2.0
 
@@ -140,10 +142,6 @@ def _suspects(column: pa.Array, run: int) -> Iterator[tuple[int, list[tuple[int,
             yield first + r, found[r]
 
 
-def _token(text: bytes, span: tuple[int, int]) -> bytes:
-    return text[span[0] : span[1]]
-
-
 def all_spans(text: str, runs: list[tuple[int, int]], model: MarkovPair, bits: float) -> tuple[list[Span], list[Span]]:
     """Base spans, and base spans with the Markov spans that overlap none of them, in order."""
     base = base_spans(text)
@@ -168,16 +166,21 @@ def labelled_samples(docs: DataFrame, max_samples: int = MAX_SAMPLES) -> DataFra
         for batch in batches:
             texts = batch.column(0)
             held: tuple[set, set] = (set(), set())
-            for row, runs in _suspects(texts, SAMPLE_RUN):
+            covered: dict[int, list[tuple[int, int]]] = {}
+            for row, _ in _suspects(texts, MIN_RUN):
                 text = texts[row].as_py()
-                base, raw = base_spans(text), text.encode()
-                for a, b, kind in base:
+                for a, b, kind in base_spans(text):
                     value = ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
                     held[1].add(re.sub(r"[^A-Za-z0-9+/_=-]", "", value).encode())
-                covered = [(len(text[:a].encode()), len(text[:b].encode())) for a, b, _ in base]
-                for s, e in runs:
-                    if all(e <= a or s >= b for a, b in covered):
-                        held[0].add(raw[s:e])
+                    covered.setdefault(row, []).append((len(text[:a].encode()), len(text[:b].encode())))
+            for first, data, offs in _pieces(texts):
+                rows, starts, ends = _runs(data, _CODE[data] >= 0, offs, SAMPLE_RUN)
+                head = data[starts[:, None] + np.arange(SAMPLE_RUN)] if len(starts) else np.zeros((0, SAMPLE_RUN), np.uint8)
+                chosen = mix(np.ascontiguousarray(head).view(np.uint64).ravel()) < np.uint64(2**64 // SAMPLE_SHARE)
+                for r, s, e in zip(rows[chosen].tolist(), starts[chosen].tolist(), ends[chosen].tolist()):
+                    at, to = s - int(offs[r]), e - int(offs[r])
+                    if all(to <= a or at >= b for a, b in covered.get(first + r, ())):
+                        held[0].add(data[s:e].tobytes())
             for label, tokens in enumerate(held):
                 best = sorted((zlib.crc32(t), t) for t in tokens if t)[:max_samples]
                 yield pa.RecordBatch.from_arrays(
