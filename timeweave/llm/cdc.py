@@ -23,7 +23,7 @@ from timeweave.llm.common import materialize
 from timeweave.llm.textkernel import PIECE, column_bytes
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 24, 128, 5
-LEAST_BYTES = 64
+LEAST_BYTES = 96
 WINDOW = 32
 _GEAR = np.random.Generator(np.random.PCG64(31)).integers(0, 2**32, 256, dtype=np.uint32)
 
