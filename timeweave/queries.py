@@ -543,7 +543,6 @@ def j19_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLIP_WORDS_SQL = (
     NEAR_SQL
     + r""",
-chosen_clips AS (SELECT * FROM clips WHERE clip_ord % 3 = 0),
 clip_words AS (
     SELECT c.video_id, c.clip_ord, row_number() OVER (PARTITION BY c.video_id, c.clip_ord ORDER BY w.w_start, w.seg_id, w.word_pos) - 1 AS n, trim(w.word) AS word,
         greatest(0, w.w_start - c.start) AS start, greatest(0, w.w_end - c.start) AS "end"
@@ -562,7 +561,8 @@ def _clip_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _translations(phrases: DataFrame) -> DataFrame:
-    """Phrases in capitals; every eleventh is missing and every thirteenth useless, as a model's are."""
+    """What a model might answer for all phrases: capitals; every eleventh answer is missing and every
+    thirteenth useless, so that the fallbacks have work."""
     text = F.when(F.pmod("phrase_id", F.lit(13)) == 0, F.concat(F.lit("<unk> <unk> "), F.upper("text"))).otherwise(F.upper("text"))
     return phrases.where(F.pmod("phrase_id", F.lit(11)) != 0).select("video_id", "phrase_id", text.alias("text"))
 
