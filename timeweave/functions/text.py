@@ -125,3 +125,8 @@ def signature(*parts: Column) -> Column:
     """First 12 hex digits of the SHA-1 of the parts as JSON."""
     named = F.struct(*(p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)))
     return F.substring(F.sha1(F.to_json(named, {"ignoreNullFields": "false"})), 1, 12)
+
+
+def optional_float(text: Column) -> Column:
+    """A number, or null where the text is null, empty or no number."""
+    return F.when(text != "", text).try_cast("double")

@@ -250,3 +250,53 @@ def crop_at(spans: DataFrame, times: DataFrame, width: float = 5.0) -> DataFrame
     hit = q.join(own, ["clip_id", "_b"]).where((F.col("t") >= F.col("_from")) & (F.col("t") < F.col("_to")))
     past = F.greatest(F.lit(0.0), F.col("t") - F.col("time"))
     return hit.select("clip_id", "t", (F.col("x") + F.col("dx") * past).alias("x"), (F.col("y") + F.col("dy") * past).alias("y"))
+
+
+def box_overlap(a: Column, b: Column) -> Column:
+    """Shared area over the area of ``a`` (one pixel at least)."""
+    zero = F.lit(0)
+    across = F.greatest(zero, F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
+    down = F.greatest(zero, F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+    return across * down / F.greatest(F.lit(1), (a["x2"] - a["x1"]) * (a["y2"] - a["y1"]))
+
+
+def median_box(detections: DataFrame) -> DataFrame:
+    """clip_id, x1, y1, x2, y2: the upper median of each edge of the largest box."""
+    big = F.get("boxes", F.lit(0))
+    rows = detections.where(F.size("boxes") > 0).select("clip_id", *(big[e].alias(e) for e in ("x1", "y1", "x2", "y2")))
+    return rows.groupBy("clip_id").agg(*(upper_median_of(F.collect_list(e)).alias(e) for e in ("x1", "y1", "x2", "y2")))
+
+
+def split_layout(detections: DataFrame, videos: DataFrame, out_w: int = 1080, out_h: int = 1920, share: float = 0.4, pad: float = 0.3) -> DataFrame:
+    """clip_id and the crops of a layout with the person above and the whole scene below: face_x, face_y,
+    face_w, face_h, scene_x, scene_y, scene_w, scene_h.
+
+    The person's median box is padded to the aspect of the upper part, a fifth of the frame wide at least;
+    without detections the lower left of the frame stands for the person. All sides are even.
+    """
+    top = int(out_h * share) // 2 * 2
+    bottom = (out_h - top) // 2 * 2
+    face, scene = out_w / (out_h - bottom), out_w / bottom
+    edge = {"x1": F.lit(0), "y1": F.floor(F.col("height") / 2), "x2": F.floor(F.col("width") / 3), "y2": F.col("height")}
+    own = videos.select("clip_id", "width", "height").join(median_box(detections), "clip_id", "left")
+    own = own.withColumns({k: F.coalesce(F.col(k), v) for k, v in edge.items()})
+    wide, high = F.greatest(F.col("x2") - F.col("x1"), F.lit(1)) * (1 + pad), F.greatest(F.col("y2") - F.col("y1"), F.lit(1)) * (1 + pad)
+    own = own.withColumns({"_w": F.when(wide / high > face, wide.cast("int")), "_h": high.cast("int")})
+    own = own.withColumns({"_w": F.coalesce("_w", (F.col("_h") * face).cast("int")), "_h": F.when(F.col("_w").isNotNull(), (F.col("_w") / face).cast("int")).otherwise(F.col("_h"))})
+    least = (F.col("width") * 0.2).cast("int")
+    own = own.withColumns({"_h": F.when(F.col("_w") < least, (least / face).cast("int")).otherwise(F.col("_h")), "_w": F.greatest("_w", least)})
+    even = lambda c, most: F.greatest(F.lit(2), (F.least(c, most) - F.least(c, most) % 2)).cast("int")
+    own = own.withColumns({"face_w": even(F.col("_w"), F.col("width")), "face_h": even(F.col("_h"), F.col("height"))})
+    sw, sh = crop_size(F.col("width"), F.col("height"), scene)
+    own = own.withColumns({"scene_w": sw, "scene_h": sh})
+    return own.select(
+        "clip_id",
+        place((F.col("x1") + F.col("x2")) / 2.0, F.col("face_w"), F.col("width")).alias("face_x"),
+        place((F.col("y1") + F.col("y2")) / 2.0, F.col("face_h"), F.col("height")).alias("face_y"),
+        "face_w",
+        "face_h",
+        F.floor((F.col("width") - F.col("scene_w")) / 2).cast("int").alias("scene_x"),
+        F.floor((F.col("height") - F.col("scene_h")) / 2).cast("int").alias("scene_y"),
+        "scene_w",
+        "scene_h",
+    )

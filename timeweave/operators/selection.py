@@ -139,3 +139,10 @@ def relax_scores(clips: DataFrame, rules: SelectRules = SelectRules(), steps: tu
     kept = suppress_overlaps(own, rules, ("video_id", "floor"))
     strictest = kept.groupBy("video_id").agg(F.max("floor").alias("floor"))
     return rerank(kept.join(strictest, ["video_id", "floor"]))
+
+
+def time_removed(adjusted: DataFrame) -> DataFrame:
+    """video_id, n, removed, per_clip: seconds that moved edges (llm_start, llm_end) took off the clips."""
+    before, after = F.sum(F.col("llm_end") - F.col("llm_start")), F.sum(F.col("end") - F.col("start"))
+    out = adjusted.groupBy("video_id").agg(F.count("*").alias("n"), (before - after).alias("removed"))
+    return out.withColumn("per_clip", F.col("removed") / F.col("n"))

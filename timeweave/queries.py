@@ -841,3 +841,95 @@ def p14_s15_s18_prompt_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     p = F.col("doc_id") % 10 / 10.0
     return docs.select("doc_id", refine.should_translate(F.col("lang"), p).alias("translate"), refine.refine_prompt_key(F.lit("EN"), F.col("lang"), p).alias("prompt"))
+
+
+# Scalar functions over whole tables.
+@register(
+    r"""SELECT doc_id, CASE WHEN generic THEN coalesce(nullif(substr(regexp_replace(array_to_string(w[1:8], ' '), '[.!?]+$', ''), 1, 80), ''), 'Moment #' || (doc_id % 90 + 1)) ELSE title END AS title,
+    generic FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w, CASE doc_id % 4 WHEN 0 THEN 'Clip ' || doc_id WHEN 1 THEN 'clip 7:' WHEN 2 THEN '' ELSE 'The story of ' || doc_id END AS title,
+    doc_id % 4 <> 3 AS generic FROM documents)"""
+)
+def p7_s13_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kind, doc = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    title = F.when(kind == 0, F.concat(F.lit("Clip "), doc)).when(kind == 1, "clip 7:").when(kind == 2, "").otherwise(F.concat(F.lit("The story of "), doc))
+    own = docs.select("doc_id", "text", title.alias("t"), (F.col("doc_id") % 90 + 1).alias("rank"))
+    none = F.lit(None).cast("string")
+    return own.select("doc_id", tx.real_title(F.col("t"), F.col("text"), none, none, F.col("rank")).alias("title"), tx.is_generic_title(F.col("t")).alias("generic"))
+
+
+@register(
+    r"""SELECT doc_id, CASE WHEN length(flat) <= 60 THEN flat ELSE rtrim(substr(flat, 1, 59)) || '…' END AS preview FROM
+    (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS flat FROM documents)"""
+)
+def s14_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", tx.preview(F.col("text"), 60).alias("preview"))
+
+
+@register(
+    f"""WITH {fx.SEGMENTS_SQL} SELECT video_id, seg_id, (cs // 360000)::VARCHAR || ':' || lpad((cs // 6000 % 60)::VARCHAR, 2, '0') || ':' || lpad((cs // 100 % 60)::VARCHAR, 2, '0') || '.' || lpad((cs % 100)::VARCHAR, 2, '0') AS at
+    FROM (SELECT video_id, seg_id, s_ms // 10 AS cs FROM segments)"""
+)
+def s9_clock_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.segments(spark, sf_dir).select("video_id", "seg_id", tx.ass_time(F.col("start")).alias("at"))
+
+
+@register(
+    r"""SELECT p_partkey, w, h, w * 1.0::DOUBLE / h > 0.7 AS vertical, w * 1.0::DOUBLE / h < 1.3 AS horizontal, abs(w * 1.0::DOUBLE / h - 1) > 0.15 AS square, cw - cw % 2 AS crop_w, ch - ch % 2 AS crop_h FROM (
+    SELECT *, CASE WHEN 0.5625 < w * 1.0::DOUBLE / h THEN CAST(trunc(h * 0.5625::DOUBLE) AS INTEGER) ELSE w END AS cw, CASE WHEN 0.5625 < w * 1.0::DOUBLE / h THEN h ELSE CAST(trunc(w / 0.5625::DOUBLE) AS INTEGER) END AS ch
+    FROM (SELECT p_partkey, CAST(400 + p_partkey % 1700 AS INTEGER) AS w, CAST(400 + p_partkey * 7 % 1700 AS INTEGER) AS h FROM part))"""
+)
+def p13_s20_crop_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    own = parts.select("p_partkey", (400 + F.col("p_partkey") % 1700).cast("int").alias("w"), (400 + F.col("p_partkey") * 7 % 1700).cast("int").alias("h"))
+    w, h = crops.crop_size(F.col("w"), F.col("h"), 0.5625)
+    needs = [crops.needs_crop(F.col("w"), F.col("h"), k).alias(k) for k in ("vertical", "horizontal", "square")]
+    return own.select("p_partkey", "w", "h", *needs, w.alias("crop_w"), h.alias("crop_h"))
+
+
+@register(
+    f"""WITH {fx.BOXES_SQL}, b AS (SELECT clip_id, time, cx, row_number() OVER (PARTITION BY clip_id, time ORDER BY area DESC, box_ord) AS r FROM boxes WHERE conf >= 0.5),
+    m AS (SELECT clip_id, list_sort(list(cx - 100))[count(*) // 2 + 1] AS x1, list_sort(list(cx + 100))[count(*) // 2 + 1] AS x2 FROM b WHERE r = 1 GROUP BY 1)
+    SELECT clip_id, CAST(trunc((x1 + x2) / 2.0 - 365) AS INTEGER) AS face_x, 280 AS face_y, 730 AS face_w, 520 AS face_h FROM m"""
+)
+def s21_a12_split_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = crops.split_layout(crops.confident(fx.detections(spark, sf_dir)), fx.frames(spark, sf_dir))
+    return out.select("clip_id", "face_x", "face_y", "face_w", "face_h")
+
+
+@register()
+def a9_time_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = fx.segments(spark, sf_dir)
+    out = selection.time_removed(boundaries.adjust_boundaries(selection.select_clips(fx.clips(segs)), fx.words(segs)))
+    return out.withColumns({c: F.round(c, 6) for c in ("removed", "per_clip")})
+
+
+@register(
+    r"""SELECT source, count(*) FILTER (text <> '') AS processed, count(*) FILTER (text = '' OR text IS NULL) AS failed FROM documents GROUP BY source"""
+)
+def a18_c14_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.coalesce(F.col("text") != "", F.lit(False)).alias("ok"))
+    return docs.groupBy("source").agg(F.count_if("ok").alias("processed"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+@register(
+    f"""WITH {fx.SEGMENTS_SQL}, talk AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seg_id, text FROM conversations WHERE trim(text) <> '')
+    SELECT 'documents' AS origin, video_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM segments GROUP BY 2 UNION ALL
+    SELECT 'conversations', conv_id, count(*), sum(length(text))::BIGINT FROM talk GROUP BY 2"""
+)
+def u1_u6_union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fx.segments(spark, sf_dir).select(F.lit("documents").alias("origin"), "video_id", "text")
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("trim(text) != ''")
+    both = own.unionByName(talk.select(F.lit("conversations").alias("origin"), F.col("conv_id").alias("video_id"), "text"))
+    return both.groupBy("origin", "video_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@register(
+    r"""SELECT event_id, TRY_CAST(nullif(raw, '') AS DOUBLE) AS v FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'x' || event_id ELSE event_id || '.5' END AS raw FROM events)"""
+)
+def s28_optional_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    doc, kind = F.col("event_id").cast("string"), F.col("event_id") % 3
+    raw = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit("x"), doc)).otherwise(F.concat(doc, F.lit(".5")))
+    return events.select("event_id", tx.optional_float(raw).alias("v"))
