@@ -428,7 +428,29 @@ def f3_c4_select_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_clips(_clips(spark, sf_dir)).select("video_id", "clip_ord", "rank", "clip_score")
 
 
-@register()
+# Dedup over chunks as a recursion; held is the list that stays, changed in place.
+SAME_SQL = (
+    SCORED_SQL
+    + r""",
+line AS (
+    SELECT video_id, {'o': clip_ord, 's': start, 'e': "end", 'v': clip_score} AS c, row_number() OVER (PARTITION BY video_id ORDER BY start, clip_score DESC, clip_ord) AS i
+    FROM scored WHERE clip_score > 0
+),
+fold AS (
+    SELECT video_id, i, [c] AS held FROM line WHERE i = 1
+    UNION ALL
+    SELECT l.video_id, l.i, CASE WHEN k.at IS NULL THEN list_append(f.held, l.c) WHEN l.c.e - l.c.s > f.held[k.at].e - f.held[k.at].s + 5
+            OR (abs((l.c.e - l.c.s) - (f.held[k.at].e - f.held[k.at].s)) <= 5 AND l.c.v > f.held[k.at].v)
+        THEN list_transform(f.held, lambda h, j: CASE WHEN j = k.at THEN l.c ELSE h END) ELSE f.held END
+    FROM fold f JOIN line l ON l.video_id = f.video_id AND l.i = f.i + 1,
+        LATERAL (SELECT list_min(list_filter(list_transform(f.held, lambda h, j: CASE WHEN greatest(0, least(h.e, l.c.e) - greatest(h.s, l.c.s)) / least(h.e - h.s, l.c.e - l.c.s) > 0.7
+            THEN j END), lambda x: x IS NOT NULL)) AS at) k
+),
+rest AS (SELECT video_id, unnest(held) AS c FROM (SELECT video_id, max_by(held, i) AS held FROM fold GROUP BY 1))"""
+)
+
+
+@register(f'WITH RECURSIVE {SAME_SQL} SELECT video_id, c.o AS clip_ord, c.s AS start, c.e AS "end", c.v AS clip_score FROM rest')
 def f4_merge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = selection.score_clips(_clips(spark, sf_dir)).where("reject is null")
     return selection.merge_chunks(scored).select("video_id", "clip_ord", "start", "end", "clip_score")
@@ -593,7 +615,34 @@ def c8_f9_j9_j17_translated_words(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
-@register()
+_CLOCK = "(cs{0} // 360000)::VARCHAR || ':' || lpad((cs{0} // 6000 % 60)::VARCHAR, 2, '0') || ':' || lpad((cs{0} // 100 % 60)::VARCHAR, 2, '0') || '.' || lpad((cs{0} % 100)::VARCHAR, 2, '0')"
+# Grouping as a recursion over the words of each clip.
+LINES_SQL = (
+    CLIP_WORDS_SQL
+    + r""",
+lined AS (
+    SELECT video_id, clip_ord, n, 0 AS line_no, start AS b, "end" AS last, 1 AS size FROM clip_words WHERE n = 0
+    UNION ALL
+    SELECT w.video_id, w.clip_ord, w.n, l.line_no + k.fresh, CASE WHEN k.fresh = 1 THEN w.start ELSE l.b END, w."end", CASE WHEN k.fresh = 1 THEN 1 ELSE l.size + 1 END
+    FROM lined l JOIN clip_words w ON w.video_id = l.video_id AND w.clip_ord = l.clip_ord AND w.n = l.n + 1,
+        LATERAL (SELECT CASE WHEN l.size >= 4 OR w."end" - l.b > 2.5 OR w.start - l.last > 0.5 THEN 1 ELSE 0 END AS fresh) k
+),
+shown AS (
+    SELECT l.video_id, l.clip_ord, l.line_no, string_agg(w.word, ' ' ORDER BY l.n) AS text, min_by(w.start, l.n) AS start, max_by(w."end", l.n) AS e, count(*) AS n_words
+    FROM lined l JOIN clip_words w USING (video_id, clip_ord, n) GROUP BY ALL
+),
+clamped AS (
+    SELECT *, least(e, coalesce(lead(start) OVER (PARTITION BY video_id, clip_ord ORDER BY line_no) - 0.04::DOUBLE, e)) AS cut FROM shown
+),
+lines_found AS (SELECT * REPLACE (CASE WHEN cut <= start THEN start + 0.1::DOUBLE ELSE cut END AS cut) FROM clamped)"""
+)
+
+
+@register(
+    f"""WITH RECURSIVE {LINES_SQL} SELECT video_id, clip_ord, line_no, text, round(start, 6) AS start, round(cut, 6) AS "end", n_words,
+    'Dialogue: 0,' || {_CLOCK.format(1)} || ',' || {_CLOCK.format(2)} || ',Default,,0,0,0,,' || text AS dialogue
+    FROM (SELECT *, CAST(round_even(greatest(start, 0) * 100, 0) AS BIGINT) AS cs1, CAST(round_even(greatest(cut, 0) * 100, 0) AS BIGINT) AS cs2 FROM lines_found)"""
+)
 def c9_f5_w15_subtitle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = subtitles.dialogue(subtitles.subtitle_lines(_clip_words(spark, sf_dir)))
     return out.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
