@@ -350,6 +350,15 @@ def test_mixed_blocks_hold_the_words_of_their_documents(spark):
     assert len({(b["shard"], b["slot"]) for b in blocks}) == len(blocks)
 
 
+def orders(grams):
+    """Counts by order of {(lang, four bytes): n}."""
+    out = collections.Counter()
+    for (lang, gram), n in grams.items():
+        for order in range(4):
+            out[lang, order, gram & ((1 << 8 * (order + 1)) - 1)] += n
+    return pa.table({"lang": [k[0] for k in out], "order": [k[1] for k in out], "gram": [k[2] for k in out], "n": list(out.values())})
+
+
 def test_ppm_nodes_are_distributions():
     rng = random.Random(1)
     grams = collections.Counter()
@@ -358,8 +367,7 @@ def test_ppm_nodes_are_distributions():
         padded = b"\0\0\0" + text
         for i in range(len(text)):
             grams[lang, int.from_bytes(padded[i : i + 4], "big")] += 1
-    table = pa.table({"lang": [k[0] for k in grams], "gram": [k[1] for k in grams], "n": list(grams.values())})
-    model = ppm_lang.build_model(table, 1e-3)
+    model = ppm_lang.build_model(orders({k: v for k, v in grams.items()}), 1e-3)
     weights = np.ones(model.width)
     weights[0] = 256 - (model.width - 1)
     for cost in model.cost:
@@ -382,7 +390,7 @@ def test_code_length_of_a_long_text_is_the_sum_of_its_pieces(monkeypatch):
     text = "the cat sat on the mat and " * 300
     padded = b"\0\0\0" + text.encode()
     grams = collections.Counter(int.from_bytes(padded[i : i + 4], "big") for i in range(len(text)))
-    model = ppm_lang.build_model(pa.table({"lang": ["en"] * len(grams), "gram": list(grams), "n": list(grams.values())}))
+    model = ppm_lang.build_model(orders({("en", g): n for g, n in grams.items()}))
     data, offs = ppm_lang.column_bytes(pa.array([text, "", text[:50]]))
     whole = ppm_lang.code_lengths(model, data, offs)
     monkeypatch.setattr(ppm_lang, "PIECE", 1000)

@@ -8,8 +8,8 @@ the escape d / (n + d) is spread over the unseen bytes in proportion to the next
 method C with exclusion); below order 0 all 256 bytes are alike. Each node is thus an exact
 distribution, and a text's code length under a language is the sum of its bytes' costs in bits.
 
-The model's size is bounded by its parameters: 1 / gram_share counts and 3 / context_share nodes for
-each language. Training reads all labelled rows.
+The model's size is bounded by its parameters: at most 1 / gram_share counts an order
+and 3 / context_share nodes for each language. Training reads all labelled rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.llm.common import discard, materialize
 from timeweave.llm.textkernel import PIECE, column_bytes
 
 ORDER = 3
@@ -107,10 +108,18 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def by_order(counts: DataFrame) -> DataFrame:
+    """lang, order, gram, n: the counts of every order, each summed over all longer contexts."""
+    masks = F.array(*(F.struct(F.lit(k).alias("order"), F.lit((1 << 8 * (k + 1)) - 1).cast("long").alias("mask")) for k in range(ORDER + 1)))
+    rows = counts.select("lang", "n", "gram", F.explode(masks).alias("m"))
+    rows = rows.select("lang", "m.order", F.col("gram").bitwiseAND(F.col("m.mask")).alias("gram"), "n")
+    return rows.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+
+
 def build_model(counts: pa.Table, context_share: float = CONTEXT_SHARE) -> Model:
-    """The context trees of summed counts (lang, gram, n)."""
+    """The context trees of counts by order (lang, order, gram, n)."""
     lang_of = np.asarray(counts["lang"].to_pylist(), dtype=object)
-    gram_of, n_of = counts["gram"].to_numpy().astype(np.int64), counts["n"].to_numpy()
+    gram_of, n_of, order_of = counts["gram"].to_numpy().astype(np.int64), counts["n"].to_numpy(), counts["order"].to_numpy()
     languages = sorted(set(lang_of))
     seen = np.unique(gram_of & 255)
     symbol = np.zeros(256, np.int64)
@@ -122,14 +131,16 @@ def build_model(counts: pa.Table, context_share: float = CONTEXT_SHARE) -> Model
     by_lang = {}
     nodes: list[np.ndarray] = [np.zeros(0, np.int64)] * (ORDER + 1)
     for lang in languages:
-        own = lang_of == lang
-        by_lang[lang] = (quads[own], n_of[own])
-        total = n_of[own].sum()
-        for order in range(1, ORDER + 1):
+        for order in range(ORDER + 1):
+            own = (lang_of == lang) & (order_of == order)
+            by_lang[lang, order] = (quads[own], n_of[own])
+            if order == 0:
+                total = n_of[own].sum()
+                continue
             context = _context(quads[own], order, width)
             ids, where = np.unique(context, return_inverse=True)
-            often = np.bincount(where, n_of[own]) >= max(2, context_share * total)
-            nodes[order] = np.union1d(nodes[order], ids[often])
+            often = np.bincount(where, n_of[own], len(ids)) >= max(2, context_share * total)
+            nodes[order] = np.union1d(nodes[order], ids[often]).astype(np.int64)
 
     first = np.cumsum([1, *(len(x) for x in nodes[1:])])  # node 0 is the empty context
     size = int(first[-1])
@@ -146,11 +157,11 @@ def build_model(counts: pa.Table, context_share: float = CONTEXT_SHARE) -> Model
 
     cost = []
     for lang in languages:
-        grams, n = by_lang[lang]
         table = np.empty((size, width), np.float32)
         multiple = np.ones(width)
         multiple[0] = others
         for order in range(ORDER + 1):
+            grams, n = by_lang[lang, order]
             ids = np.array([0]) if order == 0 else nodes[order]
             start = 0 if order == 0 else int(first[order - 1])
             if not len(ids):
@@ -203,12 +214,15 @@ def code_lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray
 def train(
     labelled: DataFrame, gram_share: float = GRAM_SHARE, context_share: float = CONTEXT_SHARE
 ) -> Model:
-    """A model of all rows of (text, lang) with neither null. Counts below ``gram_share`` of a
-    language's bytes are dropped, which leaves at most 1 / gram_share a language."""
-    counts = gram_counts(labelled.where("text is not null and lang is not null"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, "lang").where(F.col("n") >= gram_share * F.col("total"))
-    return build_model(kept.select("lang", "gram", "n").toArrow(), context_share)
+    """A model of all rows of (text, lang) with neither null. Counts of orders 2 and 3 below ``gram_share``
+    of a language's bytes are dropped, which leaves at most 1 / gram_share an order and language; those of
+    orders 0 and 1 are whole."""
+    counts = materialize(by_order(gram_counts(labelled.where("text is not null and lang is not null"))), "grams")
+    totals = counts.where("order = 0").groupBy("lang").agg(F.sum("n").alias("total"))
+    kept = counts.join(totals, "lang").where((F.col("order") <= 1) | (F.col("n") >= gram_share * F.col("total")))
+    model = build_model(kept.select("lang", "order", "gram", "n").toArrow(), context_share)
+    discard(counts)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -260,11 +274,11 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(marked, model, ["doc_id", "held_out"])
 
 
-def reject_unknown(docs: DataFrame, most_bits: float = 8.0) -> DataFrame:
+def reject_unknown(docs: DataFrame, most_bits: float = 12.0) -> DataFrame:
     """Pipeline stage: documents without a recognisable language go, the others stay unchanged.
 
     Rejected are texts with no letter (null and empty ones included) and texts that the best language
-    codes with more than ``most_bits`` bits a byte, which is worse than no model at all.
+    codes with more than ``most_bits`` bits a byte, as it does with bytes that it has hardly ever seen.
     """
     training = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     scored = predict(docs, train(training), docs.columns)
