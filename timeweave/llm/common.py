@@ -6,23 +6,24 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# White space of the word contracts: space, tab, LF, VT, FF, CR.
-WORD = r"[^\x20\x09-\x0D]+"
+
+_LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
     The folder is the one named in spark.checkpoint.dir; only where that is unset (local tests) a
-    temporary one is made and set.
+    temporary one is made, once for each driver.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="timeweave-", dir=os.environ.get("TMPDIR"))
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append("file://" + os.path.abspath(tempfile.mkdtemp(prefix="timeweave-")))
+        base = _LOCAL[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -71,21 +72,3 @@ def word_count(text: Column) -> Column:
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
     blanks = F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit("")))
     return F.when(squeezed == "", F.lit(0)).otherwise(blanks + 1).cast("long")
-
-
-def bucketed_prefix_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, n_buckets: int
-) -> DataFrame:
-    """Exclusive running sum of ``value`` per ``keys`` without one task holding a whole key.
-
-    Rows of a key are spread over ``n_buckets`` by the hash of ``order``; sums run within a bucket
-    and the bucket totals (n_buckets rows a key at most) are summed in a second, small window. The
-    running order is (bucket, order): fixed for given rows, but not the sort order of ``order``.
-    """
-    salted = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
-    inner = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = salted.groupBy(*keys, "_b").agg(F.sum(value).alias("_t"))
-    outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_base"))
-    local = salted.withColumn("_l", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return local.join(bases, [*keys, "_b"]).withColumn(out, F.col("_base") + F.col("_l")).drop("_b", "_base", "_l")
