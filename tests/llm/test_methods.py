@@ -424,3 +424,23 @@ def test_every_query_runs_without_the_oracle_disagreeing(spark):
         got = queries.QUERIES[name](spark, SF)
         want = db.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), name
+
+
+@pytest.mark.parametrize("intact, edited", [(0, 1), (0, 90), (3, 1), (100, 2), (2, 150)])
+def test_evenly_edited_leaks_are_found_beside_intact_ones(spark, intact, edited):
+    rng = random.Random(31)
+    words = vocabulary(rng)
+    item, short = [rng.choice(words) for _ in range(20)], [rng.choice(words) for _ in range(6)]
+    sixth = [f"x{k}" if k % 6 == 5 else w for k, w in enumerate(item)]
+    fourth = [f"y{k}" if k % 4 == 3 else w for k, w in enumerate(item)]
+    kinds = [(item, 1)] * intact + [(sixth, 1), (fourth, 1)] * edited + [(short, 2)] * intact + [(["z", *short[1:]], 2), ([*short[:-1], "z"], 2)] * edited
+    rows, want = [], set()
+    for k, (copy, of) in enumerate(kinds):
+        text = [rng.choice(words) for _ in range(60)]
+        text[20:20] = copy
+        rows.append((k, " ".join(text)))
+        want.add((k, of))
+    rows.append((len(rows), " ".join(rng.choice(words) for _ in range(60))))
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()} == want

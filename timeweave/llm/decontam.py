@@ -1,14 +1,17 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 1. Every n-gram of a test item is counted in the corpus (n-grams of the benchmark only, summed by
-   Spark). An item's seeds are the rarest n-gram of each window of ``spread`` neighbouring n-grams, so
-   each part of an item has a seed and common phrases give way to rare ones, also where a test item
-   was copied so often that none of its n-grams is rare in itself.
+   Spark). A seed is each n-gram that the corpus holds and that is rare (in one text of RARE_SHARE at
+   most, or RARE_LEAST times) or in at most FEW places of the benchmark, since no n-gram stands for the
+   others: an edit breaks any of them. Phrases that are common in both give way, but for windows of
+   ``spread`` neighbouring n-grams without a seed, where all that the corpus holds are seeds.
 2. The texts are scanned for seeds. A hit places the item on the text; hits of one item on nearby
    diagonals are one window of the text, of the item's length with room for edits on both sides.
+   Windows that lack too many of the item's words to reach the threshold are not aligned.
 3. The window and the item are aligned (match +2, mismatch -1, gap -1 a word). The best local score
    over twice the item's length is the share of the item that the text holds; from ``threshold`` on
-   the pair is a leak. Edited, shortened or padded copies lose a little for each edit.
+   the pair is a leak. Edited, shortened or padded copies lose a little for each edit; a copy in which
+   no n-gram survives, as with an edit at every third word, is not found.
 
 The benchmark goes to the tasks in blocks of at most ``block_words`` words, so what is broadcast is
 bounded however large the benchmark is; every block meets all texts.
@@ -16,7 +19,7 @@ bounded however large the benchmark is; every block meets all texts.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from timeweave.llm.textkernel import PUNCTUATION, documents_words, shingle_hashes
 
 GRAM, SPREAD, THRESHOLD = 3, 4, 0.6
+RARE_SHARE, RARE_LEAST, FEW = 1000, 64, 16
 BLOCK_WORDS = 2_000_000
 SCHEMA = "doc_id long, item_id long, score double, start_word int, end_word int, matches int"
 
@@ -70,14 +74,22 @@ class Items:
         self.grams = [shingle_hashes(w, gram) for w in self.words]
         self.known = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
 
-    def seeds(self, frequency: dict[int, int], spread: int) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
-        """Sorted seed hashes, and (item, position) of each."""
+    def seeds(self, frequency: dict[int | None, int], spread: int) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
+        """Sorted seed hashes, and (item, position) of each. ``frequency`` has the number of texts under None."""
+        bound = max(RARE_LEAST, frequency.get(None, 0) // RARE_SHARE)
+        places = Counter(g for grams in self.grams for g in grams.view(np.int64).tolist())
         where: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, grams in enumerate(self.grams):
-            order = [(frequency.get(int(g), 0), int(g), p) for p, g in enumerate(grams.view(np.int64))]
-            chosen = {min(order[p : p + spread]) for p in range(max(1, len(order) - spread + 1)) if order}
-            for _, g, p in chosen:
-                where[g].append((k, p))
+            order = grams.view(np.int64).tolist()
+            held = [p for p, g in enumerate(order) if frequency.get(g)]
+            chosen = {p for p in held if frequency[order[p]] <= bound or places[order[p]] <= FEW}
+            bare: set[int] = set()
+            for p in range(max(1, len(order) - spread + 1)):
+                if chosen.isdisjoint(window := range(p, min(p + spread, len(order)))):
+                    bare.update(window)
+            for p in held:
+                if p in chosen or p in bare:
+                    where[order[p]].append((k, p))
         return np.array(sorted(where), np.int64), dict(where)
 
 
@@ -97,21 +109,24 @@ def _filter(known: np.ndarray) -> np.ndarray:
     return table
 
 
-def _frequencies(docs: DataFrame, items: Items) -> dict[int, int]:
-    """Occurrences in the corpus of the block's n-grams; at most one row for each reaches the driver."""
+def _frequencies(docs: DataFrame, items: Items) -> dict[int | None, int]:
+    """Occurrences in the corpus of the block's n-grams, and the number of texts under None; at most one
+    row for each reaches the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(items.known)
     gram = items.gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        table, counts = _filter(known), np.zeros(len(known), np.int64)
+        table, counts, n_texts = _filter(known), np.zeros(len(known), np.int64), 0
         for batch in batches:
+            n_texts += batch.num_rows
             for _, words, _, _ in documents_words(batch.column(0), PUNCTUATION):
                 grams = shingle_hashes(words, gram)
                 hit = _member(grams, known, table)
                 np.add.at(counts, np.searchsorted(known, grams[hit]), 1)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(counts[some])], ["gram", "n"])
+        grams, n = known[some].view(np.int64).tolist(), counts[some].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([*grams, None], pa.int64()), pa.array([*n, n_texts], pa.int64())], ["gram", "n"])
 
     rows = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = rows.toArrow()
@@ -154,6 +169,8 @@ def _leaks_of_block(docs: DataFrame, items: Items, spread: int, threshold: float
                 for k, own in hits.items():
                     size, best = len(item_words[k]), None
                     for lo, hi in _windows(own, size, len(words)):
+                        if 2 * np.isin(item_words[k], words[lo:hi]).sum() < threshold * 2 * size:
+                            continue
                         score, first, last, same = align(item_words[k], words[lo:hi])
                         if best is None or score > best[0]:
                             best = (score, lo + first, lo + last + 1, same)
