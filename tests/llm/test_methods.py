@@ -444,3 +444,25 @@ def test_evenly_edited_leaks_are_found_beside_intact_ones(spark, intact, edited)
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench).collect()} == want
+
+
+def test_secrets_beside_patterns_and_inside_paths_are_found():
+    rng = random.Random(41)
+    words = ["user", "account", "name", "index", "value", "update", "record", "parse", "find", "next", "config", "file", "path"]
+    plain = [rng.choice("/_-").join(rng.choice(words) for _ in range(6)).encode() for _ in range(400)]
+    model = secrets.train(secrets.seeded_random(), plain[:200])
+
+    def spans(text):
+        runs = [r for _, found in secrets._suspects(pa.array([text]), secrets.MIN_RUN) for r in found]
+        return secrets.all_spans(text, runs, model, secrets.BITS_PER_CHAR)[1]
+
+    for _ in range(50):
+        token = "".join(rng.choice(secrets.KEY_CHARS[:62]) for _ in range(40))
+        path = "/".join(rng.choice(words) for _ in range(12))
+        key, hexa = "AKIA" + "".join(rng.choice("ABCDEFG0123456789") for _ in range(16)), "".join(rng.choice("0123456789abcdef") for _ in range(24))
+        for text in (f"{key}/{token}", f"é {hexa}-{token}", f"/{path}/{token[:32]}", f"{token}/{key}", f"/{path}/{token}/{path}"):
+            at = text.index(token[:32])
+            assert any(s <= at and at + 32 <= e for s, e, k in spans(text) if k == "markov"), text
+        whole = [(s, e) for s, e, k in spans(f"/{path}/{token[:32]}") if k == "markov"]
+        assert whole[0][0] >= len(path) - 15
+    assert not [t for t in plain[200:] if spans(t.decode())]

@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models that find other random strings.
 
 Two order-2 character models, one of random strings and one of ordinary identifiers and words, are
-trained from labelled samples. A run of 20 or more key characters that no fixed pattern covers is a
-secret if the log-likelihood ratio of the two models is at least ``bits_per_char`` for each character.
+trained from labelled samples. Runs of key characters are cut where fixed patterns match. What is left,
+if of 20 or more characters, is a secret as a whole if the log-likelihood ratio of the two models is at
+least ``bits_per_char`` for each character on average; else the segments of 20 or more characters are
+whose ratio exceeds that bound most, each widened to the separators around it.
 The labelled samples are drawn from the corpus itself: what the fixed patterns match is random, and of
 what they leave, one token in SAMPLE_SHARE by hash is ordinary (at most ``max_samples`` of each, the
 smallest by CRC over all texts);
@@ -30,6 +32,7 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "markov")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+SEPARATORS = b"+/_=-"
 MIN_RUN, MIN_HEX, SAMPLE_RUN = 20, 24, 8
 SAMPLE_SHARE = 16  # one in so many ordinary tokens, by the hash of its first SAMPLE_RUN bytes
 MAX_SAMPLES = 20_000
@@ -59,10 +62,40 @@ class MarkovPair:
 
     def score(self, token: bytes) -> float:
         """Mean log-likelihood ratio in bits for each character."""
+        return float(self.ratios(token).mean())
+
+    def ratios(self, token: bytes) -> np.ndarray:
+        """Log-likelihood ratio in bits of each character."""
         codes = _CODE[np.frombuffer(token, np.uint8)]
         start = len(KEY_CHARS)  # stands for what lies before the token
         padded = np.concatenate(([start, start], codes))
-        return float(self.ratio[padded[:-2], padded[1:-1], padded[2:]].mean())
+        return self.ratio[padded[:-2], padded[1:-1], padded[2:]]
+
+    def segments(self, token: bytes, bits: float) -> list[tuple[int, int]]:
+        """Spans of ``token`` that are likely random, in order: all of it, or its best segments."""
+        ratios = self.ratios(token)
+        if ratios.mean() >= bits:
+            return [] if token.isdigit() else [(0, len(token))]
+        sums, found, todo = np.concatenate(([0.0], np.cumsum(ratios - bits))), [], [(0, len(token))]
+        while todo:
+            a, b = todo.pop()
+            if b - a < MIN_RUN:
+                continue
+            part = sums[a : b + 1]
+            low = np.minimum.accumulate(part[:-MIN_RUN])  # the least sum MIN_RUN or more characters before
+            gain = part[MIN_RUN:] - low
+            at = int(gain.argmax())
+            if gain[at] < 0:
+                continue
+            start, end = a + int(part[: at + 1].argmin()), a + at + MIN_RUN
+            while start > a and token[start - 1] not in SEPARATORS:
+                start -= 1
+            while end < b and (token[end] not in SEPARATORS or token[end] == ord("=")):
+                end += 1
+            if not token[start:end].isdigit():
+                found.append((start, end))
+            todo += [(a, start), (end, b)]
+        return sorted(found)
 
 
 def _counts(samples: list[bytes]) -> np.ndarray:
@@ -148,13 +181,13 @@ def all_spans(text: str, runs: list[tuple[int, int]], model: MarkovPair, bits: f
     raw, extra = text.encode(), []
     plain = len(raw) == len(text)
     for s, e in runs:
-        token = raw[s:e]
-        if token.isdigit() or model.score(token) < bits:
-            continue
         start = s if plain else len(raw[:s].decode())
-        end = start + e - s
-        if all(end <= b[0] or start >= b[1] for b in base):
-            extra.append((start, end, "markov"))
+        at, end = start, start + e - s
+        for a, b in sorted((x[0], x[1]) for x in base if x[0] < end and x[1] > start) + [(end, end)]:
+            if a - at >= MIN_RUN:
+                token = raw[s + at - start : s + a - start]
+                extra += [(at + x, at + y, "markov") for x, y in model.segments(token, bits)]
+            at = max(at, b)
     return base, sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
