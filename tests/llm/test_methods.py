@@ -466,3 +466,30 @@ def test_secrets_beside_patterns_and_inside_paths_are_found():
         whole = [(s, e) for s, e, k in spans(f"/{path}/{token[:32]}") if k == "markov"]
         assert whole[0][0] >= len(path) - 15
     assert not [t for t in plain[200:] if spans(t.decode())]
+
+
+def test_small_sources_meet_their_targets_over_many_shards(spark):
+    sizes = {"big": 64 * 900, "cap": 64 * 20, "one": 64, "few": 10, "odd": 65}
+    rows = [(k, source, " ".join(["w"] * n)) for k, (source, n) in enumerate(sizes.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for seed in (1, 2, 3):
+        plan = mixing.mix_plan(docs, weights=(1.0,), shard=8, seed=seed)
+        got = {r["doc_id"]: r for r in mixing.document_shares(plan).collect()}
+        for k, source, _ in rows:
+            if source != "big":
+                assert got[k]["taken"] == got[k]["target"] == 2 * sizes[source]
+        assert abs(got[0]["taken"] - got[0]["target"]) < 64
+        taken = collections.Counter((r["idx"], r["block"]) for r in plan.slots.collect())
+        assert max(taken.values()) <= 2
+
+
+def test_slot_totals_follow_targets_in_the_mean():
+    sizes = np.array([1, 10, 64, 65, 100, 130, 700, 6400, 0])
+    for part in (0.03, 0.4, 0.7, 0.97, 1.3, 2.0):
+        got = []
+        for seed in range(3000):
+            epochs, wholes, last = mixing.slot_totals(sizes, part * sizes, 2, 64, seed)
+            end = sizes - np.maximum(-(-sizes // 64) - 1, 0) * 64
+            got.append(epochs * sizes + wholes * 64 + last * end)
+            assert (abs(got[-1] - part * sizes) < 128).all() and (got[-1] <= 2 * sizes).all()
+        assert (abs(np.mean(got, 0) - part * sizes) <= 3 + 0.01 * sizes).all()

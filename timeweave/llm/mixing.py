@@ -1,12 +1,15 @@
 """Mixing sources to target weights, by packed blocks and seeded index permutations.
 
 The words of a source are packed, in a fixed order of its documents, into blocks of ``block`` words.
-The mix is a row of slots, dealt out in shards. Each shard draws how many slots every source gets:
-the whole part of its expected share is given, and what remains is one multinomial draw over the
-fractions, seeded by the shard's number, so the draw has the right mean and a small variance. The
-k-th slot of a source takes block pi(k mod n) of its n blocks, where pi is a pseudorandom permutation
-keyed by source and epoch k div n (a Feistel network with cycle walking); blocks meet slots by index.
-No block is taken more than ``most`` times, and within an epoch none is taken twice.
+The mix is a row of slots, dealt out in shards of ``shard`` slots on average. How many slots a source
+gets is fixed for the whole mix first: whole epochs, then a part of one whose words meet the target to
+within a block, its last block (which may be short) drawn by its words; what remains is rounded
+systematically over the sources. The slots of a source then lie evenly over the shards from a seeded
+start on, so every shard has the whole part of its expected share or one slot more, and the counts of
+the shards add up to the source's. The k-th slot of a source takes block pi(k mod n) of its n blocks,
+where pi is a pseudorandom permutation keyed by source and epoch k div n (a Feistel network with cycle
+walking), in the last epoch of the whole blocks; blocks meet slots by index. No block is taken more
+than ``most`` times, and within an epoch none is taken twice.
 
 Only one row a source (name, size) reaches the driver; everything else is rows in Spark.
 """
@@ -112,14 +115,35 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(expected: np.ndarray, slots: int, seed: int, shard: int) -> np.ndarray:
-    """Slots of each source in a shard: whole parts of the expectation, the rest one multinomial draw."""
-    want = expected * slots
-    whole = np.floor(want + 1e-9)
-    rest, part = int(slots - whole.sum()), np.maximum(want - whole, 0)
-    if rest > 0 and part.sum() > 0:
-        whole = whole + np.random.Generator(np.random.Philox(key=[seed, shard])).multinomial(rest, part / part.sum())
-    return whole.astype(np.int64)
+def systematic(expected: np.ndarray, start: float) -> np.ndarray:
+    """Whole numbers next to ``expected`` whose running sums follow those of ``expected`` from ``start`` on."""
+    whole = np.floor(expected)
+    return (whole + np.diff(np.floor(np.cumsum(np.concatenate(([start], expected - whole)))))).astype(np.int64)
+
+
+def slot_totals(sizes: np.ndarray, targets: np.ndarray, most: int, block: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each source: whole epochs, and how many whole blocks and whether the last block the part of an
+    epoch after them has. Expected words are the target, and differ from it by less than two blocks."""
+    some = np.maximum(sizes, 1)
+    epochs = np.where(sizes > 0, np.minimum(np.floor(targets / some + 1e-12), most), 0).astype(np.int64)
+    words = np.where((sizes > 0) & (epochs < most), np.maximum(targets - epochs * sizes, 0), 0)
+    wholes = np.maximum(-(-sizes // block) - 1, 0)  # all blocks but the last
+    end, chance = sizes - wholes * block, words / some
+    starts = np.random.Generator(np.random.Philox(key=[seed, 0])).random(2)
+    last = systematic(chance, starts[0])
+    rest = (words - last * end) / block
+    # Where the last block alone is more than the words, or all others are fewer, the other case makes up.
+    rest = np.where((words < end) & (last == 1), 0, rest)
+    rest = np.where((words < end) & (last == 0), wholes * chance / np.maximum(1 - chance, 1e-12), rest)
+    many = (words >= end) & (words > wholes * block)
+    rest = np.where(many & (last == 0), wholes, rest)
+    rest = np.where(many & (last == 1), wholes * (2 - 1 / np.maximum(chance, 1e-12)), rest)
+    return epochs, np.minimum(systematic(np.clip(rest, 0, wholes), starts[1]), wholes), last
+
+
+def dealt(totals: np.ndarray, starts: np.ndarray, shards: int, shard: int) -> np.ndarray:
+    """Slots of each source in the shards before ``shard``; slot j lies at (j + start) / total of them all."""
+    return np.clip(np.ceil(totals * (shard / shards) - starts), 0, totals).astype(np.int64) if shard < shards else totals
 
 
 @dataclass
@@ -159,9 +183,11 @@ def mix_plan(
     sizes = [x[1] for x in found]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
     blocks = [-(-s // block) for s in sizes]
-    slots_of = np.array([t * b / s if s else 0.0 for t, b, s in zip(targets, blocks, sizes)])
-    n_slots = int(round(slots_of.sum()))
-    expected = slots_of / max(slots_of.sum(), 1e-300)
+    epochs, wholes, lasts = slot_totals(np.array(sizes, np.int64), np.array(targets, float), most, block, seed)
+    n_blocks = np.array(blocks, np.int64)
+    slots_of = epochs * n_blocks + wholes + lasts
+    n_slots = int(slots_of.sum())
+    starts = np.random.Generator(np.random.Philox(key=[seed, 1])).random(len(found))
     rows = [(i, x[0], x[0] is None, x[0] or "", s, t, b) for i, (x, s, t, b) in enumerate(zip(found, sizes, targets, blocks))]
     sources = spark.createDataFrame(
         rows, "idx int, source string, _null boolean, _name string, source_size long, target double, blocks long"
@@ -179,62 +205,40 @@ def mix_plan(
     placed = keyed.withColumn("_l", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(base, ["idx", "_b"])
     documents = placed.withColumn("offset", F.col("_base") + F.col("_l")).drop("_b", "_base", "_l")
 
-    # Counts of each shard and source, then each source's running ordinal over the shards.
     n_shards = -(-n_slots // shard)
+    names = ["shard", "slot", "idx", "block", "epoch"]
 
-    def width(k: int) -> int:
-        return min(shard, n_slots - k * shard)
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[np.ndarray] = []
             for k in batch.column(0).to_pylist():
-                counts = shard_counts(expected, width(k), seed, k)
-                firsts = np.cumsum(counts) - counts
+                before = dealt(slots_of, starts, n_shards, k)
+                counts = dealt(slots_of, starts, n_shards, k + 1) - before
+                idx = np.repeat(np.arange(len(counts)), counts)
+                ordinal = np.arange(len(idx)) - np.repeat(np.cumsum(counts) - counts - before, counts)
+                slot = np.random.Generator(np.random.Philox(key=[seed + 1, k])).permutation(len(idx))
+                epoch, taken = ordinal // n_blocks[idx], ordinal % n_blocks[idx]
                 has = np.flatnonzero(counts)
-                out.append(np.stack([np.full(len(has), k), has, counts[has], firsts[has]]))
-            all_rows = np.concatenate(out, 1) if out else np.zeros((4, 0), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(all_rows[0], pa.int64()), pa.array(all_rows[1], pa.int32()), pa.array(all_rows[2], pa.int64()), pa.array(all_rows[3], pa.int64())],
-                ["shard", "idx", "n", "first"],
-            )
-
-    parts = max(1, min(n_shards, 1 + n_shards // 64))  # about 64 shards a task: its rows grow by the slot
-    drawn = spark.range(0, n_shards, 1, parts).mapInArrow(draw, "shard long, idx int, n long, first long")
-    group = drawn.withColumn("_g", F.floor(F.col("shard") / 4096))
-    within = Window.partitionBy("idx", "_g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy("idx").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    group_base = group.groupBy("idx", "_g").agg(F.sum("n").alias("_t"))
-    group_base = group_base.select("idx", "_g", F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_base"))
-    runs = group.withColumn("_l", F.coalesce(F.sum("n").over(within), F.lit(0))).join(group_base, ["idx", "_g"])
-    runs = runs.select("shard", "idx", "n", "first", (F.col("_base") + F.col("_l")).alias("ordinal"))
-    runs = runs.join(sources.select("idx", "blocks"), "idx")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                order = np.random.Generator(np.random.Philox(key=[seed + 1, r["shard"]])).permutation(width(r["shard"]))
-                ordinal = r["ordinal"] + np.arange(r["n"])
-                slot = order[r["first"] + np.arange(r["n"])]
-                epoch = ordinal // r["blocks"]
-                ordinal, slot, epoch = (x[epoch < most] for x in (ordinal, slot, epoch))
-                taken = np.zeros(len(ordinal), np.int64)
-                for e in np.unique(epoch):
-                    here = epoch == e
-                    key = (seed * 1_000_003 + r["idx"]) * 1_000_003 + int(e)
-                    taken[here] = permuted(ordinal[here] % r["blocks"], r["blocks"], key)
+                firsts = (np.cumsum(counts) - counts)[has]
+                for i, at, n in zip(has.tolist(), firsts.tolist(), counts[has].tolist()):
+                    for e in np.unique(epoch[at : at + n]).tolist():
+                        here = at + np.flatnonzero(epoch[at : at + n] == e)
+                        key = (seed * 1_000_003 + i) * 1_000_003 + e
+                        if e < epochs[i]:
+                            taken[here] = permuted(taken[here], int(n_blocks[i]), key)
+                        else:
+                            full = here[taken[here] < wholes[i]]
+                            taken[here[taken[here] >= wholes[i]]] = n_blocks[i] - 1
+                            taken[full] = permuted(taken[full], int(n_blocks[i]) - 1, key)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(slot), r["shard"]), pa.int64()), pa.array(slot, pa.int32()),
-                        pa.array(np.full(len(slot), r["idx"]), pa.int32()), pa.array(taken, pa.int64()), pa.array(epoch, pa.int32()),
+                        pa.array(np.full(len(slot), k), pa.int64()), pa.array(slot, pa.int32()), pa.array(idx, pa.int32()),
+                        pa.array(taken, pa.int64()), pa.array(epoch, pa.int32()),
                     ],
-                    ["shard", "slot", "idx", "block", "epoch"],
+                    names,
                 )
 
-    runs = runs.select("shard", "idx", "n", "first", "ordinal", "blocks").repartition(parts, "shard")
-    slots = runs.mapInArrow(
-        deal, "shard long, slot int, idx int, block long, epoch int"
-    )
+    parts = max(1, min(n_shards, 1 + n_shards // 64))  # about 64 shards a task: its rows grow by the slot
+    slots = spark.range(0, n_shards, 1, parts).mapInArrow(deal, "shard long, slot int, idx int, block long, epoch int")
     return Mix(sources, documents, slots, block)
 
 
@@ -250,7 +254,8 @@ def pieces(plan: Mix) -> DataFrame:
 
 def document_shares(plan: Mix) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes of the document) for every row."""
-    takes = plan.slots.groupBy("idx", "block").agg(F.count("*").alias("times"))
+    # Spark sizes slots by the shards they are made from, so it would broadcast them; they grow with the corpus.
+    takes = plan.slots.groupBy("idx", "block").agg(F.count("*").alias("times")).hint("merge")
     used = pieces(plan).select("_row", "idx", "block", "n_words").join(takes, ["idx", "block"])
     used = used.groupBy("_row").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
     kept = plan.documents.select("_row", "doc_id", "size", "idx").join(used, "_row", "left")
@@ -292,5 +297,5 @@ def mixed_blocks(plan: Mix, docs: DataFrame) -> DataFrame:
         F.col("p.doc_id").alias("doc_ids"),
         F.array_join("p.text", " ").alias("text"),
     )
-    out = plan.slots.join(packed, ["idx", "block"]).join(plan.sources.select("idx", "source"), "idx")
+    out = plan.slots.hint("merge").join(packed, ["idx", "block"]).join(plan.sources.select("idx", "source"), "idx")
     return out.select("shard", "slot", "source", "block", "epoch", "n_words", "doc_ids", "text")
