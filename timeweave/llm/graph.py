@@ -46,4 +46,6 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    named = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+    discard(now)
+    return named

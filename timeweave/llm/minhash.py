@@ -33,7 +33,7 @@ from timeweave.llm.graph import components
 from timeweave.llm.textkernel import documents_words, mix, shingle_hashes
 
 BANDS, ROWS = 40, 5
-SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>"
 
 
 def probe_orders(bins: int) -> np.ndarray:
@@ -71,48 +71,48 @@ def _set_key(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the distinct shingles) and band keys of every row."""
+    """doc_id, text_hash, n_shingles, set_key (of the distinct shingles) and band keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = probe_orders(bands * rows)
         for batch in batches:
             sizes, keys, found = [], [], []
-            for _, words, _, _ in documents_words(batch.column(1)):
+            for _, words, _, _ in documents_words(batch.column(2)):
                 hashes = np.unique(shingle_hashes(words, width))
                 sizes.append(len(hashes))
                 keys.append(_set_key(hashes) if len(hashes) else None)
                 found.append(band_keys(one_permutation(hashes, bands * rows, probes), bands, rows) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNATURE)
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """node, set_key, full sorted shingle set of each row; ``docs`` has node and text."""
+    """node, full sorted shingle set of the rows of ``docs`` (node, set_key, text) whose set has the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(held: list[tuple]) -> pa.RecordBatch:
+            sets = pa.array([x.view(np.int64) for _, x in held], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.int64()), sets], ["node", "shingles"])
+
         for batch in batches:
             held, size = [], 0
-            nodes = batch.column(0)
-            begin = 0
-            for row, words, _, _ in documents_words(batch.column(1)):
-                held.append(np.unique(shingle_hashes(words, width)))
-                size += len(held[-1])
-                if size > 500_000 or row == len(nodes) - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            nodes[begin : row + 1],
-                            pa.array([_set_key(x) for x in held], pa.binary()),
-                            pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64())),
-                        ],
-                        ["node", "set_key", "shingles"],
-                    )
-                    held, size, begin = [], 0, row + 1
-
-    return docs.select("node", "text").mapInArrow(run, "node long, set_key binary, shingles array<long>")
+            nodes, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for row, words, _, _ in documents_words(batch.column(2)):
+                hashes = np.unique(shingle_hashes(words, width))
+                if _set_key(hashes) != keys[row]:
+                    continue  # another row of this doc_id
+                held.append((nodes[row], hashes))
+                size += len(hashes)
+                if size > 500_000:
+                    yield batch_of(held)
+                    held, size = [], 0
+            yield batch_of(held)
+
+    return docs.select("node", "set_key", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -124,77 +124,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _leaf_pairs(members: DataFrame, hubs: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that stars may have lost: a is outside the component of a hub of its, b in another
-    component than a, and both are in buckets that hold such a class.
-
-    Shingles are ordered by rarity among these classes. Sets of the wanted likeness share one of their
-    first n - ceil(n * percent / 100) + 1 shingles, and from the places of the first one they share, at
-    most the shingles behind it can be common; other pairs are no links and make no row.
+    """Pairs (a, b) that stars may have lost: both are leaves of one bucket, a is outside the component of
+    its hub, b in another component than a. A bucket of two classes has lost nothing: its only pair is the
+    star's own.
+
+    A shingle counts only if two of these classes hold it, one of them an outside one; what cannot match
+    comes first in the order, then shingles by rarity. Sets of the wanted likeness share one of their first
+    n - ceil(n * percent / 100) + 1 shingles, and from the places of the first one they share, at most the
+    shingles behind it can be common; other pairs are no links and make no row.
     """
-    placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialize(placed.select("key", "node", "n", "component"), "placed")
-    at_hub = hubs.select("key", F.col("hub").alias("node")).join(groups, "node", "left")
-    at_hub = at_hub.select("key", F.coalesce("component", "node").alias("hub_component"))
-    outside = placed.join(at_hub, "key").where("component != hub_component")
-    open_keys = outside.select("key").distinct()
-    outside = outside.select("node").distinct().withColumn("out", F.lit(True))
-    open_nodes = placed.join(open_keys, "key", "left_semi").select("node", "n", "component").distinct()
-    open_nodes = open_nodes.join(outside, "node", "left").withColumn("out", F.coalesce("out", F.lit(False)))
-    shingles = materialize(sets.join(open_nodes, "node").select("node", "n", "component", "out", F.explode("shingles").alias("s")), "open")
-    often = shingles.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = shingles.join(often, "s")
-    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("df", "s")))
-    first = ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    first = materialize(first.select("s", "node", "n", "component", "out", "i"), "prefixes")
+    leaves = members.where("size > 2").join(hubs.select("key", "hub"), "key").where("node != hub")
+    named = groups.select("node", "component")
+    leaves = leaves.select("key", "node", "n", "hub").join(named, "node", "left")
+    at_hub = named.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    leaves = leaves.join(at_hub, "hub", "left").select(
+        "key", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component")
+    )
+    leaves = materialize(leaves.withColumn("out", F.col("component") != F.col("hub_component")), "leaves")
+    open_keys = leaves.where("out").select("key").distinct()
+    nodes = leaves.join(open_keys, "key", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.max("out").alias("out"))
+    nodes = materialize(nodes, "open")
+    discard(leaves)
+    shingles = sets.join(nodes.select("node", "out"), "node").select("node", "out", F.explode("shingles").alias("s"))
+    often = shingles.groupBy("s").agg(F.count("*").alias("df"), F.max("out").alias("any_out")).where("df > 1 and any_out")
+    w = Window.partitionBy("node")
+    able = shingles.join(often.select("s", "df"), "s").withColumns(
+        {"i": F.row_number().over(w.orderBy("df", "s")), "m": F.count("*").over(w)}
+    )
+    able = able.select("s", "node", "i", "m").join(nodes, "node").withColumn("i", F.col("n") - F.col("m") + F.col("i"))
+    first = able.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).drop("m")
+    first = materialize(first, "prefixes")
     x = first.where("out").select("s", *(F.col(c).alias(f"x{c}") for c in ("node", "n", "component", "i")))
     y = first.select("s", *(F.col(c).alias(f"y{c}") for c in ("node", "n", "component", "i")))
     most = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) + 1
     fits = (100 + percent) * most >= percent * (F.col("xn") + F.col("yn"))
     pairs = x.join(y, "s").where((F.col("xcomponent") != F.col("ycomponent")) & fits)
-    return pairs.select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b")).distinct()
+    pairs = materialize(pairs.select(F.greatest("xnode", "ynode").alias("a"), F.least("xnode", "ynode").alias("b")).distinct(), "leaf-pairs")
+    discard(first, nodes)
+    return pairs
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
-
-    Words are split at ASCII white space and A-Z lower-cased; a set holds the distinct runs of
-    ``width`` words, or the whole text as one run if it is shorter. A null, empty or blank text has an
-    empty set and links with nothing: its component is itself. A row with a null doc_id takes part in
-    no link and has a null component and kept false. Rows that repeat a doc_id are ordinary copies of
-    each other if their sets are linked; equal rows are alike in every column. Extra columns are
-    ignored. An empty table gives an empty result.
-    """
-    marks = materialize(signatures(docs, width, bands, rows), "signatures")
+def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id of every row; see ``near_duplicates``."""
+    full = materialize(signatures(docs, width, bands, rows), "signatures")
     classes = (
-        marks.where("n_shingles > 0 and doc_id is not null")
+        full.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_key")
         .agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    classes = materialize(classes, "classes")
-    marks, full = materialize(marks.drop("bands"), "marks"), marks
+    banded = materialize(classes, "banded")
+    marks = materialize(full.drop("bands"), "marks")
     discard(full)
+    classes = materialize(banded.drop("bands"), "classes")
 
-    rows_of = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = rows_of.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(rows_of.join(shared, "key"), "buckets")
-    classes, full = materialize(classes.drop("bands"), "classes"), classes
-    discard(full)
-    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi")
-    wanted = wanted.select("node", "set_key", F.col("first_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("node", "doc_id"), "doc_id")
-    sets = shingle_sets(texts, width).join(wanted.select("node", "set_key"), ["node", "set_key"], "left_semi")
-    sets = materialize(sets.drop("set_key").dropDuplicates(["node"]), "sets")
+    keys = banded.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = materialize(keys.join(shared, "key"), "buckets")
+    discard(banded)
 
     # The hub of a bucket is the class that meets the most others in all its buckets.
-    met = buckets.groupBy("node").agg(F.sum("size").alias("met"))
-    members = materialize(buckets.drop("size").join(met, "node"), "members")
+    met = buckets.groupBy("node").agg(F.sum("size").alias("met")).join(classes.select("node", "n"), "node")
+    members = materialize(buckets.join(met, "node"), "members")
     discard(buckets)
     centre = F.struct(-F.col("met"), F.xxhash64("node"))
     hubs = members.groupBy("key").agg(F.min(F.struct(centre, "node", "n")).alias("h"))
-    hubs = hubs.select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = materialize(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
 
     def sizes_fit(x: str, y: str) -> F.Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -206,24 +201,68 @@ def near_duplicates(
         .distinct()
     )
     stars = materialize(stars, "stars")
+    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(members.where("size > 2").select("node")).distinct()
+    wanted = classes.join(wanted, "node", "left_semi").select("node", "set_key", F.col("first_id").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    sets = materialize(shingle_sets(texts, width).dropDuplicates(["node"]), "sets")
+
     links = materialize(_confirmed(stars, sets, percent), "links")
     groups = components(links)
-    missed = materialize(_leaf_pairs(members, hubs, groups, sets, percent).join(stars, ["a", "b"], "left_anti"), "missed")
+    leaf_pairs = _leaf_pairs(members, hubs, groups, sets, percent)
+    missed = materialize(leaf_pairs.join(stars, ["a", "b"], "left_anti"), "missed")
+    discard(members, hubs, stars, leaf_pairs, groups)
     both = materialize(links.union(_confirmed(missed, sets, percent)), "links")
-    discard(members, stars, sets, missed, links)
+    discard(sets, missed, links)
     groups = components(both)
     discard(both)
 
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_set = named.join(smallest, "component").select("set_key", F.col("component_id").alias("_c"))
-    by_set = materialize(by_set, "components")
-    discard(classes)
-    out = marks.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
+    by_set = materialize(named.join(smallest, "component").select("set_key", F.col("component_id").alias("_c")), "components")
+    discard(classes, groups)
+    out = marks.join(by_set, "set_key", "left")
     return out.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        "doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id")
     )
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Words are split at ASCII white space and A-Z lower-cased; a set holds the distinct runs of
+    ``width`` words, or the whole text as one run if it is shorter. A null, empty or blank text has an
+    empty set and links with nothing: its component is itself. A row with a null doc_id takes part in
+    no link and has a null component and kept false. Rows that repeat a doc_id are ordinary copies of
+    each other if their sets are linked; equal rows are alike in every column. A very long text is read
+    in pieces; its set is held whole. Extra columns are ignored. An empty table gives an empty result.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return _grouped(docs, width, percent, bands, rows).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Pipeline stage: one row of each group of near copies stays, that of smallest doc_id, of several
+    texts under it that of smallest hash; the rows that stay are unchanged.
+
+    Rows equal in doc_id and text are one document, whatever their other columns; the least of them in
+    those columns stays. Texts without words are in no group and stay, as do rows with a null doc_id,
+    repeated or not.
+    """
+    rows = _grouped(docs, width, percent, BANDS, ROWS).where("doc_id is not null")
+    rows = rows.withColumn("_wordless", F.col("n_shingles") == 0)
+    group = F.when(~F.col("_wordless"), F.col("component_id"))
+    own = materialize(rows.select("doc_id", "text_hash", group.alias("g")), "rows")
+    best = own.where("g is not null").groupBy("g").agg(F.min(F.struct("doc_id", "text_hash")).alias("b"))
+    best = best.select("b.*").withColumn("_best", F.lit(True))
+    each = own.groupBy("doc_id", "text_hash").agg(F.max(F.col("g").isNotNull()).alias("_in"), F.count("*").alias("_n"))
+    marks = each.join(best, ["doc_id", "text_hash"], "left")
+    marks = marks.select(F.col("doc_id").alias("_mk_id"), F.col("text_hash").alias("_mk_hash"), (F.col("_in") & F.col("_best").isNull()).alias("_mk_drop"), F.col("_n").alias("_mk_n"))
+    marks = materialize(marks.where("_mk_drop or _mk_n > 1"), "marks")
+    keys = (docs["doc_id"].cast("long") == F.col("_mk_id")) & (F.xxhash64(docs["text"]) == F.col("_mk_hash"))
+    single = docs.join(marks, keys, "left_anti")
+    several = docs.join(marks.where("not _mk_drop"), keys)
+    others = [F.struct(*(docs[c] for c in docs.columns))]
+    several = several.groupBy("_mk_id", "_mk_hash").agg(F.min(*others).alias("_mk_row")).select("_mk_row.*")
+    return single.unionByName(several)
