@@ -161,7 +161,12 @@ def test_rollup_is_idempotent_and_signed(spark):
     want = {("a", "en", "v1", 1, 5), ("c", "en", "v1", 1, 9)}
     assert {tuple(r) for r in rollup.totals().collect()} == want
     rollup.compact(into := shared_dir(spark, "rollup"))
-    assert {tuple(r) for r in token_rollup.Rollup(spark, into).totals().collect()} == want
+    folded = token_rollup.Rollup(spark, into)
+    assert not folded.commit("1", first) and not folded.commit("3", first)
+    assert {tuple(r) for r in folded.totals().collect()} == want
+    assert folded.commit("4", first)
+    folded.compact(again := shared_dir(spark, "rollup"))
+    assert not any(token_rollup.Rollup(spark, again).commit(k, first) for k in ("1", "4"))
     with pytest.raises(ValueError):
         rollup.commit("../x", first)
     with pytest.raises(Exception, match="unknown op"):
@@ -198,11 +203,11 @@ def test_warc_round_trip(spark):
         assert got[page]["payload_digest"] == hashlib.sha256(raw).hexdigest() and got[page]["payload_bytes"] == len(raw) and got[page]["intact"]
     assert {p: r["refers_to"] for p, r in got.items() if r["record_type"] == "revisit"} == {4: 1}
     whole = collections.defaultdict(bytes)
-    for r in chunks.orderBy("page_id", "chunk_no").collect():
+    for r in chunks.orderBy("page_id", "segment", "chunk_no").collect():
         assert len(r["payload"]) <= warc.CHUNK_BYTES
         whole[r["page_id"]] += bytes(r["payload"])
     assert whole[6] == nasty.encode() and whole[8].decode() == "€" * 70_001
-    lost = warc.records(chunks.where("not (page_id = 6 and chunk_no = 2)"))
+    lost = warc.records(chunks.where("not (page_id = 6 and segment = 2)"))
     assert {r["page_id"] for r in lost.where("not intact").collect()} == {6}
 
 
@@ -215,6 +220,32 @@ def test_warc_reads_members_and_plain_files():
         assert [(r[1], r[4], bytes(r[-1])) for r in rows] == [(0, 1, b""), (1, 1, b"abc"), (2, 1, b"abca"), (2, 2, b"bc")]
 
 
+def test_foreign_records_come_in_chunks_and_damage_is_marked(spark):
+    def record(name, payload, length=None, digest=None):
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\n" + (f"WARC-Payload-Digest: {digest}\r\n" if digest else "")
+        return f"{head}Content-Length: {len(payload) if length is None else length}\r\n\r\n".encode() + payload + b"\r\n\r\n"
+
+    big = bytes(range(256)) * 40
+    right = "sha256:" + hashlib.sha256(big).hexdigest()
+    content = record("big", big, digest=right) + record("wrong", b"abc", digest=right) + b"junk\r\n\r\n" + record("none", b"x" * 2500)
+    content += record("short", b"y" * 10, length=4) + record("next", b"z", digest="sha1:ABC") + record("cut", b"q" * 50, length=5000)
+    rows = list(warc.parse(memoryview(content), 1000))
+    assert max(len(r[-1]) for r in rows) <= 1000
+    assert b"".join(r[-1] for r in rows if r[0] == "big") == big and [r[6] for r in rows if r[0] == "big"] == list(range(1, 12))
+    running = hashlib.sha256()
+    for r in rows:
+        if r[0] == "big":
+            running.update(r[-1])
+            assert r[10] == running.hexdigest()
+    frame = spark.createDataFrame(rows, warc.CHUNKS)
+    got = {(r["record_type"], r["payload_bytes"], r["payload_digest"]): r["intact"] for r in warc.records(frame).collect()}
+    want = {("response", len(big), right[7:]): True, ("response", 3, right[7:]): False, ("damaged", 0, None): False, ("response", 2500, None): True}
+    want |= {("response", 4, None): False, ("response", 1, None): True, ("response", 5000, None): False}
+    assert got == want
+    broken = __import__("gzip").compress(record("a", b"abc"))[:-12]
+    assert any(r[11] for r in warc.parse(memoryview(broken)))
+
+
 def test_gear_cuts_by_definition_and_shift_resistance():
     x = np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
     gear = cdc._GEAR.astype(object)
@@ -222,28 +253,67 @@ def test_gear_cuts_by_definition_and_shift_resistance():
     assert [int(c) for c in cdc.cut_candidates(x) if c >= 32] == plain
 
     def chunks(data):
-        ends = cdc.chunk_ends([c for c in cdc.cut_candidates(data).tolist() if c >= 32], len(data))
+        ends = cdc.chunk_ends([c for c in cdc.cut_candidates(data).tolist() if c >= 32], data)
         return [data[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
     own = chunks(x)
     assert b"".join(own) == x.tobytes() and max(map(len, own)) <= cdc.MAX_CHUNK
     moved = chunks(np.concatenate((x[:500], x[:7], x[500:])))
     assert len(set(own) & set(moved)) > 0.8 * len(own)
-
-
-def test_shared_passages_are_found_and_cut(spark):
-    rng = random.Random(5)
+    again = [chunks(np.frombuffer((p + "la " * 200).encode(), np.uint8)) for p in ("one ", "another beginning ")]
+    assert set(again[0][1:-1]) & set(again[1][1:-1])
+
+
+def longest_shared(texts):
+    """{document: positions of bytes in runs of 50 words that another document holds} by comparing all runs."""
+    runs = collections.defaultdict(set)
+    for d, t in texts.items():
+        w = t.split(" ")
+        for i in range(len(w) - 49):
+            runs[tuple(w[i : i + 50])].add(d)
+    out = {}
+    for d, t in texts.items():
+        w, inside = t.split(" "), set()
+        for i in range(len(w) - 49):
+            if len(runs[tuple(w[i : i + 50])]) > 1:
+                start = sum(len(x) + 1 for x in w[:i])
+                inside.update(range(start, start + len(" ".join(w[i : i + 50]))))
+        if inside:
+            out[d] = inside
+    return out
+
+
+def test_spans_equal_all_runs_and_every_passage_is_left_somewhere(spark):
+    rng = random.Random(15)
     words = vocabulary(rng)
-    passage = " ".join(rng.choice(words) for _ in range(60))
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(80, 300))) for _ in range(60)]
-    held = {3, 10, 11, 40}
-    rows = [(k, f"{t[:200]} {passage} {t[200:]}" if k in held else t, len(t)) for k, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
-    got = {r["doc_id"]: r for r in cdc.repeats(docs).collect()}
-    assert set(got) == held and got[3]["repeated_bytes"] == 0 and got[11]["repeated_bytes"] > 200 and 3 in got[40]["owners"]
-    cut = {r["doc_id"]: r for r in cdc.remove_repeats(docs).collect()}
-    assert cut[3]["text"] == rows[3][1] and len(cut[10]["text"]) < len(rows[10][1]) - 200 and cut[0]["text"] == rows[0][1]
-    assert all(cut[k]["n_chars"] == len(cut[k]["text"]) for k in cut)
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = {k: make(rng.randint(40, 200)) for k in range(40)}
+    for _ in range(12):
+        passage = make(rng.choice([30, 51, 60, 120]))
+        for k in rng.sample(range(40), rng.randint(2, 4)):
+            w = texts[k].split(" ")
+            at = rng.randrange(len(w))
+            texts[k] = " ".join([*w[:at], passage, *w[at:]])
+    passage = make(120)
+    half = " ".join(passage.split(" ")[:60])
+    texts |= {41: f"{make(20)} {half} {make(20)}", 45: f"{make(20)} {passage} {make(20)}", 49: f"{make(30)} {passage} {make(9)}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("_id", F.lit("own"))
+    want = longest_shared(texts)
+    got = {r["doc_id"]: r["spans"] for r in cdc.repeats(docs).collect()}
+    assert set(got) == set(want)
+    for d, inside in want.items():
+        found = set()
+        for span in got[d].split(","):
+            a, b = map(int, span.split(":"))
+            found.update(range(a, b))
+        assert inside <= found and len(found - inside) <= 40 * len(got[d].split(","))
+    left = {r["doc_id"]: r["text"] for r in cdc.remove_repeats(docs).collect()}
+    assert cdc.remove_repeats(docs).columns == docs.columns
+    for _, raw, ends in cdc._texts(pa.array(list(texts.values()))):
+        for start, end in zip([0, *ends], ends):
+            piece = raw[start:end].tobytes().decode()
+            assert any(piece in t for t in left.values())
+    assert passage in left[45] or half in left[41]
 
 
 def plain_secrets(text):
@@ -350,15 +420,48 @@ def test_mixed_blocks_hold_the_words_of_their_documents(spark):
     assert len({(b["shard"], b["slot"]) for b in blocks}) == len(blocks)
 
 
-def orders(grams):
-    """Counts by order of {(lang, four bytes): n}."""
+def orders(grams, share=2e-5):
+    """Counts by order of {(lang, four bytes): n}, of the contexts that a tree holds."""
     out = collections.Counter()
     for (lang, gram), n in grams.items():
         for order in range(4):
             out[lang, order, gram & ((1 << 8 * (order + 1)) - 1)] += n
+    sizes, totals = collections.Counter(), collections.Counter()
+    for (lang, order, gram), n in out.items():
+        sizes[lang, order, gram >> 8] += n
+        totals[lang] += n if order == 0 else 0
+    out = {k: n for k, n in out.items() if k[1] == 0 or sizes[k[0], k[1], k[2] >> 8] >= max(2, share * totals[k[0]])}
     return pa.table({"lang": [k[0] for k in out], "order": [k[1] for k in out], "gram": [k[2] for k in out], "n": list(out.values())})
 
 
+def plain_bits(text, grams, share):
+    """Code length of a text by the recursion itself: method C with exclusion, contexts by their share."""
+    total, bits = sum(grams.values()), 0.0
+    below = collections.defaultdict(collections.Counter)
+    for gram, n in grams.items():
+        raw = gram.to_bytes(4, "big")
+        for order in range(4):
+            below[raw[3 - order : 3]][raw[3]] += n
+
+    def p(context, byte):
+        if context is None:
+            return 1 / 256
+        own, shorter = below[context], context[1:] if context else None
+        if context and sum(own.values()) < max(2, share * total):
+            return p(shorter, byte)
+        n, d = sum(own.values()), len(own)
+        if own[byte]:
+            return own[byte] / (n + d)
+        left = 1 - sum(p(shorter, b) for b in own if own[b])
+        return d / (n + d) * p(shorter, byte) / left
+
+    padded = b"\0\0\0" + text
+    for i in range(len(text)):
+        context = padded[i : i + 3]
+        bits -= np.log2(p(context, padded[i + 3]))
+    return bits
+
+
 def test_ppm_nodes_are_distributions():
     rng = random.Random(1)
     grams = collections.Counter()
@@ -367,14 +470,53 @@ def test_ppm_nodes_are_distributions():
         padded = b"\0\0\0" + text
         for i in range(len(text)):
             grams[lang, int.from_bytes(padded[i : i + 4], "big")] += 1
-    model = ppm_lang.build_model(orders({k: v for k, v in grams.items()}), 1e-3)
+    model = ppm_lang.build_model(orders(grams, 1e-3))
     weights = np.ones(model.width)
     weights[0] = 256 - (model.width - 1)
     for cost in model.cost:
         assert np.allclose((np.exp2(-cost.reshape(-1, model.width).astype(float)) * weights).sum(1), 1, atol=1e-4)
     texts = pa.array(["abcabc", "dcbdcb"])
     data, offs = ppm_lang.column_bytes(texts)
-    assert ppm_lang.code_lengths(model, data, offs).argmin(1).tolist() == [0, 1]
+    assert ppm_lang.code_lengths(model, data, offs)[0].argmin(1).tolist() == [0, 1]
+
+
+def test_code_lengths_equal_the_plain_recursion():
+    rng = random.Random(12)
+    grams = collections.Counter()
+    for lang, words in (("a", ["the", "cat", "sat", "mat"]), ("b", ["der", "hut", "rot", "caf\u00e9"])):
+        raw = " ".join(rng.choice(words) for _ in range(120)).encode()
+        padded = b"\0\0\0" + raw
+        for i in range(len(raw)):
+            grams[lang, int.from_bytes(padded[i : i + 4], "big")] += 1
+    texts = ["the cat", "der hut rot", "xyz q caf\u00e9", "t", "sat sat mat the"]
+    for share in (1e-9, 0.02):
+        model = ppm_lang.build_model(orders(grams, share))
+        data, offs = ppm_lang.column_bytes(pa.array(texts))
+        got, _ = ppm_lang.code_lengths(model, data, offs)
+        for k, lang in enumerate(("a", "b")):
+            own = {g: n for (l, g), n in grams.items() if l == lang}
+            seen = {g & 255 for _, g in grams}
+            for t, text in enumerate(texts):
+                if all(b in seen for b in text.encode()):
+                    assert abs(got[t, k] - plain_bits(text.encode(), own, share)) < 1e-3
+
+
+def test_letters_are_those_of_the_letter_categories():
+    assert not any(map(ppm_lang.has_letter, ["\u00bd \u00b2 \u2460", "\u2167", "42 _", "", None]))
+    assert all(map(ppm_lang.has_letter, ["\u00bd a", "\u00e9", "\u4e2d", "\u00aa"]))
+
+
+def test_unlearned_languages_and_random_letters_are_rejected(spark):
+    rng = random.Random(3)
+    learned = {"en": "the quick brown fox jumps over the lazy dog and runs into the forest while other animals look at it".split(), "fr": "le renard brun saute par dessus le chien et court dans la foret pendant que les autres animaux le regardent".split()}
+    rows = [(k, " ".join(rng.choice(learned[lang]) for _ in range(60)), lang) for k in range(200) for lang in ("en", "fr")]
+    rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)]
+    odd = ["nopea ruskea kettu hyppii laiskan koiran yli", "xqzjv kwpfm zzxqt bvnmk qwrtp", "szybki lis przeskakuje nad leniwym psem", "42 !!"]
+    odd_ids = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 5 == 0][:4]
+    docs = spark.createDataFrame(rows + [(k, t, None) for k, t in zip(odd_ids, odd)], "doc_id long, text string, lang string")
+    docs = docs.selectExpr("*", "lang as lang_pred", "1.5 as score", "0 as gain", "'t' as _text", "1 as bits_per_byte")
+    left = ppm_lang.reject_unknown(docs)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(range(400))
 
 
 @docs_table
@@ -392,9 +534,10 @@ def test_code_length_of_a_long_text_is_the_sum_of_its_pieces(monkeypatch):
     grams = collections.Counter(int.from_bytes(padded[i : i + 4], "big") for i in range(len(text)))
     model = ppm_lang.build_model(orders({("en", g): n for g, n in grams.items()}))
     data, offs = ppm_lang.column_bytes(pa.array([text, "", text[:50]]))
-    whole = ppm_lang.code_lengths(model, data, offs)
+    whole, plain = ppm_lang.code_lengths(model, data, offs)
     monkeypatch.setattr(ppm_lang, "PIECE", 1000)
-    assert np.allclose(whole, ppm_lang.code_lengths(model, data, offs)) and whole[1, 0] == 0
+    bits, again = ppm_lang.code_lengths(model, data, offs)
+    assert np.allclose(whole, bits) and np.allclose(plain, again) and whole[1, 0] == plain[1] == 0
 
 
 def test_ordinal_gradient_fit_orders_grades():
@@ -493,3 +636,119 @@ def test_slot_totals_follow_targets_in_the_mean():
             got.append(epochs * sizes + wholes * 64 + last * end)
             assert (abs(got[-1] - part * sizes) < 128).all() and (got[-1] <= 2 * sizes).all()
         assert (abs(np.mean(got, 0) - part * sizes) <= 3 + 0.01 * sizes).all()
+
+
+def test_markov_spans_of_a_scan_find_planted_keys(spark):
+    """Recall and false hits of the models through scan: keys that no pattern matches, in several alphabets."""
+    rng = random.Random(44)
+    words = vocabulary(rng, 500)
+    alphabets = {"base62": secrets.KEY_CHARS[:62], "base64": secrets.KEY_CHARS[:64], "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}
+    plain = [rng.choice("/_-").join(rng.choice(words) for _ in range(rng.randint(4, 9))) for _ in range(300)]
+    rows, planted = [], {}
+    for k in range(600):
+        text = " ".join(rng.choice(words) for _ in range(30)) + f" {rng.choice(plain)} "
+        if k % 2:
+            kind = sorted(alphabets)[k % 3]
+            planted[k] = (kind, len(text), "".join(rng.choice(alphabets[kind]) for _ in range(rng.randint(28, 48))))
+            text += planted[k][2] + " end"
+        rows.append((k, text))
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = collections.Counter()
+    for k, (kind, at, key) in planted.items():
+        spans = [x.split(":") for x in got[k]["spans"].split(",") if x.startswith("markov")]
+        hit[kind] += any(int(s) <= at and at + len(key) <= int(e) for _, s, e in spans)
+    assert all(hit[kind] >= 0.95 * sum(p[0] == kind for p in planted.values()) for kind in alphabets), hit
+    assert sum(r["n_markov"] > 0 for k, r in got.items() if k not in planted) <= 3
+
+
+def test_shard_counts_are_a_draw_that_adds_up():
+    totals, shards = np.array([1, 40, 700, 3000, 0]), 13
+    starts = np.array([0.2, 0.5, 0.9, 0.1, 0.3])
+    for group in (4, 13, 100):
+        every = list(mixing.shard_counts(totals, starts, shards, group, 9, 0, shards))
+        counts = np.array([c for _, _, c in every])
+        assert [k for k, _, _ in every] == list(range(shards)) and (counts.sum(0) == totals).all()
+        assert (np.cumsum(counts, 0) - counts == np.array([b for _, b, _ in every])).all()
+        part = list(mixing.shard_counts(totals, starts, shards, group, 9, 5, 8))
+        assert all(k == every[k][0] and (c == every[k][2]).all() and (b == every[k][1]).all() for k, b, c in part)
+    sizes = counts.sum(1)
+    assert sizes.max() - sizes.min() <= 1
+    draws = np.array([[c[2] for _, _, c in mixing.shard_counts(totals, starts, shards, 100, seed, 0, 1)][0] for seed in range(800)])
+    share = sizes[0] / totals.sum()
+    spread = 700 * share * (1 - 700 / totals.sum()) * (1 - share) * totals.sum() / (totals.sum() - 1)
+    assert abs(draws.mean() - 700 * share) < 1 and 0.8 < draws.var() / spread < 1.25
+
+
+@docs_table
+def test_taken_words_are_those_of_the_slots(spark):
+    docs = documents(spark)
+    plan = mixing.mix_plan(docs)
+    times = collections.Counter((r["idx"], r["block"]) for r in plan.slots.collect())
+    where = {r["_row"]: r for r in plan.documents.collect()}
+    want = collections.Counter()
+    for r in where.values():
+        for word in range(r["offset"], r["offset"] + r["size"]):
+            want[r["doc_id"]] += times[r["idx"], word // mixing.BLOCK]
+    assert all(r["taken"] == want[r["doc_id"]] for r in mixing.document_shares(plan).collect())
+
+
+@docs_table
+def test_held_out_ratings_are_kept_apart(spark):
+    folder = SF.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = ordinal.select_quality(docs, labels).where("held_out").join(ordinal.graded(labels), "doc_id").collect()
+    kept = {g: np.mean([r["kept"] for r in out if r["grade"] == g]) for g in (0, 1, 2)}
+    print("kept of toxic, poor, good:", kept)
+    assert kept[2] >= 0.97 and kept[1] <= 0.12 and kept[0] <= 0.05, kept
+
+
+def test_one_row_of_each_group_is_left(spark):
+    rng = random.Random(21)
+    words = vocabulary(rng)
+    base = [rng.choice(words) for _ in range(60)]
+    near = [*base[:-1], "other"]
+    far = " ".join(rng.choice(words) for _ in range(60))
+    rows = [(1, " ".join(base), "a"), (1, " ".join(near), "b"), (2, " ".join(near), "a"), (2, far, "c"), (3, far, "z"), (3, far, "b"), (4, None, "n"), (4, None, "n"), (None, far, "q"), (None, far, "q"), (5, " ", "w"), (6, " ", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string").selectExpr("*", "1 as kept", "2 as _id", "3 as text_hash")
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"], r["_text"]) for r in left.collect()), key=repr)
+    one = [r for r in got if r[0] == 1]
+    assert len(one) == 1 and [r for r in got if r[0] != 1] == sorted([(2, far, "c"), (None, far, "q"), (None, far, "q"), (4, None, "n"), (5, " ", "w"), (6, " ", "w")], key=repr)
+
+
+def plain_fingerprint(spark, text):
+    """The fingerprint by votes in plain Python; the hash of a pair is Spark's."""
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
+    if not words:
+        return 0
+    pairs = list(zip(words, words[1:])) or [(words[0], None)]
+    frame = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    hashes = {r["k"]: r["h"] & (2**64 - 1) for r in frame.select("k", F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64("a", "b")).alias("h")).collect()}
+    weights = [min(len(a) + len(b), simhash.MAX_WEIGHT) if b else 1 for a, b in pairs]
+    return sum(1 << bit for bit in range(64) if sum(w if hashes[k] >> bit & 1 else -w for k, w in enumerate(weights)) > 0)
+
+
+def test_fingerprints_equal_plain_votes(spark):
+    rng = random.Random(19)
+    texts = [" ".join(rng.choice(["a", "b\u00e9", "ccc", "longerword", "\u4e2d"]) for _ in range(rng.randint(0, 40))) for _ in range(12)] + ["one", ""]
+    got = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    assert {r["doc_id"]: r["fp"] & (2**64 - 1) for r in got} == {k: plain_fingerprint(spark, t) for k, t in enumerate(texts)}
+
+
+def test_next_documents_of_odd_ids(spark):
+    rng = random.Random(23)
+    ids = [-(10**15), 5, 5, 5, None, None, 10**17, *range(100, 140)]
+    rows = [(k, " ".join(rng.choice(["one", "two", "three"]) + str(rng.randrange(99)) for _ in range(12))) for k in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(keyed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), -r["h"]))
+    want = []
+    for r, follow in zip(order, order[1:] + order[:1]):
+        cut = len(r["text"]) // 2
+        want.append((r["doc_id"], hashlib.sha256((r["text"][: len(r["text"]) - cut] + follow["text"][:cut]).encode()).hexdigest()))
+    for rows_a_bucket in (2000, 3):
+        simhash.ROWS_A_BUCKET = rows_a_bucket
+        got = [(r["doc_id"], r["edited_sha256"]) for r in simhash.compare_edited(docs).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    simhash.ROWS_A_BUCKET = 2000

@@ -35,3 +35,13 @@ def test_stages_take_an_empty_table(spark):
     if os.path.isdir(SF):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, SF).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_stages_keep_columns_of_any_name(spark):
+    clash = ["score", "lang_pred", "bits_per_byte", "_text", "_id", "_cuts", "kept", "component_id", "_leak", "gain", "text_hash", "row", "cuts"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("*", *(f"'x' as `{c}`" for c in clash))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), name)
+        assert set(clash) < set(docs.columns) and docs.where("score != 'x' or kept != 'x'").count() == 0
+    assert docs.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0

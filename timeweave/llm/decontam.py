@@ -25,9 +25,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.llm.common import materialize
 from timeweave.llm.textkernel import PUNCTUATION, documents_words, shingle_hashes
 
 GRAM, SPREAD, THRESHOLD = 3, 4, 0.6
@@ -36,28 +38,44 @@ BLOCK_WORDS = 2_000_000
 SCHEMA = "doc_id long, item_id long, score double, start_word int, end_word int, matches int"
 
 
+def _next_row(before: np.ndarray, word: np.uint64, text: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """One row of scores; the gap along the text is a running maximum of score plus distance."""
+    now = np.zeros(len(before), np.int64)
+    now[1:] = np.maximum(np.maximum(before[:-1] + np.where(text == word, 2, -1), before[1:] - 1), 0)
+    return np.maximum.accumulate(now + steps) - steps
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     """Smith-Waterman over word hashes: best score, first and last word of the text's part, matches.
 
-    Rows are vectorised: the gap along the text is a running maximum of score plus distance."""
-    n = len(text)
+    Every k-th row of scores is kept, k being the root of the item's length; going back, the rows between
+    two kept ones are computed again, so memory is 2 * k rows and not one for each word of the item."""
+    n, every = len(text), max(1, int(len(item) ** 0.5))
     steps = np.arange(n + 1)
-    before = np.zeros(n + 1, np.int64)
-    kept = np.zeros((len(item) + 1, n + 1), np.int32)
-    for i, word in enumerate(item, 1):
-        diagonal = before[:-1] + np.where(text == word, 2, -1)
-        now = np.zeros(n + 1, np.int64)
-        now[1:] = np.maximum(np.maximum(diagonal, before[1:] - 1), 0)
-        before = kept[i] = np.maximum.accumulate(now + steps) - steps
-        before = before.astype(np.int64)
-    i, j = np.unravel_index(int(kept.argmax()), kept.shape)
-    best, last, matches = int(kept[i, j]), int(j) - 1, 0
-    while i and j and kept[i, j]:
+    row, marks = np.zeros(n + 1, np.int64), [np.zeros(n + 1, np.int32)]
+    best, i, j = 0, 0, 0
+    for k, word in enumerate(item, 1):
+        row = _next_row(row, word, text, steps)
+        if k % every == 0:
+            marks.append(row.astype(np.int32))
+        at = int(row.argmax())
+        if row[at] > best:
+            best, i, j = int(row[at]), k, at
+    last, matches, held, low = j - 1, 0, [], 0
+    while i and j:
+        if not held or i <= low:
+            low = (i - 1) // every * every
+            held = [marks[low // every].astype(np.int64)]
+            for k in range(low, i):
+                held.append(_next_row(held[-1], item[k], text, steps))
+        here, above = held[i - low], held[i - low - 1]
+        if not here[j]:
+            break
         same = text[j - 1] == item[i - 1]
-        if kept[i, j] == kept[i - 1, j - 1] + (2 if same else -1):
+        if here[j] == above[j - 1] + (2 if same else -1):
             matches += int(same)
             i, j = i - 1, j - 1
-        elif kept[i, j] == kept[i - 1, j] - 1:
+        elif here[j] == above[j] - 1:
             i -= 1
         else:
             j -= 1
@@ -109,12 +127,9 @@ def _filter(known: np.ndarray) -> np.ndarray:
     return table
 
 
-def _frequencies(docs: DataFrame, items: Items) -> dict[int | None, int]:
+def _frequencies(docs: DataFrame, shared: Broadcast, gram: int) -> dict[int | None, int]:
     """Occurrences in the corpus of the block's n-grams, and the number of texts under None; at most one
     row for each reaches the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.known)
-    gram = items.gram
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         table, counts, n_texts = _filter(known), np.zeros(len(known), np.int64), 0
@@ -146,10 +161,14 @@ def _windows(hits: list[tuple[int, int]], item_words: int, text_words: int) -> l
     return [(a, b) for a, b in out if b > a]
 
 
-def _leaks_of_block(docs: DataFrame, items: Items, spread: int, threshold: float) -> DataFrame:
-    seeds, where = items.seeds(_frequencies(docs, items), spread)
-    shared = docs.sparkSession.sparkContext.broadcast((items.ids, items.words, seeds.view(np.uint64), where))
-    gram = items.gram
+def _block_seeds(docs: DataFrame, items: Items, spread: int) -> tuple[Broadcast, Broadcast]:
+    """The block's n-grams and, from their counts in the corpus, what the tasks need to find its items."""
+    known = docs.sparkSession.sparkContext.broadcast(items.known)
+    seeds, where = items.seeds(_frequencies(docs, known, items.gram), spread)
+    return known, docs.sparkSession.sparkContext.broadcast((items.ids, items.words, seeds.view(np.uint64), where))
+
+
+def _leaks_of_block(docs: DataFrame, shared: Broadcast, gram: int, threshold: float) -> DataFrame:
     names = ["doc_id", "item_id", "score", "start_word", "end_word", "matches"]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
 
@@ -194,33 +213,46 @@ def leaks(
 
     score is the aligned share of the item (0 to 1); start_word and end_word delimit the aligned words
     of the document, words being runs of letters and digits, A-Z
-    lower-cased. Null, empty and blank texts hold nothing; an
+    lower-cased. Null, empty and blank texts hold nothing; very long ones are read in pieces; an
     item without words is held by nothing; an item shorter than ``gram`` words is one seed. Repeated
-    rows are reported as often as they occur, repeated items once each. Empty tables give no rows.
+    rows are reported as often as they occur, repeated items once each. Extra columns are ignored. Empty
+    tables give no rows.
+
+    One block of the benchmark is on the driver at a time; its leaks are written before the next is read.
     """
     spark = docs.sparkSession
-    blocks: list[Items] = []
+    done: list[DataFrame] = []
     ids: list[int] = []
     texts: list[str] = []
     size = 0
+
+    def block_done() -> None:
+        items = Items(ids, texts, gram)
+        seeds, shared = _block_seeds(docs, items, spread)
+        found = _leaks_of_block(docs, shared, gram, threshold)
+        done.append(materialize(found, "leaks"))
+        shared.unpersist()
+        seeds.unpersist()
+
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         ids.append(row["item_id"])
         texts.append(row["text"])
         size += len(row["text"].split())
         if size >= block_words:
-            blocks.append(Items(ids, texts, gram))
+            block_done()
             ids, texts, size = [], [], 0
     if ids:
-        blocks.append(Items(ids, texts, gram))
-    if not blocks:
+        block_done()
+    if not done:
         return spark.createDataFrame([], SCHEMA)
-    return reduce(DataFrame.unionByName, (_leaks_of_block(docs, b, spread, threshold) for b in blocks))
+    return reduce(DataFrame.unionByName, done)
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: documents that hold a test item go, the others stay unchanged.
 
-    Rows that share a doc_id go together; a row with a null doc_id stays."""
-    found = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_anti")
+    Rows that share a doc_id go together; a row with a null doc_id stays, as do null and empty texts and, if
+    the benchmark is empty, all rows. All columns pass through, whatever their names."""
+    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long") == found["_leak"], "left_anti")

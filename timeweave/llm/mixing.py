@@ -1,12 +1,14 @@
 """Mixing sources to target weights, by packed blocks and seeded index permutations.
 
 The words of a source are packed, in a fixed order of its documents, into blocks of ``block`` words.
-The mix is a row of slots, dealt out in shards of ``shard`` slots on average. How many slots a source
-gets is fixed for the whole mix first: whole epochs, then a part of one whose words meet the target to
-within a block, its last block (which may be short) drawn by its words; what remains is rounded
-systematically over the sources. The slots of a source then lie evenly over the shards from a seeded
-start on, so every shard has the whole part of its expected share or one slot more, and the counts of
-the shards add up to the source's. The k-th slot of a source takes block pi(k mod n) of its n blocks,
+The mix is a row of slots, cut into shards of ``shard`` slots. How many slots a source gets is fixed for
+the whole mix first: whole epochs, then a part of one whose words meet the target to within a block, its
+last block (which may be short) drawn by its words; what remains is rounded systematically over the
+sources. The counts of a shard are then a multinomial draw given those totals (multivariate
+hypergeometric): the slots of a range of shards are drawn apart into two halves again and again, each time
+by a generator keyed by the range, so every shard finds its own counts without the others' and the counts
+add up to the totals. Runs of GROUP shards, about as many slots as numpy's draw can hold, get their part
+of the totals by systematic rounding. The k-th slot of a source takes block pi(k mod n) of its n blocks,
 where pi is a pseudorandom permutation keyed by source and epoch k div n (a Feistel network with cycle
 walking), in the last epoch of the whole blocks; blocks meet slots by index. No block is taken more
 than ``most`` times, and within an epoch none is taken twice.
@@ -30,6 +32,7 @@ from timeweave.llm.textkernel import _SPACE, PIECE, column_bytes, mix
 WEIGHTS = (5, 2, 1)
 BLOCK, SHARD, SEED = 64, 1024, 17
 MAX_SOURCES = 1_000_000
+GROUP_SLOTS = 1 << 28
 
 
 def word_sizes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -141,9 +144,33 @@ def slot_totals(sizes: np.ndarray, targets: np.ndarray, most: int, block: int, s
     return epochs, np.minimum(systematic(np.clip(rest, 0, wholes), starts[1]), wholes), last
 
 
-def dealt(totals: np.ndarray, starts: np.ndarray, shards: int, shard: int) -> np.ndarray:
-    """Slots of each source in the shards before ``shard``; slot j lies at (j + start) / total of them all."""
-    return np.clip(np.ceil(totals * (shard / shards) - starts), 0, totals).astype(np.int64) if shard < shards else totals
+def dealt(totals: np.ndarray, starts: np.ndarray, done: float) -> np.ndarray:
+    """Slots of each source in the share ``done`` of the mix; slot j of a source lies at (j + start) / total."""
+    return np.clip(np.ceil(totals * done - starts), 0, totals).astype(np.int64) if done < 1 else totals
+
+
+def shard_counts(totals: np.ndarray, starts: np.ndarray, shards: int, group: int, seed: int, first: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source before it, slots of each source in it) for shards first to end - 1 of all.
+
+    Shard sizes differ by one slot at most within a group of ``group`` shards."""
+
+    def halves(low: int, high: int, before: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if high <= first or low >= end:
+            return
+        if high - low == 1:
+            yield low, before, counts
+            return
+        middle = (low + high) // 2
+        rng = np.random.Generator(np.random.Philox(key=[seed, low << 32 | high]))
+        slots = int(counts.sum()) * (middle - low) // (high - low)
+        left = rng.multivariate_hypergeometric(counts, slots, method="marginals") if counts.any() else counts
+        yield from halves(low, middle, before, left)
+        yield from halves(middle, high, before + left, counts - left)
+
+    for low in range(first // group * group, end, group):
+        high = min(low + group, shards)
+        before = dealt(totals, starts, low / shards)
+        yield from halves(low, high, before, dealt(totals, starts, high / shards) - before)
 
 
 @dataclass
@@ -171,7 +198,8 @@ def mix_plan(
     Sources are ordered by code point, a null source last, and weigh ``weights`` in turn. Texts that
     are null, empty or blank have size 0 and are never taken. Rows that repeat a doc_id are separate
     documents; the order within a source is by hash of doc_id, then doc_id, size and row, so it does
-    not depend on partitions but for rows equal in all of these. An empty table gives an empty plan.
+    not depend on partitions but for rows equal in all of these. A very long text lies in many blocks.
+    Extra columns are ignored. An empty table gives an empty plan.
     """
     spark = docs.sparkSession
     measured = materialize(sized(docs).withColumn("_row", F.monotonically_increasing_id()), "sized")
@@ -207,12 +235,14 @@ def mix_plan(
 
     n_shards = -(-n_slots // shard)
     names = ["shard", "slot", "idx", "block", "epoch"]
+    group = max(1, GROUP_SLOTS // shard)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                before = dealt(slots_of, starts, n_shards, k)
-                counts = dealt(slots_of, starts, n_shards, k + 1) - before
+            wanted = batch.column(0).to_pylist()
+            if not wanted:
+                continue
+            for k, before, counts in shard_counts(slots_of, starts, n_shards, group, seed + 2, wanted[0], wanted[-1] + 1):
                 idx = np.repeat(np.arange(len(counts)), counts)
                 ordinal = np.arange(len(idx)) - np.repeat(np.cumsum(counts) - counts - before, counts)
                 slot = np.random.Generator(np.random.Philox(key=[seed + 1, k])).permutation(len(idx))

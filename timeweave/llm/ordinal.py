@@ -60,8 +60,8 @@ class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def tails(self, score: float) -> np.ndarray:
-        """Probability that the grade is above each threshold; falls from left to right."""
+    def tails(self, score: float | np.ndarray) -> np.ndarray:
+        """Probability that the grade is above each threshold; falls from left to right. Scores may be a column."""
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -500, 500)))
 
 
@@ -143,11 +143,15 @@ def score(docs: DataFrame, model: Ordinal, keep: list[str]) -> DataFrame:
         for batch in batches:
             texts = batch.column(len(keep))
             data, offs = column_bytes(texts)
-            tails = [m.tails(float(m.weights[features(w, data[offs[k] : offs[k + 1]])].sum())) for k, w, _, _ in documents_words(texts, PUNCTUATION)]
-            expected = pa.array([float(t.sum()) for t in tails], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], expected, pa.array(tails, pa.list_(pa.float64()))], schema.names)
+            scores = [m.weights[features(w, data[offs[k] : offs[k + 1]])].sum(dtype=np.float64) for k, w, _, _ in documents_words(texts, PUNCTUATION)]
+            tails = m.tails(np.array(scores, float)[:, None])
+            ends = pa.array(np.arange(len(scores) + 1) * tails.shape[1], pa.int32())
+            expected = pa.array(tails.sum(1), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keep)], expected, pa.ListArray.from_arrays(ends, pa.array(tails.ravel(), pa.float64()))], schema.names
+            )
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -167,7 +171,9 @@ def select_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Da
 
     p_acceptable is the probability of a grade above 0, p_good of one above 1; kept means that p_good is
     at least ``least``. Ratings of held-out documents are not used. Several ratings of a document each
-    count. Without ratings every document has the same probabilities. Extra columns are ignored.
+    count. Without ratings every document has the same probabilities. Null and empty texts are scored by
+    their statistics, very long ones whole; repeated rows and rows with a null doc_id are scored each; ties
+    at ``least`` are kept. Extra columns are ignored; an empty table gives an empty result.
     """
     model = train(docs, graded(labels).where(~held_out(F.col("doc_id"))))
     marked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

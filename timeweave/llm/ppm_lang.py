@@ -2,14 +2,15 @@
 
 Training counts, for each language, every byte with the three bytes before it; Spark sums the counts.
 The counts are then frozen as one context tree a language: a context of order 1 to 3 is a node if it
-makes up ``context_share`` of the language's bytes, so the order varies with the evidence. In a node
-of n occurrences and d distinct next bytes, a seen byte of count c has probability c / (n + d), and
-the escape d / (n + d) is spread over the unseen bytes in proportion to the next shorter context (PPM
-method C with exclusion); below order 0 all 256 bytes are alike. Each node is thus an exact
-distribution, and a text's code length under a language is the sum of its bytes' costs in bits.
-
-The model's size is bounded by its parameters: at most 1 / gram_share counts an order
-and 3 / context_share nodes for each language. Training reads all labelled rows.
+makes up ``context_share`` of the language's bytes, so the order varies with the evidence, and a node
+keeps the whole counts of all bytes that follow it. In a node of n occurrences and d distinct next
+bytes, a seen byte of count c has probability c / (n + d), and the escape d / (n + d) is spread over the
+unseen bytes in proportion to the next shorter context (PPM method C with exclusion); below order 0 all
+256 bytes are alike. Each node is thus an exact distribution, and a text's code length under a language
+is the sum of its bytes' costs in bits.
+
+The model's size is bounded by its parameters: a language has at most 3 / context_share nodes, each a row
+of costs, and a lookup from the nodes of all languages to its own. Training reads all labelled rows.
 """
 
 from __future__ import annotations
@@ -27,21 +28,30 @@ from timeweave.llm.common import discard, materialize
 from timeweave.llm.textkernel import PIECE, column_bytes
 
 ORDER = 3
-GRAM_SHARE = 1e-6
 CONTEXT_SHARE = 2e-5
 SCORE_BYTES = 48
-LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers that are no digits
+LEAST_GAIN = 0.0
+
+
+def has_letter(text: str | None) -> bool:
+    """True if a character is of a Unicode letter category (Lu, Ll, Lt, Lm, Lo)."""
+    return text is not None and any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 @dataclass
 class Model:
     """Frozen statistics. symbol: byte to symbol id, 0 for bytes never seen; node: deepest node of a
-    triple of symbols; cost: for each language, bits of (node, symbol)."""
+    triple of symbols; row: for each language, its own row of a node, that of the deepest of the node's
+    suffixes that the language has; cost: for each language, bits of (row, symbol); pooled: bits of each
+    symbol by the letter frequencies of all languages together."""
 
     languages: list[str]
     symbol: np.ndarray
     node: np.ndarray
+    row: list[np.ndarray]
     cost: list[np.ndarray]
+    pooled: np.ndarray
 
     @property
     def width(self) -> int:
@@ -116,8 +126,19 @@ def by_order(counts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
 
 
-def build_model(counts: pa.Table, context_share: float = CONTEXT_SHARE) -> Model:
-    """The context trees of counts by order (lang, order, gram, n)."""
+def tree_counts(counts: DataFrame, context_share: float) -> DataFrame:
+    """The rows of ``by_order`` that the trees hold: all of order 0, and all of the contexts that make up
+    ``context_share`` of their language's bytes (two at least), whole."""
+    totals = counts.where("order = 0").groupBy("lang").agg(F.sum("n").alias("total"))
+    context = F.shiftright("gram", 8)
+    sized = counts.where("order > 0").groupBy("lang", "order", context.alias("context")).agg(F.sum("n").alias("size"))
+    often = sized.join(totals, "lang").where(F.col("size") >= F.greatest(F.lit(2), context_share * F.col("total")))
+    kept = counts.where("order > 0").withColumn("context", context).join(often.drop("size", "total"), ["lang", "order", "context"], "left_semi")
+    return counts.where("order = 0").select("lang", "order", "gram", "n").union(kept.select("lang", "order", "gram", "n"))
+
+
+def build_model(counts: pa.Table) -> Model:
+    """The context trees of counts (lang, order, gram, n); each context given is a node."""
     lang_of = np.asarray(counts["lang"].to_pylist(), dtype=object)
     gram_of, n_of, order_of = counts["gram"].to_numpy().astype(np.int64), counts["n"].to_numpy(), counts["order"].to_numpy()
     languages = sorted(set(lang_of))
@@ -125,55 +146,50 @@ def build_model(counts: pa.Table, context_share: float = CONTEXT_SHARE) -> Model
     symbol = np.zeros(256, np.int64)
     symbol[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 1
-    others = 256 - len(seen)  # bytes that symbol 0 stands for
+    multiple = np.ones(width)
+    multiple[0] = 256 - len(seen)  # bytes that symbol 0 stands for
 
     quads = np.stack([symbol[(gram_of >> s) & 255] for s in (24, 16, 8, 0)], 1)
-    by_lang = {}
-    nodes: list[np.ndarray] = [np.zeros(0, np.int64)] * (ORDER + 1)
+    by_lang, own_contexts = {}, {}
+    nodes: list[np.ndarray] = [np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * ORDER]
     for lang in languages:
         for order in range(ORDER + 1):
             own = (lang_of == lang) & (order_of == order)
-            by_lang[lang, order] = (quads[own], n_of[own])
-            if order == 0:
-                total = n_of[own].sum()
-                continue
             context = _context(quads[own], order, width)
-            ids, where = np.unique(context, return_inverse=True)
-            often = np.bincount(where, n_of[own], len(ids)) >= max(2, context_share * total)
-            nodes[order] = np.union1d(nodes[order], ids[often]).astype(np.int64)
-
-    first = np.cumsum([1, *(len(x) for x in nodes[1:])])  # node 0 is the empty context
-    size = int(first[-1])
-    parent = np.zeros(size, np.int64)
-    place = [np.zeros(1, np.int64)]
+            by_lang[lang, order] = (context, quads[own, 3], n_of[own])
+            own_contexts[lang, order] = np.unique(context) if order else nodes[0]
+            nodes[order] = np.union1d(nodes[order], own_contexts[lang, order]).astype(np.int64)
+
+    first = np.cumsum([0, *(len(x) for x in nodes)])  # node 0 is the empty context
+    parent = np.zeros(int(first[-1]), np.int64)
+    deepest = np.zeros(1, np.int64)
     for order in range(1, ORDER + 1):
-        deepest = np.repeat(place[-1][None], width, 0).reshape(-1) if order > 1 else np.zeros(width, np.int64)
         # the context's oldest symbol is the highest digit, so its parent is the rest
-        own = np.arange(first[order - 1], first[order])
+        deepest = np.tile(deepest, width)
+        own = np.arange(first[order], first[order + 1])
         parent[own] = deepest[nodes[order]]
-        deepest = deepest.copy()
         deepest[nodes[order]] = own
-        place.append(deepest)
 
-    cost = []
+    rows, cost = [], []
     for lang in languages:
-        table = np.empty((size, width), np.float32)
-        multiple = np.ones(width)
-        multiple[0] = others
+        row, tables, size = np.zeros(len(parent), np.int32), [], 0
         for order in range(ORDER + 1):
-            grams, n = by_lang[lang, order]
-            ids = np.array([0]) if order == 0 else nodes[order]
-            start = 0 if order == 0 else int(first[order - 1])
+            ids, at_node = own_contexts[lang, order], np.arange(first[order], first[order + 1])
+            row[at_node] = row[parent[at_node]]
             if not len(ids):
                 continue
-            context = np.zeros(len(grams), np.int64) if order == 0 else _context(grams, order, width)
-            at = np.minimum(np.searchsorted(ids, context), len(ids) - 1)
-            ok = ids[at] == context
-            here = np.bincount(at[ok] * width + grams[ok, 3], n[ok], len(ids) * width).reshape(len(ids), width)
-            below = np.full((len(ids), width), 1 / 256) if order == 0 else table[parent[start : start + len(ids)]].astype(np.float64)
-            table[start : start + len(ids)] = _mixed(here, below, multiple)
-        cost.append(-np.log2(np.maximum(table, 1e-30)).astype(np.float32).reshape(-1))
-    return Model(languages, symbol, place[ORDER].astype(np.int32), cost)
+            mine = first[order] + np.searchsorted(nodes[order], ids)
+            below = np.full((1, width), 1 / 256) if order == 0 else np.concatenate(tables)[row[parent[mine]]]
+            context, byte, n = by_lang[lang, order]
+            here = np.bincount(np.searchsorted(ids, context) * width + byte, n, len(ids) * width).reshape(len(ids), width)
+            tables.append(_mixed(here, below, multiple))
+            row[mine] = size + np.arange(len(ids))
+            size += len(ids)
+        rows.append(row)
+        cost.append(-np.log2(np.maximum(np.concatenate(tables), 1e-30)).astype(np.float32).reshape(-1))
+    letters = np.bincount(quads[order_of == 0, 3], n_of[order_of == 0], width)[None]
+    pooled = -np.log2(_mixed(letters, np.full((1, width), 1 / 256), multiple))[0].astype(np.float32)
+    return Model(languages, symbol, deepest.astype(np.int32), rows, cost, pooled)
 
 
 def _context(quads: np.ndarray, order: int, width: int) -> np.ndarray:
@@ -193,68 +209,67 @@ def _mixed(here: np.ndarray, below: np.ndarray, multiple: np.ndarray) -> np.ndar
     return np.where(seen, known, escape * below / np.maximum(left, 1e-30))
 
 
-def code_lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Bits of each text (rows) under each language (columns)."""
+def code_lengths(model: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each text (rows) under each language (columns), and by pooled letter frequencies."""
     n, width = len(offs) - 1, model.width
-    bits = np.zeros((n, len(model.languages)))
+    bits, plain = np.zeros((n, len(model.languages))), np.zeros(n)
     for first, last, text, mask in pieces(data, offs):
         symbols = model.symbol[text]
-        node = model.node[(symbols[:-3] * width + symbols[1:-2]) * width + symbols[2:-1]]
-        at = (node * np.int64(width) + symbols[3:])[mask[3:]]
-        if not len(at):
+        node = model.node[(symbols[:-3] * width + symbols[1:-2]) * width + symbols[2:-1]][mask[3:]]
+        next_symbol = symbols[3:][mask[3:]]
+        if not len(node):
             continue
-        lengths = np.diff(offs[first : last + 1]) if last - first > 1 or len(at) == offs[last] - offs[first] else np.array([len(at)])
+        lengths = np.diff(offs[first : last + 1]) if last - first > 1 or len(node) == offs[last] - offs[first] else np.array([len(node)])
         full = np.flatnonzero(lengths)
         starts = np.concatenate(([0], np.cumsum(lengths[full])[:-1]))
         for k, table in enumerate(model.cost):
+            at = model.row[k][node] * np.int64(width) + next_symbol
             bits[first + full, k] += np.add.reduceat(table[at].astype(np.float64), starts)
-    return bits
+        plain[first + full] += np.add.reduceat(model.pooled[next_symbol].astype(np.float64), starts)
+    return bits, plain
 
 
-def train(
-    labelled: DataFrame, gram_share: float = GRAM_SHARE, context_share: float = CONTEXT_SHARE
-) -> Model:
-    """A model of all rows of (text, lang) with neither null. Counts of orders 2 and 3 below ``gram_share``
-    of a language's bytes are dropped, which leaves at most 1 / gram_share an order and language; those of
-    orders 0 and 1 are whole."""
+def train(labelled: DataFrame, context_share: float = CONTEXT_SHARE) -> Model:
+    """A model of all rows of (text, lang) with neither null."""
     counts = materialize(by_order(gram_counts(labelled.where("text is not null and lang is not null"))), "grams")
-    totals = counts.where("order = 0").groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, "lang").where((F.col("order") <= 1) | (F.col("n") >= gram_share * F.col("total")))
-    model = build_model(kept.select("lang", "order", "gram", "n").toArrow(), context_share)
+    model = build_model(tree_counts(counts, context_share).toArrow())
     discard(counts)
     return model
 
 
+def _judged(m: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and gain of each text; ``und``, 0 and 0 without a letter."""
+    data, offs = column_bytes(texts)
+    named, score, gain = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    letters = np.array([has_letter(t) for t in texts.to_pylist()], bool)
+    if m.languages and letters.any():
+        (bits, plain), sizes = code_lengths(m, data, offs), np.maximum(np.diff(offs), 1)
+        best = bits.argmin(1)
+        gain = np.where(letters, 1 - bits.min(1) / np.maximum(plain, 1e-9), 0)
+        lead = (bits - bits.min(1, keepdims=True)) * (np.minimum(sizes, SCORE_BYTES) / sizes)[:, None]
+        score = np.where(letters, 1 / np.exp2(-np.minimum(lead, 1000)).sum(1), 0)
+        named = [m.languages[b] if ok else "und" for b, ok in zip(best, letters)]
+    return named, score, gain
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, lang_pred, score and bits_per_byte of every row of ``docs``.
+    """The ``keep`` columns, lang_pred, score and gain of every row of ``docs``; ``keep`` has none of these names.
 
     lang_pred is the language of least code length (the smaller name on a tie), ``und`` with score 0
     if the text is null, empty or has no letter, or if no language was learned. score is the posterior
-    of the winner with equal priors and at most SCORE_BYTES bytes' worth of evidence.
+    of the winner with equal priors and at most SCORE_BYTES bytes' worth of evidence. gain is the share
+    of bits that the winner saves against pooled letter frequencies, which know no language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    order = [f.name for f in fields]
-    schema = docs.select(*order).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("gain", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            texts = batch.column(len(order))
-            data, offs = column_bytes(texts)
-            named, score, per_byte = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            letters = np.array([bool(t.is_valid and LETTER.search(t.as_py())) for t in texts], bool)
-            if m.languages and letters.any():
-                bits, sizes = code_lengths(m, data, offs), np.maximum(np.diff(offs), 1)
-                best = bits.argmin(1)
-                per_byte = np.where(letters, bits.min(1) / sizes, 0)
-                lead = (bits - bits.min(1, keepdims=True)) * (np.minimum(sizes, SCORE_BYTES) / sizes)[:, None]
-                score = np.where(letters, 1 / np.exp2(-np.minimum(lead, 1000)).sum(1), 0)
-                named = [m.languages[b] if ok else "und" for b, ok in zip(best, letters)]
-            columns = [batch.column(k) for k in range(len(order))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(named, pa.string()), pa.array(score), pa.array(per_byte)], schema.names)
-
-    return docs.select(*order, F.col("text").alias("_text")).mapInArrow(run, schema)
+            named, score, gain = _judged(shared.value, batch.column(len(keep)))
+            columns = [batch.column(k) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(named, pa.string()), pa.array(score), pa.array(gain)], schema.names)
+
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def held_out(doc_id) -> F.Column:
@@ -274,12 +289,25 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(marked, model, ["doc_id", "held_out"])
 
 
-def reject_unknown(docs: DataFrame, most_bits: float = 12.0) -> DataFrame:
+def reject_unknown(docs: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
     """Pipeline stage: documents without a recognisable language go, the others stay unchanged.
 
-    Rejected are texts with no letter (null and empty ones included) and texts that the best language
-    codes with more than ``most_bits`` bits a byte, as it does with bytes that it has hardly ever seen.
+    Rejected are texts with no letter (null and empty ones included) and texts for which the best language
+    saves less than ``least_gain`` of the bits that pooled letter frequencies need: random letters, and
+    languages that were not learned. Where no row has a language to learn, all texts with letters stay.
+    Repeated rows go or stay together; very long texts are coded whole; all columns pass through, whatever
+    their names; an empty table gives an empty result.
     """
-    training = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    scored = predict(docs, train(training), docs.columns)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= most_bits)).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if shared.value.languages:
+                named, _, gain = _judged(shared.value, batch.column(at))
+                stays = (np.array(named, object) != "und") & (gain >= least_gain)
+            else:
+                stays = np.array([has_letter(t) for t in batch.column(at).to_pylist()], bool)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

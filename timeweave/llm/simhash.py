@@ -23,6 +23,7 @@ from timeweave.llm.common import materialize, words_array
 MAX_WEIGHT = 16
 ROWS_A_BUCKET = 2000
 CHUNK = 512
+KNOTS = 64
 _LANES = 0x0000000100000001
 
 
@@ -72,15 +73,27 @@ def as_hex(fp: Column) -> Column:
 
 
 def _ordered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (b, rn, doc_id, text, next_text) in descending doc_id, cut in ranges b of doc_id so that no
-    task orders them all, and the ranges' order (b, next_b)."""
+    """Rows (b, rn, doc_id, text, next_text) in descending doc_id, cut in ranges b so that no task orders
+    them all, and the ranges' order (b, next_b).
+
+    Between KNOTS quantiles of doc_id the ranges are of equal width, so ids that lie far off or thin stretch
+    one part only; rows without an id are cut by the hash of their text, the order that they have."""
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = own.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // (1 + n // ROWS_A_BUCKET)))
-    own = own.withColumn("b", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
-    w = Window.partitionBy("b").orderBy(F.col("doc_id").desc(), F.col("text").desc())
-    rows = own.withColumns({"rn": F.row_number().over(w), "next_text": F.lead("text").over(w)})
-    heads = own.groupBy("b").agg(F.max(F.struct("doc_id", "text")).alias("h")).select("b", F.col("h.text").alias("head"))
+    n, with_id = own.agg(F.count("*"), F.count("doc_id")).first()
+    knots = sorted({int(x) for x in own.approxQuantile("doc_id", [k / KNOTS for k in range(KNOTS + 1)], 0.002)}) or [0]
+    slices = 1 + with_id // (KNOTS * ROWS_A_BUCKET)
+    edges = F.array(*(F.lit(k).cast("long") for k in [*knots, knots[-1] + 1]))
+    part = F.greatest(F.lit(1), F.least(F.size(F.filter(edges, lambda k: k <= F.col("doc_id"))), F.lit(len(knots))))
+    low, high = F.get(edges, part - 1), F.get(edges, part)
+    inside = F.floor((F.col("doc_id").cast("double") - low) / (high - low) * slices)
+    held = F.greatest(F.lit(0), F.least(inside, F.lit(slices - 1)))
+    parts = 1 + (n - with_id) // ROWS_A_BUCKET
+    hashed = F.xxhash64("text")
+    without = F.floor((hashed.cast("double") / 2.0**64 + 0.5) * parts) - parts - 1
+    own = own.withColumns({"h": hashed, "b": F.when(F.col("doc_id").isNull(), without).otherwise(part * slices + held).cast("long")})
+    w = Window.partitionBy("b").orderBy(F.col("doc_id").desc(), F.col("h").desc(), F.col("text").desc())
+    rows = own.withColumns({"rn": F.row_number().over(w), "next_text": F.lead("text").over(w)}).drop("h")
+    heads = own.groupBy("b").agg(F.max(F.struct("doc_id", "h", "text")).alias("h")).select("b", F.col("h.text").alias("head"))
     ranges = Window.orderBy(F.col("b").desc())
     order = own.select("b").distinct().select("b", F.lead("b").over(ranges).alias("next_b"), F.first("b").over(ranges).alias("top"))
     order = order.select("b", F.coalesce("next_b", "top").alias("next_b"))
@@ -95,7 +108,7 @@ def compare_edited(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     The edited text has the last floor(n_chars / 2) code points replaced by as many first ones of the
     next document, in descending doc_id; the first document follows the last. A null text is empty.
-    Rows that repeat a doc_id follow each other in descending text; rows with a null doc_id come last.
+    Rows that repeat a doc_id follow each other by falling hash of the text; rows with a null doc_id come last.
     class_id is the smallest doc_id with the same fingerprint, n_near the number of other fingerprints
     within ``radius`` bits. Extra columns are ignored; an empty table gives an empty result.
     """

@@ -5,7 +5,8 @@ tokenizer version: an insert adds its count, a delete takes it away, a revision
 away and adds the new one. Signed rows are summed before the shuffle, so a batch is stored as one row a
 group, in a folder named after the batch. A batch that is already committed is not counted again,
 whatever is replayed; one that failed half-way leaves no success mark and is written anew. Totals are
-the sum over the committed batches, and ``compact`` folds them into one.
+the sum over the committed batches, and ``compact`` folds them into one whose ledger keeps the ids of all
+that it holds, so a batch replayed after that is still known. Two writers must not commit one id at once.
 """
 
 from __future__ import annotations
@@ -47,7 +48,10 @@ def counted(docs: DataFrame, tokenizers: dict | None = None) -> DataFrame:
 
 
 def bpe_counted(docs: DataFrame, ranks_path: str, pattern: str, version: str) -> DataFrame:
-    """As ``counted`` for one byte-pair vocabulary (a tiktoken ranks file that every executor can read)."""
+    """As ``counted`` for one byte-pair vocabulary: a ranks file that the driver can read, a line an entry,
+    which is sent to the tasks once (some 50,000 entries). A null text counts 0 tokens."""
+    with open(ranks_path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rest = [c for c in docs.columns if c not in ("text", "tokenizer", "n_tokens")]
     schema = docs.select(*rest).schema.add("tokenizer", "string").add("n_tokens", "long")
 
@@ -56,8 +60,7 @@ def bpe_counted(docs: DataFrame, ranks_path: str, pattern: str, version: str) ->
 
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in shared.value.splitlines() if line.strip())}
         encoding = tiktoken.Encoding(version, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in batch.column(len(rest))]
@@ -108,23 +111,35 @@ class Rollup:
         return f"{self.path}/batch={batch_id}"
 
     def committed(self, batch_id: str) -> bool:
-        return path_exists(self.spark, f"{self._batch(batch_id)}/_SUCCESS")
+        if path_exists(self.spark, f"{self._batch(batch_id)}/_SUCCESS"):
+            return True
+        ledger = self._ledger()
+        return ledger is not None and not ledger.where(F.col("batch_id") == batch_id).isEmpty()
+
+    def _ledger(self) -> DataFrame | None:
+        """batch_id of every batch that is folded into the compacted one."""
+        path = f"{self.path}/ledger"
+        return self.spark.read.schema("batch_id string").parquet(path) if path_exists(self.spark, f"{path}/_SUCCESS") else None
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch; False, and no work, if a batch of that id is already in."""
         if self.committed(batch_id):
             return False
-        deltas(changes).coalesce(1).write.mode("overwrite").parquet(self._batch(batch_id))
+        deltas(changes).write.mode("overwrite").parquet(self._batch(batch_id))
         return True
 
-    def batches(self) -> DataFrame:
-        """The deltas of every committed batch; a folder without a success mark is not read."""
+    def _committed_names(self) -> list[str]:
+        """Folders of committed batches; one without a success mark is none."""
         jvm = self.spark.sparkContext._jvm
         top = jvm.org.apache.hadoop.fs.Path(self.path)
         store = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         found = [s.getPath() for s in store.listStatus(top)] if store.exists(top) else []
         names = sorted(p.getName() for p in found if p.getName().startswith("batch="))
-        paths = [f"{self.path}/{n}" for n in names if path_exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
+        return [n for n in names if path_exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
+
+    def batches(self) -> DataFrame:
+        """The deltas of every committed batch."""
+        paths = [f"{self.path}/{n}" for n in self._committed_names()]
         if not paths:
             return self.spark.createDataFrame([], DELTA)
         return self.spark.read.schema(DELTA).parquet(*paths)
@@ -135,8 +150,16 @@ class Rollup:
         return summed.where("n_docs != 0 or n_tokens != 0")
 
     def compact(self, into: str) -> None:
-        """Write the totals as the first batch of a new folder and remember no batch ids there."""
-        self.totals().coalesce(1).write.mode("errorifexists").parquet(f"{into.rstrip('/')}/batch=compacted")
+        """Write the totals as the first batch of a new folder, and before it the ledger of the ids it holds.
+
+        A folder without the success mark of that batch is not complete and must be written again."""
+        ids = [(n.removeprefix("batch="),) for n in self._committed_names()]
+        known = self.spark.createDataFrame(ids, "batch_id string")
+        ledger = self._ledger()
+        if ledger is not None:
+            known = known.unionByName(ledger)
+        known.write.mode("errorifexists").parquet(f"{into.rstrip('/')}/ledger")
+        self.totals().write.mode("errorifexists").parquet(f"{into.rstrip('/')}/batch=compacted")
 
     def drop(self) -> None:
         delete_path(self.spark, self.path)
@@ -147,7 +170,9 @@ def corpus_history(docs: DataFrame, rollup: Rollup) -> None:
     tokenizer version; table bars are cleaned from the texts, which revises the counts that change;
     of exact copies all but those of smallest doc_id are deleted, with their revised counts.
 
-    A null text counts 0 tokens and is a copy of nothing; a row with a null doc_id is never deleted.
+    A null text counts 0 tokens and is a copy of nothing; a row with a null doc_id is never deleted; rows
+    equal in doc_id and text are all kept or all deleted. Very long texts are counted whole. Extra
+    columns are ignored. An empty table commits empty batches.
     """
     bare = F.replace(F.col("text"), F.lit("|"), F.lit(""))
     each = F.array(

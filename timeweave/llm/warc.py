@@ -7,10 +7,11 @@ holds the payload and the others are revisits without one. Every segment carries
 payload up to its end, so a reader can check as it goes and can say where a damaged record breaks.
 Spark's text writer stores the records, a row each, gzipped; it works on any store that Spark writes.
 
-Reading: archive files are decompressed as a stream and give one row a segment: record id, chunk
-number, bytes. No step holds a whole payload that is larger than a chunk: records of one chunk are
-hashed where they stand, the chunks of larger ones are brought together by record id in chunk order
-and hashed one after the other.
+Reading: archive files are decompressed as a stream, and every record, whoever wrote it, comes out as rows
+of at most ``chunk_bytes`` each: record id, segment, chunk number, bytes, and the SHA-256 of the segment up
+to there. No step holds a whole payload that is larger than a chunk: records of one chunk are hashed where
+they stand, the chunks of larger ones are brought together by record id in order and hashed one after the
+other. Damage does not end the reading: what is broken is marked, and reading goes on at the next record.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ CHUNK_BYTES, LEAST_BYTES, FILE_BYTES = 1 << 16, 100, 32 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = (
-    "record_id string, page_id long, record_type string, refers_to long, chunk_no int, n_chunks int, "
-    "payload_bytes long, payload_digest string, running_digest string, payload binary"
+    "record_id string, page_id long, record_type string, refers_to long, segment int, n_segments int, chunk_no int, n_chunks int, "
+    "payload_bytes long, payload_digest string, running_digest string, damaged boolean, payload binary"
 )
+MOST_ROWS = 20_000  # of chunk_bytes at most, so no file comes near the 2 GiB that a binary cell can hold
 _FEED = 1 << 18
 _BATCH = 8 << 20
 
@@ -91,8 +93,8 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES,
     """Write ``pages`` (page_id, html[, url]) as gzipped WARC files in the folder ``path``.
 
     A null html is an empty payload. Rows equal in page_id and payload are each a response if no
-    smaller page_id has the payload, else each a revisit; a row with a null page_id is a response. An
-    empty table writes no record. Columns of other names are ignored.
+    smaller page_id has the payload, else each a revisit; a row with a null page_id is a response. A very
+    long html becomes many segments. An empty table writes no record. Columns of other names are ignored.
     """
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     own = pages.select(F.col("page_id").cast("long"), F.coalesce("html", F.lit("")).alias("html"), url.alias("url"))
@@ -102,7 +104,7 @@ def write_archives(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES,
     later = marks.join(first.where("first < last"), "digest").where("page_id > first")
     later = later.select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
     total = marks.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    rows_a_file = max(64, int(FILE_BYTES / (500 + total[1] / max(total[0], 1))))
+    rows_a_file = min(MOST_ROWS, max(64, int(FILE_BYTES / (500 + total[1] / max(total[0], 1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -165,43 +167,78 @@ class _Inflated:
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) < n:
-            if not self._more():
-                raise ValueError("archive ends inside a record")
+        """The next ``n`` bytes, fewer where the file ends."""
+        while len(self.buffer) < n and self._more():
+            pass
         out = bytes(self.buffer[:n])
         del self.buffer[:n]
         return out
 
+    def skip(self, mark: bytes) -> bool:
+        """Go on to the next ``mark``, which is left to be read; False at the end of the file."""
+        while (found := self.buffer.find(mark)) < 0:
+            del self.buffer[: max(0, len(self.buffer) - len(mark))]
+            if not self._more():
+                return False
+        del self.buffer[:found]
+        return True
+
 
-def parse(content: memoryview) -> Iterator[tuple]:
-    """Rows of CHUNKS from one archive file."""
+def _number(text: str | None, default: int | None = None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?\d+", text) else default
+
+
+def parse(content: memoryview, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
+    """Rows of CHUNKS from one archive file. A record that ends early or not where its length says has a last
+    row that is damaged; so has a place where no record begins, without an id."""
     source = _Inflated(content)
-    while (head := source.until(b"\r\n\r\n")) is not None:
-        lines = head.decode().lstrip("\r\n").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at {lines[0][:40]!r}")
-        f = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        payload = source.take(int(f["content-length"]))
-        if source.take(4) != b"\r\n\r\n":
-            raise ValueError("a record's block does not end where its length says")
-        kind, number = f["warc-type"], int(f.get("warc-segment-number", 1))
-        yield (
-            f.get("warc-segment-origin-id", f["warc-record-id"]).strip("<>"),
-            int(f["x-page-id"]) if "x-page-id" in f else None,
-            "response" if kind == "continuation" else kind,
-            int(f["warc-refers-to"].strip("<>").rpartition(":")[2]) if "warc-refers-to" in f else None,
-            number,
-            int(f.get("x-segment-count", 1)),
-            int(f.get("x-payload-length", f["content-length"])),
-            f.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-            f.get("x-running-digest", "").removeprefix("sha256:") or None,
-            payload,
-        )
-
-
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunked record table of the archives in ``path``: a row of CHUNKS for each segment."""
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    lost = (None, None, "damaged", None, 1, 1, 1, 1, 0, None, None, True, b"")
+    try:
+        while True:
+            head = source.until(b"\r\n\r\n")
+            if head is None:
+                if source.buffer.strip():
+                    yield lost
+                return
+            lines = head.decode(errors="replace").lstrip("\r\n").split("\r\n")
+            f = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            length = _number(f.get("content-length"))
+            if not lines[0].startswith("WARC/") or length is None or length < 0 or "warc-record-id" not in f:
+                yield lost
+                source.buffer[:0] = head[5:] + b"\r\n\r\n"  # a record may begin inside
+                if not source.skip(b"WARC/1."):
+                    return
+                continue
+            kind, origin = f.get("warc-type", "unknown"), f.get("warc-refers-to", "")
+            digest = f.get("warc-payload-digest", "")
+            n_chunks = max(1, -(-length // chunk_bytes))
+            row = (
+                f.get("warc-segment-origin-id", f["warc-record-id"]).strip("<>"), _number(f.get("x-page-id")),
+                "response" if kind == "continuation" else kind, _number(origin.strip("<>").rpartition(":")[2]),
+                _number(f.get("warc-segment-number"), 1), _number(f.get("x-segment-count"), 1),
+            )
+            size, named = _number(f.get("x-payload-length"), length), digest.removeprefix("sha256:").lower() if digest.startswith("sha256:") else None
+            told, running, ends_well = f.get("x-running-digest", "").removeprefix("sha256:"), hashlib.sha256(), True
+            for k in range(1, n_chunks + 1):
+                piece = source.take(min(chunk_bytes, length - (k - 1) * chunk_bytes))
+                ends_well = len(piece) == min(chunk_bytes, length - (k - 1) * chunk_bytes)
+                if k == n_chunks and ends_well:
+                    ends_well = source.take(4) == b"\r\n\r\n"
+                running.update(piece)
+                yield (*row, k, n_chunks, size, named, told or running.hexdigest(), not ends_well, piece)
+                if not ends_well:
+                    break
+            if not ends_well and not source.skip(b"WARC/1."):
+                return
+    except zlib.error:
+        yield lost
+
+
+def read_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The chunked record table of the archives in ``path``: rows of CHUNKS, of ``chunk_bytes`` bytes at most."""
+    types = [
+        pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary(),
+    ]
     names = [x.split()[0] for x in CHUNKS.split(", ")]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -212,7 +249,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for row in parse(memoryview(content.as_buffer())):
+                for row in parse(memoryview(content.as_buffer()), chunk_bytes):
                     rows.append(row)
                     size += len(row[-1]) + 300
                     if size > _BATCH:
@@ -226,22 +263,28 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def records(chunks: DataFrame) -> DataFrame:
     """One row a record, its payload checked: page_id, payload_bytes, payload_digest, record_type,
-    refers_to, n_chunks, intact (the digest of what was read is that of the head, and no chunk is
-    missing; a revisit has nothing to check and is intact)."""
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_chunks"]
-    single = chunks.where("n_chunks = 1").select(
-        *columns, ((F.col("record_type") == "revisit") | (F.sha2("payload", 256) == F.col("payload_digest"))).alias("intact")
-    )
+    refers_to, n_chunks (that it should have), intact (nothing is damaged or missing, and the digest of what
+    was read is that of the head, where the head names a SHA-256; a revisit has nothing to check). Places
+    where no record could be read have record_type damaged and are not intact. No chunks, no rows."""
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    alone = (F.col("n_segments") == 1) & (F.col("n_chunks") == 1)
+    whole = F.coalesce(F.sha2("payload", 256) == F.col("payload_digest"), F.length("payload") == F.col("payload_bytes"))
+    single = chunks.where(alone).select(*columns, "n_chunks", (~F.col("damaged") & ((F.col("record_type") == "revisit") | whole)).alias("intact"))
     schema = single.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in schema.fields]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_()]
-        now, row, digest, seen, length, ok, done = None, (), None, 0, 0, True, []
+        now, row, place, digest, length, ok, done = None, (), (0, 0, 0), None, 0, True, []
 
         def ended() -> tuple:
-            whole = ok and seen == row[5] and length == row[1] and digest.hexdigest() == row[2]
-            return (*row, whole)
+            segment, chunk, n_chunks = place
+            whole = ok and segment == row[5] and chunk == n_chunks and length == row[1] and row[2] in (None, digest.hexdigest())
+            return (*row[:5], row[5] + n_chunks - 1, whole)
+
+        def batch_of() -> pa.RecordBatch:
+            out = list(zip(*done)) if done else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
         for batch in batches:
             at = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
@@ -250,16 +293,22 @@ def records(chunks: DataFrame) -> DataFrame:
                 if record != now:
                     if now is not None:
                         done.append(ended())
-                    now, digest, seen, length, ok = record, hashlib.sha256(), 0, 0, True
-                    row = tuple(at[c][k].as_py() for c in columns)
+                    now, digest, place, length, ok = record, hashlib.sha256(), (0, 0, 0), 0, True
+                    row = tuple(at[c][k].as_py() for c in [*columns, "n_segments"])
                 piece = at["payload"][k].as_buffer()
                 digest.update(piece)
-                seen, length = seen + 1, length + piece.size
-                ok = ok and at["chunk_no"][k].as_py() == seen and at["running_digest"][k].as_py() in (None, digest.hexdigest())
+                length += piece.size
+                segment, chunk, n_chunks = (at[c][k].as_py() for c in ("segment", "chunk_no", "n_chunks"))
+                follows = (segment, chunk) == ((place[0], place[1] + 1) if place[1] < place[2] else (place[0] + 1, 1))
+                told = at["running_digest"][k].as_py() if n_chunks == 1 else None
+                ok = ok and follows and not at["damaged"][k].as_py() and told in (None, digest.hexdigest())
+                place = (segment, chunk, n_chunks)
+            if len(done) >= 10_000:
+                yield batch_of()
+                done = []
         if now is not None:
             done.append(ended())
-        out = list(zip(*done)) if done else [()] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+        yield batch_of()
 
-    many = chunks.where("n_chunks > 1").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    many = chunks.where(~alone).repartition("record_id").sortWithinPartitions("record_id", "segment", "chunk_no")
     return single.unionByName(many.mapInArrow(run, schema))
