@@ -24,7 +24,8 @@ def overlap_join(
     """Join rows whose closed ranges touch and for which ``predicate`` holds.
 
     ``l_range`` and ``r_range`` name the columns of the ranges, widened already by any tolerance; column
-    names other than ``keys`` must differ between the sides. ``how`` is inner, left or left_anti.
+    names other than ``keys`` must differ between the sides. ``how`` is inner or left_anti; rows of the left
+    side that hold a null are always kept by left_anti. A range is a row for each bin of ``width`` it touches.
     """
     l = left.withColumn("_lb", F.floor(F.col(l_range[0]) / width)).withColumn("_b", F.explode(bins(F.col(l_range[0]), F.col(l_range[1]), width)))
     r = right.withColumn("_rb", F.floor(F.col(r_range[0]) / width)).withColumn("_b", F.explode(bins(F.col(r_range[0]), F.col(r_range[1]), width)))

@@ -66,21 +66,31 @@ def static_crop(detections: DataFrame, videos: DataFrame, aspect: float = 9 / 16
     return out.select("clip_id", place(F.col("mx"), F.col("w"), F.col("width")).alias("x"), place(F.col("my"), F.col("h"), F.col("height")).alias("y"), "w", "h")
 
 
-class _Pan:
-    """Exponential pan from the frame's centre; an empty segment carries on."""
-
-    def __init__(self) -> None:
-        self.at: tuple[float, float] | None = None
-
-    def add(self, row: dict[str, Any]) -> list[dict[str, Any]]:
-        x, y = self.at or (row["width"] / 2, row["height"] / 2)
-        if row["mx"] is not None:
-            x, y = x * 0.3 + row["mx"] * 0.7, y * 0.3 + row["my"] * 0.7
-        self.at = (x, y)
-        return [{"clip_id": row["clip_id"], "seg": row["seg"], "width": row["width"], "height": row["height"], "cx": x, "cy": y}]
-
-    def end(self) -> list[dict[str, Any]]:
-        return []
+def panned(segs: DataFrame, keep: tuple[str, ...] = (), jump: str | None = None) -> DataFrame:
+    """clip_id, seg, ``keep``, width, height, cx, cy of rows (clip_id, seg, mx, my, width, height): an
+    exponential pan from the frame's centre; where mx is null the view holds. Where the value of column
+    ``jump`` is another than in the segment before (and that was not negative), the view moves at once.
+
+    A clip's segments are one array, folded where it stands."""
+    fields = ["seg", *keep, "width", "height", "mx", "my"]
+    own = segs.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("segs"))
+    at = "struct<x:double,y:double,who:int,views:array<struct<x:double,y:double>>>"
+
+    def step(held: Column, s: Column) -> Column:
+        x, y = F.coalesce(held["x"], s["width"] / 2), F.coalesce(held["y"], s["height"] / 2)
+        who = s[jump].cast("int") if jump else F.lit(-1)
+        cut = (held["who"] >= 0) & (held["who"] != who)
+        follow = lambda old, new: F.when(new.isNull(), old).when(cut, new).otherwise(old * 0.3 + new * 0.7)
+        x, y = follow(x, s["mx"]), follow(y, s["my"])
+        view = F.struct(x.alias("x"), y.alias("y"))
+        return F.struct(x.alias("x"), y.alias("y"), who.alias("who"), F.concat(held["views"], F.array(view)).alias("views"))
+
+    none = F.struct(
+        F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(-1).alias("who"), F.array().cast("array<struct<x:double,y:double>>").alias("views")
+    ).cast(at)
+    views = F.aggregate("segs", none, step, lambda held: held["views"])
+    rows = own.select("clip_id", F.explode(F.arrays_zip(F.col("segs").alias("s"), views.alias("v"))).alias("z"))
+    return rows.select("clip_id", *(F.col(f"z.s.{c}").alias(c) for c in ["seg", *keep, "width", "height"]), F.col("z.v.x").alias("cx"), F.col("z.v.y").alias("cy"))
 
 
 def _dense(detections: DataFrame, step: float) -> DataFrame:
@@ -94,8 +104,7 @@ def dynamic_crops(detections: DataFrame, videos: DataFrame, aspect: float = 9 /
     seg = _centres(detections).withColumn("seg", F.floor(F.col("time") / step))
     mid = seg.groupBy("clip_id", "seg").agg(upper_median_of(F.collect_list("cx")).alias("mx"), upper_median_of(F.collect_list("cy")).alias("my"))
     own = _dense(detections, step).join(mid, ["clip_id", "seg"], "left").join(videos.select("clip_id", "width", "height"), "clip_id")
-    schema = "clip_id long, seg long, width int, height int, cx double, cy double"
-    pan = ordered_scan(own, ["clip_id"], ["seg"], _Pan, schema)
+    pan = panned(own)
     w, h = crop_size(F.col("width"), F.col("height"), aspect)
     pan = pan.withColumns({"w": w, "h": h})
     return pan.select(
@@ -105,25 +114,25 @@ def dynamic_crops(detections: DataFrame, videos: DataFrame, aspect: float = 9 /
 
 class _Tracks:
     """Greedy tracks: each box proposes the nearest live track; nearer boxes choose first, a box that gets
-    none starts a track. A track not seen for longer than ``stale`` seconds is gone."""
+    none starts a track. A track not seen for longer than ``stale`` seconds is gone and forgotten, so state
+    is the tracks in sight. ``live`` maps a track to its last centre and time, ``count`` is the next track."""
 
-    def __init__(self, stale: float, most: float | None) -> None:
+    def __init__(self, stale: float, most: float | None, live: dict[int, tuple[float, float, float]] | None = None, count: int = 0) -> None:
         self.stale, self.most = stale, most
-        self.seen: list[tuple[float, float, float]] = []
+        self.live, self.count = dict(live or {}), count
 
     def add(self, row: dict[str, Any]) -> list[dict[str, Any]]:
         boxes, now = row["boxes"], row["time"]
+        self.live = {t: v for t, v in self.live.items() if now - v[2] <= self.stale}
         centres = [((b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2) for b in boxes]
-        live = [(t, x, y) for t, (x, y, last) in enumerate(self.seen) if now - last <= self.stale]
-        wish = [min(((math.dist(c, (x, y)), t) for t, x, y in live), default=(math.inf, -1)) for c in centres]
+        wish = [min(((math.dist(c, v[:2]), t) for t, v in self.live.items()), default=(math.inf, -1)) for c in centres]
         taken, out = set(), []
         for k in sorted(range(len(boxes)), key=lambda b: wish[b][0]):
             cost, track = wish[k]
             if track < 0 or track in taken or (self.most is not None and cost > self.most):
-                track = len(self.seen)
-                self.seen.append((*centres[k], now))
-            else:
-                self.seen[track] = (*centres[k], now)
+                track = self.count
+                self.count += 1
+            self.live[track] = (*centres[k], now)
             taken.add(track)
             out.append({"clip_id": row["clip_id"], "time": now, "box_ord": k, "track_id": track, **{c: boxes[k][c] for c in ("x1", "y1", "x2", "y2")}})
         return sorted(out, key=lambda r: r["box_ord"])
@@ -142,18 +151,22 @@ def assign_tracks(detections: DataFrame, stale: float = 1.0, most: float | None
 
 def resample(signal: DataFrame, windows: DataFrame) -> DataFrame:
     """clip_id, track_id, win_idx, value: a track's samples (sample_idx, score) stretched over a clip's
-    ``windows`` (clip_id, n) by linear interpolation, then over the largest value if that is above 0."""
-    size = signal.groupBy("clip_id", "track_id").agg(F.count("*").alias("m"))
-    grid = size.join(windows.select("clip_id", "n"), "clip_id").withColumn("win_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    x = F.when(F.col("n") > 1, F.col("win_idx") * (F.col("m") - 1) / (F.col("n") - 1)).otherwise(F.lit(0.0))
-    grid = grid.withColumn("_x", x).withColumn("_i", F.least(F.floor("_x"), F.col("m") - 1)).withColumn("_j", F.least(F.col("_i") + 1, F.col("m") - 1))
-    s = signal.select("clip_id", "track_id", "sample_idx", "score")
-    low = s.select("clip_id", "track_id", F.col("sample_idx").cast("long").alias("_i"), F.col("score").alias("_a"))
-    high = s.select("clip_id", "track_id", F.col("sample_idx").cast("long").alias("_j"), F.col("score").alias("_b"))
-    out = grid.join(low, ["clip_id", "track_id", "_i"]).join(high, ["clip_id", "track_id", "_j"])
-    out = out.withColumn("value", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_x") - F.col("_i")))
-    top = F.max("value").over(Window.partitionBy("clip_id", "track_id"))
-    return out.select("clip_id", "track_id", "win_idx", F.when(top > 0, F.col("value") / top).otherwise(F.col("value")).alias("value"))
+    ``windows`` (clip_id, n) by linear interpolation, then over the largest value if that is above 0. The
+    samples of one track of a clip are one array."""
+    samples = F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "score"))), lambda x: x["score"])
+    own = signal.groupBy("clip_id", "track_id").agg(samples.alias("s")).join(windows.select("clip_id", "n"), "clip_id")
+    last = (F.size("s") - 1).cast("double")
+
+    def value(w: Column) -> Column:
+        x = F.when(F.col("n") > 1, w * last / (F.col("n") - 1)).otherwise(F.lit(0.0))
+        low = F.least(F.floor(x), F.size("s") - 1).cast("int")
+        a, b = F.get("s", low), F.get("s", F.least(low + 1, F.size("s") - 1))
+        return a + (b - a) * (x - low)
+
+    own = own.withColumn("v", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), value))
+    own = own.withColumn("top", F.array_max("v")).select("clip_id", "track_id", "top", F.posexplode("v").alias("win_idx", "value"))
+    scaled = F.when(F.col("top") > 0, F.col("value") / F.col("top")).otherwise(F.col("value"))
+    return own.select("clip_id", "track_id", F.col("win_idx").cast("long").alias("win_idx"), scaled.alias("value"))
 
 
 def active_speaker(resampled: DataFrame, envelope: DataFrame, silence: float = SILENCE) -> DataFrame:
@@ -182,24 +195,6 @@ def face_centre(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column,
     return (x1 + x2) / 2.0, y1 * 0.35 + y2 * 0.65
 
 
-class _Follow:
-    """The same speaker is followed softly, a new one at once; where none is seen the view holds."""
-
-    def __init__(self) -> None:
-        self.at, self.who = None, -1
-
-    def add(self, row: dict[str, Any]) -> list[dict[str, Any]]:
-        x, y = self.at or (row["width"] / 2, row["height"] / 2)
-        if row["mx"] is not None:
-            jump = self.who >= 0 and self.who != row["track_id"]
-            x, y = (row["mx"], row["my"]) if jump else (x * 0.3 + row["mx"] * 0.7, y * 0.3 + row["my"] * 0.7)
-        self.at, self.who = (x, y), row["track_id"]
-        return [{k: row[k] for k in ("clip_id", "seg", "track_id", "width", "height")} | {"cx": x, "cy": y}]
-
-    def end(self) -> list[dict[str, Any]]:
-        return []
-
-
 def speaker_crops(tracks: DataFrame, speakers: DataFrame, videos: DataFrame, aspect: float = 9 / 16, step: float = 1.0) -> DataFrame:
     """clip_id, time, x, y, w, h, track_id: the crop of each segment at the first box of its speaker.
     ``tracks`` may have face (struct); it is preferred to the box."""
@@ -213,8 +208,7 @@ def speaker_crops(tracks: DataFrame, speakers: DataFrame, videos: DataFrame, asp
     mx, my = face_centre(F.col("b.x1"), F.col("b.y1"), F.col("b.x2"), F.col("b.y2"))
     own = who.join(seen, ["clip_id", "seg", "track_id"], "left").withColumns({"mx": mx, "my": my}).drop("b")
     own = own.join(videos.select("clip_id", "width", "height"), "clip_id")
-    schema = "clip_id long, seg long, track_id int, width int, height int, cx double, cy double"
-    pan = ordered_scan(own, ["clip_id"], ["seg"], _Follow, schema)
+    pan = panned(own, ("track_id",), "track_id")
     w, h = crop_size(F.col("width"), F.col("height"), aspect)
     pan = pan.withColumns({"w": w, "h": h})
     return pan.select(

@@ -103,3 +103,8 @@ def energy_moments(events: DataFrame, rules: EnergyRules = EnergyRules()) -> Dat
         F.when(F.bool_or(F.col("kind") == "spike"), "spike").otherwise("high").alias("kind"),
         F.bool_and("in_speech").alias("in_speech"),
     )
+
+
+def moment_counts(moments: DataFrame) -> DataFrame:
+    """kind, in_speech, n and the largest peak_rms of all moments."""
+    return moments.groupBy("kind", "in_speech").agg(F.count("*").alias("n"), F.max("peak_rms").alias("peak_rms"))

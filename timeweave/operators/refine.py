@@ -52,6 +52,17 @@ def merge_refined(clips: DataFrame, refined: DataFrame, fields: tuple[str, ...]
     return out.withColumn("rank", F.row_number().over(w))
 
 
+def refine_clips(clips: DataFrame, parsed: DataFrame, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
+    """Rewrites of a model merged into ``clips``: only a reply that was read as a list of objects (``parsed``:
+    video_id, status, items) counts, and only its objects with a whole clip_id; videos whose reply failed
+    keep their clips as they are, ranked anew like all."""
+    schema = "clip_id string, " + ", ".join(f"{f} string" for f in fields)
+    rows = parsed.where("status != 'failed'").select("video_id", F.explode("items").alias("_item"))
+    rows = rows.select("video_id", F.from_json("_item", schema).alias("_f")).select("video_id", "_f.*")
+    rows = rows.withColumn("clip_id", F.col("clip_id").try_cast("long")).where("clip_id is not null")
+    return merge_refined(clips, rows.dropDuplicates(["video_id", "clip_id"]), fields)
+
+
 def update_fields(clips: DataFrame, changes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Left join on (video_id, clip_id): a field is overwritten where the change has it, blank or not.
     ``changes`` holds field and value rows, so that a blank value differs from a missing one."""

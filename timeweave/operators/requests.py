@@ -71,6 +71,23 @@ def transcript_lines(assigned: DataFrame) -> DataFrame:
     return marked.withColumn("line", line)
 
 
+def halved(assigned: DataFrame, empty: DataFrame) -> DataFrame:
+    """Lines of the chunks (video_id, chunk_id) in ``empty``, which gave no clip, cut in two for another try:
+    part 1 holds the first half of the lines (the smaller one of an odd number), part 2 the rest. A chunk of
+    one line cannot be halved and is left out."""
+    w = Window.partitionBy("video_id", "chunk_id")
+    own = assigned.join(empty.select("video_id", "chunk_id").distinct(), ["video_id", "chunk_id"], "left_semi")
+    own = own.withColumns({"_i": F.row_number().over(w.orderBy("seg_id")), "_n": F.count("*").over(w)}).where("_n > 1")
+    return own.withColumn("part", F.when(F.col("_i") <= F.floor(F.col("_n") / 2), 1).otherwise(2)).drop("_i", "_n")
+
+
+def compact_transcript(segs: DataFrame) -> DataFrame:
+    """video_id, transcript, n_lines: the texts of a video in order, joined by line feeds; blank ones are left out."""
+    own = segs.where(F.trim("text") != "").groupBy("video_id")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "text"))), lambda x: x["text"])
+    return own.agg(F.array_join(line, "\n").alias("transcript"), F.count("*").alias("n_lines"))
+
+
 def chunk_texts(lines: DataFrame, trailing: DataFrame | None = None) -> DataFrame:
     """video_id, chunk_id, n_lines, transcript: a chunk's lines in order, joined by line feeds.
 
@@ -108,8 +125,9 @@ def llm_requests(texts: DataFrame, prompts: DataFrame, section: str, language: s
     """video_id, chunk_id, max_clips, prompt: the section's template (``prompts``: section, template) with
     {TARGET_LANGUAGE}, {MAX_CLIPS} and {TRANSCRIPT} filled in."""
     n = texts.groupBy("video_id").agg(F.count("*").alias("_n"))
-    own = texts.join(n, "video_id").withColumns({"max_clips": chunk_budget(F.col("_n"), max_clips), "section": F.lit(section)})
-    own = own.join(prompts.groupBy("section").agg(F.min("template").alias("template")), "section")
-    prompt = F.replace(F.col("template"), F.lit("{TARGET_LANGUAGE}"), F.lit(language))
+    own = texts.join(n, "video_id").withColumn("max_clips", chunk_budget(F.col("_n"), max_clips))
+    # One template is wanted, so it is looked up on the driver and is no join.
+    template = prompts.where(F.col("section") == section).agg(F.min("template")).first()[0]
+    prompt = F.replace(F.lit(template), F.lit("{TARGET_LANGUAGE}"), F.lit(language))
     prompt = F.replace(prompt, F.lit("{MAX_CLIPS}"), F.col("max_clips").cast("string"))
     return own.select("video_id", "chunk_id", "max_clips", F.replace(prompt, F.lit("{TRANSCRIPT}"), "transcript").alias("prompt"))

@@ -9,17 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: what is asked for when a reply could not be read.
-RETRY_SUFFIX = "Return ONLY a valid JSON array, with no other text."
+# What is asked for, try by try, when a reply could not be read; further tries get the last.
+RETRY_SUFFIXES = (
+    "Return ONLY a valid JSON array, with no other text.",
+    "The reply could not be read. Send the JSON array again: it starts with [ and ends with ], without fences, notes or thoughts.",
+)
 ITEMS = "array<map<string,string>>"
 
 
 def cleaned(raw: Column) -> Column:
     """Without think blocks, code fences and leading safety lines."""
+    strip = lambda c: F.btrim(c, F.lit(" \t\r\n\f\x0b"))
     out = F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")
-    out = F.trim(F.regexp_replace(F.trim(F.regexp_replace(out, r"```(?:json)?", "")), r"`+$", ""))
+    out = strip(F.regexp_replace(strip(F.regexp_replace(out, r"```(?:json)?", "")), r"`+$", ""))
     safety = r"(?i)^(?:[ \t]*(?:(?:user|response|prompt)?[ \t]*safety[ \t]*:[ \t]*\S|safety[ \t]+categories[ \t]*:[ \t]*\S)[^\n]*(?:\n|$))+"
-    return F.trim(F.regexp_replace(out, safety, ""))
+    return strip(F.regexp_replace(out, safety, ""))
 
 
 def _objects(text: str) -> list[str] | None:
@@ -126,11 +130,13 @@ def clip_items(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({"start": F.col("start").try_cast("double"), "end": F.col("end").try_cast("double")})
 
 
-def retry_requests(parsed: DataFrame, responses: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
-    """Failed replies with a bracket in them, and the suffix to ask again with; the rest are refusals."""
+def retry_requests(parsed: DataFrame, responses: DataFrame, keys: list[str], raw: str = "raw", attempt: str | None = None) -> DataFrame:
+    """Failed replies with a bracket in them, and the suffix to ask again with; the rest are refusals. The
+    suffix grows stronger with the number of tries so far (column ``attempt`` of ``responses``, from 0)."""
     failed = parsed.where("status = 'failed'").select(*keys)
     broken = responses.join(failed, keys, "left_semi").where(F.col(raw).rlike(r"[\[{]"))
-    return broken.select(*keys, F.lit(RETRY_SUFFIX).alias("suffix"))
+    tries = F.least(F.col(attempt), F.lit(len(RETRY_SUFFIXES) - 1)) if attempt else F.lit(0)
+    return broken.select(*keys, F.get(F.array(*(F.lit(s) for s in RETRY_SUFFIXES)), tries).alias("suffix"))
 
 
 def prefer_content(parsed: DataFrame, keys: list[str]) -> DataFrame:

@@ -146,3 +146,14 @@ def time_removed(adjusted: DataFrame) -> DataFrame:
     before, after = F.sum(F.col("llm_end") - F.col("llm_start")), F.sum(F.col("end") - F.col("start"))
     out = adjusted.groupBy("video_id").agg(F.count("*").alias("n"), (before - after).alias("removed"))
     return out.withColumn("per_clip", F.col("removed") / F.col("n"))
+
+
+def top_clips(ranked: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` clips of each video by rank, as a preview shows them."""
+    return ranked.where(F.col("rank") <= n)
+
+
+def example_clips(clips: DataFrame, n: int = 3) -> DataFrame:
+    """The first ``n`` clips of each video in their given order, with example from 1."""
+    w = Window.partitionBy("video_id").orderBy("clip_ord")
+    return clips.withColumn("example", F.row_number().over(w)).where(F.col("example") <= n)

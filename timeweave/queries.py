@@ -274,7 +274,7 @@ def w3_c2_energy_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {MOMENTS_SQL} SELECT kind, in_speech, count(*) AS n, max(peak_rms) AS peak_rms FROM moments GROUP BY ALL")
 def a4_moment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _moments(spark, sf_dir).groupBy("kind", "in_speech").agg(F.count("*").alias("n"), F.max("peak_rms").alias("peak_rms"))
+    return energy.moment_counts(_moments(spark, sf_dir))
 
 
 SAMPLES_SQL = r"""
@@ -371,10 +371,7 @@ def c3_llm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {fx.SEGMENTS_SQL} SELECT video_id, string_agg(text, chr(10) ORDER BY seg_id) AS transcript, count(*) AS n_lines FROM segments WHERE trim(text) <> '' GROUP BY 1"""
 )
 def a6_a7_transcript_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = fx.segments(spark, sf_dir).where("trim(text) != ''")
-    return segs.groupBy("video_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "text"))), lambda x: x["text"]), "\n").alias("transcript"), F.count("*").alias("n_lines")
-    )
+    return requests.compact_transcript(fx.segments(spark, sf_dir))
 
 
 @register(f'WITH {fx.SEGMENTS_SQL} SELECT video_id, max_by("end", seg_id) AS duration FROM segments GROUP BY 1')
@@ -456,7 +453,28 @@ def f4_merge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.merge_chunks(scored).select("video_id", "clip_ord", "start", "end", "clip_score")
 
 
-@register()
+# Suppression for each of the three minimums at once; the strictest that keeps a clip counts.
+RELAXED_SQL = (
+    SCORED_SQL
+    + r""",
+fit AS (SELECT s.*, f.floor FROM scored s, (VALUES (85.0::DOUBLE), (70.0::DOUBLE), (55.0::DOUBLE)) f(floor) WHERE clip_score > 0 AND clip_score >= f.floor AND "end" - start BETWEEN 15 AND 180),
+waiting AS (SELECT video_id, floor, clip_ord, start AS s, "end" AS e, clip_score, score_emotion, row_number() OVER (PARTITION BY video_id, floor ORDER BY clip_score DESC, score_emotion DESC, clip_ord) AS i FROM fit),
+picked AS (
+    SELECT video_id, floor, clip_ord, i, true AS ok, [{'s': s, 'e': e}] AS taken FROM waiting WHERE i = 1
+    UNION ALL
+    SELECT q.video_id, q.floor, q.clip_ord, q.i, k.ok, CASE WHEN k.ok THEN list_append(n.taken, {'s': q.s, 'e': q.e}) ELSE n.taken END
+    FROM picked n JOIN waiting q ON q.video_id = n.video_id AND q.floor = n.floor AND q.i = n.i + 1,
+        LATERAL (SELECT len(n.taken) < 30 AND NOT coalesce(list_bool_or(list_transform(n.taken, lambda t:
+            greatest(0, least(q.e, t.e) - greatest(q.s, t.s)) / least(q.e - q.s, t.e - t.s) > 0.5)), false) AS ok) k
+),
+strictest AS (SELECT video_id, max(floor) AS floor FROM picked GROUP BY 1)"""
+)
+
+
+@register(
+    f"""WITH RECURSIVE {RELAXED_SQL} SELECT w.video_id, w.clip_ord, w.floor, row_number() OVER (PARTITION BY w.video_id ORDER BY w.clip_score DESC, w.score_emotion DESC, w.clip_ord)::INTEGER AS rank, w.clip_score
+    FROM waiting w JOIN picked p USING (video_id, floor, clip_ord) JOIN strictest USING (video_id, floor) WHERE p.ok"""
+)
 def k9_relaxed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     strict = selection.SelectRules(min_score=85.0)
     return selection.relax_scores(_clips(spark, sf_dir), strict).select("video_id", "clip_ord", "floor", "rank", "clip_score")
@@ -468,7 +486,7 @@ def k9_relaxed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def k1_k2_k5_w16_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = selection.rerank(selection.score_clips(_clips(spark, sf_dir)))
-    return ranked.where("rank <= 24").select("video_id", "clip_ord", "rank")
+    return selection.top_clips(ranked, 24).select("video_id", "clip_ord", "rank")
 
 
 @register(
@@ -538,8 +556,7 @@ def w10_w11_ending_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = fx.words(fx.segments(spark, sf_dir))
     w = Window.partitionBy("video_id").orderBy("w_start", "seg_id", "word_pos")
     own = words.withColumn("gap", F.lead("w_start").over(w) - F.col("w_end"))
-    is_break = F.coalesce(F.col("gap") >= 0.6, F.lit(False)) | F.substring("word", -1, 1).isin(*tx.SENTENCE_ENDS)
-    return own.select("video_id", "seg_id", "word_pos", is_break.alias("is_break"), boundaries.ending_score(F.col("word"), F.coalesce("gap", F.lit(0.0))).alias("score"))
+    return own.select("video_id", "seg_id", "word_pos", boundaries.is_break(F.col("word"), F.col("gap"), 0.6).alias("is_break"), boundaries.ending_score(F.col("word"), F.coalesce("gap", F.lit(0.0))).alias("score"))
 
 
 @register(f"WITH {NEAR_SQL} SELECT video_id, clip_ord, seg_id, word_pos, w_start, w_end FROM near")
@@ -549,7 +566,19 @@ def j3_j4_words_of_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("video_id", "clip_ord", "w.seg_id", "w.word_pos", F.col("w.s").alias("w_start"), F.col("w.e").alias("w_end"))
 
 
-@register()
+@register(
+    rf"""WITH {NEAR_SQL}, said AS (SELECT video_id, seg_id AS clip_ord, list_filter(string_split_regex(lower(coalesce(lead(text, 2) OVER (PARTITION BY video_id ORDER BY seg_id), '')), '\s+'), lambda x: x <> '')[2:4] AS three FROM segments),
+    asked AS (SELECT c.video_id, c.clip_ord, list_transform(s.three, lambda x, i: CASE WHEN i = 2 THEN x || 'x' ELSE x END) AS q FROM clips c JOIN said s USING (video_id, clip_ord)),
+    parts AS (SELECT video_id, clip_ord, len(q) AS m, unnest(q) AS x, generate_subscripts(q, 1) - 1 AS k FROM asked),
+    met AS (
+        SELECT p.video_id, p.clip_ord, n.i - p.k AS pos, any_value(p.m) AS m, count(*) FILTER (t.w = p.x) AS equal,
+            count(*) FILTER (p.x <> '' AND t.w <> '' AND (contains(p.x, t.w) OR contains(t.w, p.x))) AS alike, count(*) AS held
+        FROM parts p JOIN near n ON n.video_id = p.video_id AND n.clip_ord = p.clip_ord AND n.i >= p.k, LATERAL (SELECT trim(lower(trim(n.word)), '.,!?;:') AS w) t GROUP BY ALL
+    ),
+    place AS (SELECT video_id, clip_ord, min(pos) AS pos FROM met WHERE held = m AND (equal = m OR alike >= greatest(1, m - 1)) GROUP BY ALL)
+    SELECT a.video_id, a.clip_ord, array_to_string(a.q, ' ') AS query, n.seg_id, n.word_pos::INTEGER AS word_pos FROM asked a LEFT JOIN place p USING (video_id, clip_ord)
+    LEFT JOIN near n ON n.video_id = p.video_id AND n.clip_ord = p.clip_ord AND n.i = p.pos"""
+)
 def j19_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three words of each clip's last line, one of them altered, sought in the clip."""
     segs = fx.segments(spark, sf_dir)
@@ -584,8 +613,10 @@ def _clip_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _translations(phrases: DataFrame) -> DataFrame:
     """What a model might answer for all phrases: capitals; every eleventh answer is missing and every
-    thirteenth useless, so that the fallbacks have work."""
-    text = F.when(F.pmod("phrase_id", F.lit(13)) == 0, F.concat(F.lit("<unk> <unk> "), F.upper("text"))).otherwise(F.upper("text"))
+    thirteenth useless, so that the fallbacks have work; others have words more or less than the phrase."""
+    pick, shout = F.pmod("phrase_id", F.lit(5)), F.upper(F.replace("text", F.lit("ß"), F.lit("ss")))
+    text = F.when(F.pmod("phrase_id", F.lit(13)) == 0, F.concat(F.lit("<unk> <unk> "), shout)).when(pick == 1, F.concat(shout, F.lit(" AND MORE")))
+    text = text.when((pick == 2) & (F.col("n_words") > 1), F.regexp_replace(shout, r" [^ ]*$", "")).otherwise(shout)
     return phrases.where(F.pmod("phrase_id", F.lit(11)) != 0).select("video_id", "phrase_id", text.alias("text"))
 
 
@@ -601,18 +632,53 @@ def a5_w17_w18_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.phrases(_clip_words(spark, sf_dir)).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
-@register(f"WITH {CLIP_WORDS_SQL} SELECT video_id, phrase_id FROM phrases WHERE phrase_id % 11 = 0 OR (phrase_id % 13 = 0 AND 2.0 / (n_words + 2) > 0.2) OR (phrase_id % 13 <> 0 AND length(text) < 2)")
+@register(
+    f"""WITH {CLIP_WORDS_SQL}, a AS (SELECT *, CASE WHEN phrase_id % 13 = 0 THEN '<unk> <unk> ' || u WHEN phrase_id % 5 = 1 THEN u || ' AND MORE' WHEN phrase_id % 5 = 2 AND n_words > 1 THEN regexp_replace(u, ' [^ ]*$', '') ELSE u END AS t
+    FROM (SELECT *, upper(replace(text, 'ß', 'ss')) AS u FROM phrases)) SELECT video_id, phrase_id FROM a WHERE phrase_id % 11 = 0 OR (phrase_id % 13 = 0 AND 2.0 / (n_words + 2) > 0.2) OR length(t) < 2"""
+)
 def p15_j10_u5_missing_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = subtitles.phrases(_clip_words(spark, sf_dir))
     return subtitles.missing_translations(phrases, _translations(phrases)).select("video_id", "phrase_id")
 
 
-@register()
+# Spreading new words over a phrase's time as a recursion over them: v holds the old words, w the new ones.
+SPREAD_SQL = (
+    CLIP_WORDS_SQL
+    + r""",
+answered AS (
+    SELECT p.video_id, p.clip_ord, p.phrase_no, CASE WHEN phrase_id % 11 = 0 OR phrase_id % 13 = 0 OR length(a.t) < 2 THEN NULL ELSE string_split(a.t, ' ') END AS w, v.s, v.e, v.old
+    FROM phrases p JOIN (SELECT video_id, clip_ord, n // 5 AS phrase_no, list(start ORDER BY n) AS s, list("end" ORDER BY n) AS e, list(word ORDER BY n) AS old FROM clip_words GROUP BY ALL) v USING (video_id, clip_ord, phrase_no),
+        LATERAL (SELECT CASE WHEN phrase_id % 5 = 1 THEN u || ' AND MORE' WHEN phrase_id % 5 = 2 AND n_words > 1 THEN regexp_replace(u, ' [^ ]*$', '') ELSE u END AS t FROM (SELECT upper(replace(text, 'ß', 'ss')) AS u)) a
+),
+uneven AS (
+    SELECT *, len(w) AS m, len(old) AS k, list_sum(list_transform(e, lambda x, i: x - s[i])) / len(w) AS talk FROM answered WHERE w IS NOT NULL AND len(w) <> len(old)
+),
+pauses AS (
+    SELECT video_id, clip_ord, phrase_no, pos, sum(pause) AS pause FROM (
+        SELECT video_id, clip_ord, phrase_no, s[j + 2] - e[j + 1] AS pause, greatest(0, CASE WHEN greatest(1, m - 1) >= k - 1 THEN j WHEN k - 1 > 1 THEN least(m - 2, CAST(round_even(j * (m - 2) / (k - 2), 0) AS BIGINT)) ELSE 0 END) AS pos
+        FROM (SELECT *, unnest(range(0, k - 1)) AS j FROM uneven)) GROUP BY ALL
+),
+said AS (
+    SELECT video_id, clip_ord, phrase_no, 0 AS i, s[1] AS now FROM uneven
+    UNION ALL
+    SELECT u.video_id, u.clip_ord, u.phrase_no, d.i + 1, d.now + u.talk + CASE WHEN u.e[-1] > d.now + u.talk THEN least(coalesce(p.pause, 0), u.e[-1] - (d.now + u.talk)) ELSE 0 END
+    FROM said d JOIN uneven u ON u.video_id = d.video_id AND u.clip_ord = d.clip_ord AND u.phrase_no = d.phrase_no AND d.i + 1 < u.m
+    LEFT JOIN pauses p ON p.video_id = d.video_id AND p.clip_ord = d.clip_ord AND p.phrase_no = d.phrase_no AND p.pos = d.i
+),
+timed_words AS (
+    SELECT video_id, clip_ord, phrase_no, i AS k, w[i + 1] AS word, now AS start, now + talk AS "end" FROM said JOIN uneven USING (video_id, clip_ord, phrase_no)
+    UNION ALL
+    SELECT video_id, clip_ord, phrase_no, unnest(range(0, len(old))), unnest(coalesce(w, old)), unnest(s), unnest(e) FROM answered WHERE w IS NULL OR len(w) = len(old)
+)"""
+)
+
+
+@register(f'WITH RECURSIVE {SPREAD_SQL} SELECT video_id, clip_ord, phrase_no, k::INTEGER AS k, word, round(start, 5) AS start, round("end", 5) AS "end" FROM timed_words')
 def c8_f9_j9_j17_translated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _clip_words(spark, sf_dir)
     phrases = subtitles.phrases(words)
     out = subtitles.translated_words(words, phrases, _translations(phrases))
-    return out.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
+    return out.withColumns({"start": F.round("start", 5), "end": F.round("end", 5)})
 
 
 _CLOCK = "(cs{0} // 360000)::VARCHAR || ':' || lpad((cs{0} // 6000 % 60)::VARCHAR, 2, '0') || ':' || lpad((cs{0} // 100 % 60)::VARCHAR, 2, '0') || '.' || lpad((cs{0} % 100)::VARCHAR, 2, '0')"
@@ -734,7 +800,19 @@ def f7_a12_dynamic_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crops.dynamic_crops(crops.confident(fx.detections(spark, sf_dir)), fx.frames(spark, sf_dir)).select("clip_id", "time", "x", "w")
 
 
-@register()
+# Two people far apart keep their tracks; the one whose box comes first in the first frame is track 0.
+TRACKS_SQL = (
+    fx.BOXES_SQL
+    + r""",
+placed_boxes AS (SELECT clip_id, time, box_ord AS person, cx, row_number() OVER (PARTITION BY clip_id, time ORDER BY area DESC, box_ord) - 1 AS k FROM boxes WHERE conf >= 0.5),
+front AS (SELECT clip_id, person AS first_person FROM placed_boxes WHERE time = 1 AND k = 0),
+tracks AS (SELECT b.clip_id, b.time, b.k, CASE WHEN b.person = f.first_person THEN 0 ELSE 1 END AS track_id, b.cx FROM placed_boxes b JOIN front f USING (clip_id))"""
+)
+
+
+@register(
+    f"""WITH {TRACKS_SQL} SELECT clip_id, time, k::INTEGER AS box_ord, track_id::INTEGER AS track_id, (cx - 100)::INTEGER AS x1, 340::INTEGER AS y1, (cx + 100)::INTEGER AS x2, 740::INTEGER AS y2 FROM tracks"""
+)
 def f6_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crops.assign_tracks(crops.confident(fx.detections(spark, sf_dir)), stale=3.0)
 
@@ -790,12 +868,40 @@ def _speaker_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crops.speaker_crops(tracks, _speakers(spark, sf_dir), fx.frames(spark, sf_dir))
 
 
-@register()
+# The pan that follows the speaker of each second as a recursion.
+FOLLOW_SQL = (
+    SPEAKER_SQL
+    + ", "
+    + TRACKS_SQL
+    + r""",
+clip_seconds AS (SELECT doc_id AS clip_id, unnest(range(60)) AS seg FROM documents),
+ballot AS (SELECT s.clip_id, s.seg, p.track_id, count(*) AS n, min(p.win_idx) AS first FROM clip_seconds s JOIN speaking p ON p.clip_id = s.clip_id AND p.win_idx BETWEEN s.seg * 2 AND s.seg * 2 + 2 WHERE p.track_id >= 0 GROUP BY ALL),
+elected AS (SELECT clip_id, seg, track_id FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, seg ORDER BY n DESC, first) AS r FROM ballot) WHERE r = 1),
+speaker AS (
+    SELECT s.clip_id, s.seg, coalesce(last_value(w.track_id IGNORE NULLS) OVER (PARTITION BY s.clip_id ORDER BY s.seg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1)::INTEGER AS track_id
+    FROM clip_seconds s LEFT JOIN elected w USING (clip_id, seg)
+),
+goals AS (SELECT s.clip_id, s.seg, s.track_id, t.cx::DOUBLE AS mx FROM speaker s LEFT JOIN tracks t ON t.clip_id = s.clip_id AND t.time = s.seg AND t.track_id = s.track_id),
+view AS (
+    SELECT clip_id, seg, track_id, CASE WHEN mx IS NULL THEN 960::DOUBLE ELSE 960::DOUBLE * 0.3::DOUBLE + mx * 0.7::DOUBLE END AS cx FROM goals WHERE seg = 0
+    UNION ALL
+    SELECT g.clip_id, g.seg, g.track_id, CASE WHEN g.mx IS NULL THEN v.cx WHEN v.track_id >= 0 AND v.track_id <> g.track_id THEN g.mx ELSE v.cx * 0.3::DOUBLE + g.mx * 0.7::DOUBLE END
+    FROM view v JOIN goals g ON g.clip_id = v.clip_id AND g.seg = v.seg + 1
+),
+keyframes AS (SELECT clip_id, seg::DOUBLE AS time, CAST(greatest(0, least(trunc(cx - 303), 1314)) AS INTEGER) AS x, 0::INTEGER AS y, 606::INTEGER AS w, 1080::INTEGER AS h, track_id FROM view)"""
+)
+
+
+@register(f"WITH RECURSIVE {FOLLOW_SQL} SELECT * FROM keyframes")
 def c12_f8_speaker_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _speaker_crops(spark, sf_dir)
 
 
-@register()
+@register(
+    f"""WITH RECURSIVE {FOLLOW_SQL}, ahead AS (SELECT *, lead(x) OVER w AS nx, lead(track_id) OVER w AS nt FROM keyframes WINDOW w AS (PARTITION BY clip_id ORDER BY time)),
+    asked AS (SELECT doc_id AS clip_id, unnest(range(240)) / 4.0::DOUBLE AS t FROM documents)
+    SELECT q.clip_id, q.t, round(a.x + CASE WHEN a.nt = a.track_id THEN (a.nx - a.x) * (q.t - a.time) ELSE 0 END, 6)::DOUBLE AS x, 0.0::DOUBLE AS y FROM asked q JOIN ahead a ON a.clip_id = q.clip_id AND a.time = floor(q.t)"""
+)
 def j22_w22_crop_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crop at each quarter second: keyframes joined as of the query's time."""
     times = fx.frames(spark, sf_dir).select("clip_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(239)), lambda i: i / 4.0)).alias("t"))
@@ -804,23 +910,58 @@ def j22_w22_crop_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Model replies, rewrites, caches.
-@register()
+# The replies in SQL: where the cut ones break off, the objects that are whole are counted by their lengths.
+REPLIES_SQL = (
+    SCORED_SQL
+    + r""",
+objects AS (
+    SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY clip_ord) - 1 AS item, '{"start":' || start::VARCHAR || ',"end":' || "end"::VARCHAR || ',"title":"Clip ' || clip_ord || '","score_emotion":' || score_emotion
+        || ',"score_hook":' || score_hook || ',"score_retention":' || score_retention || ',"score_personality":' || score_personality || '}' AS o FROM scored
+),
+ends AS (SELECT *, sum(length(o) + 2) OVER (PARTITION BY video_id ORDER BY item) - 1 AS pos, sum(length(o) + 2) OVER (PARTITION BY video_id) AS whole FROM objects),
+replied AS (SELECT *, video_id % 6 AS kind FROM ends WHERE video_id % 6 <> 5 AND (video_id % 6 <> 4 OR pos <= whole * 7 // 10)),
+replies AS (
+    SELECT v.video_id, coalesce(n, 0)::INTEGER AS n_items, CASE WHEN v.video_id % 6 = 5 OR n IS NULL THEN 'failed' WHEN v.video_id % 6 = 4 THEN 'partial' ELSE 'ok' END AS status
+    FROM (SELECT DISTINCT video_id FROM clips) v LEFT JOIN (SELECT video_id, count(*) AS n FROM replied GROUP BY 1) r USING (video_id)
+)"""
+)
+
+
+@register(f"WITH {REPLIES_SQL} SELECT * FROM replies")
 def l1_parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = responses.parse_responses(fx.responses(spark, sf_dir), ["video_id"])
     return parsed.select("video_id", "status", F.size("items").alias("n_items"))
 
 
-@register()
+@register(
+    f"""WITH RECURSIVE {REPLIES_SQL},
+    line_up AS (SELECT video_id, item, start AS s, "end" AS e, clip_score, score_emotion, row_number() OVER (PARTITION BY video_id ORDER BY clip_score DESC, score_emotion DESC, item) AS i
+        FROM replied WHERE clip_score >= 60 AND "end" - start BETWEEN 15 AND 180),
+    kept_items AS (
+        SELECT video_id, item, i, true AS ok, [{{'s': s, 'e': e}}] AS taken FROM line_up WHERE i = 1
+        UNION ALL
+        SELECT q.video_id, q.item, q.i, k.ok, CASE WHEN k.ok THEN list_append(n.taken, {{'s': q.s, 'e': q.e}}) ELSE n.taken END
+        FROM kept_items n JOIN line_up q ON q.video_id = n.video_id AND q.i = n.i + 1,
+            LATERAL (SELECT len(n.taken) < 30 AND NOT coalesce(list_bool_or(list_transform(n.taken, lambda t:
+                greatest(0, least(q.e, t.e) - greatest(q.s, t.s)) / least(q.e - q.s, t.e - t.s) > 0.5)), false) AS ok) k
+    )
+    SELECT *, 'Moment #' || rank AS title FROM (SELECT l.video_id, l.item::INTEGER AS clip_ord, row_number() OVER (PARTITION BY l.video_id ORDER BY clip_score DESC, score_emotion DESC, l.item)::INTEGER AS rank,
+        l.s AS start, l.e AS "end", clip_score FROM line_up l JOIN kept_items k USING (video_id, item) WHERE k.ok)"""
+)
 def l1_c4_clips_from_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = responses.parse_responses(fx.responses(spark, sf_dir), ["video_id"])
     raw = responses.clip_items(parsed, ["video_id"]).withColumnRenamed("item_ord", "clip_ord").drop("extra")
     return selection.select_clips(raw).select("video_id", "clip_ord", "rank", "start", "end", "clip_score", "title")
 
 
-@register()
+@register(
+    f"""WITH {REPLIES_SQL} SELECT video_id, CASE WHEN video_id % 5 = 0 THEN '{responses.RETRY_SUFFIXES[0]}' ELSE '{responses.RETRY_SUFFIXES[1]}' END AS suffix
+    FROM replies WHERE video_id % 12 = 4 OR (video_id % 6 = 4 AND status = 'failed')"""
+)
 def l2_retry_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fx.responses(spark, sf_dir).withColumn("raw", F.when(F.pmod("video_id", F.lit(12)) == 4, F.concat(F.lit("{"), F.substring("raw", 2, 20))).otherwise(F.col("raw")))
-    return responses.retry_requests(responses.parse_responses(raw, ["video_id"]), raw, ["video_id"])
+    raw = raw.withColumn("attempt", (F.col("video_id") % 5).cast("int"))
+    return responses.retry_requests(responses.parse_responses(raw, ["video_id"]), raw, ["video_id"], attempt="attempt")
 
 
 REFINED_SQL = (
@@ -858,11 +999,13 @@ def src9_src10_c13_cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    r"""SELECT conv_id, CAST(turn AS BIGINT) AS line_no, 'INFO' AS level, trim(regexp_replace(coalesce(text, ''), '[\x1b]\[[0-9;]*m', '', 'g')) AS message FROM (SELECT *, row_number() OVER
-    (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2 AND text IS NOT NULL"""
+    r"""SELECT conv_id, CAST(turn AS BIGINT) AS line_no, CASE turn % 4 WHEN 1 THEN 'WARN' WHEN 2 THEN 'ERROR' ELSE 'INFO' END AS level, CASE WHEN turn % 4 IN (1, 2) THEN one ELSE trim(one) END AS message
+    FROM (SELECT *, ltrim(replace(replace(text, chr(10), ' '), chr(13), ' ')) AS one, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2 AND text IS NOT NULL"""
 )
 def k6_s27_recent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("line_no"), F.col("text").alias("line"))
+    kind, flat = F.col("turn") % 4, F.ltrim(F.translate("text", "\n\r", "  "))
+    line = F.when(kind == 1, F.concat(F.lit(" [WARN]  "), flat)).when(kind == 2, F.concat(F.lit("\x1b[31m[ERROR]\x1b[0m "), flat)).otherwise(flat)
+    logs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("line_no"), line.alias("line"))
     out = media.recent_lines(logs, 2).where("line is not null")
     return out.select(F.col("job_id").alias("conv_id"), "line_no", "level", "message")
 
@@ -883,13 +1026,20 @@ def s29_full_video_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    r"""SELECT doc_id, CASE WHEN lang = 'en' AND doc_id % 10 / 10.0 > 0.6 THEN false ELSE true END AS translate, CASE WHEN lang = 'en' THEN CASE WHEN doc_id % 10 / 10.0 > 0.6 THEN 'improve' ELSE 'refine_to_english' END
-    ELSE 'refine_to_english' END AS prompt FROM documents"""
+    r"""WITH d AS (SELECT *, [NULL, '', ' Auto ', 'keep-original', 'EN', 'English', 'id', ' Bahasa Indonesia', 'fr'][doc_id % 9 + 1] AS option FROM documents),
+    t AS (SELECT *, NOT (coalesce(lower(lang), '') = 'en' AND doc_id % 10 / 10.0 > 0.6) AS translate, CASE WHEN coalesce(option, '') = '' THEN 'en' WHEN doc_id % 9 IN (2, 3) THEN 'auto' ELSE lower(trim(option)) END AS target FROM d)
+    SELECT doc_id, translate, target, CASE WHEN doc_id % 9 IN (4, 5) THEN 'English' WHEN doc_id % 9 IN (6, 7) THEN 'Indonesian' ELSE trim(option) END AS label,
+    CASE WHEN target = 'auto' THEN 'refine_keep' WHEN target IN ('en', 'english') THEN CASE WHEN translate THEN 'refine_to_english' ELSE 'improve' END ELSE 'refine_to_target' END AS prompt FROM t"""
 )
 def p14_s15_s18_prompt_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    p = F.col("doc_id") % 10 / 10.0
-    return docs.select("doc_id", refine.should_translate(F.col("lang"), p).alias("translate"), refine.refine_prompt_key(F.lit("EN"), F.col("lang"), p).alias("prompt"))
+    p, lang = F.col("doc_id") % 10 / 10.0, F.col("lang")
+    options = F.array(*(F.lit(x) for x in (None, "", " Auto ", "keep-original", "EN", "English", "id", " Bahasa Indonesia", "fr")))
+    option = F.get(options, (F.col("doc_id") % 9).cast("int"))
+    return docs.select(
+        "doc_id", refine.should_translate(lang, p).alias("translate"), refine.target_language(option).alias("target"), refine.target_label(option).alias("label"),
+        refine.refine_prompt_key(option, lang, p).alias("prompt"),
+    )
 
 
 # Scalar functions over whole tables.
@@ -959,7 +1109,7 @@ def a9_time_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a18_c14_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.coalesce(F.col("text") != "", F.lit(False)).alias("ok"))
-    return docs.groupBy("source").agg(F.count_if("ok").alias("processed"), F.count_if(~F.col("ok")).alias("failed"))
+    return media.batch_summary(docs.withColumn("source_video", F.lit("")), ("source",)).drop("failed_videos")
 
 
 @register(

@@ -46,9 +46,17 @@ def split_cached(items: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[D
     return items.join(cache, keys), items.join(cache.select(*keys), keys, "left_anti")
 
 
+def raw_clips(wanted: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw replies kept by (video_id, sig), a signature of all parameters: the ``wanted`` rows with content, and
+    those to ask for. A kept content that is blank or no JSON list or object is a miss."""
+    usable = F.trim("content").rlike(r"^[\[{]") & F.try_parse_json("content").isNotNull()
+    good = raw.where(usable).groupBy("video_id", "sig").agg(F.min("content").alias("content"))
+    return split_cached(wanted, good, ["video_id", "sig"])
+
+
 class StepCache:
-    """The cache as a table in a folder, partitioned by step; a put replaces its own step's rows of the
-    same videos and leaves other steps untouched."""
+    """The cache as a table in a folder, partitioned by step. A put adds a batch; the newest batch's row of a
+    video and step counts. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -61,18 +69,27 @@ class StepCache:
     def rows(self) -> DataFrame:
         if not any("step=" in p for p in self._paths()):
             return self.spark.createDataFrame([], CACHE)
-        return self.spark.read.schema(CACHE).parquet(self.path)
+        newest = self._all().groupBy("video_id", "step").agg(F.max_by(F.struct("sig", "payload"), "batch").alias("n"))
+        return newest.select("video_id", "step", "n.sig", "n.payload")
 
     def put(self, results: DataFrame) -> None:
-        """Add (video_id, step, sig, payload); the newest row of a video and step wins."""
-        steps = results.select("step").distinct()
-        old = self.rows().join(steps, "step", "left_semi").join(results.select("video_id", "step"), ["video_id", "step"], "left_anti")
-        merged = old.unionByName(results.select("video_id", "step", "sig", "payload"))
+        """Add (video_id, step, sig, payload) as a new batch of files; nothing that is there is written again."""
+        own = results.select("video_id", "step", "sig", "payload", F.lit(self._next()).alias("batch"))
+        own.write.mode("append").partitionBy("step").parquet(self.path)
+
+    def compact(self) -> None:
+        """Write each step's newest rows alone."""
         staged = f"{self.path}-staged"
-        merged.write.mode("overwrite").parquet(staged)  # the old rows are read from where they will be written
+        self.rows().withColumn("batch", F.lit(self._next())).write.mode("overwrite").parquet(staged)
         fresh = self.spark.read.parquet(staged)
         fresh.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("step").parquet(self.path)
 
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(f"{CACHE}, batch long").parquet(self.path)
+
+    def _next(self) -> int:
+        return 1 + (self._all().agg(F.max("batch")).first()[0] or 0) if self._paths() else 1
+
     def clear(self, step: str | None = None) -> None:
         """Forget one step, or all."""
         for path in self._paths():

@@ -10,7 +10,11 @@ from pyspark.sql import types as T
 def read_clips(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Clips and rejects (path, text) of JSON files, each a list of clips. Broken files are
     rejects and empty ones give nothing at all; neither is an error."""
-    files = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    return parse_clips(spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("path")), schema)
+
+
+def parse_clips(files: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """As ``read_clips`` for documents (path, value)."""
     parsed = files.withColumn("_c", F.from_json("value", T.ArrayType(schema)))
     good = F.col("_c").isNotNull() & F.trim("value").startswith("[") & F.trim("value").endswith("]")
     clips = parsed.where(good).select("path", F.posexplode("_c").alias("clip_ord", "c")).select("path", "clip_ord", "c.*")

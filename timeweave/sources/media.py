@@ -30,6 +30,13 @@ def pcm_windows(spark: SparkSession, path: str, per_window: int = 8000) -> DataF
     Samples are squared and summed a window at a time inside the task, so no row holds a sample.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s16le").load(path)
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return pcm_rms(files.select(stem.alias("video_id"), "content"), per_window)
+
+
+def pcm_rms(files: DataFrame, per_window: int = 8000) -> DataFrame:
+    """As ``pcm_windows`` for recordings (video_id, content), each of which fits a task: a binary cell of Spark
+    holds 2 GiB, some 18 hours of 16 kHz sound. Longer ones must come in parts of whole windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,13 +48,26 @@ def pcm_windows(spark: SparkSession, path: str, per_window: int = 8000) -> DataF
                     [pa.array([name.as_py()] * len(rms), pa.string()), pa.array(np.arange(len(rms))), pa.array(rms.astype(np.float64))], ["video_id", "win_idx", "rms"]
                 )
 
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return files.select(stem.alias("video_id"), "content").mapInArrow(run, "video_id string, win_idx long, rms double")
+    return files.select(F.col("video_id").cast("string"), "content").mapInArrow(run, "video_id string, win_idx long, rms double")
+
+
+def files_by_name(catalog: DataFrame) -> DataFrame:
+    """``catalog`` with place: files of a folder from 1 in order of their names, then paths."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    return catalog.withColumn("place", F.row_number().over(Window.partitionBy(folder).orderBy("name", "path")))
+
+
+def folder_results(catalog: DataFrame, clips: DataFrame) -> DataFrame:
+    """source_video, n_clips, ok of every file of ``catalog`` (stem): ok if the run left clips (source_video)."""
+    made = clips.groupBy(F.col("source_video").alias("stem")).agg(F.count("*").alias("n_clips"))
+    own = catalog.select("stem").join(made, "stem", "left")
+    return own.select(F.col("stem").alias("source_video"), F.coalesce("n_clips", F.lit(0)).alias("n_clips"), F.col("n_clips").isNotNull().alias("ok"))
 
 
-def batch_summary(results: DataFrame) -> DataFrame:
-    """processed, failed and failed_videos of (source_video, ok); the failed are listed in order."""
-    return results.agg(
+def batch_summary(results: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """processed, failed and failed_videos of (source_video, ok), for each of ``keys`` if there are any; the
+    failed are listed in order."""
+    return results.groupBy(*keys).agg(
         F.count_if("ok").alias("processed"), F.count_if(~F.col("ok")).alias("failed"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("source_video")))).alias("failed_videos")
     )
 
