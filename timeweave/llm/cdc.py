@@ -26,7 +26,8 @@ from timeweave.llm.common import discard, materialize
 from timeweave.llm.textkernel import _SPACE, PIECE, column_bytes
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 16, 128, 5
-LEAST_WORDS, REACH = 50, 1024
+LEAST_WORDS, REACH = 50, 512
+HOT, SALTS = 10_000, 64
 WINDOW = 32
 _GEAR = np.random.Generator(np.random.PCG64(31)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -139,29 +140,41 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 
 
 def _shared_chunks(docs: DataFrame) -> DataFrame:
-    """The chunks that two or more documents hold, with run (neighbours of one document have one number),
-    owner and last (smallest and largest doc_id that hold it) and the chunk's place in those."""
-    chunks = materialize(chunk_table(docs.where("doc_id is not null")), "chunks")
-    # Half of the digest sorts out nearly all that is alone; the whole one decides.
-    held = chunks.groupBy("d1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    likely = materialize(chunks.join(held.select("d1"), "d1").distinct(), "shared")
-    discard(chunks)
-    place = F.struct("doc_id", "start")
-    both = likely.groupBy("d1", "d2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low.doc_id < high.doc_id")
-    both = both.select(
-        "d1", "d2", F.col("low.doc_id").alias("owner"), F.col("low.start").alias("owner_at"),
-        F.col("high.doc_id").alias("last"), F.col("high.start").alias("last_at"),
+    """doc_id, d1, d2, start, size, words, owner, last, run of the chunks that two or more documents hold: owner
+    and last are the smallest and largest doc_id that hold it, neighbours of one document have one run.
+
+    A digest that makes up more than one in HOT of all chunks, of which there are HOT at most, is joined in
+    SALTS parts, so no task meets all of its rows."""
+    place = F.col("start").cast("long") * 65536 + F.col("size") * 256 + F.col("words")
+    table = chunk_table(docs.where("doc_id is not null"))
+    chunks = materialize(table.select("doc_id", "d1", "d2", place.alias("p")), "chunks")
+    held = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    held = materialize(held.where("owner < last"), "held")
+    hot = held.where(F.col("n") > chunks.count() // HOT).select("d1", "d2", F.lit(True).alias("hot"))
+    hot = F.broadcast(hot)  # HOT rows at most
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    salted = lambda part: F.when(F.col("hot"), F.xxhash64("d1", part)).otherwise(F.col("d1"))
+    left = chunks.join(hot, ["d1", "d2"], "left").select(salted(salt).alias("k"), "d2", "doc_id", "p")
+    parts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    right = held.join(hot, ["d1", "d2"], "left").withColumn("part", parts).select(salted(F.col("part")).alias("k"), "d1", "d2", "owner", "last")
+    shared = left.join(right, ["k", "d2"]).drop("k")
+    w = Window.partitionBy("doc_id").orderBy("p", "owner")
+    end = lambda c: F.floor(c / 65536) + F.pmod(F.floor(c / 256), F.lit(256))
+    before = F.lag("p").over(w)
+    runs = shared.withColumns({"new": F.coalesce(F.floor(F.col("p") / 65536) > end(before), F.lit(True)), "again": F.coalesce(F.col("p") == before, F.lit(False))})
+    runs = runs.withColumn("run", F.sum(F.col("new").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.where("not again").select(
+        "doc_id", "d1", "d2", F.floor(F.col("p") / 65536).cast("int").alias("start"), F.pmod(F.floor(F.col("p") / 256), F.lit(256)).cast("int").alias("size"),
+        F.pmod("p", F.lit(256)).cast("int").alias("words"), "owner", "last", "run",
     )
-    shared = likely.join(both, ["d1", "d2"]).drop("d1", "d2")
-    w = Window.partitionBy("doc_id").orderBy("start", "size", "owner")
-    new = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("size")).over(w), F.lit(True))
-    runs = shared.withColumn("run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return materialize(runs, "runs")
+    runs = materialize(runs, "runs")
+    discard(chunks, held)
+    return runs
 
 
 def _beside(docs: DataFrame, places: DataFrame) -> DataFrame:
     """doc_id, pos, ahead, bytes: up to REACH bytes of the text before or (ahead) from ``pos`` on, for places
-    (doc_id, pos, ahead). Of several texts of one doc_id, the least such bytes."""
+    (doc_id, pos, ahead). Several texts of one doc_id give a row each."""
     wanted = places.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "ahead")).alias("at"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("doc_id", "text", "at")
 
@@ -181,7 +194,7 @@ def _beside(docs: DataFrame, places: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return texts.mapInArrow(run, "doc_id long, pos int, ahead boolean, bytes binary").groupBy("doc_id", "pos", "ahead").agg(F.min("bytes").alias("bytes"))
+    return texts.mapInArrow(run, "doc_id long, pos int, ahead boolean, bytes binary")
 
 
 def common_run(a: bytes, b: bytes, ahead: bool) -> int:
@@ -192,14 +205,18 @@ def common_run(a: bytes, b: bytes, ahead: bool) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _reaches(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def _reaches(docs: DataFrame, chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, run, back, forth, more_words: bytes by which a span's ends move out, and the words that begin there."""
     sides = F.array(
         F.struct(F.lit(False).alias("ahead"), F.col("start").alias("pos"), F.col("first").alias("edge"), F.lit(0).alias("shift")),
         F.struct(F.lit(True).alias("ahead"), F.col("end").alias("pos"), F.col("final").alias("edge"), F.col("final.size").alias("shift")),
     )
-    edges = spans.select("doc_id", "run", F.explode(sides).alias("s")).select("doc_id", "run", "s.*")
-    others = F.array(*(F.struct(F.col(f"edge.{d}").alias("o_id"), (F.col(f"edge.{d}_at") + F.col("shift")).cast("int").alias("o_pos")) for d in ("owner", "last")))
+    edges = spans.select("doc_id", "run", F.explode(sides).alias("s")).select("doc_id", "run", "s.ahead", "s.pos", "s.shift", "s.edge.d1", "s.edge.d2", "s.edge.owner", "s.edge.last")
+    held_at = chunks.where("doc_id = owner or doc_id = last").groupBy("d1", "d2").agg(
+        F.min(F.when(F.col("doc_id") == F.col("owner"), F.col("start"))).alias("owner_at"), F.min(F.when(F.col("doc_id") == F.col("last"), F.col("start"))).alias("last_at")
+    )
+    edges = edges.join(materialize(held_at, "places"), ["d1", "d2"])
+    others = F.array(*(F.struct(F.col(d).alias("o_id"), (F.col(f"{d}_at") + F.col("shift")).cast("int").alias("o_pos")) for d in ("owner", "last")))
     pairs = edges.select("doc_id", "run", "ahead", "pos", F.explode(others).alias("o")).select("doc_id", "run", "ahead", "pos", "o.*")
     pairs = materialize(pairs.where("o_id != doc_id"), "edges")
     places = pairs.select("doc_id", "pos", "ahead").union(pairs.select("o_id", "o_pos", "ahead")).distinct()
@@ -227,7 +244,7 @@ def _reaches(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _spans(docs: DataFrame, chunks: DataFrame, least_words: int) -> DataFrame:
-    edge = F.struct("owner", "owner_at", "last", "last_at", "size")
+    edge = F.struct("d1", "d2", "owner", "last", "size")
     spans = chunks.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.min("owner").alias("owner"),
         F.min_by(edge, F.struct("start", "size")).alias("first"), F.max_by(edge, F.struct("start", "size")).alias("final"),
@@ -235,7 +252,7 @@ def _spans(docs: DataFrame, chunks: DataFrame, least_words: int) -> DataFrame:
         F.sum(F.when(F.col("owner") < F.col("doc_id"), F.col("size")).otherwise(0)).alias("repeated"),
     )
     spans = materialize(spans, "spans")
-    out = spans.join(_reaches(docs, spans), ["doc_id", "run"], "left")
+    out = spans.join(_reaches(docs, chunks, spans), ["doc_id", "run"], "left")
     return out.select(
         "doc_id", "run", (F.col("start") - F.coalesce("back", F.lit(0))).alias("start"), (F.col("end") + F.coalesce("forth", F.lit(0))).alias("end"),
         "owner", "chunks", "repeated", (F.col("words") + F.coalesce("more_words", F.lit(0))).alias("words"),
