@@ -251,18 +251,17 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     repeated or not.
     """
     rows = _grouped(docs, width, percent, BANDS, ROWS).where("doc_id is not null")
-    rows = rows.withColumn("_wordless", F.col("n_shingles") == 0)
-    group = F.when(~F.col("_wordless"), F.col("component_id"))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     own = materialize(rows.select("doc_id", "text_hash", group.alias("g")), "rows")
     best = own.where("g is not null").groupBy("g").agg(F.min(F.struct("doc_id", "text_hash")).alias("b"))
-    best = best.select("b.*").withColumn("_best", F.lit(True))
-    each = own.groupBy("doc_id", "text_hash").agg(F.max(F.col("g").isNotNull()).alias("_in"), F.count("*").alias("_n"))
-    marks = each.join(best, ["doc_id", "text_hash"], "left")
-    marks = marks.select(F.col("doc_id").alias("_mk_id"), F.col("text_hash").alias("_mk_hash"), (F.col("_in") & F.col("_best").isNull()).alias("_mk_drop"), F.col("_n").alias("_mk_n"))
-    marks = materialize(marks.where("_mk_drop or _mk_n > 1"), "marks")
-    keys = (docs["doc_id"].cast("long") == F.col("_mk_id")) & (F.xxhash64(docs["text"]) == F.col("_mk_hash"))
-    single = docs.join(marks, keys, "left_anti")
-    several = docs.join(marks.where("not _mk_drop"), keys)
-    others = [F.struct(*(docs[c] for c in docs.columns))]
-    several = several.groupBy("_mk_id", "_mk_hash").agg(F.min(*others).alias("_mk_row")).select("_mk_row.*")
-    return single.unionByName(several)
+    best = best.select("b.*")
+    gone = own.where("g is not null").select("doc_id", "text_hash").distinct().join(best, ["doc_id", "text_hash"], "left_anti")
+    gone = materialize(gone.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")), "gone")
+    discard(own)
+    # What goes grows with the corpus, so it is never broadcast: texts are dealt once, by id and hash, and the
+    # window finds them dealt already.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    left = keyed.join(gone.hint("merge"), ["id", "hash"], "left_anti")
+    first = F.row_number().over(Window.partitionBy("id", "hash").orderBy("row"))
+    return left.withColumn("first", first).where("first = 1 or id is null").select("row.*")
