@@ -501,7 +501,93 @@ def s6_neighbour_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Boundaries.
-@register()
+_WEAK = ", ".join(f"'{x}'" for x in boundaries.WEAK_STARTS)
+_POWER = ", ".join(f"'{x}'" for x in boundaries.POWER_STARTS)
+_BAD = ", ".join(f"'{x}'" for x in boundaries.BAD_ENDS)
+_GOOD = ", ".join(f"'{x}'" for x in boundaries.GOOD_ENDS)
+# Chosen clips; their lines as they were said; starts and ends moved by the rules of starts and endings; what of it is used.
+ADJUSTED_SQL = (
+    NMS_SQL
+    + fx.WORDS_SQL[len(fx.SEGMENTS_SQL) :]
+    + rf""",
+picked AS (
+    SELECT c.video_id, c.clip_ord, c.s AS start, c.e, t.text AS hook, t.closing
+    FROM chosen c JOIN (SELECT video_id, seg_id AS clip_ord, text, lead(text, 2) OVER (PARTITION BY video_id ORDER BY seg_id) AS closing FROM segments) t USING (video_id, clip_ord)
+),
+ws AS (
+    SELECT p.video_id, p.clip_ord, trim(w.word) AS word, trim(lower(trim(w.word)), '.,!?;:') AS norm, w.seg_id, w.word_pos, w.w_start, w.w_end, w.seg_start, w.seg_end
+    FROM picked p JOIN words w ON w.video_id = p.video_id AND w.w_end > p.start - 6.5 AND w.w_start < p.e + 16
+),
+asked AS (
+    SELECT video_id, clip_ord, 'hook' AS kind, trim(hook) AS line, start - 0.5 AS a, least(start + 5.0, e) + 0.5 AS b FROM picked
+    UNION ALL SELECT video_id, clip_ord, 'closing', trim(closing), greatest(e - 8.0, start) - 0.5, e + 5.0 + 0.5 FROM picked
+),
+seen AS (
+    SELECT w.*, k.kind, k.line, row_number() OVER (PARTITION BY w.video_id, w.clip_ord, k.kind ORDER BY w.w_start, w.seg_id, w.word_pos) - 1 AS i
+    FROM ws w JOIN asked k ON k.video_id = w.video_id AND k.clip_ord = w.clip_ord WHERE w.seg_end >= k.a AND w.seg_start <= k.b AND w.w_end > k.a AND w.w_start < k.b
+),
+parts AS (
+    SELECT video_id, clip_ord, kind, len(q) AS m, unnest(q) AS x, generate_subscripts(q, 1) - 1 AS k
+    FROM (SELECT *, list_filter(string_split_regex(lower(line), '\s+'), lambda x: x <> '') AS q FROM asked)
+),
+met AS (
+    SELECT p.video_id, p.clip_ord, p.kind, n.i - p.k AS pos, any_value(p.m) AS m, count(*) FILTER (n.norm = p.x) AS equal,
+        count(*) FILTER (n.norm <> '' AND (contains(p.x, n.norm) OR contains(n.norm, p.x))) AS alike, count(*) AS held
+    FROM parts p JOIN seen n ON n.video_id = p.video_id AND n.clip_ord = p.clip_ord AND n.kind = p.kind AND n.i >= p.k GROUP BY ALL
+),
+place AS (SELECT video_id, clip_ord, kind, min(pos) AS pos, any_value(m) AS m FROM met WHERE held = m AND (equal = m OR alike >= greatest(1, m - 1)) GROUP BY ALL),
+said AS (
+    SELECT n.video_id, n.clip_ord, n.kind, any_value(n.line) AS line, string_agg(n.word, ' ' ORDER BY n.i) AS said, min_by(n.w_start, n.i) AS s, max_by(n.w_end, n.i) AS e
+    FROM place p JOIN seen n ON n.video_id = p.video_id AND n.clip_ord = p.clip_ord AND n.kind = p.kind AND n.i >= p.pos AND n.i < p.pos + p.m GROUP BY ALL
+),
+fixed AS (
+    SELECT p.video_id, p.clip_ord, p.start AS llm_start, p.e AS llm_end, CASE WHEN h.s IS NULL THEN p.start ELSE greatest(p.start, h.s - 0.12) END AS start,
+        coalesce(c.e + 0.25, p.e) AS e, coalesce(h.said, p.hook) AS hook, coalesce(c.said, p.closing) AS closing_line
+    FROM picked p LEFT JOIN said h ON h.video_id = p.video_id AND h.clip_ord = p.clip_ord AND h.kind = 'hook' AND lower(h.said) <> lower(h.line)
+    LEFT JOIN said c ON c.video_id = p.video_id AND c.clip_ord = p.clip_ord AND c.kind = 'closing' AND lower(c.said) <> lower(c.line)
+),
+about AS (
+    SELECT f.video_id, f.clip_ord, f.start, f.e, w.word, w.norm, w.seg_id, w.word_pos, w.w_start, w.w_end FROM fixed f JOIN ws w ON w.video_id = f.video_id AND w.clip_ord = f.clip_ord
+    WHERE w.seg_end >= f.start - 6.0 AND w.seg_start <= f.e + 6.0 AND w.w_end > f.start - 6.0 AND w.w_start < f.e + 6.0
+),
+first_words AS (SELECT *, row_number() OVER (PARTITION BY video_id, clip_ord ORDER BY w_start, seg_id, word_pos) - 1 AS i FROM about WHERE w_start >= start - 0.2 AND w_start <= start + 4.0),
+content AS (SELECT *, coalesce(min(i) FILTER (i < 5 AND norm NOT IN ({_WEAK})) OVER (PARTITION BY video_id, clip_ord), 0) AS c FROM first_words WHERE i < 8),
+strong AS (SELECT video_id, clip_ord, min_by(w_start, i) FILTER (i = c) AS plain, min_by(w_start, i) FILTER (i >= c AND i < c + 3 AND norm IN ({_POWER})) AS power FROM content GROUP BY ALL),
+begun AS (SELECT f.*, greatest(f.start, coalesce(k.power - 0.1, k.plain - 0.12, f.start)) AS s FROM fixed f LEFT JOIN strong k USING (video_id, clip_ord)),
+bounds AS (SELECT video_id, clip_ord, min_by(w_start, {{'a': w_start, 'b': seg_id, 'c': word_pos}}) + 5.0 AS least FROM about GROUP BY ALL),
+last_words AS (
+    SELECT a.*, g.s, b.least, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY a.video_id, a.clip_ord) AS n, coalesce(lead(a.w_start) OVER w - a.w_end, 0) AS gap, right(a.word, 1) AS mark
+    FROM about a JOIN bounds b ON b.video_id = a.video_id AND b.clip_ord = a.clip_ord JOIN begun g ON g.video_id = a.video_id AND g.clip_ord = a.clip_ord
+    WHERE a.w_end >= greatest(0, a.e - 6.0) AND a.w_end <= least(a.e + 5.0, g.s + 180.0) WINDOW w AS (PARTITION BY a.video_id, a.clip_ord ORDER BY a.w_start, a.seg_id, a.word_pos)
+),
+valued AS (
+    SELECT *, (i < n - 1 AND gap >= 0.6) OR mark IN ('.', '?', '!', '。', '؟') AS is_break, w_end >= least AND w_end <= s + 180.0 AS fits,
+        CASE WHEN w_end - e >= 0 THEN (w_end - e) * 1.5 ELSE (e - w_end) * 4.0 END - (CASE WHEN gap >= 1.2 THEN 30 WHEN gap >= 0.8 THEN 22 WHEN gap >= 0.5 THEN 14 WHEN gap >= 0.3 THEN 8 ELSE 0 END
+        + CASE WHEN norm IN ({_BAD}) THEN 0 ELSE 25 END + CASE WHEN norm IN ({_GOOD}) THEN 20 ELSE 0 END + CASE WHEN mark IN ('.', '?', '!', '。') THEN 20 ELSE 0 END + CASE WHEN mark IN ('?', '!') THEN 10 ELSE 0 END) AS v FROM last_words
+),
+ends AS (
+    SELECT video_id, clip_ord, min_by(w_end, {{'v': v, 'i': i}}) FILTER (is_break AND fits) AS best, max_by(w_end, i) FILTER (is_break) AS last_break,
+        max_by(w_end, i) FILTER (w_end <= e AND norm NOT IN ({_BAD})) AS plain, max_by(w_end, i) AS last FROM valued GROUP BY ALL
+),
+ended AS (
+    SELECT b.*, k.least IS NOT NULL AS has_words, CASE WHEN g.last IS NULL THEN b.e WHEN g.last_break IS NULL THEN coalesce(g.plain + 0.25, least(b.e, g.last + 0.3))
+        WHEN g.best IS NULL THEN least(b.e, g.last_break + 0.2) ELSE g.best + 0.25 END AS t
+    FROM begun b LEFT JOIN ends g USING (video_id, clip_ord) LEFT JOIN bounds k USING (video_id, clip_ord)
+),
+tried AS (SELECT *, t - s < 5.0 AS short, t - s < 5.0 AND e - s >= 5.0 AS keep_end, t - s < 5.0 AND e - s < 5.0 AND t - start >= 5.0 AS keep_start FROM ended),
+used AS (SELECT *, CASE WHEN keep_start THEN start ELSE s END AS s2, least(CASE WHEN keep_end THEN e ELSE t END, CASE WHEN keep_start THEN start ELSE s END + 180.0) AS e2 FROM tried),
+adjusted AS (
+    SELECT *, has_words AND (NOT short OR keep_end OR keep_start) AND (s2 > start + 0.2 OR abs(e2 - e) > 0.4) AS boundary_moved FROM used
+),
+edges AS (
+    SELECT video_id, clip_ord, llm_start, llm_end, CASE WHEN boundary_moved THEN s2 ELSE start END AS start, CASE WHEN boundary_moved THEN e2 ELSE e END AS "end", boundary_moved, hook, closing_line FROM adjusted
+)"""
+)
+
+
+@register(
+    f"""WITH RECURSIVE {ADJUSTED_SQL} SELECT video_id, clip_ord, llm_start, llm_end, round(start, 6) AS start, round("end", 6) AS "end", boundary_moved, hook, closing_line FROM edges"""
+)
 def c5_adjust_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = fx.segments(spark, sf_dir)
     out = boundaries.adjust_boundaries(selection.select_clips(fx.clips(segs)), fx.words(segs))
@@ -542,10 +628,6 @@ def c6_w7_w8_w9_tighten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries.tighten(fx.clips(segs), fx.words(segs)).select("video_id", "clip_ord", "tightened", _sec("start"), _sec("end"))
 
 
-_BAD = ", ".join(f"'{x}'" for x in boundaries.BAD_ENDS)
-_GOOD = ", ".join(f"'{x}'" for x in boundaries.GOOD_ENDS)
-
-
 @register(
     f"""WITH {fx.WORDS_SQL}, g AS (SELECT *, lead(w_start) OVER (PARTITION BY video_id ORDER BY w_start, seg_id, word_pos) - w_end AS gap, right(word, 1) AS mark, trim(lower(word), '.,!?;:') AS norm FROM words)
     SELECT video_id, seg_id, word_pos, coalesce(gap >= 0.6, false) OR mark IN ('.', '?', '!', '。', '؟') AS is_break,
@@ -1097,7 +1179,10 @@ def s21_a12_split_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("clip_id", "face_x", "face_y", "face_w", "face_h")
 
 
-@register()
+@register(
+    f"""WITH RECURSIVE {ADJUSTED_SQL} SELECT video_id, count(*) AS n, round(sum(llm_end - llm_start) - sum("end" - start), 6) AS removed,
+    round((sum(llm_end - llm_start) - sum("end" - start)) / count(*), 6) AS per_clip FROM edges GROUP BY 1"""
+)
 def a9_time_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = fx.segments(spark, sf_dir)
     out = selection.time_removed(boundaries.adjust_boundaries(selection.select_clips(fx.clips(segs)), fx.words(segs)))

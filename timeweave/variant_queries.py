@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timeweave import fixtures as fx
 from timeweave.functions import text as tx
 from timeweave.operators import boundaries, crops, refine, requests, responses, selection, transcript
-from timeweave.queries import _BAD, _GOOD, CHUNKS_SQL, MARKED_SQL, MOMENTS_SQL, SCORED_SQL, _clips, _moments, register
+from timeweave.queries import _BAD, _GOOD, _POWER, _WEAK, CHUNKS_SQL, MARKED_SQL, MOMENTS_SQL, SCORED_SQL, _clips, _moments, register
 
 # Words around each clip as boundaries.near_words takes them, sorted by start, segment, place.
 AROUND_SQL = (
@@ -21,8 +21,6 @@ around AS (
     FROM clips c JOIN words w ON w.video_id = c.video_id AND w.w_end > c.start - 6.5 AND w.w_start < c."end" + 16
 )"""
 )
-_WEAK = ", ".join(f"'{x}'" for x in boundaries.WEAK_STARTS)
-_POWER = ", ".join(f"'{x}'" for x in boundaries.POWER_STARTS)
 
 
 def _around(spark: SparkSession, sf_dir: str) -> DataFrame:
