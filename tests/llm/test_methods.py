@@ -752,3 +752,25 @@ def test_next_documents_of_odd_ids(spark):
         got = [(r["doc_id"], r["edited_sha256"]) for r in simhash.compare_edited(docs).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
     simhash.ROWS_A_BUCKET = 2000
+
+
+def test_large_buckets_and_large_classes_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 3)
+    fps = {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 63, (60, 2))}
+    near = simhash.near_counts(spark.createDataFrame([(x,) for x in fps], "fp long"), 3)
+    got = {r["fp"]: r["n_near"] for r in near.collect()}
+    assert got == {x: sum(1 for y in fps if x != y and (x ^ y).bit_count() <= 3) for x in fps}
+
+    texts = {1: "one two three four", 2: "five six seven eight nine", 3: "ten eleven twelve"}
+    docs = [(k, texts[1 + (k % 10 > 6) + (k % 10 > 8)]) for k in range(60)] + [(None, texts[1]), (None, None)]
+    monkeypatch.setattr(simhash, "HOT", 2)
+    rows = simhash.compare_edited(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == len(docs)
+    text_of = dict(docs[:60])
+    for r in rows:
+        if r["doc_id"] is not None:
+            assert r["class_id"] == min(k for k, t in text_of.items() if t == text_of[r["doc_id"]])
+    alone = [r for r in rows if r["doc_id"] is None]
+    assert sorted((r["class_id"] is None, r["n_chars"]) for r in alone) == [(False, len(texts[1])), (True, 0)]

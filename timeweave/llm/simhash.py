@@ -24,6 +24,7 @@ MAX_WEIGHT = 16
 ROWS_A_BUCKET = 2000
 CHUNK = 512
 KNOTS = 64
+HOT = 1000  # a fingerprint of more than one in so many rows is joined by broadcast; there are fewer than that
 _LANES = 0x0000000100000001
 
 
@@ -130,16 +131,29 @@ def compare_edited(docs: DataFrame, radius: int = 3) -> DataFrame:
     follow = materialize(order, "ranges").join(heads, "next_b").select("b", "head")
     nexts = marked.withColumn("next_fp", F.lead("fp").over(w)).join(follow, "b")
     nexts = nexts.withColumn("next_fp", F.coalesce("next_fp", "head"))
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
     near = near_counts(classes.select("fp"), radius)
-    out = nexts.join(classes.join(near, "fp"), "fp")
-    return out.select(
+    return _with_classes(nexts, classes.join(near, "fp")).select(
         "doc_id", "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         "class_id", "n_near",
     )
 
 
+def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` (b, rn, fp, ...) with class_id and n_near of their fingerprint. The rows of a large class are
+    spread over all tasks: their class is broadcast, and in the shuffle their own number stands for it."""
+    held = materialize(classes, "near")
+    total = held.agg(F.sum("copies")).first()[0] or 0
+    large = F.col("copies") * HOT > total
+    hot = held.where(large).select("fp", F.struct("class_id", "n_near").alias("hot"))
+    cold = held.where(~large).select(F.col("fp").alias("key"), F.struct("class_id", "n_near").alias("cold"))
+    own = rows.join(F.broadcast(hot), "fp", "left")
+    own = own.withColumn("key", F.when(F.col("hot").isNull(), F.col("fp")).otherwise(F.xxhash64("b", "rn")))
+    own = own.join(cold, "key", "left").withColumn("found", F.coalesce("hot", "cold"))
+    return own.withColumns({"class_id": F.col("found.class_id"), "n_near": F.col("found.n_near")}).drop("key", "hot", "cold", "found")
+
+
 def block_masks(radius: int) -> list[int]:
     """Bit masks of the tables: every pair of radius + 2 blocks of nearly equal width."""
     n = radius + 2
@@ -152,7 +166,8 @@ def near_counts(fps: DataFrame, radius: int = 3) -> DataFrame:
     """fp, n_near: for each of the distinct fingerprints, how many others are within ``radius`` bits.
 
     A bucket of a block table is cut in chunks of about CHUNK fingerprints, held as arrays; a member
-    meets the chunks of its bucket, so pairs are looked at inside rows and never become rows.
+    meets the chunks of its bucket, so pairs are looked at inside rows and never become rows. Members are
+    dealt by chunk, so a large bucket is spread over as many tasks as it has chunks.
     """
     if not 0 <= radius <= 14:
         raise ValueError("radius must be 0 to 14")
@@ -160,8 +175,8 @@ def near_counts(fps: DataFrame, radius: int = 3) -> DataFrame:
     keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(_long(m)).alias("key")) for t, m in enumerate(masks)))
     rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialize(rows.join(sizes, ["t", "key"]), "blocks")
-    chunk = F.pmod(F.xxhash64("fp", "t"), F.ceil(F.col("n") / CHUNK))
+    rows = materialize(rows.join(sizes, ["t", "key"]).select("t", "key", "fp", F.ceil(F.col("n") / CHUNK).alias("parts")), "blocks")
+    chunk = F.pmod(F.xxhash64("fp", "t"), F.col("parts"))
     chunks = rows.groupBy("t", "key", chunk.alias("c")).agg(F.collect_list("fp").alias("others"))
 
     def first_table(x: Column) -> Column:
@@ -174,6 +189,7 @@ def near_counts(fps: DataFrame, radius: int = 3) -> DataFrame:
         x = other.bitwiseXOR(F.col("fp"))
         return (F.bit_count(x) <= radius) & (x != 0) & (first_table(x) == F.col("t"))
 
-    found = rows.select("t", "key", "fp").join(chunks, ["t", "key"])
+    members = rows.select("t", "key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("c"))
+    found = members.join(chunks, ["t", "key", "c"])
     found = found.select("fp", F.size(F.filter("others", close)).alias("m")).groupBy("fp").agg(F.sum("m").alias("m"))
     return fps.join(found, "fp", "left").select("fp", F.coalesce("m", F.lit(0)).cast("long").alias("n_near"))
