@@ -197,8 +197,8 @@ def mix_plan(
 
     Sources are ordered by code point, a null source last, and weigh ``weights`` in turn. Texts that
     are null, empty or blank have size 0 and are never taken. Rows that repeat a doc_id are separate
-    documents; the order within a source is by hash of doc_id, then doc_id, size and row, so it does
-    not depend on partitions but for rows equal in all of these. A very long text lies in many blocks.
+    documents; the order within a source is by hash of doc_id and text, then doc_id, size and row, so it
+    does not depend on partitions but for rows equal in all of these. A very long text lies in many blocks.
     Extra columns are ignored. An empty table gives an empty plan.
     """
     spark = docs.sparkSession
@@ -221,11 +221,12 @@ def mix_plan(
         rows, "idx int, source string, _null boolean, _name string, source_size long, target double, blocks long"
     )
 
-    # Offsets within a source: buckets by hash of doc_id, so that no task holds a whole source.
+    # Offsets within a source: buckets by hash of doc_id and text, so that no task holds a whole source, or
+    # all rows without an id.
     n_buckets = 1 + sum(x[2] for x in found) // 20_000
     keyed = measured.withColumns({"_null": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))})
     keyed = keyed.join(sources.select("idx", "_null", "_name"), ["_null", "_name"]).drop("_null", "_name")
-    keyed = keyed.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)))
+    keyed = keyed.withColumn("_b", F.pmod(F.xxhash64("doc_id", "_digest"), F.lit(n_buckets)))
     inner = Window.partitionBy("idx", "_b").orderBy("doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("idx").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = keyed.groupBy("idx", "_b").agg(F.sum("size").alias("_t"))
