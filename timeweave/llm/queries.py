@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import cdc, decontam, minhash, mixing, ordinal, ppm_lang, secrets, simhash, token_rollup, warc
+from timeweave.llm import cdc, decontam, minhash, mixing, ordinal, ppm_lang, secrets, simhash, token_pages, token_rollup, warc
 from timeweave.llm.common import shared_dir
 
 
@@ -58,6 +59,12 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_lang.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_token_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "tokens")
+    token_pages.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_pages.read_digests(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_rollup": op2_token_rollup,
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_source_mix": op9_source_mix,
     "op10_ppm_language": op10_ppm_language,
+    "op11_token_pages": op11_token_pages,
 }
 
 ORACLES: dict[str, str] = {
