@@ -161,12 +161,12 @@ ORACLES: dict[str, str] = {
     "op13_conversation_repair": r"""
         WITH RECURSIVE given AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
-                coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, coalesce(CAST(turn AS VARCHAR), ' ') AS at
+                coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, coalesce(CAST(turn AS VARCHAR), ' ') AS number
             FROM conversations
         ),
         hashed AS (
             SELECT *, xor(4294967295, list_reduce(
-                list_transform(range(1, length(conv || ':' || at) + 1), lambda i: CAST(ascii((conv || ':' || at)[i]) AS BIGINT)),
+                list_transform(range(1, length(conv || ':' || number) + 1), lambda i: CAST(ascii((conv || ':' || number)[i]) AS BIGINT)),
                 lambda c, b: list_reduce(
                     list_concat([xor(c, b)], range(0, 8)),
                     lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
