@@ -13,6 +13,7 @@ first bit highest; zeros; one line feed, which lets Spark's text writer write pa
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -39,9 +40,9 @@ HEADER = struct.Struct(">4sIIQIIII")
 DOCUMENT = np.dtype([("doc_id", ">i8"), ("null", "u1"), ("start", ">u8"), ("n", ">u8")])
 ROOM = 8 * (PAGE - 1 - HEADER.size - 16)  # bits; a word of codes may be begun, and another is read past the end
 MAX_TOKENIZER_BYTES = 64 << 20
-KNOWN_PIECES = 1_000_000
+KNOWN_PIECES = 2_000_000
 PART_CHARS = 1 << 16
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 PIECES = "file int, doc_id long, start long, n long, at long, n_ids long, crc long"
 
 
@@ -171,8 +172,11 @@ def pages_of(batches: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], code:
 
 def _page(ids: np.ndarray, docs: np.ndarray, code: Code, file: int, first: int) -> tuple[bytes, int, bool]:
     """The next page, how many ids it takes, and whether it is full; one that is not full is only built at the end."""
-    near = ids[: ROOM // max(1, int(code.lengths[code.lengths > 0].min(initial=1)))]
+    near = ids[: ROOM // 6]
     cost = code.lengths[near].astype(np.int64)
+    if len(near) < len(ids) and cost.sum() <= ROOM:  # a page of very short codes
+        near = ids[: ROOM + 1]
+        cost = code.lengths[near].astype(np.int64)
     starts = docs["start"].astype(np.int64) - first
     inside = np.maximum(starts, 0)
     np.add.at(cost, inside[inside < len(near)], 8 * DOCUMENT.itemsize)
@@ -277,9 +281,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """index of a piece in a flat array of ids; 0 is a piece that is not safe to cut around."""
-        self.known: dict[str, int] = {}
-        self.ids, self.sizes = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        """Known pieces; ids of piece i, if it is safe to cut around it, from starts[i] on."""
+        self.known, self.safe = pa.array([], pa.large_string()), np.zeros(0, bool)
+        self.ids, self.sizes, self.starts = np.empty(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
         parts, at = [], 0
@@ -289,57 +293,78 @@ class Encoder:
         found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in [*parts, text[at:]]]
         return np.concatenate(found)
 
-    def _learn(self, pieces: list[str]) -> None:
-        every, pieces = pieces, [p for p in pieces if p not in self.known]
-        if len(self.known) + len(pieces) > KNOWN_PIECES:
-            self._forget()
-            pieces = every
-        self.known |= dict.fromkeys(pieces, 0)
-        good = [p for p in pieces if _SAFE.fullmatch(p)]
-        fresh = [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in good], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        self.known |= dict(zip(good, range(len(self.sizes), len(self.sizes) + len(good))))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in fresh for i in f), np.uint32, int(sizes.sum()))])
-        self.sizes = np.concatenate([self.sizes, sizes])
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces are among the known ones; those that are not are encoded first."""
+        found = pc.index_in(pieces, value_set=self.known)
+        if found.null_count:
+            if len(self.known) + found.null_count > KNOWN_PIECES:
+                self._forget()
+                found = pa.nulls(len(pieces), pa.int32())
+            fresh = pieces.filter(found.is_null())
+            names = fresh.to_pylist()
+            good = np.fromiter((_SAFE.fullmatch(p) is not None for p in names), bool, len(names))
+            coded = self.tokenizer.encode_batch_fast([" " + p if g else "" for p, g in zip(names, good.tolist())], add_special_tokens=False)
+            ids = [e.ids for e in coded]
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            self.known, self.safe = pa.concat_arrays([self.known, fresh]), np.concatenate([self.safe, good])
+            found = pc.index_in(pieces, value_set=self.known)
+        return np.asarray(found)
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """How texts are put together: the first piece of each, the distinct piece at each place, the flat
+        index of each distinct piece, places that are looked up, and what each text begins with by itself:
+        its first piece, which no blank leads, or all of a text that is not looked up."""
+        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        names, which = coded.dictionary, np.asarray(coded.indices)
+        starts = np.asarray(cut.offsets, np.int64) - cut.offsets[0].as_py()
+        place, odd = (self._places(names), None) if self.cuts else (np.zeros(len(names), np.int32), np.ones(len(names), bool))
+        odd = ~self.safe[place] if odd is None else odd
+        whole = np.logical_or.reduceat(odd[which], starts[:-1])
+        use = np.repeat(~whole, np.diff(starts))
+        use[starts[:-1]] = False
+        first = names.take(coded.indices.take(pa.array(starts[:-1]))).to_pylist()
+        heads = self.tokenizer.encode_batch_fast(["" if w else f for f, w in zip(first, whole.tolist())], add_special_tokens=False)
+        own = [self._whole(texts[i].as_py()) if w else np.array(h.ids, np.uint32) for i, (h, w) in enumerate(zip(heads, whole.tolist()))]
+        return starts, which, place, use, own
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by the end id, and their number by text; null is empty."""
-        texts = texts.fill_null("")
-        cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
-        coded = cut.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        starts = np.asarray(cut.offsets, np.int64) - cut.offsets[0].as_py() if len(texts) else np.zeros(1, np.int64)
-        led = np.ones(len(coded), bool)
-        led[starts[:-1]] = False  # the first piece of a text has no blank before it
-        which = np.asarray(coded.indices, np.int64)
-        if self.cuts:
-            self._learn(names)
-            place = np.fromiter((self.known[p] for p in names), np.int64, len(names))[which] if names else which
-        else:
-            place = np.zeros(len(which), np.int64)
-        whole = np.add.reduceat(place == 0, starts[:-1]) > 0 if len(texts) else np.zeros(0, bool)
-        heads = self.tokenizer.encode_batch(
-            [names[which[s]] if not w else "" for s, w in zip(starts[:-1].tolist(), whole.tolist())], add_special_tokens=False
-        )
-        # slots: one a piece and one more a text for its end
-        first_ids = [np.array(h.ids, np.uint32) if not w else self._whole(texts[i].as_py()) for i, (h, w) in enumerate(zip(heads, whole.tolist()))]
-        use = led & ~np.repeat(whole, np.diff(starts))
-        sizes = np.where(use, self.sizes[place], 0)
-        n_first = np.fromiter(map(len, first_ids), np.int64, len(first_ids))
-        sizes[starts[:-1]] = n_first
-        counts = (np.add.reduceat(sizes, starts[:-1]) if len(texts) else np.zeros(0, np.int64)) + 1
-        out = np.empty(int(counts.sum()), np.uint32)
-        out[np.cumsum(counts) - 1] = self.end_id
-        text_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        to = np.cumsum(sizes) - sizes + text_of
-        sources = np.cumsum(self.sizes) - self.sizes
+        if not len(texts):
+            return np.empty(0, np.uint32), np.zeros(0, np.int64)
+        starts, which, place, use, own = self._cut(texts.fill_null(""))
+        n_of = self.sizes[place].astype(np.int32) if self.cuts else np.zeros(len(place), np.int32)
+        sizes = np.where(use, n_of[which], 0)
+        n_own = np.fromiter(map(len, own), np.int64, len(own))
+        counts = np.add.reduceat(sizes, starts[:-1]).astype(np.int64) + n_own + 1
+        ends = np.cumsum(counts)
+        out, looked_up = np.empty(int(ends[-1]), np.uint32), np.ones(int(ends[-1]), bool)
+        for at, n, ids in zip((ends - counts).tolist(), n_own.tolist(), own):
+            out[at : at + n] = ids
+            looked_up[at : at + n] = False
+        out[ends - 1], looked_up[ends - 1] = self.end_id, False
+        if not use.any():
+            return out, counts
         n = sizes[use]
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(to[use], n) + within] = self.ids[np.repeat(sources[place[use]], n) + within]
-        for t, ids in zip(to[starts[:-1]].tolist(), first_ids):
-            out[t : t + len(ids)] = ids
+        shift = self.starts[place].astype(np.int32)[which[use]] - (np.cumsum(n, dtype=np.int32) - n)
+        out[looked_up] = self.ids[np.repeat(shift, n) + np.arange(int(n.sum()), dtype=np.int32)]
         return out, counts
 
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How often each id occurs in what ``encode`` gives."""
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        _, which, place, use, own = self._cut(texts.fill_null(""))
+        alone = np.concatenate([*own, np.full(len(texts), self.end_id, np.uint32)])
+        if not self.cuts:
+            return np.bincount(alone)
+        times, n = np.bincount(which[use], minlength=len(place)), self.sizes[place]
+        at = np.repeat(self.starts[place] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out = np.bincount(np.concatenate([self.ids[at], alone]), np.concatenate([np.repeat(times, n), np.ones(len(alone))]))
+        return out.astype(np.int64)
+
 
 def _slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches in parts of some BATCH_BYTES of text, a row at least."""
@@ -383,9 +408,9 @@ def id_counts(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = _encoder(shared.value, end_id), np.zeros(1, np.int64)
         for batch in _slices(batches, 0):
-            own = np.bincount(encoder.encode(batch.column(0))[0], minlength=len(n))
-            own[: len(n)] += n
-            n = own
+            own = encoder.count(batch.column(0))
+            n, own = (n, own) if len(n) >= len(own) else (own, n)
+            n[: len(own)] += own
         ids = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(n[ids], pa.int64())], ["id", "n"])
 
