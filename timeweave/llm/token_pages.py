@@ -40,9 +40,9 @@ HEADER = struct.Struct(">4sIIQIIII")
 DOCUMENT = np.dtype([("doc_id", ">i8"), ("null", "u1"), ("start", ">u8"), ("n", ">u8")])
 ROOM = 8 * (PAGE - 1 - HEADER.size - 16)  # bits; a word of codes may be begun, and another is read past the end
 MAX_TOKENIZER_BYTES = 64 << 20
-KNOWN_PIECES = 2_000_000
+KNOWN_PIECES = 500_000
 PART_CHARS = 1 << 16
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 PIECES = "file int, doc_id long, start long, n long, at long, n_ids long, crc long"
 
 
@@ -265,7 +265,7 @@ class Encoder:
 
     A byte-level vocabulary splits texts by a fixed rule before it merges, and always at a single blank
     between two marks; there texts are cut, and each distinct piece is encoded once and looked up from then
-    on (up to KNOWN_PIECES, then anew). Any other vocabulary, and any text with other blanks, is encoded
+    on; of more than KNOWN_PIECES those stay that were met again. Any other vocabulary, and any text with other blanks, is encoded
     without that. Parts of very long texts are encoded one by one between such cuts.
     """
 
@@ -281,10 +281,21 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Known pieces; ids of piece i, if it is safe to cut around it, from starts[i] on."""
-        self.known, self.safe = pa.array([], pa.large_string()), np.zeros(0, bool)
+        """Known pieces and in how many lookups they were met; ids of piece i, if it is safe to cut around it,
+        are those from starts[i] on."""
+        self.known, self.safe, self.met = pa.array([], pa.large_string()), np.zeros(0, bool), np.zeros(0, np.int32)
         self.ids, self.sizes, self.starts = np.empty(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _make_room(self) -> None:
+        """Only pieces met more than once stay, and of those none if they are too many."""
+        stay = np.flatnonzero(self.met > 1)
+        if 2 * len(stay) > KNOWN_PIECES:
+            return self._forget()
+        n = self.sizes[stay]
+        at = np.repeat(self.starts[stay] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        self.known, self.safe, self.met = self.known.take(pa.array(stay)), self.safe[stay], np.ones(len(stay), np.int32)
+        self.ids, self.sizes, self.starts = self.ids[at], n, np.cumsum(n) - n
+
     def _whole(self, text: str) -> np.ndarray:
         parts, at = [], 0
         while self.cuts and len(text) - at > PART_CHARS and (cut := _CUT.search(text, at + PART_CHARS)):
@@ -296,21 +307,30 @@ class Encoder:
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Where distinct pieces are among the known ones; those that are not are encoded first."""
         found = pc.index_in(pieces, value_set=self.known)
+        if len(self.known) and len(self.known) + found.null_count > KNOWN_PIECES:
+            self._make_room()
+            found = pc.index_in(pieces, value_set=self.known)
+        missing = np.asarray(found.is_null())
+        place = np.asarray(found.fill_null(0))
+        self.met[place[~missing]] += 1
         if found.null_count:
-            if len(self.known) + found.null_count > KNOWN_PIECES:
-                self._forget()
-                found = pa.nulls(len(pieces), pa.int32())
-            fresh = pieces.filter(found.is_null())
-            names = fresh.to_pylist()
-            good = np.fromiter((_SAFE.fullmatch(p) is not None for p in names), bool, len(names))
-            coded = self.tokenizer.encode_batch_fast([" " + p if g else "" for p, g in zip(names, good.tolist())], add_special_tokens=False)
-            ids = [e.ids for e in coded]
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            fresh, before = pieces.filter(pa.array(missing)), len(self.known)
+            good, sizes, ids = [], [], []
+            for at in range(0, len(fresh), 20_000):  # the library's own results are large
+                names = fresh.slice(at, 20_000).to_pylist()
+                fit = [_SAFE.fullmatch(p) is not None for p in names]
+                coded = self.tokenizer.encode_batch_fast([" " + p if g else "" for p, g in zip(names, fit)], add_special_tokens=False)
+                own = [e.ids for e in coded]
+                good += fit
+                sizes += map(len, own)
+                ids.append(np.fromiter(itertools.chain.from_iterable(own), np.uint32))
+            self.ids = np.concatenate([self.ids, *ids])
+            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
             self.starts = np.cumsum(self.sizes) - self.sizes
-            self.known, self.safe = pa.concat_arrays([self.known, fresh]), np.concatenate([self.safe, good])
-            found = pc.index_in(pieces, value_set=self.known)
-        return np.asarray(found)
+            self.known, self.safe = pa.concat_arrays([self.known, fresh]), np.concatenate([self.safe, np.array(good, bool)])
+            self.met = np.concatenate([self.met, np.ones(len(fresh), np.int32)])
+            place = np.where(missing, before - 1 + np.cumsum(missing, dtype=np.int32), place)
+        return place
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """How texts are put together: the first piece of each, the distinct piece at each place, the flat
