@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from timeweave.functions.intervals import overlap_join
+from timeweave.functions.intervals import level_of, overlap_join
 from timeweave.functions.stats import first_seen_mode, ranked_values
 from timeweave.operators import boundaries, crops, energy, refine, requests, responses, selection, silence, subtitles, transcript
 
@@ -344,3 +344,111 @@ def test_tighten_by_hand(spark):
     clips = spark.createDataFrame([(1, 0, 0.0, 30.0)], "video_id long, clip_ord int, start double, end double")
     row = boundaries.tighten(clips, spark.createDataFrame(words, WORD)).first()
     assert row["tightened"] and abs(row["start"] - (3.0 - 0.15)) < 1e-9 and abs(row["end"] - (words[-1][5] + 0.5)) < 1e-9
+
+
+WITH_WORDS = "video_id long, seg_id long, start double, end double, text string, no_speech_prob double, words array<struct<word: string, start: double>>"
+
+
+def one_video(n, seed=4):
+    rng, rows, at = random.Random(seed), [], 0.0
+    for i in range(n):
+        text = f"w{rng.randrange(9)} v{rng.randrange(3)}"
+        length = rng.choice([0.5, 2.0, 7.0])
+        rows.append((1, i, at, at + length, text, 0.0, [(w, at) for w in text.split()]))
+        at += length + rng.choice([0.1, 0.4, 1.5])
+    return rows
+
+
+@pytest.mark.parametrize("block_rows", [1, 3, 7, 1000])
+def test_folds_in_blocks_equal_the_plain_fold(spark, block_rows):
+    rows, rules = one_video(120), transcript.CleanRules()
+    seen, merged = [], []
+    for _, i, s, e, text, _, words in rows:
+        own = set(text.split())
+        if any(len(own & k) >= rules.dup_threshold * len(own | k) for k in seen[-rules.dup_window :]):
+            continue
+        seen.append(own)
+        if merged and s - merged[-1][1] <= rules.merge_gap and e - merged[-1][0] <= rules.max_merge_duration:
+            now = merged[-1]
+            merged[-1] = (now[0], e, now[2] + " " + text, now[3], now[4] + words)
+        else:
+            merged.append((s, e, text, i, words))
+    frame = spark.createDataFrame(rows, WITH_WORDS).repartition(5)
+    got = transcript.clean_transcript(frame, rules, block_rows).orderBy("seg_id").collect()
+    assert [(r["start"], r["end"], r["text"], r["seg_id"], [tuple(w) for w in r["words"]]) for r in got] == merged
+    marked = transcript.mark_segments(frame, rules, block_rows)
+    assert marked.where("drop_reason is null").count() == len(seen)
+    apart = transcript.merge_segments(marked.where("drop_reason is null"), rules, block_rows).orderBy("seg_id").collect()
+    assert apart == got
+
+
+def test_folds_take_empty_tables_and_null_keys(spark):
+    empty = spark.createDataFrame([], WITH_WORDS)
+    assert transcript.clean_transcript(empty).count() == transcript.mark_segments(empty).count() == 0
+    odd = [(None, 0, 0.0, 1.0, "a b", None, None), (None, 1, 1.0, 2.0, "a b", 0.0, []), (2, 0, 0.0, 1.0, None, 0.0, None)]
+    got = transcript.mark_segments(spark.createDataFrame(odd, WITH_WORDS)).collect()
+    assert sorted(map(repr, (r["drop_reason"] for r in got))) == ["'duplicate'", "'few_words'", "None"]
+
+
+def scored_clips(seed, n=70):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        s = rng.choice([rng.uniform(0, 900), rng.randrange(0, 900, 50)])
+        out.append((rng.randint(1, 3), i, float(s), float(s + rng.choice([15, 20, 40, 90, 170])), rng.randint(40, 99), rng.randint(0, 5)))
+    return out
+
+
+SCORED = "video_id long, clip_ord long, start double, end double, clip_score int, score_emotion int"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_islands_give_what_one_pass_gives(spark, seed):
+    rows, rules = scored_clips(seed), selection.SelectRules(max_clips=5)
+
+    def ratio(a, b):
+        return max(0.0, min(a[3], b[3]) - max(a[2], b[2])) / min(a[3] - a[2], b[3] - b[2])
+
+    want, merged = [], []
+    for video in (1, 2, 3):
+        own, taken, held = [r for r in rows if r[0] == video], [], []
+        for r in sorted(own, key=lambda r: (-r[4], -r[5], r[1])):
+            if len(taken) < rules.max_clips and all(ratio(r, t) <= rules.max_overlap for t in taken):
+                taken.append(r)
+        for r in sorted(own, key=lambda r: (r[2], -r[4], r[1])):
+            k = next((k for k, h in enumerate(held) if ratio(r, h) > rules.same_overlap), None)
+            if k is None:
+                held.append(r)
+            else:
+                more = (r[3] - r[2]) - (held[k][3] - held[k][2])
+                if more > rules.longer_by or (abs(more) <= rules.longer_by and r[4] > held[k][4]):
+                    held[k] = r
+        want += taken
+        merged += held
+    frame = spark.createDataFrame(rows, SCORED).repartition(4)
+    assert sorted(map(tuple, selection.suppress_overlaps(frame, rules).collect())) == sorted(want)
+    assert sorted(map(tuple, selection.merge_chunks(frame, rules).collect())) == sorted(merged)
+    assert selection.suppress_overlaps(frame.limit(0), rules).count() == 0
+
+
+def test_overlap_join_equals_nested_loops_at_any_length(spark):
+    rng = random.Random(5)
+
+    def side(n):
+        return [(rng.randint(0, 2), i, lo := rng.uniform(0, 5000), lo + rng.choice([0, 1, 50, 400, 5000, 1e6, 1e9])) for i in range(n)]
+
+    left, right = side(120), side(120)
+    a, b = spark.createDataFrame(left, "k int, i int, s double, e double"), spark.createDataFrame(right, "k int, j int, s2 double, e2 double")
+    want = sorted((x[1], y[1]) for x in left for y in right if x[0] == y[0] and x[3] > y[2] and x[2] < y[3])
+    predicate = (F.col("e") > F.col("s2")) & (F.col("s") < F.col("e2"))
+    got = overlap_join(a, b, ["k"], ("s", "e"), ("s2", "e2"), predicate, 5.0)
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+    rows = spark.createDataFrame([(0.0, 1e9)], "lo double, hi double").select(level_of(F.col("lo"), F.col("hi"), 5.0).alias("level"))
+    assert 5.0 * 64 * 4 ** (rows.first()["level"] - 1) * 5 > 1e9  # five bins at most
+
+
+def test_crop_at_carries_the_last_keyframe(spark):
+    spans = crops.keyframe_spans(spark.createDataFrame([(1, 1.0, 10, 0, 7), (1, 3.0, 20, 4, 7), (1, 2000.0, 90, 9, 8)], "clip_id long, time double, x int, y int, track_id int"))
+    times = spark.createDataFrame([(1, t) for t in (0.0, 1.0, 2.0, 3.0, 1999.0, 2000.0, 1e9)] + [(2, 1.0)], "clip_id long, t double")
+    got = {r["t"]: (r["x"], r["y"]) for r in crops.crop_at(spans, times).collect()}
+    assert got == {0.0: (10, 0), 1.0: (10, 0), 2.0: (15, 2), 3.0: (20, 4), 1999.0: (20, 4), 2000.0: (90, 9), 1e9: (90, 9)}

@@ -135,23 +135,41 @@ def test_live_reasons(spark, tmp_path):
     assert {(r["drop_reason"], r["n"]) for r in out.collect()} == {("kept", 2), ("music", 1), ("few_words", 1)}
 
 
+FAR = T0 + timedelta(days=2)
+
+
 def test_live_distinct_agrees_with_batch(spark, tmp_path):
     texts = ["a b c", "a b c", "x y"] + [f"t{i} u{i}" for i in range(12)] + ["A B  c", "x y"]
-    rows = [(v, i, t) for v in (1, 2) for i, t in enumerate(texts)]
-    parts = [[r for r in rows if r[1] < 8], [r for r in rows if r[1] >= 8]]
-    got = streamed(spark, tmp_path, parts, "video_id long, seg_id long, text string", live.live_distinct)
-    seg = spark.createDataFrame([(v, i, i * 2.0, i * 2.0 + 1, t, 0.0) for v, i, t in rows], "video_id long, seg_id long, start double, end double, text string, no_speech_prob double")
+    rows = [(v, T0 + timedelta(seconds=i), i, t) for v in (1, 2) for i, t in enumerate(texts)]
+    mixed = [r for r in rows if r[2] < 8][::-1]  # rows wait for the watermark, so their order within it is free
+    parts = [mixed, [r for r in rows if r[2] >= 8], [(1, FAR, 99, "end")]]
+    got = streamed(spark, tmp_path, parts, "video_id long, ts timestamp, seg_id long, text string", live.live_distinct)
+    seg = spark.createDataFrame([(v, i, i * 2.0, i * 2.0 + 1, t, 0.0) for v, _, i, t in rows], "video_id long, seg_id long, start double, end double, text string, no_speech_prob double")
     want = transcript.mark_segments(seg).where("drop_reason is null")
     assert sorted((r["video_id"], r["seg_id"]) for r in got.collect()) == sorted((r["video_id"], r["seg_id"]) for r in want.collect())
 
 
+def test_live_distinct_drops_late_rows_and_forgets_silent_keys(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    parts = [
+        [(1, at(0), 0, "a b"), (2, at(0), 0, "c d")],
+        [(1, at(300), 1, "x y")],
+        [(2, at(301), 1, "c d")],  # key 2 still knows its text
+        [(1, at(10), 2, "late")],  # later than the watermark
+        [(1, at(4000), 3, "x y")],  # after more than the time to live key 1 has forgotten
+        [(3, FAR, 0, "end")],
+    ]
+    got = streamed(spark, tmp_path, parts, "video_id long, ts timestamp, seg_id long, text string", lambda s: live.live_distinct(s, ttl_seconds=600.0))
+    assert sorted((r["video_id"], r["seg_id"]) for r in got.collect()) == [(1, 0), (1, 1), (1, 3), (2, 0)]
+
+
 def test_live_tracks_agree_with_batch(spark, tmp_path):
     def box(cx):
         return (cx - 100, 340, cx + 100, 740)
 
-    schema = "clip_id long, time double, boxes array<struct<x1: int, y1: int, x2: int, y2: int>>"
-    rows = [(c, t * 0.5, [box(480 + 7 * (t % 4)), box(1400 - 9 * (t % 3))][:: 1 if t % 2 else -1]) for c in (1, 2) for t in range(12)]
-    parts = [[r for r in rows if r[1] < 3], [r for r in rows if r[1] >= 3]]
+    schema = "clip_id long, ts timestamp, time double, boxes array<struct<x1: int, y1: int, x2: int, y2: int>>"
+    rows = [(c, T0 + timedelta(seconds=t * 0.5), t * 0.5, [box(480 + 7 * (t % 4)), box(1400 - 9 * (t % 3))][:: 1 if t % 2 else -1]) for c in (1, 2) for t in range(12)]
+    parts = [[r for r in rows if r[2] < 3][::-1], [r for r in rows if r[2] >= 3], [(9, FAR, 0.0, [])]]
     got = streamed(spark, tmp_path, parts, schema, live.live_tracks)
     want = crops.assign_tracks(spark.createDataFrame(rows, schema))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

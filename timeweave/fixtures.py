@@ -153,6 +153,27 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip_id", F.col("t").cast("double").alias("time"), F.array(box(left, F.lit(0.9)), box(right, weak)).alias("boxes"))
 
 
+def crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, time, boxes: a minute for each document, three people whose ways and speeds follow from the
+    document's id and length. Two cross, the third leaves at times; the largest box changes."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.length("text").alias("n"))
+    rows = docs.select("clip_id", "n", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("t")).where("(t + n) % 17 != 0")
+
+    def box(cx: F.Column, y1: int, area: F.Column, conf: F.Column) -> F.Column:
+        return F.struct(
+            (cx - 100).cast("int").alias("x1"), F.lit(y1).alias("y1"), (cx + 100).cast("int").alias("x2"), F.lit(y1 + 400).alias("y2"), conf.alias("conf"), area.cast("int").alias("area")
+        )
+
+    t, n, c = F.col("t"), F.col("n"), F.col("clip_id")
+    there = F.when(F.pmod(t + c, F.lit(9)) < 3, 0.4).otherwise(0.9)
+    boxes = F.array(
+        box(200 + t * (20 + n % 7), 340, 80000 - (t + n) % 5, F.lit(0.9)),
+        box(1700 - t * (18 + n % 11), 360, 80000 - (t * 3 + c) % 5, F.lit(0.9)),
+        box(960 + (t * 37 + n) % 90, 320, 80000 - (t * 7 + n) % 5, there),
+    )
+    return rows.select("clip_id", t.cast("double").alias("time"), boxes.alias("boxes"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip_id, width, height of each document's clip."""
     docs = _table(spark, sf_dir, "documents")

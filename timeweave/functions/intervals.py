@@ -1,8 +1,10 @@
 """Interval joins and merges on time-stamped rows.
 
-A bare range predicate plans as a nested loop. Here the longer side is cut into bins of time, the bin
-joins the equality keys, and the exact predicate is checked behind; a pair that shares several bins is
-kept in the first one only, so nothing has to be made distinct.
+A bare range predicate plans as a nested loop. Here the time line is cut into bins, bins join with the keys,
+and the exact predicate is checked behind. An interval of up to MOST_BINS narrow bins has a row for each. A
+longer one stands at a level of wider bins, STEP times as wide from level to level, of which it touches
+five at most, be it an hour or a century. The other side's rows look it up there; they are only made
+for levels that occur. A pair that shares several bins is kept in the first one only.
 """
 
 from __future__ import annotations
@@ -10,28 +12,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeweave.functions.stored import stored
 
-def bins(lo: Column, hi: Column, width: float) -> Column:
-    """Bins that the closed interval touches; an interval that ends before it starts has one."""
-    first, last = F.floor(lo / width), F.floor(hi / width)
-    return F.sequence(first, F.greatest(first, last))
+MOST_BINS, STEP, MOST_LEVELS = 64, 4, 24
+
+
+def level_of(lo: Column, hi: Column, width: float) -> Column:
+    """0 for intervals of up to MOST_BINS bins and for those that end before they start, else the lowest level
+    of whose bins the interval is no longer than STEP."""
+    length = (hi - lo) / width
+    level = F.greatest(F.lit(1), F.least(F.ceil(F.log(float(STEP), length / MOST_BINS)), F.lit(MOST_LEVELS)))
+    return F.when(length > MOST_BINS, level).otherwise(F.lit(0)).cast("int")
+
+
+def _bin_width(level: Column, width: float) -> Column:
+    return F.when(level == 0, F.lit(float(width))).otherwise(F.pow(F.lit(float(STEP)), level - 1) * (MOST_BINS * width))
+
+
+def _placed(df: DataFrame, lo: str, hi: str, places: Column, width: float) -> DataFrame:
+    """A row for each (side, level) of ``places`` and each bin of that level that the interval touches."""
+    own = df.withColumn("_x", F.explode(places))
+    wide = _bin_width(F.col("_x.level"), width)
+    first, last = F.floor(F.col(lo) / wide), F.floor(F.col(hi) / wide)
+    own = own.withColumns({"_first": first, "_bin": F.explode(F.sequence(first, F.greatest(first, last)))})
+    return own.withColumns({"_side": F.col("_x.side"), "_level": F.col("_x.level")}).drop("_x")
 
 
 def overlap_join(
     left: DataFrame, right: DataFrame, keys: list[str], l_range: tuple[str, str], r_range: tuple[str, str],
-    predicate: Column, width: float, how: str = "inner",
+    predicate: Column, width: float, how: str = "inner", long: tuple[str, ...] = ("left", "right"),
 ) -> DataFrame:
     """Join rows whose closed ranges touch and for which ``predicate`` holds.
 
     ``l_range`` and ``r_range`` name the columns of the ranges, widened already by any tolerance; column
     names other than ``keys`` must differ between the sides. ``how`` is inner or left_anti; rows of the left
-    side that hold a null are always kept by left_anti. A range is a row for each bin of ``width`` it touches.
+    side that hold a null are always kept by left_anti. ``width`` is that of the narrowest bins. Which levels
+    the long intervals of each side have, a handful of numbers, is found by a subquery; a side that is asked
+    is written once for that. A side left out of ``long``, such as words, is not asked: its rows are right
+    at any length, but a long one has all its bins.
     """
-    l = left.withColumn("_lb", F.floor(F.col(l_range[0]) / width)).withColumn("_b", F.explode(bins(F.col(l_range[0]), F.col(l_range[1]), width)))
-    r = right.withColumn("_rb", F.floor(F.col(r_range[0]) / width)).withColumn("_b", F.explode(bins(F.col(r_range[0]), F.col(r_range[1]), width)))
-    pairs = l.join(r, [*keys, "_b"]).where((F.col("_b") == F.greatest("_lb", "_rb")) & predicate)
+    left = stored(left, "left") if "left" in long else left
+    right = stored(right, "right") if "right" in long else right
+    level = lambda side, lo, hi: level_of(F.col(lo), F.col(hi), width) if side in long else F.lit(0)
+    l, r = left.withColumn("_own", level("left", *l_range)), right.withColumn("_own", level("right", *r_range))
+    none = F.array().cast("array<int>")
+    above = lambda side, df: df.where("_own > 0").agg(F.collect_set("_own")).scalar() if side in long else none
+    at = lambda side, level: F.struct(F.lit(side).alias("side"), level.alias("level"))
+    # a pair meets where the longer interval stands: side 0 is where left ones do, side 1 where right ones do
+    own, seen = F.col("_own"), F.col("_seen")
+    l, r = l.withColumn("_seen", above("right", r)), r.withColumn("_seen", above("left", l))
+    l_more = F.transform(F.filter(seen, lambda x: x > own), lambda x: at(1, x))
+    l_places = F.when(F.size(seen) == 0, F.array(at(0, own))).otherwise(F.concat(F.array(at(0, own)), l_more))
+    r_own = F.array(F.when(own > 0, at(1, own)).otherwise(at(0, own)))
+    r_more = F.transform(F.filter(seen, lambda x: x >= own), lambda x: at(0, x))
+    r_places = F.when(F.size(seen) == 0, r_own).otherwise(F.concat(r_own, r_more))
+    l = _placed(l, *l_range, l_places, width).drop("_own", "_seen").withColumnRenamed("_first", "_lf")
+    r = _placed(r, *r_range, r_places, width).drop("_own", "_seen").withColumnRenamed("_first", "_rf")
+    pairs = l.join(r, [*keys, "_side", "_level", "_bin"]).where((F.col("_bin") == F.greatest("_lf", "_rf")) & predicate)
     if how == "inner":
-        return pairs.drop("_lb", "_rb", "_b")
+        return pairs.drop("_side", "_level", "_bin", "_lf", "_rf")
     if how == "left_anti":
         return left.join(pairs.select(*left.columns).distinct(), left.columns, "left_anti")
     raise ValueError(how)
@@ -44,3 +83,27 @@ def islands(df: DataFrame, keys: list[str], order: list[str], start: str, end: s
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)) if running else F.lag(end).over(w)
     fresh = F.when(before.isNull() | (F.col(start) - before > gap), 1).otherwise(0)
     return df.withColumn("_f", fresh).withColumn("island", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
+
+
+def running_max(df: DataFrame, keys: list[str], order: list[str], chunk: Column, value: Column, name: str, inclusive: bool) -> DataFrame:
+    """Add ``name``: the greatest ``value`` of a key's rows before this one, or up to it, in ``order``.
+
+    ``chunk`` is a number that never falls along the order. Rows are ordered within a chunk only, and chunks,
+    of which there are far fewer, within a key: no task sorts all rows of a key. Nulls are passed over.
+    """
+    own = df.withColumns({"_chunk": chunk, "_value": value})
+    past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = own.groupBy(*keys, "_chunk").agg(F.max("_value").alias("_top"))
+    earlier = chunks.withColumn("_before", F.max("_top").over(past)).drop("_top")
+    within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = own.withColumn("_own", F.max("_value").over(within)).join(earlier, [*keys, "_chunk"])
+    return out.withColumn(name, F.greatest("_own", "_before")).drop("_chunk", "_value", "_own", "_before")
+
+
+def overlap_islands(df: DataFrame, keys: list[str], order: list[str], start: str, end: str, width: float, name: str = "island") -> DataFrame:
+    """Add ``name``: the start and order of the first row of each island; rows of different islands of a
+    key never overlap. ``order`` begins with ``start``; chunks of ``width`` seconds are ordered apart."""
+    chunk = F.floor(F.col(start) / width)
+    own = running_max(df, keys, order, chunk, F.col(end), "_reach", False)
+    fresh = F.when(F.col("_reach").isNull() | (F.col(start) >= F.col("_reach")), F.struct(*order))
+    return running_max(own, keys, order, chunk, fresh, name, True).drop("_reach")

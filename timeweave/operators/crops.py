@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeweave.functions.intervals import running_max
 from timeweave.functions.ordered import ordered_scan
 from timeweave.functions.stats import first_seen_mode, upper_median_of
 
@@ -231,19 +232,23 @@ def keyframe_spans(crops: DataFrame) -> DataFrame:
     return crops.select("*", until.alias("until"), slope("x").alias("dx"), slope("y").alias("dy"))
 
 
-def crop_at(spans: DataFrame, times: DataFrame, width: float = 5.0) -> DataFrame:
-    """clip_id, t, x, y of the crop at query ``times`` (clip_id, t); the first keyframe also holds before it.
+def crop_at(spans: DataFrame, times: DataFrame, width: float = 600.0) -> DataFrame:
+    """clip_id, t, x, y of the crop at query ``times`` (clip_id, t); the first keyframe also holds before it,
+    from time 0 on.
 
-    An as-of join: spans are cut into time bins, the last span is open and reaches to the last query."""
-    first = F.min("time").over(Window.partitionBy("clip_id"))
-    horizon = times.groupBy("clip_id").agg(F.max("t").alias("_h"))
-    own = spans.join(horizon, "clip_id").withColumn("_from", F.when(F.col("time") == first, F.least(F.lit(0.0), F.col("time"))).otherwise(F.col("time")))
-    own = own.withColumn("_to", F.coalesce("until", F.greatest(F.col("_h"), F.col("time")) + 1.0))
-    own = own.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width))))
-    q = times.withColumn("_b", F.floor(F.col("t") / width))
-    hit = q.join(own, ["clip_id", "_b"]).where((F.col("t") >= F.col("_from")) & (F.col("t") < F.col("_to")))
-    past = F.greatest(F.lit(0.0), F.col("t") - F.col("time"))
-    return hit.select("clip_id", "t", (F.col("x") + F.col("dx") * past).alias("x"), (F.col("y") + F.col("dy") * past).alias("y"))
+    An as-of join: keyframes and queries are one series, along which the last keyframe is carried. Stretches
+    of ``width`` seconds are ordered apart, so no row is made for time that passes and no task holds a clip.
+    """
+    frame = F.struct("time", "x", "y", "dx", "dy")
+    keys = spans.select("clip_id", F.col("time").alias("t"), F.lit(0).alias("_q"), frame.alias("_k"))
+    none = F.lit(None).cast(keys.schema["_k"].dataType)
+    asked = times.select("clip_id", F.col("t").cast("double").alias("t"), F.lit(1).alias("_q"), none.alias("_k"))
+    series = running_max(keys.unionByName(asked), ["clip_id"], ["t", "_q"], F.floor(F.col("t") / width), F.col("_k"), "_at", True)
+    first = spans.groupBy("clip_id").agg(F.min(frame).alias("_first"))
+    hit = series.where("_q = 1").join(first, "clip_id").where(F.col("t") >= F.least(F.lit(0.0), F.col("_first.time")))
+    hit = hit.select("clip_id", "t", F.coalesce("_at", "_first").alias("k"))
+    past = F.greatest(F.lit(0.0), F.col("t") - F.col("k.time"))
+    return hit.select("clip_id", "t", (F.col("k.x") + F.col("k.dx") * past).alias("x"), (F.col("k.y") + F.col("k.dy") * past).alias("y"))
 
 
 def box_overlap(a: Column, b: Column) -> Column:

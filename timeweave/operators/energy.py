@@ -61,7 +61,7 @@ def in_speech(windows: DataFrame, regions: DataFrame, width: float = 30.0) -> Da
     """``windows`` (with t) and in_speech: t lies in a region, ends included. Regions are disjoint."""
     r = regions.select("video_id", F.col("start").alias("_rs"), F.col("end").alias("_re"))
     w = windows.withColumns({"_t0": F.col("t"), "_t1": F.col("t")})
-    hits = overlap_join(w, r, ["video_id"], ("_t0", "_t1"), ("_rs", "_re"), (F.col("t") >= F.col("_rs")) & (F.col("t") <= F.col("_re")), width)
+    hits = overlap_join(w, r, ["video_id"], ("_t0", "_t1"), ("_rs", "_re"), (F.col("t") >= F.col("_rs")) & (F.col("t") <= F.col("_re")), width, long=("right",))
     hit = hits.select("video_id", "win_idx").distinct().withColumn("_hit", F.lit(True))
     return windows.join(hit, ["video_id", "win_idx"], "left").withColumn("in_speech", F.coalesce("_hit", F.lit(False))).drop("_hit")
 

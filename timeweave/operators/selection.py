@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeweave.functions.ordered import ordered_scan
+from timeweave.functions.intervals import overlap_islands
+from timeweave.functions.ordered import scan_groups
 from timeweave.functions.text import clip_score, real_title, to_score
 
 HARD_LIMIT = 72
@@ -57,55 +57,68 @@ def _overlap(s1: float, e1: float, s2: float, e2: float) -> float:
     return max(0.0, min(e1, e2) - max(s1, s2)) / shorter if shorter > 0 else 0.0
 
 
-class _Suppress:
-    def __init__(self, rules: SelectRules) -> None:
-        self.rules, self.taken = rules, []
+ISLAND_CHUNK = 600.0
 
-    def add(self, row: dict[str, Any]) -> list[dict[str, Any]]:
-        own = (row["start"], row["end"])
-        if len(self.taken) >= min(self.rules.max_clips, HARD_LIMIT) or any(_overlap(*own, *t) > self.rules.max_overlap for t in self.taken):
-            return []
-        self.taken.append(own)
-        return [row]
 
-    def end(self) -> list[dict[str, Any]]:
-        return []
+def _best_of_island(rules: SelectRules):  # noqa: ANN202
+    """Picks clips of one island, best first, that overlap none picked before by too much."""
+
+    def pick(starts: list[float], ends: list[float]) -> list[int]:
+        taken: list[int] = []
+        for i, (s, e) in enumerate(zip(starts, ends)):
+            if not any(_overlap(s, e, starts[t], ends[t]) > rules.max_overlap for t in taken):
+                taken.append(i)
+        return taken
+
+    return pick
+
+
+def _islands(clips: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    own = clips.withColumns({"_a": F.col("start").cast("double"), "_b": F.col("end").cast("double")})
+    return overlap_islands(own, list(keys), ["_a", "clip_ord"], "_a", "_b", ISLAND_CHUNK, "_island").drop("_a", "_b")
 
 
 def suppress_overlaps(clips: DataFrame, rules: SelectRules = SelectRules(), keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """Best first, a clip stays unless it overlaps one that stayed by more than max_overlap of the shorter;
-    at most max_clips (72 in any case). Order: clip_score, score_emotion, both falling, then clip_ord."""
-    order = clips.withColumns({"_s": -F.col("clip_score"), "_e": -F.col("score_emotion")})
-    return ordered_scan(order, list(keys), ["_s", "_e", "clip_ord"], lambda: _Suppress(rules), order.schema).drop("_s", "_e")
+    at most max_clips (72 in any case). Order: clip_score, score_emotion, both falling, then clip_ord.
 
+    Clips of different islands of time never meet, so each island is solved apart, and whether a clip stays
+    depends on better clips only: the first max_clips of all that stay are those that one pass would take.
+    """
+    order = _islands(clips, keys).withColumns({"_s": -F.col("clip_score"), "_e": -F.col("score_emotion")})
+    kept = scan_groups(order, [*keys, "_island"], ["_s", "_e", "clip_ord"], ["start", "end"], _best_of_island(rules))
+    w = Window.partitionBy(*keys).orderBy("_s", "_e", "clip_ord")
+    kept = kept.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= min(rules.max_clips, HARD_LIMIT))
+    return kept.select(*clips.columns)
 
-class _SameClip:
-    """Later clips against those held: the first of the same place wins or gives way."""
 
-    def __init__(self, rules: SelectRules) -> None:
-        self.rules, self.held = rules, []
+def _one_of_place(rules: SelectRules):  # noqa: ANN202
+    """Picks, of one island by start, the clips that are held in the end: the first of the same place wins or gives way."""
 
-    def add(self, row: dict[str, Any]) -> list[dict[str, Any]]:
-        length = row["end"] - row["start"]
-        for i, other in enumerate(self.held):
-            if _overlap(row["start"], row["end"], other["start"], other["end"]) > self.rules.same_overlap:
-                more = length - (other["end"] - other["start"])
-                if more > self.rules.longer_by or (abs(more) <= self.rules.longer_by and row["clip_score"] > other["clip_score"]):
-                    self.held[i] = row
-                return []
-        self.held.append(row)
-        return []
+    def pick(starts: list[float], ends: list[float], scores: list[float]) -> list[int]:
+        held: list[int] = []
+        for i, (s, e) in enumerate(zip(starts, ends)):
+            for k, j in enumerate(held):
+                if _overlap(s, e, starts[j], ends[j]) > rules.same_overlap:
+                    more = (e - s) - (ends[j] - starts[j])
+                    if more > rules.longer_by or (abs(more) <= rules.longer_by and scores[i] > scores[j]):
+                        held[k] = i
+                    break
+            else:
+                held.append(i)
+        return held
 
-    def end(self) -> list[dict[str, Any]]:
-        return self.held
+    return pick
 
 
 def merge_chunks(clips: DataFrame, rules: SelectRules = SelectRules()) -> DataFrame:
     """Clips of overlapping chunks with copies removed. By start, then falling score, then clip_ord, a clip
     meets the first held one that it overlaps by more than same_overlap of the shorter; it takes that one's
-    place if it is longer by more than longer_by seconds, or about as long and scored higher."""
-    order = clips.withColumn("_s", -F.col("clip_score"))
-    return ordered_scan(order, ["video_id"], ["start", "_s", "clip_ord"], lambda: _SameClip(rules), order.schema).drop("_s")
+    place if it is longer by more than longer_by seconds, or about as long and scored higher. Islands of
+    time are independent."""
+    order = _islands(clips, ("video_id",)).withColumn("_s", -F.col("clip_score"))
+    kept = scan_groups(order, ["video_id", "_island"], ["start", "_s", "clip_ord"], ["start", "end", "clip_score"], _one_of_place(rules))
+    return kept.select(*clips.columns)
 
 
 def rerank(clips: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
@@ -130,15 +143,16 @@ def select_clips(raw: DataFrame, rules: SelectRules = SelectRules(), chunked: bo
 
 
 def relax_scores(clips: DataFrame, rules: SelectRules = SelectRules(), steps: tuple[float, ...] = (0, 15, 30)) -> DataFrame:
-    """Selection at min_score, then 15, then 30 points lower, for each video the strictest that keeps any:
-    all three are evaluated at once, with ``floor`` the minimum used."""
-    floors = F.array(*(F.lit(max(0.0, rules.min_score - s)) for s in steps))
-    own = score_clips(clips).withColumn("floor", F.explode(F.array_distinct(floors)))
-    loose = SelectRules(**{**rules.__dict__, "min_score": 0.0})
-    own = gate(own, loose).where("reject is null and clip_score >= floor").drop("reject")
-    kept = suppress_overlaps(own, rules, ("video_id", "floor"))
-    strictest = kept.groupBy("video_id").agg(F.max("floor").alias("floor"))
-    return rerank(kept.join(strictest, ["video_id", "floor"]))
+    """Selection at min_score, then 15, then 30 points lower, for each video the strictest that keeps any,
+    with ``floor`` the minimum used. The best clip that passes the other gates is always kept, so its score
+    tells the floor before anything is selected."""
+    floors = sorted({max(0.0, rules.min_score - s) for s in steps})
+    own = gate(score_clips(clips), SelectRules(**{**rules.__dict__, "min_score": 0.0})).where("reject is null").drop("reject")
+    best = F.max("clip_score")
+    strictest = F.coalesce(*(F.when(best >= f, F.lit(f)) for f in reversed(floors)))
+    floor = own.groupBy("video_id").agg(strictest.alias("floor"))
+    own = own.join(floor, "video_id").where("clip_score >= floor")
+    return rerank(suppress_overlaps(own, rules))
 
 
 def time_removed(adjusted: DataFrame) -> DataFrame:

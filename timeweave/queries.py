@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from timeweave import fixtures as fx
 from timeweave.functions import text as tx
 from timeweave.functions.stats import ranked_values
+from timeweave.functions.stored import stored
 from timeweave.operators import boundaries, crops, energy, refine, requests, responses, selection, silence, subtitles, transcript
 from timeweave.sources import cache, media, transcripts
 from timeweave.sources import clips as clip_files
@@ -813,7 +814,7 @@ keep AS (
 def _keep(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     segs = fx.segments(spark, sf_dir)
     clips = fx.clips(segs).withColumn("duration", F.col("end") - F.col("start"))
-    words = subtitles.clip_words(clips, fx.words(segs))
+    words = stored(subtitles.clip_words(clips, fx.words(segs)), "clip-words")  # read for regions, for totals and to be moved
     return silence.keep_regions(words, clips), clips, words
 
 
@@ -892,11 +893,63 @@ tracks AS (SELECT b.clip_id, b.time, b.k, CASE WHEN b.person = f.first_person TH
 )
 
 
-@register(
-    f"""WITH {TRACKS_SQL} SELECT clip_id, time, k::INTEGER AS box_ord, track_id::INTEGER AS track_id, (cx - 100)::INTEGER AS x1, 340::INTEGER AS y1, (cx + 100)::INTEGER AS x2, 740::INTEGER AS y2 FROM tracks"""
-)
+# Three people, two of whom cross: boxes of a frame in the order in which they are taken, largest first.
+FRAMES_SQL = r"""
+ways AS (SELECT doc_id AS clip_id, length(text) AS n, unnest(range(60)) AS t FROM documents),
+people AS (
+    SELECT clip_id, t, 0 AS k, 200 + t * (20 + n % 7) AS cx, 340 AS y1, 80000 - (t + n) % 5 AS area, true AS there FROM ways WHERE (t + n) % 17 <> 0
+    UNION ALL SELECT clip_id, t, 1, 1700 - t * (18 + n % 11), 360, 80000 - (t * 3 + clip_id) % 5, true FROM ways WHERE (t + n) % 17 <> 0
+    UNION ALL SELECT clip_id, t, 2, 960 + (t * 37 + n) % 90, 320, 80000 - (t * 7 + n) % 5, (t + clip_id) % 9 >= 3 FROM ways WHERE (t + n) % 17 <> 0
+),
+frames AS (SELECT clip_id, t::DOUBLE AS time, list({'cx': cx::DOUBLE, 'y1': y1} ORDER BY area DESC, k) AS boxes FROM people WHERE there GROUP BY clip_id, t)"""
+
+
+def tracks_sql(frames: str, stale: float) -> str:
+    """The greedy rule as a recursion over the frames of each clip. A box wishes for the nearest live track; of
+    the boxes with one wish the nearest has it, and the others start tracks, numbered by their distances."""
+    return rf"""
+turns AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY time) AS i FROM {frames}),
+follow AS (
+    SELECT clip_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(track INTEGER, x DOUBLE, y DOUBLE, seen DOUBLE)[]) AS live, 0 AS n, CAST(NULL AS DOUBLE) AS time,
+        CAST([] AS STRUCT(box INTEGER, track INTEGER, cx DOUBLE, y1 INTEGER)[]) AS done
+    FROM turns WHERE i = 1
+    UNION ALL
+    SELECT clip_id, i, list_concat(
+            list_filter(near, lambda v: NOT list_contains(list_transform(done, lambda d: d.track), v.track)),
+            list_transform(done, lambda d: {{'track': d.track, 'x': d.cx, 'y': d.y1 + 200.0::DOUBLE, 'seen': time}})
+        ), n + len(list_filter(done, lambda d: d.track >= n)), time, done
+    FROM (
+        SELECT clip_id, i, near, n, time, list_transform(range(1, len(sorted) + 1), lambda k: {{
+            'box': CAST(sorted[k].box AS INTEGER),
+            'track': CASE WHEN fresh[k] THEN CAST(n + len(list_filter(fresh[:k - 1], lambda f: f)) AS INTEGER) ELSE sorted[k].wish.track END,
+            'cx': boxes[sorted[k].box + 1].cx, 'y1': boxes[sorted[k].box + 1].y1
+        }}) AS done
+        FROM (
+            SELECT *, list_transform(range(1, len(sorted) + 1), lambda k: sorted[k].wish.track < 0
+                OR list_contains(list_transform(sorted[:k - 1], lambda s: s.wish.track), sorted[k].wish.track)) AS fresh
+            FROM (
+                SELECT *, list_sort(list_transform(range(1, len(boxes) + 1), lambda k: {{
+                    'wish': list_min(list_append(list_transform(near, lambda v: {{
+                        'cost': sqrt((boxes[k].cx - v.x) * (boxes[k].cx - v.x) + (boxes[k].y1 + 200 - v.y) * (boxes[k].y1 + 200 - v.y)), 'track': v.track
+                    }}), {{'cost': 'inf'::DOUBLE, 'track': -1}})), 'box': k - 1
+                }})) AS by_wish, list_sort(list_transform(by_wish, lambda s: {{'cost': s.wish.cost, 'box': s.box, 'wish': s.wish}})) AS sorted
+                FROM (
+                    SELECT t.clip_id, t.i, t.time, t.boxes, f.n, list_filter(f.live, lambda v: t.time - v.seen <= {stale}) AS near
+                    FROM follow f JOIN turns t ON t.clip_id = f.clip_id AND t.i = f.i + 1
+                )
+            )
+        )
+    )
+),
+tracks AS (
+    SELECT clip_id, time, d.box AS box_ord, d.track AS track_id, (d.cx - 100)::INTEGER AS x1, d.y1::INTEGER AS y1, (d.cx + 100)::INTEGER AS x2, (d.y1 + 400)::INTEGER AS y2
+    FROM (SELECT clip_id, time, unnest(done) AS d FROM follow)
+)"""
+
+
+@register(f"WITH RECURSIVE {FRAMES_SQL}, {tracks_sql('frames', 3.0)} SELECT * FROM tracks")
 def f6_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crops.assign_tracks(crops.confident(fx.detections(spark, sf_dir)), stale=3.0)
+    return crops.assign_tracks(crops.confident(fx.crossing(spark, sf_dir)), stale=3.0)
 
 
 SPEAKER_SQL = r"""

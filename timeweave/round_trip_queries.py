@@ -3,26 +3,22 @@ a file, a cache or a stream, go through the library and are compared with the ro
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timeweave import fixtures as fx
 from timeweave.functions import text as tx
-from timeweave.operators import selection
-from timeweave.queries import EVENTS_SQL, MARKED_SQL, SAMPLES_SQL, SCORED_SQL, _clips, _events, register
+from timeweave.functions.stored import shared_folder
+from timeweave.operators import crops, selection
+from timeweave.queries import EVENTS_SQL, FRAMES_SQL, MARKED_SQL, SAMPLES_SQL, SCORED_SQL, _clips, _events, register, tracks_sql
 from timeweave.sources import cache, media, transcripts
 from timeweave.sources import clips as clip_files
 from timeweave.streaming import live
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _transcript_files(segs: DataFrame) -> DataFrame:
     """A document a video: an object with language, a bare list, or, for every seventh video, a cut one."""
     fields = F.struct("start", "end", "text", "no_speech_prob")
@@ -46,7 +42,7 @@ def src1_parsed_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f'WITH {fx.SEGMENTS_SQL} SELECT video_id, seg_id, start, "end", text, no_speech_prob FROM segments')
 def src2_written_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs, path = fx.segments(spark, sf_dir).drop("ms"), _folder(spark, "transcripts")
+    segs, path = fx.segments(spark, sf_dir).drop("ms"), shared_folder(spark, "transcripts")
     transcripts.write_transcripts(segs, path, 16)
     return transcripts.load_transcripts(spark, path, segs.schema)
 
@@ -70,7 +66,7 @@ def src3_parsed_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN clip_ord % 2 = 0 THEN start END AS _from, 2 AS n_public FROM scored"""
 )
 def src4_src5_j15_p17_saved_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, path, keys = selection.score_clips(_clips(spark, sf_dir)), _folder(spark, "clips"), ["video_id", "clip_ord"]
+    scored, path, keys = selection.score_clips(_clips(spark, sf_dir)), shared_folder(spark, "clips"), ["video_id", "clip_ord"]
     own = scored.select(*keys, "clip_score", F.concat(F.lit("note "), F.col("clip_ord")).alias("_note"), F.col("start").alias("_from"))
     clip_files.save_clips(own, path, keys)
     internal = clip_files.internal_columns(own, keys).where("clip_ord % 2 = 0")
@@ -133,7 +129,7 @@ def src9_src10_c13_step_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = videos.select("video_id", F.explode(F.array(*(F.lit(s) for s in cache.STEPS))).alias("step")).withColumn("param", F.lit("v1"))
     wanted = cache.chain_signatures(params)
     older = params.withColumn("param", F.when((F.col("step") == "select") & (F.col("video_id") % 4 == 1), "v0").otherwise("v1"))
-    store = cache.StepCache(spark, _folder(spark, "steps"))
+    store = cache.StepCache(spark, shared_folder(spark, "steps"))
     store.put(cache.chain_signatures(older).where("video_id % 4 != 0").withColumn("payload", F.lit("first")))
     store.put(wanted.where("video_id % 4 = 2").withColumn("payload", F.lit("second")))
     store.compact()
@@ -147,7 +143,7 @@ def src9_src10_c13_step_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT 4 AS places, sum(strlen(doc_id::VARCHAR) + 1)::BIGINT AS bytes, true AS named FROM documents")
 def src11_k7_media_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of documents in four text files; the catalog knows their lengths and orders their names."""
-    path = _folder(spark, "media")
+    path = shared_folder(spark, "media")
     spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string")).repartition(4, "doc_id").write.text(path)
     files = media.files_by_name(media.media_catalog(spark, path, ("txt",)))
     return files.agg(F.max("place").alias("places"), F.sum("length").alias("bytes"), F.every(F.col("stem").startswith("part-")).alias("named"))
@@ -172,7 +168,7 @@ def src12_pcm_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT video_id, clip_ord, rank, clip_score, 'all' AS file FROM r UNION ALL SELECT video_id, clip_ord, rank, clip_score, 'best' FROM r WHERE rank = 1"""
 )
 def src14_best_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "results")
+    path = shared_folder(spark, "results")
     clip_files.best_and_all(selection.rerank(selection.score_clips(_clips(spark, sf_dir))).select("video_id", "clip_ord", "rank", "clip_score"), path)
     read = spark.read.schema("video_id long, clip_ord long, rank long, clip_score double")
     every, best = read.json(f"{path}/all_clips"), read.json(f"{path}/best_clip")
@@ -213,55 +209,145 @@ def a18_c14_folder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.batch_summary(own, ("source",)).withColumn("failed_videos", F.md5(F.array_join("failed_videos", ",")))
 
 
-# Streams: the table is written once as files that a stream then reads to their end.
-def _stream(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
-    path = _folder(spark, name)
-    table.write.parquet(path)
-    return spark.readStream.schema(table.schema).parquet(path)
+# Streams: a table is replayed in PARTS parts, each a run of the stream over the files of the part. A part is
+# a stretch of event time; every seventh row comes a part too late, rows within a part in no order. A
+# last row, an age later, lets the watermark pass all the others.
+PARTS = 4
+DAY = 86_400_000
 
 
-def _ended(out: DataFrame, name: str) -> DataFrame:
-    """All rows of a stream in complete mode, once it has read what there is."""
-    spark, path = out.sparkSession, _folder(out.sparkSession, name)
-    query = (
-        out.writeStream.outputMode("complete")
-        .option("checkpointLocation", _folder(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)
+def _replayed(own: DataFrame, part: Column, name: str, last: dict[str, Column], live_rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream in append mode gives for ``own``, whose rows of ``part`` i come in run i."""
+    spark = own.sparkSession
+    source, marks, path = (shared_folder(spark, f"{name}-{x}") for x in ("source", "marks", "out"))
+    dealt = own.withColumn("_part", part)
+    dealt.write.partitionBy("_part").parquet(f"{source}-all")
+    closing = own.limit(1).select(*(last.get(c, F.lit(None)).cast(own.schema[c].dataType).alias(c) for c in own.columns))
+    for i in range(PARTS + 1):
+        rows = spark.read.schema(dealt.schema).parquet(f"{source}-all").where(F.col("_part") == i).drop("_part") if i < PARTS else closing
+        rows.write.mode("append").parquet(source)
+        rule = live_rule(spark.readStream.schema(own.schema).parquet(source))
+        rule.writeStream.outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True).format("parquet").start(path).awaitTermination()
+    return spark.read.schema(rule.schema).parquet(path)
 
 
-@register(
-    r"""SELECT user_id AS video_id, (epoch_us(ts) // 60000000) AS minute, round(sqrt(avg((event_id % 1000)::DOUBLE * (event_id % 1000)::DOUBLE)), 6) AS rms, count(*) AS n FROM events GROUP BY ALL"""
-)
-def t1_live_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
+T1_SQL = r"""
+e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, least(3, day(ts) // 8 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) AS part FROM events),
+passed AS (SELECT p.part, max(e.ms) AS ms FROM (SELECT unnest(range(1, 4)) AS part) p JOIN e ON e.part < p.part GROUP BY p.part),
+timely AS (SELECT e.*, ms - ms % 60000 AS minute FROM e WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.part = e.part AND e.ms - e.ms % 60000 + 60000 <= p.ms - 5000))"""
+
+
+def _rms_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    own = events.select(F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 1000).alias("amp"))
-    out = _ended(live.live_rms(_stream(spark, own, "samples"), "1 minute"), "rms")
+    ts = F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")))
+    own = events.select("event_id", F.col("user_id").alias("video_id"), ts.alias("ts"), (F.col("event_id") % 1000).alias("amp"))
+    part = F.least(F.lit(PARTS - 1), F.floor(F.day("ts") / 8) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
+    closing = {"video_id": F.lit(-1), "ts": F.lit("2100-01-01").cast("timestamp"), "amp": F.lit(0)}
+    return _replayed(own, part.cast("int"), "rms", closing, lambda s: live.live_rms(s, "1 minute"))
+
+
+@register(f"WITH {T1_SQL} SELECT user_id AS video_id, minute // 60000 AS minute, round(sqrt(avg((event_id % 1000)::DOUBLE * (event_id % 1000)::DOUBLE)), 6) AS rms, count(*) AS n FROM timely GROUP BY ALL")
+def t1_live_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
     minute = F.floor(F.unix_micros("window.start") / 60000000)
-    return out.select("video_id", minute.alias("minute"), F.round("rms", 6).alias("rms"), "n")
+    return _rms_stream(spark, sf_dir).select("video_id", minute.alias("minute"), F.round("rms", 6).alias("rms"), "n")
+
+
+@register(f"WITH {T1_SQL} SELECT user_id AS video_id, count(*) AS rows, count(*) - (SELECT count(*) FROM timely t WHERE t.user_id = e.user_id) AS dropped FROM e GROUP BY user_id")
+def t1_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each video the watermark left out."""
+    every = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("video_id")).agg(F.count("*").alias("rows"))
+    came = _rms_stream(spark, sf_dir).groupBy("video_id").agg(F.sum("n").alias("n"))
+    return every.join(came, "video_id", "left").select("video_id", "rows", (F.col("rows") - F.coalesce("n", F.lit(0))).alias("dropped"))
+
+
+# Late rows stand in the first half of a stretch of ten seconds, so their sessions are long closed.
+T2_SQL = (
+    EVENTS_SQL
+    + r""",
+e AS (SELECT *, least(3, floor(time / 10) + CASE WHEN (video_id + win_idx) % 7 = 0 AND time % 10 < 3 THEN 1 ELSE 0 END) AS part FROM events_found),
+passed AS (SELECT p.part, max(e.time) AS t FROM (SELECT unnest(range(1, 4)) AS part) p JOIN e ON e.part < p.part GROUP BY p.part),
+timely AS (SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.part = e.part AND e.time + 2.5 <= p.t - 1))"""
+)
 
 
 @register(
-    f"""WITH {EVENTS_SQL}, c AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY video_id ORDER BY time) <= 2.5 THEN 0 ELSE 1 END AS fresh FROM events_found),
+    f"""WITH {T2_SQL}, c AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY video_id ORDER BY time) <= 2.5 THEN 0 ELSE 1 END AS fresh FROM timely),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY time) AS session FROM c)
     SELECT video_id, min(time) AS start, max(rms) AS peak_rms, CASE WHEN bool_or(kind = 'spike') THEN 'spike' ELSE 'high' END AS kind, bool_and(in_speech) AS in_speech, count(*) AS n
     FROM s GROUP BY video_id, session"""
 )
 def t2_live_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _events(spark, sf_dir).select("video_id", F.timestamp_millis((F.col("time") * 1000).cast("long")).alias("ts"), "rms", "kind", "in_speech")
-    out = _ended(live.live_moments(_stream(spark, own, "events")), "moments")
-    start = F.unix_millis("session_window.start") / 1000.0
-    return out.select("video_id", start.alias("start"), "peak_rms", "kind", "in_speech", "n")
+    own = _events(spark, sf_dir).select("video_id", "win_idx", "time", F.timestamp_millis((F.col("time") * 1000).cast("long")).alias("ts"), "rms", "kind", "in_speech")
+    late = (F.pmod(F.col("video_id") + F.col("win_idx"), F.lit(7)) == 0) & (F.col("time") % 10 < 3)
+    part = F.least(F.lit(PARTS - 1), F.floor(F.col("time") / 10) + F.when(late, 1).otherwise(0))
+    closing = {"video_id": F.lit(-1), "ts": F.lit("2100-01-01").cast("timestamp"), "rms": F.lit(0)}
+    out = _replayed(own, part.cast("int"), "moments", closing, lambda s: live.live_moments(s, late="1 second"))
+    return out.select("video_id", (F.unix_millis("session_window.start") / 1000.0).alias("start"), "peak_rms", "kind", "in_speech", "n")
+
+
+# Segments by their start, in stretches of two minutes.
+def _parted_segments(of: str) -> str:
+    return rf"""
+e AS (SELECT *, least(3, s_ms // 120000 + CASE WHEN (video_id + seg_id) % 7 = 0 THEN 1 ELSE 0 END) AS part FROM {of}),
+passed AS (SELECT p.part, max(e.s_ms) AS ms FROM (SELECT unnest(range(1, 4)) AS part) p JOIN e ON e.part < p.part GROUP BY p.part)"""
+
+
+def _segment_stream(spark: SparkSession, sf_dir: str, name: str, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    ms = F.bround(F.col("start") * 1000, 0).cast("long")
+    own = fx.segments(spark, sf_dir).withColumn("ts", F.timestamp_millis(ms + DAY))  # a stream's watermark begins at time 0
+    part = F.least(F.lit(PARTS - 1), F.floor(ms / 120000) + F.when(F.pmod(F.col("video_id") + F.col("seg_id"), F.lit(7)) == 0, 1).otherwise(0))
+    return _replayed(own, part.cast("int"), name, {"video_id": F.lit(-1), "seg_id": F.lit(0), "ts": F.lit("2100-01-01").cast("timestamp"), "text": F.lit("")}, rule)
 
 
 @register(
-    f"""WITH {MARKED_SQL} SELECT (s_ms // 60000) AS minute, coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS n FROM marked GROUP BY ALL"""
+    f"""WITH {MARKED_SQL}, {_parted_segments("marked")}
+    SELECT s_ms // 60000 AS minute, coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS n FROM e
+    WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.part = e.part AND e.s_ms - e.s_ms % 60000 + 60000 <= p.ms - 60000) GROUP BY ALL"""
 )
 def t5_live_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fx.segments(spark, sf_dir).withColumn("ts", F.timestamp_millis(F.bround(F.col("start") * 1000, 0).cast("long")))
-    out = _ended(live.live_reasons(_stream(spark, own, "segments")), "reasons")
-    return out.select(F.floor(F.unix_micros("window.start") / 60000000).alias("minute"), "drop_reason", "n")
+    out = _segment_stream(spark, sf_dir, "reasons", live.live_reasons)
+    minute = F.floor((F.unix_millis("window.start") - DAY) / 60000)
+    return out.where(F.year("window.start") < 2100).select(minute.alias("minute"), "drop_reason", "n")
+
+
+@register(
+    rf"""WITH RECURSIVE {MARKED_SQL}, {_parted_segments("marked")},
+    timely AS (
+        SELECT video_id, seg_id, text, row_number() OVER (PARTITION BY video_id ORDER BY s_ms, seg_id) AS i,
+            list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS own
+        FROM e WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.part = e.part AND e.s_ms <= p.ms - 60000)
+    ),
+    steps AS (
+        SELECT video_id, seg_id, text, i, false AS dup, [own] AS kept FROM timely WHERE i = 1
+        UNION ALL
+        SELECT p.video_id, p.seg_id, p.text, p.i, d.dup, CASE WHEN d.dup THEN s.kept ELSE list_append(s.kept, p.own)[-12:] END AS kept
+        FROM steps s JOIN timely p ON p.video_id = s.video_id AND p.i = s.i + 1,
+            LATERAL (SELECT coalesce(list_bool_or(list_transform(s.kept, lambda k:
+                len(list_intersect(k, p.own)) >= 0.95 * (len(k) + len(p.own) - len(list_intersect(k, p.own))))), false) AS dup) d
+    )
+    SELECT video_id, seg_id, md5(text) AS text FROM steps WHERE NOT dup"""
+)
+def t3_live_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_store(spark)
+    out = _segment_stream(spark, sf_dir, "distinct", live.live_distinct)
+    return out.where("video_id >= 0").select("video_id", "seg_id", F.md5("text").alias("text"))
+
+
+def with_store(spark: SparkSession) -> None:
+    """The state store that processors of their own need; a setting of the session."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+
+
+@register(
+    f"""WITH RECURSIVE {FRAMES_SQL}, e AS (SELECT *, least(3, floor(time / 16) + CASE WHEN (clip_id + time) % 7 = 0 THEN 1 ELSE 0 END) AS part FROM frames),
+    passed AS (SELECT p.part, max(e.time) AS t FROM (SELECT unnest(range(1, 4)) AS part) p JOIN e ON e.part < p.part GROUP BY p.part),
+    timely AS (SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.part = e.part AND e.time <= p.t - 5)),
+    {tracks_sql("timely", 3.0)} SELECT * FROM tracks"""
+)
+def t4_live_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_store(spark)
+    own = crops.confident(fx.crossing(spark, sf_dir)).withColumn("ts", F.timestamp_millis((F.col("time") * 1000).cast("long") + DAY))
+    late = F.pmod(F.col("clip_id") + F.col("time").cast("long"), F.lit(7)) == 0
+    part = F.least(F.lit(PARTS - 1), F.floor(F.col("time") / 16) + F.when(late, 1).otherwise(0))
+    closing = {"clip_id": F.lit(-1), "ts": F.lit("2100-01-01").cast("timestamp"), "time": F.lit(0.0), "boxes": F.array()}
+    return _replayed(own, part.cast("int"), "tracks", closing, lambda s: live.live_tracks(s, stale=3.0)).where("clip_id >= 0")
