@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_LOCAL: list[str] = []
+from timeweave.functions.stored import shared_folder
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The folder is the one named in spark.checkpoint.dir; only where that is unset (local tests) a
-    temporary one is made, once for each driver.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _LOCAL:
-            _LOCAL.append("file://" + os.path.abspath(tempfile.mkdtemp(prefix="timeweave-")))
-        base = _LOCAL[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share, which spark.checkpoint.dir names. Only a
+    session of one process does without that setting; a cluster gets an error."""
+    return shared_folder(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
