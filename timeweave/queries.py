@@ -357,17 +357,6 @@ def a14_chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("max_clips", requests.chunk_budget(F.col("n_chunks"), 30))
 
 
-@register()
-def c3_llm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formatted seconds differ between engines in the last place, so tests compare this one."""
-    moments = _moments(spark, sf_dir)
-    matched = requests.match_moments(transcript.clean_transcript(fx.segments(spark, sf_dir)), moments)
-    lines = requests.transcript_lines(requests.assign_chunks(matched))
-    texts = requests.chunk_texts(lines, requests.unmatched_moments(moments, matched))
-    prompts = spark.createDataFrame([("select", "At most {MAX_CLIPS} clips in {TARGET_LANGUAGE}.\n\n{TRANSCRIPT}")], "section string, template string")
-    return requests.llm_requests(texts, prompts, "select", "English")
-
-
 @register(
     f"""WITH {fx.SEGMENTS_SQL} SELECT video_id, string_agg(text, chr(10) ORDER BY seg_id) AS transcript, count(*) AS n_lines FROM segments WHERE trim(text) <> '' GROUP BY 1"""
 )

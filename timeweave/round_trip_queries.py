@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from timeweave import fixtures as fx
 from timeweave.functions import text as tx
 from timeweave.functions.stored import shared_folder
-from timeweave.operators import crops, selection
-from timeweave.queries import EVENTS_SQL, FRAMES_SQL, MARKED_SQL, SAMPLES_SQL, SCORED_SQL, _clips, _events, register, tracks_sql
+from timeweave.operators import crops, selection, subtitles
+from timeweave.queries import _CLOCK, EVENTS_SQL, FRAMES_SQL, LINES_SQL, MARKED_SQL, SAMPLES_SQL, SCORED_SQL, _clip_words, _clips, _events, register, tracks_sql
 from timeweave.sources import cache, media, transcripts
 from timeweave.sources import clips as clip_files
 from timeweave.streaming import live
@@ -175,6 +175,18 @@ def src14_best_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.withColumn("file", F.lit("all")).unionByName(best.withColumn("file", F.lit("best")))
 
 
+@register(
+    f"""WITH RECURSIVE {LINES_SQL}, d AS (SELECT video_id, clip_ord, line_no, 'Dialogue: 0,' || {_CLOCK.format(1)} || ',' || {_CLOCK.format(2)} || ',Default,,0,0,0,,' || text AS dialogue
+    FROM (SELECT *, CAST(round_even(greatest(start, 0) * 100, 0) AS BIGINT) AS cs1, CAST(round_even(greatest(cut, 0) * 100, 0) AS BIGINT) AS cs2 FROM lines_found))
+    SELECT video_id, clip_ord, count(*) AS n_lines, md5(string_agg(dialogue || chr(10), '' ORDER BY line_no)) AS content FROM d GROUP BY ALL"""
+)
+def src13_subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "subtitles")
+    subtitles.write_dialogue(subtitles.subtitle_lines(_clip_words(spark, sf_dir)), path)
+    read = subtitles.read_dialogue(spark, path)
+    return read.select("video_id", "clip_ord", (F.size(F.split("content", "\n")) - 1).cast("long").alias("n_lines"), F.md5("content").alias("content"))
+
+
 FILES_SQL = (
     SCORED_SQL
     + r""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timeweave import fixtures as fx
 from timeweave.functions import text as tx
 from timeweave.operators import boundaries, crops, refine, requests, responses, selection, transcript
-from timeweave.queries import _BAD, _GOOD, _POWER, _WEAK, CHUNKS_SQL, MARKED_SQL, MOMENTS_SQL, SCORED_SQL, _clips, _moments, register
+from timeweave.queries import _BAD, _GOOD, _POWER, _WEAK, CHUNKS_SQL, MARKED_SQL, MERGED_SQL, MOMENTS_SQL, SCORED_SQL, _clips, _moments, register
 
 # Words around each clip as boundaries.near_words takes them, sorted by start, segment, place.
 AROUND_SQL = (
@@ -111,6 +111,33 @@ def s17_j_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("prompt", F.md5("prompt"))
 
 
+# The same over cleaned transcripts, whose lines are merged segments. Gaps between them are differences of
+# doubles, which Spark rounds by their decimal digits.
+_GAP = "WHEN gap >= 1.0 THEN ' [PAUSE ' || CAST(round(CAST(gap::VARCHAR AS DECIMAL(34, 17)), 1) AS DECIMAL(18, 1)) || 's]' WHEN gap >= 0.5 THEN ' [gap ' || CAST(round(CAST(gap::VARCHAR AS DECIMAL(34, 17)), 2) AS DECIMAL(18, 2)) || 's]' END"
+_MS_GAP = "WHEN g >= 999 THEN ' [PAUSE ' || g // 1000 || '.' || g % 1000 // 100 || 's]' WHEN g >= 500 THEN ' [gap 0.' || g // 10 || 's]' END"
+CLEAN_REQUESTS_SQL = (
+    MERGED_SQL
+    + MOMENTS_SQL[len(fx.SEGMENTS_SQL) :]
+    + """,
+clean AS (SELECT *, CAST(round(start * 1000) AS BIGINT) AS s_ms, CAST(round("end" * 1000) AS BIGINT) AS e_ms FROM merged)"""
+    + REQUESTS_SQL[len(MOMENTS_SQL) :].replace("segments", "clean").replace("(s.s_ms + s.n_words * s.ms)", "s.e_ms").replace(_MS_GAP, _GAP)
+    .replace("(SELECT *, CAST(round(", '(SELECT *, lead(start) OVER (PARTITION BY video_id, chunk_id ORDER BY seg_id) - "end" AS gap, CAST(round(')
+)
+
+
+@register(
+    f"""WITH RECURSIVE {CLEAN_REQUESTS_SQL}, b AS (SELECT *, CAST(least(greatest(10, ceil(30 / n * 1.5)), 30) AS INTEGER) AS max_clips FROM asked)
+    SELECT video_id, chunk_id, max_clips, 'At most ' || max_clips || ' clips in English.' || chr(10) || chr(10) || transcript AS prompt FROM b"""
+)
+def c3_llm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moments = _moments(spark, sf_dir)
+    matched = requests.match_moments(transcript.clean_transcript(fx.segments(spark, sf_dir)), moments)
+    lines = requests.transcript_lines(requests.assign_chunks(matched))
+    texts = requests.chunk_texts(lines, requests.unmatched_moments(moments, matched))
+    prompts = spark.createDataFrame([("select", "At most {MAX_CLIPS} clips in {TARGET_LANGUAGE}.\n\n{TRANSCRIPT}")], "section string, template string")
+    return requests.llm_requests(texts, prompts, "select", "English")
+
+
 @register(
     f"""WITH {CHUNKS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY seg_id) AS i, count(*) OVER (PARTITION BY video_id, chunk_id) AS n FROM chunked WHERE (video_id + chunk_id) % 3 = 0)
     SELECT video_id, chunk_id, seg_id, CASE WHEN i <= n // 2 THEN 1 ELSE 2 END AS part FROM n WHERE n > 1"""
@@ -263,3 +290,12 @@ def l4_c7_refined_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(kind == 0, F.col("j")).when(kind == 1, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).when(kind == 2, "Sorry, no.").otherwise("[1, 2, 3]")
     parsed = responses.parse_responses(items.select("video_id", raw.alias("raw")), ["video_id"])
     return refine.refine_clips(old, parsed, ("title",)).select("video_id", "clip_id", "title", "rank")
+
+
+@register(
+    r"""SELECT doc_id, substr(sha1('{"p0":"' || doc_id || '","p1":"' || source || '","p2":null}'), 1, 12) AS sig FROM documents"""
+)
+def s23_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest itself, not only whether two agree."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", tx.signature(F.col("doc_id"), F.col("source"), F.lit(None).cast("string")).alias("sig"))
