@@ -69,10 +69,24 @@ def test_fold_does_not_depend_on_partitions(spark):
 
 def test_upper_median_and_nearest_rank(spark):
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate([4, 1, 3, 2])], "k int, i int, v double")
-    row = ranked_values(df, ["k"], "v", ["i"], 80.0).first()
+    row = ranked_values(df, ["k"], "v", 80.0).first()
     assert (row["n"], row["median"], row["high"]) == (4, 3.0, 4.0)
 
 
+def test_ranks_of_a_long_series(spark):
+    """Against a plain sort: many ties, one hot key, nulls, infinities, and a sketch so coarse that ranks lie
+    outside of its ranges."""
+    rng = random.Random(5)
+    series = {"hot": [rng.choice((0.0, 1.0, rng.random())) for _ in range(4000)], "one": [2.5], "two": [3.0, -3.0], "same": [7.0] * 50}
+    series["odd"] = [float("inf"), -float("inf"), 1e300, -1e-300, 0.5, 0.25]
+    rows = [(k, v) for k, vs in series.items() for v in vs] + [("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    for percent in (0.0, 80.0, 100.0):
+        want = {(k, len(vs), sorted(vs)[len(vs) // 2], sorted(vs)[min(int(len(vs) * percent / 100), len(vs) - 1)]) for k, vs in series.items()}
+        for accuracy in (3, 10_000):
+            assert {tuple(r) for r in ranked_values(df, ["k"], "v", percent, accuracy).collect()} == want
+
+
 def test_first_seen_mode(spark):
     df = spark.createDataFrame([(1, 5, 0), (1, 2, 1), (1, 2, 2), (1, 5, 3), (2, 9, 0)], "k int, v int, i int")
     assert {tuple(r) for r in first_seen_mode(df, ["k"], "v", "i").collect()} == {(1, 5), (2, 9)}

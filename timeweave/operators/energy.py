@@ -82,7 +82,7 @@ def energy_events(windows: DataFrame, regions: DataFrame, rules: EnergyRules = E
     Videos with fewer than three windows or a median below the floor give nothing; so do windows below
     the floor. win_idx counts without gaps from 0.
     """
-    stats = ranked_values(windows, ["video_id"], "rms", ["win_idx"], rules.high_percent)
+    stats = ranked_values(windows, ["video_id"], "rms", rules.high_percent)
     stats = stats.where((F.col("n") >= 3) & (F.col("median") >= rules.floor))
     own = in_speech(local_medians(windows, rules.radius).join(stats, "video_id").where(F.col("rms") >= rules.floor), regions)
     base = F.greatest(F.col("local"), F.col("median") * 0.5)

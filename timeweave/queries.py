@@ -247,7 +247,7 @@ def w4_speech_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {EVENTS_SQL} SELECT video_id, n, median, high FROM stats")
 def a3_median_and_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_values(fx.energy_windows(spark, sf_dir), ["video_id"], "rms", ["win_idx"], 80.0)
+    return ranked_values(fx.energy_windows(spark, sf_dir), ["video_id"], "rms", 80.0)
 
 
 @register(f"WITH {EVENTS_SQL} SELECT video_id, win_idx, near[len(near) // 2 + 1] AS local FROM locals")
