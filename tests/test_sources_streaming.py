@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timeweave.operators import crops, energy, transcript
-from timeweave.sources import cache, clips, media, transcripts
+from timeweave.sources import cache, clips, media, pcm, transcripts
 from timeweave.streaming import live
 
 SEGMENT = {"start": 0.0, "end": 1.0, "text": "[music] hi", "words": [{"word": "hi", "start": 0.1, "end": 0.4}], "no_speech_prob": 0.2}
@@ -65,6 +65,37 @@ def test_media_catalog_and_pcm(spark, tmp_path):
     assert tuple(media.batch_summary(done).first()) == (1, 2, ["b", "c"])
 
 
+def test_recordings_are_cut_by_windows(spark, tmp_path):
+    """Every split, parts in order, empty and short recordings; the plan covers each whole window once."""
+    rng = np.random.default_rng(2)
+    sounds = {"1": rng.integers(-3000, 3000, 1234), "2": rng.integers(-3000, 3000, 99), "3": rng.integers(-9, 9, 300), "4": np.array([], int)}
+    parts = [(v, i, s[i : i + 77].astype("<i2").tobytes()) for v, s in sounds.items() for i in range(0, max(1, len(s)), 77)]
+    parts += [("1", 10_000, None), (None, 0, b"xx")]
+    folder = str(tmp_path / "sound")
+    media.write_pcm(spark.createDataFrame(parts, "video_id string, i long, content binary").repartition(3), folder, "i")
+    assert sorted(p.name for p in (tmp_path / "sound").iterdir()) == [f"{v}.s16le" for v in sorted(sounds)]
+    assert all((tmp_path / "sound" / f"{v}.s16le").read_bytes() == s.astype("<i2").tobytes() for v, s in sounds.items())
+    want = {(v, w): np.sqrt(np.square(s[w * 100 : w * 100 + 100].astype(float)).mean()) for v, s in sounds.items() for w in range(len(s) // 100)}
+    for split in (1, 200, 500, 1 << 20):
+        got = [(r["video_id"], r["win_idx"], r["rms"]) for r in media.pcm_windows(spark, folder, 100, split).collect()]
+        assert len(got) == len(want) and all(abs(want[v, w] - x) < 1e-9 for v, w, x in got)
+    plan = pcm.plan_ranges([("a/x.s16le", 4_000_000_001), ("a/y.s16le", 0), ("a/z.s16le", 2400)], 100, 1 << 20)
+    assert sum(n for p in plan for *_, n in p.pieces) == 20_000_000 + 12
+    assert all(sum(n for *_, n in p.pieces) * 200 <= 1 << 20 for p in plan)
+
+
+def test_recording_above_two_gib(spark, tmp_path):
+    path = tmp_path / "long.s16le"
+    with open(path, "wb") as f:
+        f.truncate(2**31 + 32_000)
+        f.seek(2**31)
+        f.write(np.full(8000, 5, "<i2").tobytes())
+    found = media.pcm_windows(spark, str(tmp_path), 8000)
+    loud = {134217: 2176, 134218: 5824}
+    assert {(r["win_idx"], round(r["rms"], 6)) for r in found.where("rms > 0").collect()} == {(w, round((25 * n / 8000) ** 0.5, 6)) for w, n in loud.items()}
+    assert found.count() == (2**31 + 32_000) // 16_000
+
+
 def test_step_cache(spark, tmp_path):
     params = spark.createDataFrame([(v, s, "p") for v in (1, 2) for s in cache.STEPS], "video_id long, step string, param string")
     wanted = cache.chain_signatures(params)

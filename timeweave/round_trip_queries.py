@@ -157,10 +157,10 @@ def src12_pcm_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null")
     amps = F.transform("embedding", lambda x: F.pmod((x.cast("double") * 10000).cast("long"), F.lit(65536)))
     low_high = F.transform(amps, lambda a: F.concat(F.lpad(F.hex(a % 256), 2, "0"), F.lpad(F.hex(F.floor(a / 256)), 2, "0")))
-    own = vectors.select("label", "vec_id", F.array_join(low_high, "").alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "h"))), lambda x: x["h"]), "")
-    files = own.groupBy(F.col("label").cast("long").alias("video_id")).agg(F.unhex(joined).alias("content"))
-    return media.pcm_rms(files, 100).withColumn("rms", F.round("rms", 6))
+    content = F.unhex(F.array_join(low_high, "")).alias("content")
+    path = shared_folder(spark, "recordings")
+    media.write_pcm(vectors.select(F.col("label").cast("long").alias("video_id"), "vec_id", content), path, "vec_id")
+    return media.pcm_windows(spark, path, 100).withColumn("rms", F.round("rms", 6))
 
 
 @register(

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions.text import split_log
+from timeweave.sources import pcm
 
 # Endings of video files.
 EXTENSIONS = ("mp4", "mov", "avi", "mkv", "webm", "flv", "m4v")
@@ -24,31 +21,23 @@ def media_catalog(spark: SparkSession, folder: str, extensions: tuple[str, ...]
     return own.withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", ""))
 
 
-def pcm_windows(spark: SparkSession, path: str, per_window: int = 8000) -> DataFrame:
+def pcm_windows(spark: SparkSession, path: str, per_window: int = 8000, split_bytes: int = 64 << 20) -> DataFrame:
     """video_id (file stem), win_idx, rms of raw s16le mono files. A tail shorter than a window is left out.
 
-    Samples are squared and summed a window at a time inside the task, so no row holds a sample.
+    Tasks read ranges of whole windows, some ``split_bytes`` each, so a recording of any length is cut among them,
+    no file is a cell and no row holds a sample.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.s16le").load(path)
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return pcm_rms(files.select(stem.alias("video_id"), "content"), per_window)
-
-
-def pcm_rms(files: DataFrame, per_window: int = 8000) -> DataFrame:
-    """As ``pcm_windows`` for recordings (video_id, content), each of which fits a task: a binary cell of Spark
-    holds 2 GiB, some 18 hours of 16 kHz sound. Longer ones must come in parts of whole windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1)):
-                samples = np.frombuffer(content.as_buffer(), "<i2", len(content.as_buffer()) // 2)
-                full = samples[: len(samples) // per_window * per_window].reshape(-1, per_window)
-                rms = np.sqrt(np.array([np.square(w.astype(np.float64)).mean() for w in full]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name.as_py()] * len(rms), pa.string()), pa.array(np.arange(len(rms))), pa.array(rms.astype(np.float64))], ["video_id", "win_idx", "rms"]
-                )
-
-    return files.select(F.col("video_id").cast("string"), "content").mapInArrow(run, "video_id string, win_idx long, rms double")
+    pcm.register(spark)
+    return spark.read.format("pcm_windows").option("per_window", per_window).option("split_bytes", split_bytes).load(path)
+
+
+def write_pcm(parts: DataFrame, path: str, order: str) -> None:
+    """Write recordings given as parts (video_id, ``order``, content: bytes of whole samples) as a file each.
+    One task streams the parts of a recording, as a file has one writer; null parts are empty."""
+    pcm.register(parts.sparkSession)
+    own = parts.select(F.col("video_id").cast("string"), order, "content").where("video_id is not null")
+    own = own.repartition("video_id").sortWithinPartitions("video_id", order).select("video_id", "content")
+    own.write.format("pcm_windows").mode("append").save(path)
 
 
 def files_by_name(catalog: DataFrame) -> DataFrame:
