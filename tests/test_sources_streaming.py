@@ -7,6 +7,7 @@ import uuid
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +118,59 @@ def test_step_cache(spark, tmp_path):
     assert {tuple(r) for r in cache.merged_metadata(videos, cached, made).collect()} == {(1, "c", "u"), (2, "g", "g")}
 
 
+def test_step_cache_survives_crashes_and_second_writers(spark, tmp_path, monkeypatch):
+    rows = lambda v, s, p: spark.createDataFrame([(v, s, "sig", p)], cache.CACHE)
+    held = lambda: {(r["video_id"], r["step"]): r["payload"] for r in store.rows().collect()}
+    store, other = (cache.StepCache(spark, str(tmp_path / "cache")) for _ in range(2))
+    store.put(rows(1, "energy", "a"))
+    store.put(rows(1, "energy", "b"))
+    store.put(rows(2, "select", "c"))
+    before = {(1, "energy"): "b", (2, "select"): "c"}
+    assert held() == before
+
+    def crash(*_):
+        raise OSError("lost")
+
+    for change in (lambda: store.put(rows(3, "build", "d")), store.compact, lambda: store.clear("energy")):
+        with monkeypatch.context() as m, pytest.raises(OSError):
+            m.setattr(cache.StepCache, "_commit", crash)
+            change()
+        assert held() == before
+
+    plain = cache.StepCache._commit
+
+    def beaten(change):
+        """The first commit of ``store`` finds that ``other`` has made ``change`` in between."""
+
+        def commit(self, number, live):
+            if self is store and not done:
+                done.append(True)
+                change()
+            return plain(self, number, live)
+
+        done = []
+        return commit
+
+    with monkeypatch.context() as m:
+        m.setattr(cache.StepCache, "_commit", beaten(lambda: other.put(rows(3, "build", "d"))))
+        store.put(rows(4, "build", "e"))
+    assert held() == before | {(3, "build"): "d", (4, "build"): "e"}
+    with monkeypatch.context() as m:
+        m.setattr(cache.StepCache, "_commit", beaten(lambda: (other.put(rows(1, "energy", "f")), other.clear("select"))))
+        store.compact()
+    after = {(1, "energy"): "f", (3, "build"): "d", (4, "build"): "e"}
+    assert held() == after and len(store._newest()[1]) == 2
+    with monkeypatch.context() as m:
+        m.setattr(cache.StepCache, "_commit", beaten(other.compact))
+        store.compact()
+    assert held() == after and len(store._newest()[1]) == 1
+    assert store.vacuum() == 0 and store.vacuum(-1.0) > 0 and held() == after
+    with monkeypatch.context() as m:
+        m.setattr(cache.StepCache, "_commit", beaten(lambda: other.clear()))
+        store.compact()
+    assert held() == {}
+
+
 T0 = datetime(2024, 1, 1)
 
 

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+import time
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,47 +63,117 @@ def raw_clips(wanted: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class StepCache:
-    """The cache as a table in a folder, partitioned by step. A put adds a batch; the newest batch's row of a
-    video and step counts. One writer at a time."""
+    """The cache as batches of Parquet files and numbered manifests in a folder. The newest batch's row of a video
+    and step counts.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    The manifest with the greatest number lists the live batches, oldest first, each with the steps cleared since.
+    A change writes its batch to a folder of its own and then takes effect by one rename of a new manifest to the
+    next number, which fails if another writer has taken it; the change is then made to that manifest instead. So
+    a crash at any point leaves the state before or after it, writers do not lose each other's batches, and a
+    reader keeps the files it has planned on until ``vacuum``. Rename must be atomic and not replace a file, as
+    on HDFS and local disks.
+    """
 
-    def _paths(self) -> list[str]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        store = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return [s.getPath().toString() for s in store.listStatus(hadoop)] if store.exists(hadoop) else []
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._store = self._at(self.path).getFileSystem(self._conf)
 
     def rows(self) -> DataFrame:
-        if not any("step=" in p for p in self._paths()):
+        return self._rows(self._newest()[1])
+
+    def _rows(self, live: list[dict]) -> DataFrame:
+        if not live:
             return self.spark.createDataFrame([], CACHE)
-        newest = self._all().groupBy("video_id", "step").agg(F.max_by(F.struct("sig", "payload"), "batch").alias("n"))
+        batches = [self._batch(b).withColumn("_batch", F.lit(i)) for i, b in enumerate(live)]
+        own = reduce(DataFrame.unionAll, batches)
+        newest = own.groupBy("video_id", "step").agg(F.max_by(F.struct("sig", "payload"), "_batch").alias("n"))
         return newest.select("video_id", "step", "n.sig", "n.payload")
 
     def put(self, results: DataFrame) -> None:
-        """Add (video_id, step, sig, payload) as a new batch of files; nothing that is there is written again."""
-        own = results.select("video_id", "step", "sig", "payload", F.lit(self._next()).alias("batch"))
-        own.write.mode("append").partitionBy("step").parquet(self.path)
+        """Add (video_id, step, sig, payload) as a new batch; nothing that is there is written again."""
+        batch = self._write(results.select("video_id", "step", "sig", "payload"))
+        self._change(lambda live: [*live, batch])
 
     def compact(self) -> None:
-        """Write each step's newest rows alone."""
-        staged = f"{self.path}-staged"
-        self.rows().withColumn("batch", F.lit(self._next())).write.mode("overwrite").parquet(staged)
-        fresh = self.spark.read.parquet(staged)
-        fresh.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("step").parquet(self.path)
+        """Write the newest rows as one batch in place of those read. What another writer put meanwhile stays
+        behind it, and what was cleared meanwhile stays cleared."""
+        read = self._newest()[1]
+        batch = self._write(self._rows(read))
+        names = {b["name"]: set(b["without"]) for b in read}
 
-    def _all(self) -> DataFrame:
-        return self.spark.read.schema(f"{CACHE}, batch long").parquet(self.path)
+        def change(live: list[dict]) -> list[dict]:
+            kept = [b for b in live if b["name"] in names]
+            if len(kept) < len(names):  # another compaction, or clearing of all, came first: this one has no place
+                return live
+            cleared = set.union(set(), *(set(b["without"]) - names[b["name"]] for b in kept))
+            return [batch | {"without": sorted(cleared)}, *(b for b in live if b["name"] not in names)]
 
-    def _next(self) -> int:
-        return 1 + (self._all().agg(F.max("batch")).first()[0] or 0) if self._paths() else 1
+        self._change(change)
 
     def clear(self, step: str | None = None) -> None:
         """Forget one step, or all."""
-        for path in self._paths():
-            if step is None or path.rstrip("/").endswith(f"step={step}"):
-                hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        self._change(lambda live: [] if step is None else [b | {"without": sorted({*b["without"], step})} for b in live])
+
+    def vacuum(self, older_than_hours: float = 24.0) -> int:
+        """Delete batches that the newest manifest does not list, and older manifests, if they are older than any
+        reader or writer at work. Returns how many folders and files went."""
+        number, live = self._newest()
+        keep = {b["name"] for b in live} | {f"{number:012d}.json"}
+        until = (time.time() - older_than_hours * 3600) * 1000
+        old = [f.getPath() for part in ("batches", "manifests") for f in self._list(part) if f.getModificationTime() < until]
+        return sum(self._store.delete(p, True) for p in old if p.getName() not in keep)
+
+    def _at(self, path: str) -> object:
+        return self._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _list(self, part: str) -> list:
+        at = self._at(f"{self.path}/{part}")
+        return list(self._store.listStatus(at)) if self._store.exists(at) else []
+
+    def _newest(self) -> tuple[int, list[dict]]:
+        """Number and live batches of the newest manifest; 0 and none if there is none."""
+        numbers = [int(m[1]) for f in self._list("manifests") if (m := re.fullmatch(r"(\d+)\.json", f.getPath().getName()))]
+        if not numbers:
+            return 0, []
+        file = self._store.open(self._at(f"{self.path}/manifests/{max(numbers):012d}.json"))
+        try:
+            return max(numbers), json.loads(bytes(file.readAllBytes()).decode())
+        finally:
+            file.close()
+
+    def _batch(self, batch: dict) -> DataFrame:
+        own = self.spark.read.schema(CACHE).parquet(f"{self.path}/batches/{batch['name']}")
+        return own.where(~F.col("step").isin(*batch["without"])) if batch["without"] else own
+
+    def _write(self, rows: DataFrame) -> dict:
+        name = uuid.uuid4().hex
+        rows.write.partitionBy("step").parquet(f"{self.path}/batches/{name}")
+        return {"name": name, "without": []}
+
+    def _change(self, change: Callable[[list[dict]], list[dict]]) -> None:
+        """Make ``change`` to the newest manifest, again for as long as another writer is faster."""
+        while True:
+            number, live = self._newest()
+            if self._commit(number + 1, change(live)):
+                return
+
+    def _commit(self, number: int, live: list[dict]) -> bool:
+        """Whether manifest ``number`` is now this one; false if there is one already."""
+        staged, final = self._at(f"{self.path}/manifests/{uuid.uuid4().hex}.tmp"), self._at(f"{self.path}/manifests/{number:012d}.json")
+        file = self._store.create(staged)
+        file.write(json.dumps(live).encode())
+        file.close()
+        never_over = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._store.getUri(), self._conf).rename(staged, final, never_over)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            self._store.delete(staged, False)
+            return False
+        return True
 
 
 def merged_metadata(videos: DataFrame, cached: DataFrame, generated: DataFrame) -> DataFrame:
