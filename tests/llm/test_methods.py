@@ -6,6 +6,7 @@ import collections
 import hashlib
 import os
 import random
+import string
 import zlib
 
 import numpy as np
@@ -316,6 +317,22 @@ def test_spans_equal_all_runs_and_every_passage_is_left_somewhere(spark):
     assert passage in left[45] or half in left[41]
 
 
+@pytest.mark.parametrize("letters", [2, 3])
+def test_passages_of_short_words_are_found(spark, letters):
+    """52 words of two or three letters, each passage in two documents of longer words, against all runs of 50."""
+    rng = random.Random(21 + letters)
+    word = lambda k: "".join(rng.choice(string.ascii_lowercase) for _ in range(k))
+    make = lambda n, k: " ".join(word(k) for _ in range(n))
+    texts = {}
+    for i in range(400):
+        passage = make(52, letters)
+        texts |= {2 * i + k: f"{make(rng.randint(20, 90), 5)} {passage} {make(rng.randint(20, 90), 6)}" for k in (0, 1)}
+    texts |= {1000 + i: make(150, letters) for i in range(100)}
+    found = {r["doc_id"] for r in cdc.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = set(longest_shared(texts))
+    assert want == set(range(800)) and found <= want and len(found) >= 0.98 * len(want)
+
+
 def plain_secrets(text):
     out = []
     for kind, pattern, least, group in (("assign", secrets.ASSIGN, 6, 2), ("access", secrets.ACCESS, 20, 0), ("hex", secrets.HEX, 24, 0)):

@@ -8,6 +8,9 @@ smallest doc_id that has it. Consecutive shared chunks form a span. Its ends are
 the texts really part: the bytes beside it are compared with those beside the same chunk in the first and
 in the last document that holds it, at most REACH bytes either way. Spans of ``least_words`` or more count.
 
+A passage of 50 words of two letters has some 150 bytes, and is found by a chunk that lies in it whole; chunks
+of 64 bytes at most leave room for one behind the first cut that both documents make.
+
 The chunk table is rows in Spark, grouped and joined by digest, so a passage that very many documents hold
 costs a row for each of them and no pairs; ends are compared with two documents, however many hold them.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from timeweave.llm.common import discard, materialize
 from timeweave.llm.textkernel import _SPACE, PIECE, column_bytes
 
-MIN_CHUNK, MAX_CHUNK, CUT_BITS = 16, 128, 5
+MIN_CHUNK, MAX_CHUNK, CUT_BITS = 12, 64, 5
 LEAST_WORDS, REACH = 50, 512
 HOT, SALTS = 10_000, 64
 WINDOW = 32
