@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from timeweave.functions.intervals import level_of, overlap_join
+from timeweave.functions.intervals import gathered, level_of, overlap_join
 from timeweave.functions.stats import first_seen_mode, ranked_values
 from timeweave.operators import boundaries, crops, energy, refine, requests, responses, selection, silence, subtitles, transcript
 
@@ -466,3 +466,32 @@ def test_crop_at_carries_the_last_keyframe(spark):
     times = spark.createDataFrame([(1, t) for t in (0.0, 1.0, 2.0, 3.0, 1999.0, 2000.0, 1e9)] + [(2, 1.0)], "clip_id long, t double")
     got = {r["t"]: (r["x"], r["y"]) for r in crops.crop_at(spans, times).collect()}
     assert got == {0.0: (10, 0), 1.0: (10, 0), 2.0: (15, 2), 3.0: (20, 4), 1999.0: (20, 4), 2000.0: (90, 9), 1e9: (90, 9)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gathered_equals_nested_loops_at_any_length(spark):
+    rng = random.Random(11)
+    a = [(k, i, s, s + rng.choice([0.0, 3.0, 70.0, 400.0, 9_000.0, 500_000.0])) for k in (1, 2) for i, s in enumerate(rng.uniform(-900, 90_000) for _ in range(40))]
+    b = [(k, i, s, s + rng.choice([0.1, 2.0, 300.0])) for k in (1, 3) for i, s in enumerate(rng.uniform(-1_000, 95_000) for _ in range(300))]
+    left, right = spark.createDataFrame(a, "k long, i int, s double, e double"), spark.createDataFrame(b, "k long, j int, s2 double, e2 double")
+    item = F.struct("s2", "j", "e2")
+    got = gathered(left, right, ["k"], ("s", "e"), ("s2", "e2"), item, lambda row, x: (x["e2"] > row["s"]) & (x["s2"] < row["e"]), "near", 5.0)
+    want = {(k, i): [j for _, j in sorted((s2, j) for kk, j, s2, e2 in b if kk == k and e2 > s and s2 < e)] for k, i, s, e in a}
+    assert {(r["k"], r["i"]): [x["j"] for x in r["near"]] for r in got.collect()} == want
+
+
+def test_words_of_clips_are_not_shuffled_in_pairs(spark):
+    words = spark.createDataFrame(words_of("a b c d e f g h i j k l"), WORD).repartition("video_id")
+    clips = spark.createDataFrame([(1, i, float(i), i + 3.0) for i in range(5)], "video_id long, clip_ord int, start double, end double").repartition("video_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = boundaries.near_words(clips, words, 0.0, 0.0)
+        lines = subtitles.array_lines(subtitles.clip_word_arrays(clips, words))
+        retimed = silence.region_arrays(subtitles.clip_word_arrays(clips, words).withColumn("duration", F.col("end") - F.col("start")))
+        # one shuffle of each input and none of a clip's words
+        assert [plan_of(df).count("Exchange hashpartitioning") for df in (near, lines, retimed)] == [2, 2, 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

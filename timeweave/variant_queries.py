@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timeweave import fixtures as fx
 from timeweave.functions import text as tx
 from timeweave.operators import boundaries, crops, refine, requests, responses, selection, transcript
-from timeweave.queries import _BAD, _GOOD, _POWER, _WEAK, CHUNKS_SQL, MARKED_SQL, MERGED_SQL, MOMENTS_SQL, SCORED_SQL, _clips, _moments, register
+from timeweave.queries import _BAD, _GOOD, _POWER, _WEAK, CHUNKS_SQL, MARKED_SQL, MERGED_SQL, MOMENTS_SQL, SCORED_SQL, _clips, _moments, _spans, register
 
 # Words around each clip as boundaries.near_words takes them, sorted by start, segment, place.
 AROUND_SQL = (
@@ -25,7 +25,7 @@ around AS (
 
 def _around(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = fx.segments(spark, sf_dir)
-    near = boundaries.near_words(fx.clips(segs), fx.words(segs), 6.5, 16.0)
+    near = boundaries.near_words(_spans(segs), fx.words(segs), 6.5, 16.0)
     return near.withColumn("ws", F.coalesce("ws", F.array().cast(near.schema["ws"].dataType)))
 
 
