@@ -495,3 +495,22 @@ def test_words_of_clips_are_not_shuffled_in_pairs(spark):
         assert [plan_of(df).count("Exchange hashpartitioning") for df in (near, lines, retimed)] == [2, 2, 2]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ending_scores_order_lines_not_words(spark):
+    line = "video_id long, seg_id long, ws array<struct<word_pos int, word string, w_start double, w_end double>>"
+    rows = [(1, 0, [(0, "so", 0.0, 0.3), (1, "done", 1.6, 2.0)]), (1, 1, []), (1, 2, [(0, "the", 2.7, 3.0)])]
+    out = boundaries.ending_scores(spark.createDataFrame(rows, line))
+    got = [(r["seg_id"], r["word_pos"], r["is_break"], r["score"]) for r in out.orderBy("seg_id", "word_pos").collect()]
+    assert got == [(0, 0, True, 30), (0, 1, True, 14 + 25 + 20), (2, 0, False, 0)]
+    plan = plan_of(out)
+    assert plan.index("Generate inline") < plan.index("Window")  # words come last
+
+
+def test_speaker_joins_broadcast_nothing(spark):
+    signal = spark.createDataFrame([(1, 0, 0, 0.5)], "clip_id long, track_id int, sample_idx int, score double")
+    windows = spark.createDataFrame([(1, 2)], "clip_id long, n long")
+    envelope = spark.range(1, 2).select(F.col("id").alias("clip_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("win_idx"), F.lit(0.5).alias("env"))
+    segs = spark.range(1, 2).select(F.col("id").alias("clip_id"), F.explode(F.array(F.lit(0).cast("long"))).alias("seg"))
+    out = crops.segment_speakers(crops.active_speaker(crops.resample(signal, windows), envelope), segs)
+    assert plan_of(out.hint("merge")).count("BroadcastExchange") <= 1  # the clips' numbers of windows
