@@ -248,6 +248,16 @@ def test_live_distinct_drops_late_rows_and_forgets_silent_keys(spark, tmp_path):
     assert sorted((r["video_id"], r["seg_id"]) for r in got.collect()) == [(1, 0), (1, 1), (1, 3), (2, 0)]
 
 
+def test_live_distinct_remembers_over_a_long_line(spark, tmp_path):
+    """A document of two equal lines with one of 632 words, two hours of speech, between them."""
+    from timeweave import queries, round_trip_queries  # noqa: F401
+
+    text = "\n".join(["Nicht aulich sch der.", " ".join(["Der"] * 632), "Nicht aulich sch der."])
+    spark.createDataFrame([(8290, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["t3_live_distinct"](spark, str(tmp_path))
+    assert sorted(r["seg_id"] for r in got.collect()) == [0, 1]
+
+
 def test_live_tracks_agree_with_batch(spark, tmp_path):
     def box(cx):
         return (cx - 100, 340, cx + 100, 740)
