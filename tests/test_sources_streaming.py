@@ -270,6 +270,18 @@ def test_live_tracks_agree_with_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_packed_subtitles_hold_the_files_of_clips(spark, tmp_path):
+    from timeweave.operators import subtitles
+
+    words = [(v, c, n, f"w{n}", n * 0.4, n * 0.4 + 0.3) for v in range(6) for c in range(5) for n in range(v + 1)]
+    arrays = subtitles.word_arrays(spark.createDataFrame(words, "video_id long, clip_ord long, n long, word string, start double, end double"))
+    subtitles.write_dialogue(subtitles.array_lines(arrays), str(tmp_path / "each"))
+    subtitles.pack_dialogue(arrays, str(tmp_path / "packed"))
+    want, got = subtitles.read_dialogue(spark, str(tmp_path / "each")), subtitles.read_packed(spark, str(tmp_path / "packed"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 30
+    assert len(list((tmp_path / "packed").rglob("*.parquet"))) <= 4
+
+
 def test_registered_queries_are_consistent():
     import __spark_entry__ as entry
 
