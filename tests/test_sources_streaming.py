@@ -293,6 +293,14 @@ def test_fingerprints_are_joined_without_words(spark, tmp_path):
     assert "Generate" not in plan and "collect_list" not in plan
 
 
+def test_tracks_pass_over_frames_without_boxes(spark):
+    box = {"x1": 0, "y1": 0, "x2": 10, "y2": 10}
+    rows = [(1, 0.0, [box, {**box, "x1": 90, "x2": 100}]), (1, 0.5, None), (1, 1.0, []), (1, 1.2, [{**box, "x1": 80, "x2": 90}]), (2, 0.0, [box]), (2, 9.0, [box])]
+    df = spark.createDataFrame(rows, "clip_id long, time double, boxes array<struct<x1: int, y1: int, x2: int, y2: int>>")
+    got = sorted((r["clip_id"], r["time"], r["box_ord"], r["track_id"], r["x1"]) for r in crops.assign_tracks(df, stale=3.0).collect())
+    assert got == [(1, 0.0, 0, 0, 0), (1, 0.0, 1, 1, 90), (1, 1.2, 0, 1, 80), (2, 0.0, 0, 0, 0), (2, 9.0, 0, 1, 0)]
+
+
 def test_registered_queries_are_consistent():
     import __spark_entry__ as entry
 
