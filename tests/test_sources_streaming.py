@@ -270,6 +270,34 @@ def test_live_tracks_agree_with_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_rules_in_order_hold_one_value_and_give_no_empty_frames():
+    import pandas as pd
+
+    class Held:
+        exists, get, now, wake = False, None, 0, None
+
+        def getCurrentWatermarkMs(self):
+            return self.now
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def setTimeoutTimestamp(self, ms):
+            self.wake = ms
+
+    rule, held = live.SuppressNear(transcript.CleanRules(), 10.0), Held()
+    assert list(rule((1,), iter([pd.DataFrame({"ms": [2000, 1000], "seg_id": [1, 0], "text": ["a b", "A b"]})]), held)) == [] and held.wake == 1000
+    held.now = 1500
+    assert [f.values.tolist() for f in rule((1,), iter([]), held)] == [[[1, 0, "A b"]]] and held.wake == 2000
+    held.now = 3000
+    assert list(rule((1,), iter([]), held)) == [] and held.exists and held.wake == 12000
+    held.now = 12000
+    assert list(rule((1,), iter([]), held)) == [] and not held.exists
+
+
 def test_packed_subtitles_hold_the_files_of_clips(spark, tmp_path):
     from timeweave.operators import subtitles
 
