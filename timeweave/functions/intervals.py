@@ -154,7 +154,9 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
 
 def overlap_islands(df: DataFrame, keys: list[str], order: list[str], start: str, end: str, width: float, name: str = "island") -> DataFrame:
     """Add ``name``: the start and order of the first row of each island; rows of different islands of a
-    key never overlap. ``order`` begins with ``start``; chunks of ``width`` seconds are ordered apart."""
+    key never overlap. ``order`` begins with ``start``; chunks of ``width`` seconds are ordered apart. ``df`` is
+    written once, as it is read four times."""
+    df = stored(df, "spans")
     chunk = F.floor(F.col(start) / width)
     own = running_max(df, keys, order, chunk, F.col(end), "_reach", False)
     fresh = F.when(F.col("_reach").isNull() | (F.col(start) >= F.col("_reach")), F.struct(*order))

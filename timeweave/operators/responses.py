@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,33 +88,31 @@ def salvage(text: str | None) -> tuple[str, list[str]]:
     return ("partial", part) if part else ("failed", [])
 
 
-def _strict(text: Column) -> Column:
-    """Array of objects, each as JSON text, of a reply that is nothing but an array; else null."""
-    items = F.from_json(text, "array<string>")
-    return F.when(text.startswith("[") & text.endswith("]") & items.isNotNull() & F.forall(items, lambda x: F.coalesce(x.startswith("{"), F.lit(False))), items)
+def _strict(replies: DataFrame) -> DataFrame:
+    """``replies`` with _items: the objects, each as JSON text, of a ``_text`` that is nothing but an array of
+    them; else null. The array is a column of its own before it is looked at, so that it is read once."""
+    text, read = F.col("_text"), F.col("_array")
+    own = replies.withColumn("_array", F.when(text.startswith("[") & text.endswith("]"), F.from_json(text, "array<string>")))
+    objects = read.isNotNull() & F.forall(read, lambda x: F.coalesce(x.startswith("{"), F.lit(False)))
+    return own.withColumn("_items", F.when(objects, read)).drop("_array")
 
 
 def parse_responses(responses: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
     """``keys``, status and items (array of object texts) of each reply.
 
-    A reply that is an array of objects is read by Spark; others pass a Python stage that looks for the
-    array in a wrapping object, for a balanced array in other text, then for the whole objects at the
-    head of a broken array. A null reply has failed.
+    A reply that is an array of objects is read by Spark; the texts of others pass a Python function that
+    looks for the array in a wrapping object, for a balanced array in other text, then for the whole objects
+    at the head of a broken array. A null reply has failed. Replies are read once.
     """
-    clean = responses.select(*keys, cleaned(F.col(raw)).alias("_text")).withColumn("_items", _strict(F.col("_text")))
-    good = clean.where("_items is not null").select(*keys, F.lit("ok").alias("status"), F.col("_items").alias("items"))
-    rest = clean.where("_items is null").select(*keys, "_text")
-    schema = good.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [salvage(t.as_py()) for t in batch.column(len(keys))]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keys)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.string()))],
-                [f.name for f in schema.fields],
-            )
-
-    return good.unionByName(rest.mapInArrow(run, schema))
+
+    @F.pandas_udf("status string, items array<string>")
+    def salvaged(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([("ok", None) if t is None else salvage(t) for t in texts], columns=["status", "items"])
+
+    clean = _strict(responses.select(*keys, cleaned(F.col(raw)).alias("_text")))
+    # null stands for a reply that was read, so that its text stays in the JVM
+    found = clean.withColumn("_found", salvaged(F.when(F.col("_items").isNull(), F.coalesce("_text", F.lit("")))))
+    return found.select(*keys, F.col("_found.status").alias("status"), F.coalesce("_items", "_found.items").alias("items"))
 
 
 def clip_items(parsed: DataFrame, keys: list[str]) -> DataFrame:
