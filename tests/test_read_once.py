@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.operators import responses, selection
+from timeweave.operators import responses, selection, transcript
 
+SEG = "video_id long, seg_id long, start double, end double, text string, no_speech_prob double"
 
 
 def counted(df: DataFrame, column: str):
@@ -38,3 +39,12 @@ def test_clips_are_made_once_for_their_islands(spark):
     rows = [(1, i, i * 40.0, i * 40.0 + 50.0, 90 - i, 50) for i in range(6)]
     clips, made = counted(spark.createDataFrame(rows, "video_id long, clip_ord int, start double, end double, clip_score int, score_emotion int"), "start")
     assert selection.suppress_overlaps(clips).count() == 6 and made.value == 6
+
+
+def test_reasons_are_found_once_a_segment(spark, monkeypatch):
+    rows = [(v, i, i * 2.0, i * 2.0 + 1.0, f"text {v} of {i}", 0.0) for v in range(5) for i in range(20)]
+    made = spark.sparkContext.accumulator(0)
+    reason = F.udf(lambda t: made.add(1), "string").asNondeterministic()
+    monkeypatch.setattr(transcript, "drop_reason", lambda *a: reason("text"))
+    assert transcript.clean_transcript(spark.createDataFrame(rows, SEG)).agg(F.sum("n_merged")).first()[0] == 100
+    assert made.value == 100

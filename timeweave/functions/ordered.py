@@ -80,15 +80,19 @@ def _borders(keys: list[list], most: int) -> list[int]:
 
 
 def blocked_fold(
-    df: DataFrame, keys: list[str], order: list[str], uses: list[str], fold: Fold, decided: str, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+    df: DataFrame, keys: list[str], order: list[str], uses: list[str], fold: Fold, decided: str, block_rows: int = BLOCK_ROWS,
+    derive: Callable[[DataFrame], DataFrame] = lambda dealt: dealt,
+) -> DataFrame:
     """``df`` with the columns ``decided`` (DDL) that ``fold`` gives for each row from the columns ``uses``.
 
     ``order`` is total within a key; nulls come first in both. The blocks are written once, with what the
     first round decides; later rounds rewrite blocks that were run from another state than was left to them.
+    ``derive`` adds columns to the dealt rows, row by row: before, they would be made twice, as ranges ask for a sample.
     """
     extra = StructType.fromDDL(decided)
-    plain = df.schema
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    dealt = derive(df.repartitionByRange(*by).sortWithinPartitions(*by))
+    plain = dealt.schema
     lists = StructType([f for f in plain if f.name in keys]).add("_block", LongType())
     for f in plain:
         lists = lists.add(f"_l_{f.name}", ArrayType(f.dataType))
@@ -127,8 +131,7 @@ def blocked_fold(
             done = outcome(batch.column("_due").to_pylist(), [batch.column(f"_l_{c}").to_pylist() for c in uses])
             yield pa.RecordBatch.from_arrays([batch.column("_block"), batch.column("_due"), *done], ["_block", "_came", *ends.names])
 
-    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
-    blocks = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(cut, first), "blocks")
+    blocks = stored(dealt.mapInArrow(cut, first), "blocks")
     redone = None
     w = Window.partitionBy(*keys).orderBy("_block")
     while True:
