@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.operators import responses, selection, transcript
+from timeweave import round_trip_queries
+from timeweave.operators import energy, responses, selection, transcript
+from timeweave.streaming import live
 
 SEG = "video_id long, seg_id long, start double, end double, text string, no_speech_prob double"
 
@@ -48,3 +50,21 @@ def test_reasons_are_found_once_a_segment(spark, monkeypatch):
     monkeypatch.setattr(transcript, "drop_reason", lambda *a: reason("text"))
     assert transcript.clean_transcript(spark.createDataFrame(rows, SEG)).agg(F.sum("n_merged")).first()[0] == 100
     assert made.value == 100
+
+
+def test_windows_of_energy_are_made_once(spark):
+    windows = [(1, i, i * 0.5, 900.0 if i == 30 else 100.0) for i in range(60)]
+    df, made = counted(spark.createDataFrame(windows, "video_id long, win_idx long, t double, rms double"), "rms")
+    regions = spark.createDataFrame([(1, 1, 0.0, 30.0)], "video_id long, region_id int, start double, end double")
+    got = energy.energy_events(df, regions).collect()
+    assert [(r["win_idx"], r["kind"], r["in_speech"]) for r in got] == [(30, "spike", True)] and made.value == 60
+
+
+def test_a_replayed_stream_makes_its_rows_once(spark):
+    rows = spark.range(40).select((F.col("id") % 3).alias("video_id"), F.timestamp_seconds(F.col("id") * 20).alias("ts"), F.col("id").alias("amp"))
+    own, made = counted(rows, "amp")
+    own = own.repartition(2, "video_id")  # as behind joins: one row asks for all
+    closing = {"video_id": F.lit(-1), "ts": F.lit("2100-01-01").cast("timestamp"), "amp": F.lit(0)}
+    part = F.floor(F.unix_seconds("ts") / 200).cast("int")
+    out = round_trip_queries._replayed(own, part, "once", closing, lambda s: live.live_rms(s, "1 minute"))
+    assert out.agg(F.sum("n")).first()[0] == 40 and made.value == 40

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from timeweave.functions.intervals import islands, overlap_join
 from timeweave.functions.stats import ranked_values, upper_median_of
+from timeweave.functions.stored import stored
 
 BLOCK = 10_000
 
@@ -80,11 +81,14 @@ def energy_events(windows: DataFrame, regions: DataFrame, rules: EnergyRules = E
     """video_id, win_idx, time, rms, kind (spike or high), in_speech of (video_id, win_idx, t, rms).
 
     Videos with fewer than three windows or a median below the floor give nothing; so do windows below
-    the floor. win_idx counts without gaps from 0.
+    the floor. win_idx counts without gaps from 0. Windows are written once, and so are those above the floor
+    with their local medians, as ranks and regions read them several times.
     """
+    windows = stored(windows.select("video_id", "win_idx", "t", "rms"), "windows")
     stats = ranked_values(windows, ["video_id"], "rms", rules.high_percent)
     stats = stats.where((F.col("n") >= 3) & (F.col("median") >= rules.floor))
-    own = in_speech(local_medians(windows, rules.radius).join(stats, "video_id").where(F.col("rms") >= rules.floor), regions)
+    loud = local_medians(windows, rules.radius).join(stats, "video_id").where(F.col("rms") >= rules.floor)
+    own = in_speech(stored(loud, "loud"), regions)
     base = F.greatest(F.col("local"), F.col("median") * 0.5)
     spike = F.col("rms") > base * F.when(F.col("in_speech"), rules.spike).otherwise(rules.spike_outside)
     high = F.col("in_speech") & (F.col("rms") >= F.col("high")) & (F.col("rms") > F.col("median") * rules.high_over_median)
