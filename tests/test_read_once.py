@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeweave import round_trip_queries
-from timeweave.operators import energy, responses, selection, transcript
+from timeweave.operators import energy, requests, responses, selection, transcript
 from timeweave.streaming import live
 
 SEG = "video_id long, seg_id long, start double, end double, text string, no_speech_prob double"
@@ -68,3 +68,14 @@ def test_a_replayed_stream_makes_its_rows_once(spark):
     part = F.floor(F.unix_seconds("ts") / 200).cast("int")
     out = round_trip_queries._replayed(own, part, "once", closing, lambda s: live.live_rms(s, "1 minute"))
     assert out.agg(F.sum("n")).first()[0] == 40 and made.value == 40
+
+
+def test_marked_chunks_make_segments_and_moments_once(spark):
+    segs, texts = counted(spark.createDataFrame([(1, 0, 0.0, 2.0, "a", 0.0), (1, 1, 3.0, 4.0, "b", 0.0)], SEG), "text")
+    moments = spark.createDataFrame([(1, 0, 0.5, 1.0, "spike", True), (1, 1, 2.2, 2.7, "high", False)], "video_id long, moment_id long, start double, end double, kind string, in_speech boolean")
+    moments, kinds = counted(moments, "kind")
+    got = requests.marked_chunks(segs, moments).collect()
+    assert [(r["chunk_id"], r["n_lines"], r["transcript"]) for r in got] == [
+        (0, 2, "[0-2] a [ENERGY SPIKE] [PAUSE 1.0s]\n[3-4] b\n\n[MOMENTS WITHOUT WORDS]\n[2.2-2.7] HIGH ENERGY")
+    ]
+    assert (texts.value, kinds.value) == (2, 2)

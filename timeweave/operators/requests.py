@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeweave.functions.intervals import overlap_join
+from timeweave.functions.stored import stored
 
 
 def assign_chunks(segs: DataFrame, chunk: float = 480.0, overlap: float = 60.0) -> DataFrame:
@@ -35,7 +36,7 @@ def match_moments(segs: DataFrame, moments: DataFrame, width: float = 30.0) -> D
     s = segs.select("video_id", "seg_id", F.col("start").alias("_ss"), F.col("end").alias("_se"))
     hits = overlap_join(s, m, ["video_id"], ("_ss", "_se"), ("_ms", "_me"), (F.col("_me") > F.col("_ss")) & (F.col("_ms") < F.col("_se")), width)
     first = hits.groupBy("video_id", "seg_id").agg(F.min(F.struct("_ms", "moment_id", "moment_kind")).alias("_f"))
-    first = first.select("video_id", "seg_id", "_f.moment_id", "_f.moment_kind")
+    first = stored(first.select("video_id", "seg_id", "_f.moment_id", "_f.moment_kind"), "marks")  # lines, spans and unmatched moments ask for it
     return segs.join(first, ["video_id", "seg_id"], "left")
 
 
@@ -116,6 +117,15 @@ def chunk_texts(lines: DataFrame, trailing: DataFrame | None = None) -> DataFram
     return joined.withColumn("transcript", F.coalesce(whole, "transcript")).drop("_t0", "_t1", "_tail")
 
 
+def marked_chunks(segs: DataFrame, moments: DataFrame) -> DataFrame:
+    """``chunk_texts`` of segments whose lines are marked by ``moments``, with the moments that mark none listed
+    behind. Both tables are written once, as each is read several times."""
+    segs = stored(segs.select("video_id", "seg_id", "start", "end", "text"), "segs")
+    moments = stored(moments, "moments")
+    matched = match_moments(segs, moments)
+    return chunk_texts(transcript_lines(assign_chunks(matched)), unmatched_moments(moments, matched))
+
+
 def chunk_budget(n_chunks: Column, max_clips: int) -> Column:
     """Clips to ask for in each chunk: half as many again as an even share, ten at least."""
     return F.least(F.greatest(F.lit(10), F.ceil(F.lit(max_clips) / n_chunks * 1.5)), F.lit(max_clips)).cast("int")

@@ -88,9 +88,7 @@ asked AS (SELECT c.video_id, c.chunk_id, n_lines, transcript || coalesce(chr(10)
 
 
 def _chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments = _moments(spark, sf_dir)
-    matched = requests.match_moments(fx.segments(spark, sf_dir), moments)
-    return requests.chunk_texts(requests.transcript_lines(requests.assign_chunks(matched)), requests.unmatched_moments(moments, matched))
+    return requests.marked_chunks(fx.segments(spark, sf_dir), _moments(spark, sf_dir))
 
 
 @register(f"WITH {REQUESTS_SQL} SELECT video_id, chunk_id, n_lines, md5(transcript) AS digest, length(transcript) AS chars FROM asked")
@@ -130,10 +128,7 @@ clean AS (SELECT *, CAST(round(start * 1000) AS BIGINT) AS s_ms, CAST(round("end
     SELECT video_id, chunk_id, max_clips, 'At most ' || max_clips || ' clips in English.' || chr(10) || chr(10) || transcript AS prompt FROM b"""
 )
 def c3_llm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moments = _moments(spark, sf_dir)
-    matched = requests.match_moments(transcript.clean_transcript(fx.segments(spark, sf_dir)), moments)
-    lines = requests.transcript_lines(requests.assign_chunks(matched))
-    texts = requests.chunk_texts(lines, requests.unmatched_moments(moments, matched))
+    texts = requests.marked_chunks(transcript.clean_transcript(fx.segments(spark, sf_dir)), _moments(spark, sf_dir))
     prompts = spark.createDataFrame([("select", "At most {MAX_CLIPS} clips in {TARGET_LANGUAGE}.\n\n{TRANSCRIPT}")], "section string, template string")
     return requests.llm_requests(texts, prompts, "select", "English")
 
