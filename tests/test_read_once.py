@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave import round_trip_queries
+from timeweave import queries, round_trip_queries
 from timeweave.operators import energy, requests, responses, selection, transcript
 from timeweave.streaming import live
 
+SF = "/root/testdata/sf0.001"
 SEG = "video_id long, seg_id long, start double, end double, text string, no_speech_prob double"
 
 
@@ -79,3 +83,10 @@ def test_marked_chunks_make_segments_and_moments_once(spark):
         (0, 2, "[0-2] a [ENERGY SPIKE] [PAUSE 1.0s]\n[3-4] b\n\n[MOMENTS WITHOUT WORDS]\n[2.2-2.7] HIGH ENERGY")
     ]
     assert (texts.value, kinds.value) == (2, 2)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+@pytest.mark.parametrize("name", ["f10_j21_active_speaker", "a10_w21_segment_speakers"])
+def test_clips_are_shuffled_before_their_rows_are_made(spark: SparkSession, name):
+    plan = plan_of(queries.QUERIES[name](spark, SF))
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
