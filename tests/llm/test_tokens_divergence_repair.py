@@ -148,6 +148,64 @@ def test_token_files_take_odd_rows(spark):
     assert tp.read_digests(spark, empty).count() == 0
 
 
+def test_texts_are_read_and_encoded_once(spark):
+    rows = [(i, f"text {i} of the sun, the moon.\nAnd so on") for i in range(20)]
+    made = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        made.add(1)
+        return x
+
+    text = F.udf(same, "string").asNondeterministic()("text")
+    path = shared_dir(spark, "tokens")
+    tp.write(spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", text), path, VOCABULARY, 2)
+    assert made.value == len(rows)
+    assert [tuple(r) for r in tp.read_digests(spark, path).orderBy("start").collect()] == expected_digests(rows)
+
+
+def test_long_rows_of_one_document_stay_apart(spark):
+    rows = [(7, "ab cd. " * 50_000)] * 3 + [(8, None), (9, "x")]  # more ids than a row takes between the passes
+    path = shared_dir(spark, "tokens")
+    tp.write(spark.createDataFrame(rows, "doc_id long, text string"), path, VOCABULARY, 2)
+    assert [tuple(r) for r in tp.read_digests(spark, path).orderBy("start").collect()] == expected_digests(rows)
+
+
+def test_the_library_gets_few_texts_and_each_piece_once():
+    encoder = tp.Encoder(open(VOCABULARY, encoding="utf-8").read(), 2)
+    own, given_texts = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            given_texts.extend(texts)
+            return own.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Counting()
+    words = ["".join(x) for x in itertools.product("abcdefgh", repeat=3)]
+    text = " ".join(["x", *words, *(w + "," for w in words), *(w + ".\nThe" for w in words)])
+    ids, _ = encoder.encode(pa.array([text]))
+    assert ids.tolist() == [*own.encode(text, add_special_tokens=False).ids, 2]
+    assert len(given_texts) < 10 and sum(map(len, given_texts)) < 4 * len(words) + 20
+
+
+def test_finer_cuts_give_the_ids_of_whole_texts():
+    """Letters, marks that end clauses, line feeds and blanks in any order, with and without a token that a cut would split."""
+    import json
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abÄ×,.;:!?'-1\n\n \t") for _ in range(rng.randrange(60))) for _ in range(4000)]
+    texts += ["a  <|endoftext|>. b", "a <|endoftext|>.\nB c", "a Ġb Ġ, c.Ġ d", "x e\u0301. y", "x a\u00a0.\nB y", "x .\r\nB y a.\n\nB z"]
+    spec = json.loads(open(VOCABULARY, encoding="utf-8").read())
+    other = dict(spec, added_tokens=[*spec["added_tokens"], dict(spec["added_tokens"][0], id=50257, content="a.b")])
+    from tokenizers import Tokenizer
+
+    for source in (json.dumps(spec), json.dumps(other)):
+        whole, encoder = Tokenizer.from_str(source), tp.Encoder(source, 2)
+        for at in range(0, len(texts), 500):
+            lot = texts[at : at + 500]
+            want = [i for t in lot for i in [*whole.encode(t, add_special_tokens=False).ids, 2]]
+            assert encoder.encode(pa.array(lot))[0].tolist() == want
+
+
 # ----------------------------------------------------------------------------------------- divergence
 
 

@@ -1,11 +1,12 @@
 """Token ids as files of fixed-length pages, coded with one canonical length-limited Huffman code.
 
-A first pass counts ids over the whole corpus; the counts, one for each id of the vocabulary, give code
-lengths of at most MAX_BITS (package-merge), and lengths alone give the canonical codes. A second pass
-deals documents out by ranges of doc_id and writes each range as one file of pages of PAGE bytes, so
-files in the order of their names hold documents in ascending order of doc_id. A page stands alone: it
-tells its file, the place of its first id there, the documents that have ids in it, and a bit offset for
-every BLOCK ids. Readers take any page of any file and decode its blocks side by side through one table.
+A first pass encodes every text once and writes its ids; ids are counted over the whole corpus from there. The
+counts, one for each id of the vocabulary, give code lengths of at most MAX_BITS (package-merge), and lengths
+alone give the canonical codes. A second pass deals the ids out by ranges of doc_id and writes each range as one
+file of pages of PAGE bytes, so files in the order of their names hold documents in ascending order of doc_id.
+A page stands alone: it tells its file, the place of its first id there, the documents that have ids in it, and a
+bit offset for every BLOCK ids. Readers take any page of any file and decode its blocks side by side through one
+table.
 
 A page, big-endian: HEADER; a DOCUMENT for each document; a 32-bit bit offset for each block; the codes,
 first bit highest; zeros; one line feed, which lets Spark's text writer write pages.
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import materialize
+from timeweave.llm.common import delete_path, materialize, shared_dir
 
 MAX_BITS = 20
 BLOCK = 256
@@ -43,6 +44,10 @@ MAX_TOKENIZER_BYTES = 64 << 20
 KNOWN_PIECES = 500_000
 PART_CHARS = 1 << 16
 BATCH_BYTES = 4 << 20
+JOINED = 1000  # pieces that the library gets as one text
+PART_IDS = 1 << 16  # ids in a row between the passes, at most
+ROWS = 1000
+CODED = "doc_id long, h long, row long, n long, at long, ids binary"
 PIECES = "file int, doc_id long, start long, n long, at long, n_ids long, crc long"
 
 
@@ -257,15 +262,19 @@ def crc_before(crc: int, n_bytes: int) -> int:
 
 # A vocabulary with this splitting rule never joins what stands on both sides of such a blank.
 _CUT = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
-_SAFE = re.compile("[!-~À-ɏ](?:.*[!-~À-ɏ])?", re.S)
+_SAFE = r"\A[!-~À-ɏ](?s:.*[!-~À-ɏ])?\z"  # of Arrow, as the next two
+# It always splits between a letter and one of these marks, and after a line feed between a mark and a letter.
+_ENDS = (r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])", r"([!-~À-ɏ]\n)([A-Za-zÀ-ÖØ-öø-ɏ])")
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer of the tokenizers library.
 
     A byte-level vocabulary splits texts by a fixed rule before it merges, and always at a single blank
-    between two marks; there texts are cut, and each distinct piece is encoded once and looked up from then
-    on; of more than KNOWN_PIECES those stay that were met again. Any other vocabulary, and any text with other blanks, is encoded
+    between two marks; there texts are cut into words, words are cut at the ends of sentences and clauses, and
+    each distinct piece is encoded once and looked up from then on; of more than KNOWN_PIECES those stay that were met
+    again. New pieces that follow a blank are encoded JOINED at a time, with blanks between them; the ids that begin
+    with a blank tell where each begins. Any other vocabulary, and any text with other blanks, is encoded
     without that. Parts of very long texts are encoded one by one between such cuts.
     """
 
@@ -278,12 +287,16 @@ class Encoder:
         plain = spec.get("normalizer") is None and not spec.get("truncation") and not spec.get("padding")
         plain = plain and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec.get("added_tokens", []))
         self.cuts = plain and rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space", True)
+        self.finer = not any(set(".,;:!?\n") & set(t["content"]) for t in spec.get("added_tokens", []))
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.opens = np.zeros(max(self.tokenizer.get_vocab().values(), default=0) + 1, bool)
+        self.opens[[i for word, i in words.items() if word.startswith("Ġ")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        """Known pieces and in how many lookups they were met; ids of piece i, if it is safe to cut around it,
-        are those from starts[i] on."""
-        self.known, self.safe, self.met = pa.array([], pa.large_string()), np.zeros(0, bool), np.zeros(0, np.int32)
+        """Known pieces and in how many lookups they were met; ids of piece i are those from starts[i] on. In
+        front of a piece stands a blank if none stands there in its text."""
+        self.known, self.met = pa.array([], pa.large_string()), np.zeros(0, np.int32)
         self.ids, self.sizes, self.starts = np.empty(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _make_room(self) -> None:
@@ -292,9 +305,12 @@ class Encoder:
         if 2 * len(stay) > KNOWN_PIECES:
             return self._forget()
         n = self.sizes[stay]
-        at = np.repeat(self.starts[stay] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        self.known, self.safe, self.met = self.known.take(pa.array(stay)), self.safe[stay], np.ones(len(stay), np.int32)
-        self.ids, self.sizes, self.starts = self.ids[at], n, np.cumsum(n) - n
+        self.ids, self.sizes, self.starts = self._ids_at(stay), n, np.cumsum(n) - n
+        self.known, self.met = self.known.take(pa.array(stay)), np.ones(len(stay), np.int32)
+
+    def _ids_at(self, place: np.ndarray) -> np.ndarray:
+        n = self.sizes[place]
+        return self.ids[np.repeat(self.starts[place] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def _whole(self, text: str) -> np.ndarray:
         parts, at = [], 0
@@ -304,6 +320,21 @@ class Encoder:
         found = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in [*parts, text[at:]]]
         return np.concatenate(found)
 
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(own), np.uint32), np.fromiter(map(len, own), np.int64, len(own))
+
+    def _coded(self, pieces: pa.Array, led: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces and how many each has; all of them follow a blank, or none."""
+        if not led:
+            return self._one_by_one(pc.utf8_ltrim(pieces, characters=" ").to_pylist())
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), pa.scalar(" ", pa.large_string()))[0].as_py()
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.uint32)
+        begin = np.flatnonzero(self.opens[ids])
+        if len(begin) == len(pieces):  # a piece has no other blank, so each has one such id, its first
+            return ids, np.diff(begin, append=len(ids))
+        return self._one_by_one([" " + p for p in pieces.to_pylist()])
+
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Where distinct pieces are among the known ones; those that are not are encoded first."""
         found = pc.index_in(pieces, value_set=self.known)
@@ -311,52 +342,64 @@ class Encoder:
             self._make_room()
             found = pc.index_in(pieces, value_set=self.known)
         missing = np.asarray(found.is_null())
-        place = np.asarray(found.fill_null(0))
+        place = np.array(found.fill_null(0))
         self.met[place[~missing]] += 1
         if found.null_count:
             fresh, before = pieces.filter(pa.array(missing)), len(self.known)
-            good, sizes, ids = [], [], []
-            for at in range(0, len(fresh), 20_000):  # the library's own results are large
-                names = fresh.slice(at, 20_000).to_pylist()
-                fit = [_SAFE.fullmatch(p) is not None for p in names]
-                coded = self.tokenizer.encode_batch_fast([" " + p if g else "" for p, g in zip(names, fit)], add_special_tokens=False)
-                own = [e.ids for e in coded]
-                good += fit
-                sizes += map(len, own)
-                ids.append(np.fromiter(itertools.chain.from_iterable(own), np.uint32))
-            self.ids = np.concatenate([self.ids, *ids])
-            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+            bare = pc.starts_with(fresh, " ")
+            fresh = pa.concat_arrays([own := fresh.filter(pc.invert(bare)), fresh.filter(bare)])
+            lots = [self._coded(lot, i == 0) for i, x in enumerate((own, fresh[len(own) :])) for lot in _lots(x)]
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in lots)])
+            self.sizes = np.concatenate([self.sizes, *(n for _, n in lots)])
             self.starts = np.cumsum(self.sizes) - self.sizes
-            self.known, self.safe = pa.concat_arrays([self.known, fresh]), np.concatenate([self.safe, np.array(good, bool)])
+            self.known = pa.concat_arrays([self.known, fresh])
             self.met = np.concatenate([self.met, np.ones(len(fresh), np.int32)])
-            place = np.where(missing, before - 1 + np.cumsum(missing, dtype=np.int32), place)
+            bare = np.asarray(bare)
+            place[missing] = before + np.where(bare, len(own) - 1 + np.cumsum(bare), np.cumsum(~bare) - 1)
         return place
 
-    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """How texts are put together: the first piece of each, the distinct piece at each place, the flat
-        index of each distinct piece, places that are looked up, and what each text begins with by itself:
-        its first piece, which no blank leads, or all of a text that is not looked up."""
+    def _words(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words with a blank before each, how many each has, and which are safe to cut around;
+        the others get none."""
+        safe = np.asarray(pc.match_substring_regex(names, _SAFE))
+        own = names.filter(pa.array(safe))
+        for end in _ENDS if self.finer else ():
+            own = pc.replace_substring_regex(own, end, r"\1 \2")
+        sizes = np.zeros(len(names), np.int64)
+        if not len(own):
+            return np.empty(0, np.uint32), sizes, safe
+        cut = pc.split_pattern(own, " ")
+        starts, pieces = np.asarray(cut.offsets, np.int64)[:-1] - cut.offsets[0].as_py(), cut.flatten()
+        led = np.zeros(len(pieces), bool)
+        led[starts] = True
+        coded = pc.if_else(pa.array(led), pieces, pc.binary_replace_slice(pieces, 0, 0, " ")).dictionary_encode()
+        place = self._places(coded.dictionary)[np.asarray(coded.indices)]
+        sizes[safe] = np.add.reduceat(self.sizes[place], starts)
+        return self._ids_at(place), sizes, safe
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """How texts are put together: the first word of each, the distinct word at each place, ids of the distinct
+        words and how many each has, places that are looked up, and what each text begins with by itself: its first
+        word, which no blank leads, or all of a text that is not looked up."""
         cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
         coded = cut.flatten().dictionary_encode()
         names, which = coded.dictionary, np.asarray(coded.indices)
         starts = np.asarray(cut.offsets, np.int64) - cut.offsets[0].as_py()
-        place, odd = (self._places(names), None) if self.cuts else (np.zeros(len(names), np.int32), np.ones(len(names), bool))
-        odd = ~self.safe[place] if odd is None else odd
-        whole = np.logical_or.reduceat(odd[which], starts[:-1])
+        ids, sizes, safe = self._words(names) if self.cuts else (np.empty(0, np.uint32), np.zeros(len(names), np.int64), np.zeros(len(names), bool))
+        whole = np.logical_or.reduceat(~safe[which], starts[:-1])
         use = np.repeat(~whole, np.diff(starts))
         use[starts[:-1]] = False
         first = names.take(coded.indices.take(pa.array(starts[:-1]))).to_pylist()
         heads = self.tokenizer.encode_batch_fast(["" if w else f for f, w in zip(first, whole.tolist())], add_special_tokens=False)
         own = [self._whole(texts[i].as_py()) if w else np.array(h.ids, np.uint32) for i, (h, w) in enumerate(zip(heads, whole.tolist()))]
-        return starts, which, place, use, own
+        return starts, which, ids, sizes, use, own
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by the end id, and their number by text; null is empty."""
         if not len(texts):
             return np.empty(0, np.uint32), np.zeros(0, np.int64)
-        starts, which, place, use, own = self._cut(texts.fill_null(""))
-        n_of = self.sizes[place].astype(np.int32) if self.cuts else np.zeros(len(place), np.int32)
-        sizes = np.where(use, n_of[which], 0)
+        starts, which, words, n_of, use, own = self._cut(texts.fill_null(""))
+        sizes = np.where(use, n_of.astype(np.int32)[which], 0)
         n_own = np.fromiter(map(len, own), np.int64, len(own))
         counts = np.add.reduceat(sizes, starts[:-1]).astype(np.int64) + n_own + 1
         ends = np.cumsum(counts)
@@ -368,26 +411,22 @@ class Encoder:
         if not use.any():
             return out, counts
         n = sizes[use]
-        shift = self.starts[place].astype(np.int32)[which[use]] - (np.cumsum(n, dtype=np.int32) - n)
-        out[looked_up] = self.ids[np.repeat(shift, n) + np.arange(int(n.sum()), dtype=np.int32)]
+        shift = (np.cumsum(n_of) - n_of).astype(np.int32)[which[use]] - (np.cumsum(n, dtype=np.int32) - n)
+        out[looked_up] = words[np.repeat(shift, n) + np.arange(int(n.sum()), dtype=np.int32)]
         return out, counts
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """How often each id occurs in what ``encode`` gives."""
-        if not len(texts):
-            return np.zeros(0, np.int64)
-        _, which, place, use, own = self._cut(texts.fill_null(""))
-        alone = np.concatenate([*own, np.full(len(texts), self.end_id, np.uint32)])
-        if not self.cuts:
-            return np.bincount(alone)
-        times, n = np.bincount(which[use], minlength=len(place)), self.sizes[place]
-        at = np.repeat(self.starts[place] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        out = np.bincount(np.concatenate([self.ids[at], alone]), np.concatenate([np.repeat(times, n), np.ones(len(alone))]))
-        return out.astype(np.int64)
+        return np.bincount(self.encode(texts)[0])
+
+
+def _lots(pieces: pa.Array) -> Iterator[pa.Array]:
+    for at in range(0, len(pieces), JOINED):
+        yield pieces.slice(at, JOINED)
 
 
 def _slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of some BATCH_BYTES of text, a row at least."""
+    """The batches in parts of some BATCH_BYTES of the column, a row at least."""
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64))
         at = 0
@@ -421,20 +460,61 @@ def _shared_tokenizer(spark: SparkSession, path: str):  # noqa: ANN202
         return spark.sparkContext.broadcast(f.read())
 
 
-def id_counts(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """id, n over all texts, ends included: a row for each id of the vocabulary that occurs."""
-    shared = _shared_tokenizer(docs.sparkSession, tokenizer_path)
+def _id_type(source: str, end_id: int) -> np.dtype:
+    """How ids are kept between the passes: two bytes where the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return np.dtype("<u2" if max([end_id, *Tokenizer.from_str(source).get_vocab().values()]) < 1 << 16 else "<u4")
+
+
+def _ids_in(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    """All ids of some rows of CODED, one after the other."""
+    own = column.cast(pa.large_binary())
+    ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+    return np.frombuffer(own.buffers()[2], kind, int(ends[-1] - ends[0]) // kind.itemsize, int(ends[0]))
+
+
+def _coded_rows(batch: pa.RecordBatch, ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of CODED for a batch of (doc_id, h, row, text), whose texts have ``counts`` of ``ids``."""
+    parts = -(-counts // PART_IDS)
+    of = np.repeat(np.arange(len(counts)), parts)
+    at = PART_IDS * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+    ends = np.concatenate([[0], np.cumsum(np.minimum(counts[of] - at, PART_IDS))])
+    for i in range(0, len(of), ROWS):
+        j = min(i + ROWS, len(of))
+        offsets = ((ends[i : j + 1] - ends[i]) * ids.itemsize).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(ids[ends[i] : ends[j]].tobytes())])
+        same = [batch.column(c).take(pa.array(of[i:j])) for c in range(3)]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(counts[of[i:j]]), pa.array(at[i:j]), data], ["doc_id", "h", "row", "n", "at", "ids"])
+
+
+def encode(docs: DataFrame, shared, end_id: int, kind: np.dtype) -> DataFrame:  # noqa: ANN001
+    """CODED: the ids of whole texts, ends included, in rows of at most PART_IDS. ``n`` is a document's number of ids,
+    ``at`` the place of the row's first; ``row`` tells rows of one doc_id and text apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, n = _encoder(shared.value, end_id), np.zeros(1, np.int64)
+        encoder = _encoder(shared.value, end_id)
+        for batch in _slices(batches, 3):
+            ids, counts = encoder.encode(batch.column(3))
+            yield from _coded_rows(batch, ids.astype(kind), counts)
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), "text")
+    return own.mapInArrow(run, CODED)
+
+
+def id_counts(coded: DataFrame, kind: np.dtype) -> DataFrame:
+    """id, n over all rows of CODED: a row for each id of the vocabulary that occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1, np.int64)
         for batch in _slices(batches, 0):
-            own = encoder.count(batch.column(0))
+            own = np.bincount(_ids_in(batch.column(0), kind))
             n, own = (n, own) if len(n) >= len(own) else (own, n)
             n[: len(own)] += own
         ids = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(n[ids], pa.int64())], ["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, max_bits: int = MAX_BITS) -> None:
@@ -444,33 +524,34 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, max_bits
     Documents go by doc_id, nulls first, rows of one doc_id by a hash of their texts. A null or empty text
     is the end id alone; very long texts run over pages; an empty table gives a code and no pages. Repeated
     rows are documents of their own; columns other than doc_id and text are ignored. The counts that the
-    driver gets are bounded by the vocabulary.
+    driver gets are bounded by the vocabulary. Texts are read and encoded once; their ids lie in the shared folder
+    until the pages are written.
     """
     spark = docs.sparkSession
-    counted = id_counts(docs, tokenizer_path, end_id).toPandas()
+    shared = _shared_tokenizer(spark, tokenizer_path)
+    kind, between = _id_type(shared.value, end_id), shared_dir(spark, "ids")
+    encode(docs, shared, end_id, kind).write.options(**{"compression": "zstd", "parquet.block.size": 32 << 20}).parquet(between)
+    coded = spark.read.schema(CODED).parquet(between)
+    counted = id_counts(coded, kind).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 0, np.int64)
     counts[counted["id"]] = counted["n"]
     lengths = code_lengths(counts, max_bits)
     book = [(i, int(b)) for i, b in enumerate(lengths.tolist()) if b]
     spark.createDataFrame(book, "id int, bits int").write.parquet(f"{path}/code")
-    shared = _shared_tokenizer(spark, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, end_id)
-
-        def coded() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            for batch in _slices(batches, 1):
-                doc_ids = batch.column(0)
-                ids = np.ma.array(doc_ids.fill_null(0).to_numpy(), mask=doc_ids.is_null().to_numpy(zero_copy_only=False))
-                found, n = encoder.encode(batch.column(1))
-                yield found, ids, n
+        def documents() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for batch in _slices(batches, 3):
+                own = batch.filter(pc.equal(batch.column(2), 0))  # rows that begin a document
+                names = np.ma.array(own.column(0).fill_null(0).to_numpy(), mask=own.column(0).is_null().to_numpy(zero_copy_only=False))
+                yield _ids_in(batch.column(3), kind).astype(np.uint32), names, own.column(1).to_numpy()
 
-        for page in pages_of(coded(), Code(lengths), TaskContext.get().partitionId()):
+        for page in pages_of(documents(), Code(lengths), TaskContext.get().partitionId()):
             yield pa.RecordBatch.from_arrays([pa.array([page[:-1]], pa.binary())], ["value"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64("text"))
-    own = own.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    own = coded.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "row", "at").select("doc_id", "n", "at", "ids")
     own.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("compression", "none").text(f"{path}/pages")
+    delete_path(spark, between)
 
 
 def _code(spark: SparkSession, path: str) -> np.ndarray:
